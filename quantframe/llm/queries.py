@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, minhash, packing, sketch, toxicity
+from . import chat, decontaminate, line_dedup, lm_score, minhash, packing, sketch, toxicity
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ranks = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_minhash": op5_minhash,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chat": op7_chat,
     "op8_lm_score": op8_lm_score,
     "op9_fingerprints": op9_fingerprints,
 }
