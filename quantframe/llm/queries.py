@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, lm_score, minhash, packing, sketch, toxicity
+from . import chat, decontaminate, line_dedup, lm_score, minhash, packing, sketch, token_count, toxicity
 from .common import documents
 
 
@@ -48,6 +48,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(documents(spark, sf_dir))
 
 
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_lm_score": op8_lm_score,
     "op9_fingerprints": op9_fingerprints,
+    "op10_token_count": op10_token_count,
 }
 
 _LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
