@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage (a lost executor costs no earlier stage) and lets later plans use real sizes.
+    Cuts the lineage (a lost executor costs no earlier stage) and lets later plans use real sizes. The
+    shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
