@@ -10,6 +10,9 @@ from quantframe.llm.common import documents, materialize
 STAGES = [
     ("toxicity", stages.drop_toxic),
     ("line_dedup", stages.drop_lines),
+    ("near_dedup", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_leaks),
+    ("packing", stages.pack),
 ]
 
 ORACLE_SQL = None
