@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight per word shared by all ordered thresholds, and the
-expected severity is the sum over k of P(grade > k). x holds which words a text has. Grades come from
+expected severity is the sum over k of P(grade > k). x holds which words and word beginnings a text has. Grades come from
 the labels: 0 for documents labelled clean; labelled toxic ones are split into 1 and 2 by how many
 distinct words typical of toxic documents they hold.
 
@@ -15,8 +15,10 @@ label row is left out or counted once; without labels of both kinds nothing is t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,17 @@ from .common import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
+PREFIXES = (3, 4, 5, 6)
+
+
+def word_set(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+def features(words: set[str]) -> dict[str, float]:
+    """The words, and their beginnings (with a mark that no word has) by the log of how many distinct words share them."""
+    counts = Counter("^" + w[:n] for n in PREFIXES for w in words if len(w) > n)
+    return dict.fromkeys(words, 1.0) | {f: log2(1 + n) for f, n in counts.items()}
 
 
 @dataclass
@@ -34,45 +47,71 @@ class OrdinalModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (30.0, 60.0)
 
+    def __post_init__(self):
+        self.begins = {f[1:] for f in self.weights if f[0] == "^"}
+
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        get = self.weights.get
-        score = sum(get(w, 0.0) for w in set(_WORD.findall((text or "").lower())))
+        weights, words = self.weights, word_set(text)
+        score = sum(weights[w] for w in words & weights.keys())
+        begun: dict[str, int] = {}
+        for n in PREFIXES:
+            for w in words:
+                if len(w) > n and w[:n] in self.begins:
+                    begun["^" + w[:n]] = begun.get("^" + w[:n], 0) + 1
+        score += sum(weights[f] * log2(1 + c) for f, c in begun.items())
         return 1.0 / (1.0 + np.exp(np.clip(np.asarray(self.thresholds) - score, -60, 60)))
 
 
-def fit_ordinal(words: list[set[str]], grade: np.ndarray, min_docs: int = 3, l1: float = 2e-3, steps: int = 400) -> OrdinalModel:
-    """Proximal gradient (with momentum) on the cumulative-link likelihood; an L1 term leaves few words with weight."""
-    seen: dict[str, int] = {}
-    for s in words:
-        for w in s:
-            seen[w] = seen.get(w, 0) + 1
-    vocab = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
-    rows, cols = [], []
-    for r, s in enumerate(words):
-        c = [vocab[w] for w in s if w in vocab]
-        rows.append(np.full(len(c), r, np.int64))
-        cols.append(np.asarray(c, np.int64))
-    row, col, n = np.concatenate(rows), np.concatenate(cols), len(words)
-    if not len(vocab):
-        return OrdinalModel()
-    w, cuts = np.zeros(len(vocab)), np.linspace(1.0, 3.0, GRADES - 1)
-    share = [np.clip(np.mean(grade > k), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)]
-    cuts = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + 1e-6 * np.arange(GRADES - 1))
-    x, momentum, rate = w.copy(), 1.0, 4.0
+def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int], grade: np.ndarray, l1: float, l2: float, steps: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal gradient on the cumulative-link likelihood: shared weights, one cut a threshold."""
+    n, width = shape
+    w, x, momentum, v = np.zeros(width), np.zeros(width), 1.0, np.ones(width)
+    for _ in range(15):  # the largest eigenvalue bounds the step
+        v = np.bincount(col, value * np.bincount(row, value * v[col], n)[row], width)
+        v /= (top := float(np.linalg.norm(v)))
+    rate = 1.0 / (0.25 * (GRADES - 1) * top / n + l2)
     for _ in range(steps):
-        z = np.bincount(row, x[col], n)
-        # each threshold is a logistic problem with shared weights: d/dz of the sum of their losses
+        z = np.bincount(row, value * x[col], n)
         p = 1.0 / (1.0 + np.exp(np.clip(cuts[None, :] - z[:, None], -40, 40)))
         err = p - (grade[:, None] > np.arange(GRADES - 1)[None, :])
-        g = np.bincount(col, err.sum(1)[row], len(vocab)) / n
+        g = np.bincount(col, value * err.sum(1)[row], width) / n + l2 * x
         new = x - rate * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
+        if (new - w) @ (x - new) > 0:  # restart where momentum turns against the descent
+            momentum = 1.0
         m = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         x, w, momentum = new + (momentum - 1) / m * (new - w), new, m
         cuts = np.maximum.accumulate(cuts + 2.0 * err.mean(0))
-    names = sorted(vocab, key=vocab.get)
-    return OrdinalModel({a: float(b) for a, b in zip(names, w, strict=True) if b}, tuple(map(float, cuts)))
+    return w, cuts
+
+
+def fit_ordinal(words: list[set[str]], grade: np.ndarray, min_docs: int = 4, l1: float = 1.5e-3, l2: float = 2e-4, steps: int = 150) -> OrdinalModel:
+    """An L1 fit chooses the features; a second fit over those alone gives their weights unshrunk."""
+    made = [features(s) for s in words]
+    seen: dict[str, int] = {}
+    for s in made:
+        for f in s:
+            seen[f] = seen.get(f, 0) + 1
+    names = sorted(f for f, n in seen.items() if min_docs <= n <= len(words) / 3)
+    vocab = {f: k for k, f in enumerate(names)}
+    if not vocab:
+        return OrdinalModel()
+    cols = [np.fromiter((vocab[f] for f in s if f in vocab), np.int64) for s in made]
+    value = np.concatenate([np.fromiter((x for f, x in s.items() if f in vocab), float) for s in made])
+    del made, seen
+    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
+    share = [np.clip(np.mean(grade > k), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)]
+    cuts = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + 1e-6 * np.arange(GRADES - 1))
+    w, cuts = _descend(row, col, value, (len(words), len(names)), grade, l1, 0.0, steps, cuts)
+    chosen = np.flatnonzero(w)
+    if not len(chosen):
+        return OrdinalModel()
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    on = place[col] >= 0
+    w, cuts = _descend(row[on], place[col[on]], value[on], (len(words), len(chosen)), grade, 0.0, l2, 3 * steps, cuts)
+    return OrdinalModel({names[k]: float(v) for k, v in zip(chosen, w, strict=True)}, tuple(map(float, cuts)))
 
 
 def grades(words: list[set[str]], toxic: np.ndarray, many: int = 3) -> np.ndarray:
@@ -86,15 +125,15 @@ def grades(words: list[set[str]], toxic: np.ndarray, many: int = 3) -> np.ndarra
     return np.array([0 if not t else 1 + (len(s & typical) >= many) for s, t in zip(words, toxic, strict=True)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000) -> OrdinalModel:
     sample = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__qf_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
         .select(F.col("doc_id").alias("__qf_label"), "__qf_toxic")
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__qf_label"))
-    word_set = F.pandas_udf(lambda s: s.map(lambda x: sorted(set(_WORD.findall((x or "").lower())))), "array<string>")
-    rows = texts.select("doc_id", "__qf_toxic", word_set("text").alias("words")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    split = F.pandas_udf(lambda s: s.map(lambda x: sorted(word_set(x))), "array<string>")
+    rows = texts.select("doc_id", "__qf_toxic", split("text").alias("words")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     toxic = rows["__qf_toxic"].to_numpy().astype(int)
     if not 0 < toxic.sum() < len(toxic):
         return OrdinalModel()
