@@ -1 +1,6 @@
-"""Part of quantframe."""
+"""Registered queries of the engine's operators."""
+
+from . import aggregates, joins, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
