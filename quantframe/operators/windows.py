@@ -15,21 +15,24 @@ from pyspark.sql import functions as F
 from ..functions.expr import change, col, div, full
 
 YEAR = 252
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
 
 
-def rows(n: int, w=BY_TICKER):
-    """The last n rows, this one included."""
-    return w.rowsBetween(-(n - 1), 0)
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def rows(n: int):
+    """The ticker's last n rows, this one included."""
+    return by_ticker().rowsBetween(-(n - 1), 0)
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_TICKER)
+    return F.lag(x, n).over(by_ticker())
 
 
 def filled(x: str | Column) -> Column:
     """Last known value up to this row."""
-    return F.last(col(x), ignorenulls=True).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def lookback_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 21, 63, 252)) -> DataFrame:
@@ -64,7 +67,7 @@ def gap(bars: DataFrame) -> DataFrame:
 
 
 def bar_number(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_no", F.row_number().over(BY_TICKER) - 1)
+    return bars.withColumn("bar_no", F.row_number().over(by_ticker()) - 1)
 
 
 def atr(bars: DataFrame, n: int = 21) -> DataFrame:
