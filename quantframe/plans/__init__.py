@@ -1,6 +1,6 @@
 """Registered queries of the engine's operators."""
 
-from . import aggregates, joins, metrics, windows  # noqa: F401
+from . import aggregates, joins, metrics, strategies, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

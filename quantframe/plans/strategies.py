@@ -1 +1,471 @@
-"""Queries."""
+"""Label, split, strategy, execution and model queries (LAB, CPC, ML, STR, EXE, RUN, SIZ, RSK)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.expr import change, pct_rank
+from ..operators import clean as C
+from ..operators import execution as X
+from ..operators import joins as J
+from ..operators import labels as L
+from ..operators import stats as S
+from ..operators import strategies as T
+from ..operators import windows as W
+from ..sources.market import bars, filings, reports, returns, sql, table
+from .registry import query
+
+BY = "OVER (PARTITION BY ticker ORDER BY date)"
+
+
+def frame(n: int) -> str:
+    return f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _events(b):
+    return b.where("day(date) = 15").select("ticker", F.col("date").alias("t0"))
+
+
+_LAB = f"""numbered AS (SELECT *, row_number() {BY} AS n, CASE WHEN count(x) {frame(21)} = 21 THEN avg(x) {frame(21)} END AS atr FROM (SELECT *, abs(close - lag(close) {BY}) AS x FROM bars)),
+    ev AS (SELECT ticker, date AS t0, n, {{0}} AS px, {{0}} + 2 * atr AS top, {{0}} - atr AS floor FROM numbered WHERE day(date) = 15 AND atr > 0),
+    ahead AS (SELECT e.ticker, e.t0, e.px, f.n AS fn, f.date, f.close, CASE WHEN f.close >= e.top THEN 1 WHEN f.close <= e.floor THEN -1 ELSE 0 END AS hit FROM ev e JOIN numbered f ON f.ticker = e.ticker AND f.n BETWEEN e.n + 1 AND e.n + 20),
+    firsts AS (SELECT ticker, t0, any_value(px) AS px, coalesce(min(fn) FILTER (WHERE hit <> 0), max(fn)) AS fn FROM ahead GROUP BY 1, 2)
+    SELECT a.ticker, a.t0, a.date AS t1, a.hit AS label, ROUND(a.close / a.px - 1, 6) AS ret FROM firsts JOIN ahead a USING (ticker, t0, fn)"""
+
+
+@query("lab01", sql("", "bars").rstrip() + ", " + _LAB.format("close"))
+def lab01(spark, d):
+    b = bars(spark, d)
+    return L.triple_barrier(b, _events(b)).withColumn("ret", F.round("ret", 6))
+
+
+@query("lab02", sql("", "bars").rstrip() + ", " + _LAB.format("CASE WHEN month(date) % 2 = 0 THEN open ELSE close END"))
+def lab02(spark, d):
+    """Entry price given for some events."""
+    b = bars(spark, d)
+    ev = b.where("day(date) = 15").select("ticker", F.col("date").alias("t0"), F.when(F.month("date") % 2 == 0, F.col("open")).alias("entry"))
+    return L.triple_barrier(b, ev).withColumn("ret", F.round("ret", 6))
+
+
+@query("lab03")
+def lab03(spark, d):
+    """Probability that a momentum side is right, by a forest over three features."""
+    b = W.volatility(W.from_high(W.gap(bars(spark, d))), 21)
+    side = b.select("ticker", F.col("date").alias("t0"), F.signum("ret_10d").alias("side"), "gap_1d", "pct_from_high", "vol_21d").dropna()
+    rows = L.meta_labels(side, L.triple_barrier(b, _events(b)).where("label <> 0"))
+    out = L.meta_probability(L.fit_meta(rows, ["gap_1d", "pct_from_high", "vol_21d"]), rows)
+    return out.select("ticker", "t0", "y", F.round("proba", 6).alias("proba"))
+
+
+def _cpcv_sql(n: int, k: int) -> str:
+    return f"""days AS (SELECT date, least((row_number() OVER (ORDER BY date) - 1) // ((SELECT count(DISTINCT date) FROM bars) // {n}), {n - 1}) AS g FROM (SELECT DISTINCT date FROM bars)),
+    spans AS (SELECT g, min(date) AS a, max(date) AS b FROM days GROUP BY g),
+    edges AS (SELECT g, (a + CASE isodow(a) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) - 28 AS lo, (b - CASE isodow(b) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END) + 7 AS hi FROM spans),
+    splits AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split, x.g AS g1, y.g AS g2 FROM spans x JOIN spans y ON x.g < y.g),
+    roles AS (SELECT CAST(split AS INTEGER) AS split, date, CASE WHEN d.g IN (g1, g2) THEN 'test' WHEN date BETWEEN p.lo AND p.hi OR date BETWEEN q.lo AND q.hi THEN NULL ELSE 'train' END AS role
+        FROM splits CROSS JOIN days d JOIN edges p ON p.g = g1 JOIN edges q ON q.g = g2)"""
+
+
+@query("cpc01", sql("", "bars").rstrip() + f", {_cpcv_sql(6, 2)} SELECT split, date, role FROM roles WHERE role IS NOT NULL")
+def cpc01(spark, d):
+    return L.cpcv(bars(spark, d))
+
+
+@query(
+    "cpc02",
+    sql("", "bars").rstrip()
+    + f""", {_cpcv_sql(4, 2)} SELECT split, CAST(seg AS BIGINT) AS seg, min(date) AS "start", max(date) AS "end", count(*) AS n FROM (
+    SELECT split, date, sum(CASE WHEN gap > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY split ORDER BY date) AS seg FROM (SELECT split, date, date - lag(date) OVER (PARTITION BY split ORDER BY date) AS gap FROM roles WHERE role = 'test')) GROUP BY 1, 2""",
+)
+def cpc02(spark, d):
+    return L.runner_folds(L.cpcv(bars(spark, d), groups=4))
+
+
+def _training(spark, d):
+    b = W.forward_return(W.gap(bars(spark, d)), 5)
+    every = F.broadcast(W.calendar(b).where("idx % 5 = 0").select("date"))
+    t = b.join(every, "date").where("close >= 5 and fwd is not null")
+    t = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n >= 10")
+    rank = lambda c: F.coalesce(pct_rank(c, ["date"]), F.lit(0.5)).alias(c)
+    return t.select("date", "ticker", rank("gap_1d"), rank("ret_10d"), rank("volume"), "fwd")
+
+
+_RANK = "coalesce(CASE WHEN {0} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {0} NULLS LAST) + (count(*) OVER (PARTITION BY date, {0}) - 1) / 2.0) / CAST(count({0}) OVER (PARTITION BY date) AS DOUBLE) END, 0.5)"
+
+
+@query(
+    "ml01",
+    sql(
+        f"""SELECT date, ticker, ROUND({_RANK.format('gap_1d')}, 6) AS gap_1d, ROUND({_RANK.format('ret_10d')}, 6) AS ret_10d, ROUND({_RANK.format('volume')}, 6) AS volume, ROUND(fwd, 6) AS fwd FROM (
+        SELECT *, count(*) OVER (PARTITION BY date) AS n FROM (
+        SELECT b.*, CASE WHEN o1.open > 0 AND oh.open > 0 THEN oh.open / o1.open - 1 END AS fwd
+        FROM (SELECT *, open / lag(close) {BY} - 1 AS gap_1d, close / lag(close, 10) {BY} - 1 AS ret_10d FROM bars) b JOIN calendar c USING (date)
+        LEFT JOIN (SELECT ticker, idx, open FROM bars JOIN calendar USING (date)) o1 ON o1.ticker = b.ticker AND o1.idx = c.idx + 1
+        LEFT JOIN (SELECT ticker, idx, open FROM bars JOIN calendar USING (date)) oh ON oh.ticker = b.ticker AND oh.idx = c.idx + 6
+        WHERE c.idx % 5 = 0 AND b.close >= 5) WHERE fwd IS NOT NULL) WHERE n >= 10""",
+        "bars", "calendar",
+    ),
+)
+def ml01(spark, d):
+    t = _training(spark, d)
+    return t.select("date", "ticker", *[F.round(c, 6).alias(c) for c in ("gap_1d", "ret_10d", "volume", "fwd")])
+
+
+def _ranked(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    names = ["gap_1d", "ret_10d", "volume"]
+    t = _training(spark, d)
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="fwd", maxIter=10, maxDepth=3, minInstancesPerNode=100, stepSize=0.1, seed=7)]).fit(t.where("date < '2000-05-21'"))
+    b = W.gap(bars(spark, d))
+    rank = lambda c: F.coalesce(pct_rank(c, ["date"]), F.lit(0.5)).alias(c)
+    return model.transform(b.select("date", "ticker", *[rank(c) for c in names])).select("date", "ticker", F.col("prediction").alias("score"))
+
+
+@query("ml02")
+def ml02(spark, d):
+    """Top decile by model score on the first market day of each month."""
+    s = _ranked(spark, d)
+    first = s.groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date")).select("date")
+    return C.top_share(s.join(F.broadcast(first), "date"), "score", ["date"], ["ticker"]).select("date", "ticker", F.round("score", 8).alias("score"))
+
+
+@query("str08")
+def str08(spark, d):
+    """The ranker as a strategy: its monthly picks, equal weight, held between."""
+    p = ml02(spark, d).withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("date")))
+    b = bars(spark, d)
+    return T.carry(p.select("date", "ticker", "weight"), b.select("date").distinct(), b)
+
+
+_CARRY = "SELECT d.date, t.ticker, ROUND(t.weight, 6) AS weight FROM (SELECT d.date, max(x.date) AS decided FROM (SELECT DISTINCT date FROM bars) d JOIN (SELECT DISTINCT date FROM picks) x ON x.date <= d.date GROUP BY 1) d JOIN picks t ON t.date = d.decided JOIN bars b ON b.date = d.date AND b.ticker = t.ticker"
+
+
+@query(
+    "str01",
+    sql("", "bars").rstrip()
+    + f""", scored AS (SELECT *, lag(close, 20) {BY} / lag(close, 272) {BY} - 1 AS mom FROM bars),
+    firsts AS (SELECT min(date) AS date FROM bars GROUP BY date_trunc('month', date)),
+    cut AS (SELECT *, quantile_cont(mom, 0.8::DOUBLE) OVER (PARTITION BY date) AS q, count(*) OVER (PARTITION BY date) AS n FROM scored JOIN firsts USING (date) WHERE mom IS NOT NULL),
+    picks AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM cut WHERE n >= 5 AND mom >= q) {_CARRY}""",
+)
+def str01(spark, d):
+    return T.momentum(bars(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+_ZS = "coalesce(({0} - avg({0}) OVER (PARTITION BY period_date)) / nullif(stddev_pop({0}) OVER (PARTITION BY period_date), 0), 0)"
+
+
+@query(
+    "str02",
+    sql("", "bars", "filings").rstrip()
+    + f""", facts AS (SELECT DISTINCT ticker, period_date, roe, margin, leverage / (abs(leverage) + 1e5) AS lev FROM filings),
+    scored AS (SELECT *, ROUND({_ZS.format('roe')} - {_ZS.format('lev')} + {_ZS.format('margin')}, 9) AS s FROM facts),
+    cut AS (SELECT *, quantile_cont(s, 0.8::DOUBLE) OVER (PARTITION BY period_date) AS q, count(*) OVER (PARTITION BY period_date) AS n FROM scored),
+    picks AS (SELECT CAST(period_date + 45 AS DATE) AS date, ticker, 1.0 / count(*) OVER (PARTITION BY period_date) AS weight FROM cut WHERE n >= 5 AND s >= q) {_CARRY}""",
+)
+def str02(spark, d):
+    f = filings(spark, d).select("ticker", "period_date", "roe", "margin", (F.col("leverage") / (F.abs("leverage") + 1e5)).alias("lev")).distinct()
+    return T.quality(f, bars(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query("str03")
+def str03(spark, d):
+    """Beats on a rising close, 2 % for 10 bars, then 0 once."""
+    b = bars(spark, d)
+    beat = J.reaction_bars(reports(spark, d).where("actual > estimate"), b).select("ticker", F.col("reaction").alias("date")).distinct().withColumn("beat", F.lit(True))
+    rows = b.join(beat, ["ticker", "date"], "left").withColumn("entry", F.coalesce("beat", F.lit(False)) & F.coalesce(F.col("close") / W.lag("close") >= 1.01, F.lit(False)))
+    return T.hold_entries(rows, 10)
+
+
+_PEAD = f"""reactions AS (SELECT DISTINCT r.ticker, (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker AND b.date >= r.date + CASE WHEN r.time = 'bmo' THEN 0 ELSE 1 END) AS date FROM reports r
+    WHERE actual > estimate AND r.date >= (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker))"""
+
+
+@query("prj10", sql("", "bars", "reports").rstrip() + f", {_PEAD} SELECT ticker, date FROM (SELECT *, open / lag(close) {BY} - 1 AS gap FROM bars) JOIN reactions USING (ticker, date) WHERE gap >= 0.03")
+def prj10(spark, d):
+    """Entry predicate on reaction bars: a beat and a gap up."""
+    b = W.gap(bars(spark, d))
+    beat = J.reaction_bars(reports(spark, d).where("actual > estimate"), b).select("ticker", F.col("reaction").alias("date")).distinct()
+    return b.join(beat, ["ticker", "date"], "left_semi").where("gap_1d >= 0.03").select("ticker", "date")
+
+
+def _panel(spark, d):
+    b = W.gap(W.lookback_returns(bars(spark, d), (1,)))
+    r = reports(spark, d)
+    p = J.days_since_reaction(b, r)
+    p = J.latest_surprise(p, r.withColumn("actual", F.col("actual")))
+    m = b.groupBy("date").agg(F.avg("ret_1d").alias("sector_ret_1d"))
+    return T.surprise_entries(p.withColumn("revenue_surprise", F.col("surprise")).join(F.broadcast(m), "date"), runup=1.0).withColumn("run", F.lit("all"))
+
+
+@query("str04")
+def str04(spark, d):
+    """Event-driven book with slots, trailing stop and time exit."""
+    return T.surprise_book(_panel(spark, d))
+
+
+@query("top06")
+def top06(spark, d):
+    """Capacity-limited fill: names held a day never exceed the slots."""
+    return T.surprise_book(_panel(spark, d), slots=3).groupBy("date").agg(F.count(F.lit(1)).alias("held"))
+
+
+_WORDS = "[rtrim(ltrim(w, '.,;:!?\"''()'), '.,;:!?\"''()') for w in string_split_regex(lower(text), '\\s+') if w <> '']"
+
+
+def _count_sql(words: list[str]) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"len([x for x in ws if x IN ({listed})])"
+
+
+@query("str05", f"SELECT doc_id, ROUND(CASE WHEN len(ws) > 0 THEN ({_count_sql(T.POSITIVE + ['the'])} - {_count_sql(T.NEGATIVE + ['der'])}) / len(ws) - 0.5 * {_count_sql(T.UNCERTAIN)} / len(ws) ELSE 0 END, 9) AS score FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)")
+def str05(spark, d):
+    """Transcript score; two common words of the invented prose stand in the lexicons so that scores differ."""
+    return table(spark, d, "documents").select("doc_id", F.round(T.transcript_score(F.col("text"), T.POSITIVE + ["the"], T.NEGATIVE + ["der"]), 9).alias("score"))
+
+
+@query("str06")
+def str06(spark, d):
+    """Yearly change of a reported figure of at least 5 %, 2 % for 21 bars from the next bar."""
+    f = filings(spark, d).select("ticker", "period_date", "roe").distinct()
+    p = F.lag("roe").over(Window.partitionBy("ticker", F.quarter("period_date")).orderBy("period_date"))
+    up = f.withColumn("p", p).where((F.col("roe") - F.col("p")) / F.abs("p") >= 0.05).select("ticker", F.col("period_date").alias("date"), F.lit("bmo").alias("time"))
+    b = bars(spark, d)
+    hit = J.reaction_bars(up, b).select("ticker", F.col("reaction").alias("date")).distinct().withColumn("entry", F.lit(True))
+    return T.hold_entries(b.join(hit, ["ticker", "date"], "left").withColumn("entry", F.coalesce("entry", F.lit(False))), 21)
+
+
+@query("str07", sql(f"SELECT date, ticker, ROUND(CASE WHEN trend > 0 THEN (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) ELSE 0 END, 6) AS weight FROM (SELECT ticker, date, close / lag(close, 252) {BY} - 1 AS trend, CASE WHEN count(r) {frame(63)} = 63 THEN stddev_samp(r) {frame(63)} * sqrt(252) END AS vol FROM (SELECT *, close / lag(close) {BY} - 1 AS r FROM bars)) WHERE trend IS NOT NULL AND vol > 0", "bars"))
+def str07(spark, d):
+    f = W.volatility(bars(spark, d), 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
+    return T.etf_trend(f.select("date", "ticker", "trend", "vol")).withColumn("weight", F.round("weight", 6))
+
+
+# --- execution ---
+
+_TARGETS = "targets AS (SELECT 'a' AS run, date, ticker, volume / 100 - 0.2 AS weight FROM bars)"
+
+
+def _targets(spark, d):
+    return bars(spark, d).select(F.lit("a").alias("run"), "date", "ticker", (F.col("volume") / 100 - 0.2).alias("weight"))
+
+
+_NORM = "SELECT run, date, ticker, weight / greatest(1, sum(weight) OVER (PARTITION BY run, date)) AS weight FROM targets WHERE weight > 0"
+
+
+@query("exe01", sql("", "bars").rstrip() + f", {_TARGETS} SELECT date, ticker, ROUND(weight, 10) AS weight FROM ({_NORM})")
+def exe01(spark, d):
+    return X.normalise(_targets(spark, d)).select("date", "ticker", F.round("weight", 10).alias("weight"))
+
+
+@query("exe02", sql("", "bars").rstrip() + f", {_TARGETS} SELECT date, ticker, ROUND(least(weight, 0.1), 10) AS weight FROM ({_NORM})")
+def exe02(spark, d):
+    return X.cap(X.normalise(_targets(spark, d))).select("date", "ticker", F.round("weight", 10).alias("weight"))
+
+
+def _momentum_nav(spark, d, **account):
+    b = bars(spark, d)
+    t = T.momentum(b).withColumn("run", F.lit("momentum"))
+    return X.simulate(X.normalise(t), b, **account)
+
+
+@query("exe03")
+def exe03(spark, d):
+    """Momentum targets filled on the next bar's open, with costs and cap."""
+    return _momentum_nav(spark, d).withColumn("nav", F.round("nav", 4))
+
+
+@query(
+    "exe04",
+    sql("", "bars").rstrip()
+    + """, full_days AS (SELECT date FROM bars WHERE ticker IN ('Brand#1', 'Brand#2') GROUP BY date HAVING count(*) = 2), p AS (SELECT date, max(CASE WHEN ticker = 'Brand#1' THEN open END) AS a, max(CASE WHEN ticker = 'Brand#2' THEN open END) AS b FROM bars JOIN full_days USING (date) GROUP BY date),
+    r AS (SELECT date, row_number() OVER (ORDER BY date) AS k, 0.5 * (a / lag(a) OVER (ORDER BY date) - 1) + 0.5 * (b / lag(b) OVER (ORDER BY date) - 1) AS ret FROM p)
+    SELECT date, ROUND(sum(CASE WHEN k > 2 THEN ln(1 + ret) ELSE 0 END) OVER (ORDER BY date) + ln(100000.0), 6) AS log_nav FROM r""",
+)
+def exe04(spark, d):
+    """Without costs or cap, two names rebalanced daily: the fold's value must be the product of the weighted returns from the second fill on."""
+    b = bars(spark, d).where("ticker in ('Brand#1', 'Brand#2')")
+    both = b.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n = 2").drop("n")
+    t = both.select(F.lit("x").alias("run"), "date", "ticker", F.lit(0.5).alias("weight"))
+    return X.simulate(t, both, cost_bps=0.0, most=None).select("date", F.round(F.log("nav"), 6).alias("log_nav"))
+
+
+@query("exe05")
+def exe05(spark, d):
+    return X.nav_returns(_momentum_nav(spark, d)).withColumn("ret", F.round("ret", 9))
+
+
+_POS = "t AS (SELECT s_suppkey AS k, s_acctbal / 100000 AS w FROM supplier WHERE s_suppkey % 3 > 0), p AS (SELECT s_suppkey AS k, CAST(s_suppkey % 40 AS DOUBLE) AS shares FROM supplier WHERE s_suppkey % 5 > 0), px AS (SELECT s_suppkey AS k, 10.0 + s_suppkey % 90 AS price FROM supplier)"
+
+
+def _orders(spark, d):
+    s = table(spark, d, "supplier")
+    sym = F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol")
+    t = s.where("s_suppkey % 3 > 0").select(sym, (F.col("s_acctbal") / 100000).alias("weight"))
+    p = s.where("s_suppkey % 5 > 0").select(sym, (F.col("s_suppkey") % 40).cast("double").alias("shares"))
+    px = s.select(sym, (F.lit(10.0) + F.col("s_suppkey") % 90).alias("price"))
+    return X.reconcile(t, p, px, 50_000.0), px
+
+
+@query(
+    "exe06",
+    f"""WITH {_POS}, j AS (SELECT k, coalesce(w, 0) AS w, coalesce(shares, 0) AS have, price FROM t FULL JOIN p USING (k) LEFT JOIN px USING (k)),
+    o AS (SELECT k, CASE WHEN w <= 0 THEN 0 ELSE floor(w * 50000 / price) END - have AS delta, w <= 0 AND have > 0 AS out, have, price FROM j)
+    SELECT 'S' || k AS symbol, CASE WHEN out THEN have ELSE abs(delta) END AS qty, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side FROM o WHERE out OR (abs(delta) >= 1 AND abs(delta) * price >= 1)""",
+)
+def exe06(spark, d):
+    return _orders(spark, d)[0]
+
+
+@query(
+    "exe07",
+    """WITH o AS (SELECT 'S' || s_suppkey AS symbol, (s_suppkey % 7) + (s_suppkey % 4) / 4.0 AS qty, CASE WHEN s_suppkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 1.0 + s_suppkey % 5 AS price, s_suppkey % 3 > 0 AS ok FROM supplier)
+    SELECT symbol, CAST(floor(qty) AS DOUBLE) AS qty, 'opg' AS tif, side FROM o WHERE floor(qty) > 0
+    UNION ALL SELECT symbol, CAST(qty - floor(qty) AS DOUBLE), 'day', side FROM o WHERE qty > floor(qty) AND ok AND (side = 'sell' OR (qty - floor(qty)) * price >= 1)""",
+)
+def exe07(spark, d):
+    s = table(spark, d, "supplier")
+    o = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.col("s_suppkey") % 7 + (F.col("s_suppkey") % 4) / 4.0).alias("qty"), F.when(F.col("s_suppkey") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.lit(1.0) + F.col("s_suppkey") % 5).alias("price"), (F.col("s_suppkey") % 3 > 0).alias("fractionable"))
+    return X.split_legs(o)
+
+
+@query("run01")
+def run01(spark, d):
+    """Backtest over purged folds: each (split, segment) is a run of its own, filled on the next bar."""
+    b = bars(spark, d)
+    folds = L.runner_folds(L.cpcv(b, groups=4)).select(F.concat_ws("-", "split", "seg").alias("run"), "start", "end")
+    inside = lambda df: df.join(F.broadcast(folds), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    t = X.normalise(inside(T.momentum(b)).select("run", "date", "ticker", "weight"))
+    return X.simulate(t, inside(b).select("run", "date", "ticker", "open")).withColumn("nav", F.round("nav", 4))
+
+
+@query("run03")
+def run03(spark, d):
+    """Backtest to metrics: fold returns, averaged by date, then Sharpe, drawdown and activity."""
+    r = X.nav_returns(run01(spark, d)).groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("series_id", F.lit("momentum"))
+    m = r.groupBy("series_id").agg(F.round(S.sharpe(population=True), 6).alias("sharpe"), F.count_if(F.col("ret") != 0).alias("active_days"), F.count(F.lit(1)).alias("n"))
+    return m.join(S.drawdown(r).withColumn("max_drawdown", F.round("max_drawdown", 6)), "series_id")
+
+
+def _books(spark, d):
+    """Three strategies as runs of one simulation."""
+    b = bars(spark, d)
+    f = W.volatility(b, 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
+    facts = filings(spark, d).select("ticker", "period_date", "roe", "margin", (F.col("leverage") / (F.abs("leverage") + 1e5)).alias("lev")).distinct()
+    named = {"momentum": T.momentum(b), "trend": T.etf_trend(f.select("date", "ticker", "trend", "vol")), "quality": T.quality(facts, b)}
+    t = None
+    for k, x in named.items():
+        one = x.select(F.lit(k).alias("run"), "date", "ticker", "weight")
+        t = one if t is None else t.unionByName(one)
+    return X.nav_returns(X.simulate(X.normalise(t), b))
+
+
+@query("run05")
+def run05(spark, d):
+    """Forward book: each signal simulated, then the equal-weight combination."""
+    r = _books(spark, d).where("date >= date '2000-05-21'")
+    mix = r.groupBy("date").agg(F.avg("ret").alias("ret")).select(F.lit("equal").alias("series_id"), "date", "ret")
+    return r.unionByName(mix).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(S.sharpe(), 6).alias("sharpe"))
+
+
+@query("run06")
+def run06(spark, d):
+    """Holdout evaluation of each signal with benchmark alpha."""
+    r = _books(spark, d).where("date between date '2000-05-21' and date '2001-05-21'")
+    book = returns(spark, d).groupBy("date").agg(F.avg("ret").alias("b"))
+    a = S.benchmark_alpha(r, book).select("series_id", "n", F.round("alpha", 6).alias("alpha"), F.round("alpha_t", 4).alias("alpha_t"))
+    return a.join(S.drawdown(r).withColumn("max_drawdown", F.round("max_drawdown", 6)), "series_id")
+
+
+@query("siz01", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 AND (s_suppkey % 10) / 10.0 >= 0.5 THEN ROUND(least(s_acctbal / 10000 * 0.25 * 1.5 * (s_suppkey % 10) / 10.0, 0.05), 9) ELSE 0 END AS size FROM supplier")
+def siz01(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10000).alias("raw"), ((F.col("s_suppkey") % 10) / 10.0).alias("conf"))
+    return s.select("s_suppkey", F.round(X.size("raw", "conf", kelly=1.5), 9).alias("size"))
+
+
+_BOOK = "(SELECT date, ticker, least(sum(size), 0.05) AS s FROM (SELECT date, ticker, volume / 1000 AS size FROM bars UNION ALL SELECT date, ticker, volume / 2000 FROM bars WHERE day(date) % 2 = 0) GROUP BY 1, 2)"
+
+
+@query("siz02", sql(f"SELECT date, ticker, ROUND(s * least(1, 0.5 / greatest(sum(s) OVER (PARTITION BY date), 1e-12)), 11) AS weight FROM {_BOOK}", "bars"))
+def siz02(spark, d):
+    b = bars(spark, d)
+    s = b.select("date", F.lit("a").alias("signal"), "ticker", (F.col("volume") / 1000).alias("size"))
+    s = s.unionByName(b.where("day(date) % 2 = 0").select("date", F.lit("b").alias("signal"), "ticker", (F.col("volume") / 2000).alias("size")))
+    return X.combine_book(s, gross=0.5).withColumn("weight", F.round("weight", 11))
+
+
+query("agg19", sql(f"SELECT date, ticker, ROUND(s * least(1, 0.5 / greatest(sum(s) OVER (PARTITION BY date), 1e-12)), 11) AS weight FROM {_BOOK}", "bars"))(siz02)
+
+_EQ = "eq AS (SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS equity, bool_or(o_orderkey % 11 = 0) AS resume FROM orders GROUP BY 1, 2)"
+
+
+@query(
+    "rsk01",
+    f"""WITH {_EQ}, era AS (SELECT *, sum(CASE WHEN resume THEN 1 ELSE 0 END) OVER w AS era, equity / lag(equity) OVER w - 1 AS day FROM eq WINDOW w AS (PARTITION BY account ORDER BY date)),
+    b AS (SELECT *, NOT resume AND (1 - equity / max(equity) OVER (PARTITION BY account, era ORDER BY date) >= 0.15 OR coalesce(day, 0) <= -0.04) AS breach FROM era)
+    SELECT account, date, equity, breach, bool_or(breach) OVER (PARTITION BY account, era ORDER BY date) AS halted FROM b""",
+)
+def rsk01(spark, d):
+    o = table(spark, d, "orders")
+    eq = o.groupBy(F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("equity"), F.bool_or(F.col("o_orderkey") % 11 == 0).alias("resume"))
+    return X.risk_latch(eq)
+
+
+@query("win15")
+def win15(spark, d):
+    """Least order of differencing that makes a ticker's log close stationary (0.1 steps, then 0.01)."""
+    import numpy as np
+    import pandas as pd
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.log(rows.sort_values("date")["close"].to_numpy())
+
+        def passes(k: int) -> bool:
+            w = np.array(W.frac_weights(k / 100)) if k else np.ones(1)
+            return len(x) >= len(w) + 20 and S.adf_pvalue(np.convolve(x, w, "valid")) < 0.05
+
+        coarse = next((k for k in range(0, 101, 10) if passes(k)), 100)
+        fine = next((k for k in range(max(0, coarse - 9), coarse) if passes(k)), coarse)
+        return pd.DataFrame({"ticker": rows["ticker"].iloc[:1], "d": [fine / 100]})
+
+    return bars(spark, d).select("ticker", "date", "close").groupBy("ticker").applyInPandas(search, "ticker string, d double")
+
+
+@query("win16")
+def win16(spark, d):
+    """Later bars differenced by the order found on earlier ones."""
+    b = bars(spark, d)
+    order = win15(spark, d)
+    ds = [r["d"] for r in order.select("d").distinct().collect()]  # a hundred orders at most
+    out = None
+    for v in ds:
+        one = W.frac_diff(b.join(order.where(F.col("d") == v), "ticker"), "close", v).select("ticker", "date", "d", F.round("frac", 4).alias("frac"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("date >= date '2000-05-21'")
+
+
+@query(
+    "win21",
+    sql(
+        """, mk AS (SELECT c.idx, avg(b.open / p.open - 1) AS m FROM (SELECT * FROM bars JOIN calendar USING (date)) b JOIN (SELECT ticker, idx, open FROM bars JOIN calendar USING (date)) p ON p.ticker = b.ticker AND p.idx = b.idx - 1 JOIN calendar c ON c.idx = b.idx GROUP BY 1),
+        lv AS (SELECT idx, sum(ln(1 + m)) OVER (ORDER BY idx) AS l FROM mk),
+        g AS (SELECT ticker, idx, date, open FROM bars JOIN calendar USING (date))
+        SELECT g.ticker, g.date, ROUND(ln(e.open / s.open), 6) AS log_ret, ROUND(le.l - ls.l, 5) AS log_benchmark FROM g JOIN g s ON s.ticker = g.ticker AND s.idx = g.idx + 1 JOIN g e ON e.ticker = g.ticker AND e.idx = g.idx + 11 JOIN lv ls ON ls.idx = g.idx + 1 JOIN lv le ON le.idx = g.idx + 11""",
+        "bars", "calendar",
+    ),
+)
+def win21(spark, d):
+    """Open-to-open return over ten market days after an event bar, and the compounded benchmark beside it, both as logarithms; no row where a leg is missing."""
+    b = bars(spark, d)
+    cal = W.calendar(b)
+    prev = W.lag_calendar(b, "open", 1, "p").where("p is not null")
+    m = prev.groupBy("date").agg(F.log(1 + F.avg(F.col("open") / F.col("p") - 1)).alias("m")).join(cal, "date")
+    level = m.select("idx", F.sum("m").over(Window.orderBy("idx")).alias("l"))  # one row a market day
+    g = W.lag_calendar(W.lag_calendar(b, "open", -1, "s"), "open", -11, "e").where("s is not null and e is not null").join(F.broadcast(cal), "date")
+    ls, le = level.select((F.col("idx") - 1).alias("idx"), F.col("l").alias("ls")), level.select((F.col("idx") - 11).alias("idx"), F.col("l").alias("le"))
+    j = g.join(F.broadcast(ls), "idx").join(F.broadcast(le), "idx")
+    return j.select("ticker", "date", F.round(F.log(F.col("e") / F.col("s")), 6).alias("log_ret"), F.round(F.col("le") - F.col("ls"), 5).alias("log_benchmark"))
