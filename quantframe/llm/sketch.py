@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 _WHITE = " \t\n\x0b\x0c\r"
 WIDTH = 5
+MAX_RANGES = 1_000_000  # bounds the table of range ends, which goes to all tasks
 
 
 def words(text: Column) -> Column:
@@ -32,7 +33,7 @@ def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float) -> DataFrame:
     """df with the sketch of a text column."""
     df = df.withColumn("__qf_words", words(F.col(text)))
-    below = F.lit(int(-(2**63) + 2**64 * fraction))
+    below = F.lit(min(int(-(2**63) + 2**64 * fraction), 2**63 - 1))
     df = df.withColumn("__qf_hashes", shingle_hashes(F.col("__qf_words"))).drop("__qf_words")
     df = df.withColumn("__qf_low", F.array_sort(F.array_distinct(F.filter("__qf_hashes", lambda x: x < below))))
     return df.withColumn(out, F.when(F.size("__qf_low") > 0, F.col("__qf_low")).otherwise(F.array(F.array_min("__qf_hashes")))).drop("__qf_hashes", "__qf_low")
@@ -55,7 +56,7 @@ def containment(a: str, b: str) -> Column:
 def with_next(docs: DataFrame, range_docs: int = 1000) -> DataFrame:
     """docs (id, th, text, s) with text and sketch of the next document in descending id as next_text and next_s."""
     low, high, n = docs.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    ranges = max(1, n // range_docs)
+    ranges = min(max(1, n // range_docs), MAX_RANGES)
     width = max(1.0, ((high or 0) - (low or 0) + 1) / ranges)
     docs = docs.withColumn("r", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id").cast("double") - F.lit(float(low or 0))) / width).cast("long")))
     order = F.struct(F.coalesce("id", F.lit(-(2**63))), "th")
@@ -63,7 +64,7 @@ def with_next(docs: DataFrame, range_docs: int = 1000) -> DataFrame:
     # a row for each range; the lowest range is followed by the highest
     down = Window.orderBy(F.col("r").desc())
     follow = heads.select(F.coalesce(F.lag("r").over(down), F.min("r").over(Window.partitionBy())).alias("above"), F.col("r").alias("at"), F.col("top").alias("top_"))
-    ends = docs.join(follow, (docs["r"] == follow["at"]) & (order == F.col("top_"))).groupBy("above").agg(F.first(F.struct("text", "s")).alias("x"))
+    ends = docs.join(F.broadcast(follow), (docs["r"] == follow["at"]) & (order == F.col("top_"))).groupBy("above").agg(F.first(F.struct("text", "s")).alias("x"))
     ends = ends.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("th"), F.col("x.text").alias("text"), F.col("x.s").alias("s"), F.col("above").alias("r"), F.lit(True).alias("end"))
     rows = docs.select("id", "th", "text", "s", "r", F.lit(False).alias("end")).union(ends)
     w = Window.partitionBy("r").orderBy("end", F.col("id").desc_nulls_last(), F.col("th").desc())
