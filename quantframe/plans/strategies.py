@@ -118,8 +118,10 @@ def _ranked(spark, d):
     from pyspark.ml.regression import GBTRegressor
 
     names = ["gap_1d", "ret_10d", "volume"]
-    t = _training(spark, d)
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="fwd", maxIter=10, maxDepth=3, minInstancesPerNode=100, stepSize=0.1, seed=7)]).fit(t.where("date < '2000-05-21'"))
+    t = _training(spark, d).where("date < '2000-05-21'")
+    if t.isEmpty():  # too few names a day to rank: nothing is scored
+        return bars(spark, d).select("date", "ticker", F.lit(None).cast("double").alias("score"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="fwd", maxIter=10, maxDepth=3, minInstancesPerNode=100, stepSize=0.1, seed=7)]).fit(t)
     b = W.gap(bars(spark, d))
     rank = lambda c: F.coalesce(pct_rank(c, ["date"]), F.lit(0.5)).alias(c)
     return model.transform(b.select("date", "ticker", *[rank(c) for c in names])).select("date", "ticker", F.col("prediction").alias("score"))
