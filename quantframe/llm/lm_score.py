@@ -87,7 +87,8 @@ def fit(docs: DataFrame, target: DataFrame, rank_file: str, slot_bits: int = 22)
     """Model of docs; target (doc_id) names the documents of the target corpus."""
     small_batches(docs.sparkSession)
     named = target.select(F.col("doc_id").alias("__qf_id")).where("__qf_id is not null").distinct().withColumn("__qf_in", F.lit(True))
-    rows = docs.join(named, docs["doc_id"] == named["__qf_id"], "left").select("text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
+    # one plan at every size: labels grow with the documents, so they are never sent to all tasks
+    rows = docs.join(named.hint("merge"), docs["doc_id"] == named["__qf_id"], "left").select("text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
     counts = rows.mapInPandas(_count(rank_file, slot_bits), "place int, target long, every long")
     found = counts.groupBy("place").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
     both = np.zeros((2, N_IDS + 2**slot_bits), np.uint32)
