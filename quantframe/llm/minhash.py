@@ -171,10 +171,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         .agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
         "classes",
     )
-    # one shuffle: A half-keys place the rows, the pairs (A_i, B_j) are grouped where they lie
-    halves = classes.select("rep", "b", F.explode("a").alias("ak")).repartition("ak")
-    pairs = halves.selectExpr("rep", "b", "ak", "count(1) over (partition by ak) as c").where("c > 1").selectExpr("rep", "ak", "explode(b) as bk")
-    edges = pairs.selectExpr("rep as u", "min(rep) over (partition by ak, bk) as v").where("u <> v")
+    # A half-keys of one class alone go first; counts and minima are added up before the shuffle and joins split a hot key
+    halves = classes.select("rep", "b", F.explode("a").alias("ak"))
+    met = halves.groupBy("ak").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("ak").alias("k"))
+    pairs = materialize(halves.join(met, F.col("ak") == F.col("k")).select("rep", F.explode(F.transform("b", lambda x: F.xxhash64("ak", x))).alias("key")), "tables")
+    least = pairs.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "v")
+    edges = pairs.join(least, F.col("key") == F.col("k")).select(F.col("rep").alias("u"), "v").where("u <> v")
     groups = materialize(connected_components(edges), "groups")
     member = classes.select("rep", "th", "n").join(groups, F.col("rep") == F.col("id")).select("id", "th", "n", "root")
     size = member.groupBy("root").agg(F.count("id").alias("c"), F.sum("n").alias("s"))

@@ -364,16 +364,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, group_limit: int = 50_000
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 18)))
-    found = base.select("id", "tag", "text").mapInPandas(_anchor_rows(length), "h long, u long, id long, x long").repartition("h")
-    found = found.selectExpr(
-        "h", "id", "x",
-        "count(1) over (partition by h) as c",
-        "min(u) over (partition by h) <> max(u) over (partition by h) as unlike",
-        "row_number() over (partition by h, u order by id, shiftright(x, 45), shiftright(x, 14)) as nth",
-    ).where("c > 1 and (nth > 1 or unlike)")
-    # nth > 1: the whole stretch repeats; else bytes decide. c counts stretches, so it bounds the unlike ones
-    found = materialize(found.selectExpr("if(nth > 1, 0, h) as h", "id", "x", "nth > 1 as whole", f"c > {group_limit} as many"), "anchors")
-    asked = found.where("not whole").groupBy("id", F.shiftright("x", 45).alias("tag")).agg(F.collect_list(F.struct("h", "x", "many")).alias("asked"))
+    rows = materialize(base.select("id", "tag", "text").mapInPandas(_anchor_rows(length), "h long, u long, id long, x long"), "anchors")
+    # grouped minima are added up before they are shuffled, and joins split a hot key: no task needs all rows of an anchor
+    place = F.struct("id", F.shiftright("x", 45).alias("tag"), F.shiftright("x", 14).alias("at"))
+    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("u") != F.max("u")).alias("unlike"), F.min(place).alias("top")).where("c > 1")
+    again = materialize(again.select(F.col("h").alias("k"), "unlike", "top"), "again")
+    shared = materialize(rows.join(again, rows["h"] == again["k"]).select("h", "u", "id", "x", "unlike", (place != F.col("top")).alias("later")), "shared")
+    unlike = shared.where("unlike")
+    first = unlike.groupBy("h", "u").agg(F.min(place).alias("top")).withColumnsRenamed({"h": "k", "u": "v"})
+    first = materialize(first, "stretches")
+    crowded = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("k")
+    marked_first = unlike.join(first, (unlike["h"] == first["k"]) & (unlike["u"] == first["v"])).select("h", "id", "x", (place != F.col("top")).alias("whole"))
+    found = shared.where("not unlike and later").select("h", "id", "x", F.lit(True).alias("whole")).union(marked_first)
+    found = materialize(found, "found")
+    firsts = found.where("not whole").join(crowded.withColumn("many", F.lit(True)), F.col("h") == F.col("k"), "left").select("h", "id", "x", F.coalesce("many", F.lit(False)).alias("many"))
+    asked = firsts.groupBy("id", F.shiftright("x", 45).alias("tag")).agg(F.collect_list(F.struct("h", "x", "many")).alias("asked"))
     asked = asked.select(F.col("id").alias("qid"), F.col("tag").alias("qtag"), "asked")
     contexts = base.select("id", "tag", "text").join(asked, (F.col("id") == F.col("qid")) & (F.col("tag") == F.col("qtag"))).select("id", "text", "asked")
     contexts = materialize(contexts.mapInPandas(_contexts(length), "h long, many boolean, id long, x long, ctx binary"), "contexts")

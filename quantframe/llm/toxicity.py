@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log2
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -88,18 +89,21 @@ def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[i
 
 def fit_ordinal(words: list[set[str]], grade: np.ndarray, min_docs: int = 4, l1: float = 1.5e-3, l2: float = 2e-4, steps: int = 150) -> OrdinalModel:
     """An L1 fit chooses the features; a second fit over those alone gives their weights unshrunk."""
-    made = [features(s) for s in words]
     seen: dict[str, int] = {}
-    for s in made:
-        for f in s:
+    for s in words:
+        for f in features(s):
             seen[f] = seen.get(f, 0) + 1
     names = sorted(f for f, n in seen.items() if min_docs <= n <= len(words) / 3)
     vocab = {f: k for k, f in enumerate(names)}
     if not vocab:
         return OrdinalModel()
-    cols = [np.fromiter((vocab[f] for f in s if f in vocab), np.int64) for s in made]
-    value = np.concatenate([np.fromiter((x for f, x in s.items() if f in vocab), float) for s in made])
-    del made, seen
+    del seen
+    cols, values = [], []
+    for s in words:  # made again rather than kept: the sample's features take far more room than its words
+        some = [(vocab[f], x) for f, x in features(s).items() if f in vocab]
+        cols.append(np.array([k for k, _ in some], np.int32))
+        values.append(np.array([x for _, x in some], np.float32))
+    value = np.concatenate(values)
     row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     share = [np.clip(np.mean(grade > k), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)]
     cuts = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + 1e-6 * np.arange(GRADES - 1))
@@ -125,7 +129,7 @@ def grades(words: list[set[str]], toxic: np.ndarray, many: int = 3) -> np.ndarra
     return np.array([0 if not t else 1 + (len(s & typical) >= many) for s, t in zip(words, toxic, strict=True)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000) -> OrdinalModel:
     sample = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__qf_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
@@ -137,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000) -> OrdinalModel
     toxic = rows["__qf_toxic"].to_numpy().astype(int)
     if not 0 < toxic.sum() < len(toxic):
         return OrdinalModel()
-    words = [set(x) for x in rows["words"]]
+    words = [set(map(intern, x)) for x in rows["words"]]  # one string for a word, however many documents hold it
+    del rows
     return fit_ordinal(words, grades(words, toxic))
 
 

@@ -101,3 +101,15 @@ def parse_scores(lines: DataFrame) -> DataFrame:
     raw = F.expr("try_cast(get_json_object(content, '$.score') as double)")
     g = F.lower(F.get_json_object("content", "$.guidance"))
     return lines.select(part[0].alias("ticker"), F.to_date(part[1]).alias("date"), F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(-5.0)), F.lit(5.0))).alias("score"), F.when(g.isin("raised", "lowered", "maintained"), g).otherwise("none").alias("guidance"))
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that all executors share (spark.checkpoint.dir); of this machine only where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.quantframe.work", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="quantframe-")
+        spark.conf.set("spark.quantframe.work", base)
+    return f"{base.rstrip('/')}/quantframe/{name}-{uuid.uuid4().hex}"
