@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -160,19 +160,26 @@ def parse(conversations: DataFrame) -> DataFrame:
         while some := list(islice(found, 1000)):
             yield pd.DataFrame(some, columns=["conv", "frag", "m"])
 
-    def compose(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        """Best role at the end of each fragment of a conversation."""
-        parts = parts.sort_values("frag")
-        score, back = np.zeros(K), []
-        for m in parts["m"]:
-            total = score[:, None] + np.asarray(m).reshape(K, K)
-            back.append(total.argmax(0))
-            score = total.max(0)
-        ends = [int(score.argmax())]
-        for b in reversed(back[1:]):
-            ends.append(int(b[ends[-1]]))
-        ends = ends[::-1]
-        return pd.DataFrame({"conv": key[0], "frag": parts["frag"].to_numpy(), "before_role": [0, *ends[:-1]], "end_role": ends})
+    def ends_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, int, int]]:
+        """Best role before and at the end of each fragment; the fragments of a conversation come one after another, in order."""
+        rows = (row for batch in batches for row in zip(batch["conv"].tolist(), batch["frag"].tolist(), batch["m"], strict=True))
+        for conv, parts in groupby(rows, key=lambda row: row[0]):
+            score, back, frags = np.zeros(K), [], []
+            for _, frag, m in parts:
+                total = score[:, None] + np.asarray(m).reshape(K, K)
+                back.append(total.argmax(0))
+                score = total.max(0)
+                frags.append(frag)
+            ends = [int(score.argmax())]
+            for b in reversed(back[1:]):
+                ends.append(int(b[ends[-1]]))
+            ends = ends[::-1]
+            yield from zip([conv] * len(frags), frags, [0, *ends[:-1]], ends, strict=True)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ends_of(batches)
+        while some := list(islice(found, 1000)):
+            yield pd.DataFrame(some, columns=["conv", "frag", "before_role", "end_role"])
 
     def turns_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for (conv, _), part in _by_frag(batches):
@@ -199,7 +206,7 @@ def parse(conversations: DataFrame) -> DataFrame:
         return joined.repartition("conv", "frag").sortWithinPartitions("conv", "frag", F.col("turn").asc_nulls_first(), "th")
 
     pieces = materialize(_dealt(openings).mapInPandas(matrices, "conv long, frag int, m array<double>"), "chat-matrices")
-    ends = pieces.groupBy("conv").applyInPandas(compose, "conv long, frag int, before_role int, end_role int")
+    ends = pieces.repartition("conv").sortWithinPartitions("conv", "frag").mapInPandas(compose, "conv long, frag int, before_role int, end_role int")
     ends = materialize(ends.join(openings, ["conv", "frag"]), "chat-ends")
     return _dealt(ends).mapInPandas(render, "conv_id long, turn long, part long, role string, given_role string, n_lines long, text string")
 
