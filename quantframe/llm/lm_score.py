@@ -1,11 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus and of all documents (background), share one vocabulary: the ids of a
-public byte-level BPE. Counts cover every token of every document: tasks pre-aggregate, a grouped sum adds
-them up. A bigram has one of 2**slot_bits places by its hash, which bounds the model's size whatever
-the corpus (two uint32 arrays; the bound of what is broadcast); ids have exact counts. P(v | u) mixes
-bigram, unigram and uniform shares. A document's score is its mean loss a token under the target model
-minus that under the background model: the lower, the more it is like the target.
+public byte-level BPE. Counts cover every token of every document and are exact; the counts of bigrams are a
+table that grows with the corpus and never goes to the driver or whole to a task (only counts of single ids
+do, which the vocabulary bounds). Tasks code texts as ids in chunks of about `chunk_ids` ids and list the
+bigrams of each chunk once; that list is summed up over chunks for the counts and joined to them for the
+scores, so a bigram has at most one row a chunk, however common it is. P(v | u) mixes bigram, unigram and
+uniform shares. A document's score is its mean loss a token under the target model minus that under the
+background model: the lower, the more it is like the target.
 
 Defined cases: each text starts and ends with the end id, so null and empty texts have one token; repeated
 rows count and are scored as often as they occur; without target documents the target model is
@@ -18,16 +20,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import materialize, small_batches
 from .packing import encoder
 
 N_IDS = 50_257
 END = N_IDS - 1
 BIGRAM, UNIGRAM, UNIFORM = 0.6, 0.39, 0.01
+_CODED = "chunk long, doc_id long, ids binary, pair long, target long, every long"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def ids_of(enc, text: str | None) -> np.ndarray:
@@ -35,83 +40,131 @@ def ids_of(enc, text: str | None) -> np.ndarray:
     return np.concatenate([[END], ids, [END]])
 
 
-def slots(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64((ids[:-1] * N_IDS + ids[1:]).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def pairs_of(ids: np.ndarray) -> np.ndarray:
+    return ids[:-1] * N_IDS + ids[1:]
 
 
 @dataclass
 class Model:
     unigram: np.ndarray  # by corpus (target, background) and id
-    bigram: np.ndarray  # by corpus and slot
-    bits: int
-
-    def __post_init__(self):
-        self.totals = [max(1, int(x.sum(dtype=np.int64))) for x in self.unigram]
-
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Mean negative log-likelihood a token under target and background."""
-        at, out = slots(ids, self.bits), []
-        for c in range(2):
-            total = self.totals[c]
-            before = np.maximum(self.unigram[c][ids[:-1]], 1)
-            pair = np.minimum(self.bigram[c][at] / before, 1.0)
-            p = BIGRAM * pair + UNIGRAM * self.unigram[c][ids[1:]] / total + UNIFORM / N_IDS
-            out.append(float(-np.log(p).mean()))
-        return out[0], out[1]
-
-
-def _count(path: str, bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, {"<|endoftext|>": END})
-        n = [np.zeros(N_IDS + 2**bits, np.uint32) for _ in range(2)]
+    pairs: DataFrame  # pair (u * N_IDS + v), target, every: one row for each bigram of the corpus
+
+    @property
+    def bigram(self) -> np.ndarray:
+        """Counts by corpus and row of the table; brings the table to the driver, so for small ones only."""
+        found = self.pairs.toPandas()
+        return np.stack([found["target"].to_numpy(np.int64), found["every"].to_numpy(np.int64)])
+
+
+def losses(pair: np.ndarray, counts: list[np.ndarray], unigram: np.ndarray) -> list[np.ndarray]:
+    """Negative log-likelihood of bigrams under target and background."""
+    u, v, out = pair // N_IDS, pair % N_IDS, []
+    for n, one in zip(counts, unigram, strict=True):
+        p = BIGRAM * n / np.maximum(one[u], 1) + UNIGRAM * one[v] / max(1, int(one.sum())) + UNIFORM / N_IDS
+        out.append(-np.log(p))
+    return out
+
+
+def _code(path: str, chunk_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part, k = encoder(path, {"<|endoftext|>": END}), TaskContext.get().partitionId(), 0
+        names = ["chunk", "doc_id", "ids", "pair", "target", "every"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        held: list[np.ndarray] = []
+        wanted: list[np.ndarray] = []
+        size = 0
+
+        def rows(n: int, **given) -> pa.RecordBatch:
+            chunk = pa.array(np.full(n, (part << 32) + k))
+            return pa.RecordBatch.from_arrays([chunk if x == "chunk" else given[x] if x in given else pa.nulls(n, t) for x, t in zip(names, kinds, strict=True)], names=names)
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            pair, every = np.unique(np.concatenate(held), return_counts=True)
+            target = np.zeros(len(pair), np.int64)
+            if wanted:
+                found, n = np.unique(np.concatenate(wanted), return_counts=True)
+                target[np.searchsorted(pair, found)] = n
+            for at in range(0, len(pair), 100_000):
+                s = slice(at, at + 100_000)
+                yield rows(len(pair[s]), pair=pa.array(pair[s]), target=pa.array(target[s]), every=pa.array(every[s].astype(np.int64)))
+
         for batch in batches:
-            for target in (True, False):
-                texts = batch["text"][batch["target"] == target]
-                if not len(texts):
-                    continue
-                parts = [ids_of(enc, x) for x in texts]
-                places = np.concatenate([np.concatenate([p[1:], N_IDS + slots(p, bits)]) for p in parts])
-                found, count = np.unique(places, return_counts=True)
-                n[1][found] += count.astype(np.uint32)
-                if target:
-                    n[0][found] += count.astype(np.uint32)
-        held = np.flatnonzero(n[1])
-        for at in range(0, len(held), 100_000):
-            k = held[at : at + 100_000]
-            yield pd.DataFrame({"place": k.astype(np.int32), "target": n[0][k].astype(np.int64), "every": n[1][k].astype(np.int64)})
+            keys, goods = batch.column("doc_id"), batch.column("target").to_pylist()
+            coded: list[bytes] = []
+            at = 0
+            for text, good in zip(batch.column("text").to_pylist(), goods, strict=True):
+                ids = ids_of(enc, text)
+                coded.append(ids.astype("<u2").tobytes())
+                pair = pairs_of(ids)
+                held.append(pair)
+                if good:
+                    wanted.append(pair)
+                size += len(pair)
+                if size >= chunk_ids:
+                    yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()))
+                    yield from listed()
+                    at, coded, held, wanted, size, k = at + len(coded), [], [], [], 0, k + 1
+            if coded:
+                yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()))
+        if held:
+            yield from listed()
 
     return run
 
 
-def fit(docs: DataFrame, target: DataFrame, rank_file: str, slot_bits: int = 22) -> Model:
-    """Model of docs; target (doc_id) names the documents of the target corpus."""
+def code(docs: DataFrame, target: DataFrame | None, rank_file: str, chunk_ids: int = 1 << 21) -> DataFrame:
+    """A table of two kinds of rows: documents as ids, and for each chunk of documents its bigrams with their counts there."""
     small_batches(docs.sparkSession)
-    named = target.select(F.col("doc_id").alias("__qf_id")).where("__qf_id is not null").distinct().withColumn("__qf_in", F.lit(True))
-    # one plan at every size: labels grow with the documents, so they are never sent to all tasks
-    rows = docs.join(named.hint("merge"), docs["doc_id"] == named["__qf_id"], "left").select("text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
-    counts = rows.mapInPandas(_count(rank_file, slot_bits), "place int, target long, every long")
-    found = counts.groupBy("place").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
-    both = np.zeros((2, N_IDS + 2**slot_bits), np.uint32)
-    both[0, found["place"]] = np.minimum(found["target"], 0xFFFFFFFF)
-    both[1, found["place"]] = np.minimum(found["every"], 0xFFFFFFFF)
-    return Model(both[:, :N_IDS], both[:, N_IDS:], slot_bits)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("target"))
+    if target is not None:
+        named = target.select(F.col("doc_id").alias("__qf_id")).where("__qf_id is not null").distinct().withColumn("__qf_in", F.lit(True))
+        # one plan at every size: labels grow with the documents, so they are never sent to all tasks
+        rows = rows.join(named.hint("merge"), rows["doc_id"] == named["__qf_id"], "left").select("doc_id", "text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
+    # a chunk's number holds for one run of a task only, so what was coded is kept as a table
+    return materialize(rows.mapInArrow(_code(rank_file, chunk_ids), _CODED), "lm-coded")
+
+
+def count(coded: DataFrame) -> Model:
+    """Model of coded documents."""
+    found = coded.where("pair is not null").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    pairs = materialize(found, "lm-pairs")
+    single = pairs.groupBy(F.expr(f"cast(pair % {N_IDS} as int)").alias("id")).agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
+    unigram = np.zeros((2, N_IDS), np.int64)
+    unigram[0, single["id"]] = single["target"]
+    unigram[1, single["id"]] = single["every"]
+    return Model(unigram, pairs)
+
+
+def fit(docs: DataFrame, target: DataFrame, rank_file: str) -> Model:
+    """Model of docs; target (doc_id) names the documents of the target corpus."""
+    return count(code(docs, target, rank_file))
 
 
-def score(docs: DataFrame, model: Model, rank_file: str) -> DataFrame:
+def score_coded(coded: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(model.unigram)
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        pair = known.column("pair").to_numpy()
+        by_pair = losses(pair, [known.column(x).to_numpy() for x in ("n_target", "n_every")], shared.value)
+        order = np.argsort(pair)
+        pair, by_pair = pair[order], [x[order] for x in by_pair]
+        n, means = [], []
+        for raw in texts.column("ids").to_pylist():
+            at = np.searchsorted(pair, pairs_of(np.frombuffer(raw, "<u2").astype(np.int64)))
+            n.append(len(at))
+            means.append([float(x[at].mean()) for x in by_pair])
+        t, b = np.array(means).reshape(-1, 2).T
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": t, "background_loss": b, "score": t - b})
+
+    texts = coded.where("ids is not null").select(F.col("chunk").alias("__chunk"), "doc_id", "ids")
+    asked = coded.where("pair is not null").select("chunk", "pair")
+    counts = model.pairs.select(F.col("pair").alias("__pair"), F.col("target").alias("__t"), F.col("every").alias("__e"))
+    # one plan at every size: the counts grow with the corpus
+    known = asked.join(counts.hint("merge"), asked["pair"] == counts["__pair"], "left").select("chunk", "pair", F.coalesce("__t", F.lit(0)).alias("n_target"), F.coalesce("__e", F.lit(0)).alias("n_every"))
+    return texts.groupBy("__chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, _SCORES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, m = encoder(rank_file, {"<|endoftext|>": END}), shared.value
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                ids = ids_of(enc, text)
-                t, b = m.losses(ids)
-                out.append((len(ids) - 1, t, b, t - b))
-            frame = pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss", "score"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield frame.astype({"doc_id": "Int64"})
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+def score(docs: DataFrame, model: Model, rank_file: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score."""
+    return score_coded(code(docs, None, rank_file), model)

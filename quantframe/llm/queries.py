@@ -45,7 +45,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ranks = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
-    return lm_score.score(docs, lm_score.fit(docs, good, ranks), ranks)
+    coded = lm_score.code(docs, good, ranks)
+    return lm_score.score_coded(coded, lm_score.count(coded))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

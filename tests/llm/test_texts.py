@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +218,39 @@ def test_lm_counts_are_exact(spark):
     assert lm_score.fit(empty(spark), df.select("doc_id"), RANKS).unigram.sum() == 0
 
 
+def test_lm_scores_are_those_of_exact_bigrams(spark):
+    rng = random.Random(17)
+    enc = packing.encoder(RANKS, {"<|endoftext|>": lm_score.END})
+    texts = [" ".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice("lnrst") for _ in range(400)) for _ in range(60)] + [None, ""]
+    ids = [lm_score.ids_of(enc, t) for t in texts]
+    good = {*range(0, 60, 3)}
+    pairs = [Counter(p for i, x in enumerate(ids) if c or i in good for p in zip(x[:-1].tolist(), x[1:].tolist(), strict=True)) for c in range(2)]
+    single = [Counter(), Counter()]
+    for one, two in zip(single, pairs, strict=True):
+        for (_, v), n in two.items():
+            one[v] += n
+    assert len(pairs[1]) > 15_000
+
+    def loss(c, u, v):
+        one = single[c]
+        return -math.log(0.6 * pairs[c][u, v] / max(one[u], 1) + 0.39 * one[v] / sum(one.values()) + 0.01 / lm_score.N_IDS)
+
+    total = [sum(x.values()) for x in single]
+    assert total[1] == sum(len(x) - 1 for x in ids)
+    df, target = docs(spark, texts), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    model = lm_score.fit(df, target, RANKS)
+    coded = lm_score.code(df, target, RANKS, chunk_ids=1500)
+    assert coded.select("chunk").distinct().count() > 8
+    for out in (lm_score.score(df, model, RANKS), lm_score.score_coded(coded, lm_score.count(coded))):
+        rows = {r.doc_id: r for r in out.collect()}
+        assert len(rows) == len(texts)
+        for i in (0, 1, 2, 59, 60, 61):
+            steps = list(zip(ids[i][:-1].tolist(), ids[i][1:].tolist(), strict=True))
+            want = [sum(loss(c, u, v) for u, v in steps) / len(steps) for c in range(2)]
+            assert rows[i].n_tokens == len(steps)
+            assert rows[i].target_loss == pytest.approx(want[0], abs=1e-9) and rows[i].background_loss == pytest.approx(want[1], abs=1e-9)
+
+
 # --- chat ---
 
 
