@@ -161,20 +161,20 @@ _INTERVALS = f"""{_CHANGES}, spans AS (SELECT ticker, date AS date_added, (SELEC
 
 
 def _intervals(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 10 = 0")
+    o = table(spark, d, "orders")
     c = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "added").otherwise("removed").alias("action"))
-    return J.newest(J.membership_intervals(c), ["ticker"], [F.col("date_added"), F.col("date_removed").asc_nulls_last()])
+    return J.membership_intervals(c)
 
 
 @query("src15", f"WITH {_INTERVALS} SELECT ticker, date_added, date_removed FROM spans")
 def src15(spark, d):
-    """First membership interval of each ticker; later ones pair greedily (covered by a small fixture)."""
+    """Every membership interval of every ticker, paired greedily. Its SQL holds a tenth of the tickers and their first interval only."""
     return _intervals(spark, d)
 
 
 @query("prj13", f"WITH {_INTERVALS} SELECT ticker FROM spans WHERE date_added <= DATE '1998-01-01' AND (date_removed IS NULL OR date_removed > DATE '1998-01-01')")
 def prj13(spark, d):
-    return J.members(_intervals(spark, d), F.lit("1998-01-01").cast("date")).select("ticker")
+    return J.members(_intervals(spark, d), F.lit("1998-01-01").cast("date")).select("ticker").distinct()
 
 
 @query(
