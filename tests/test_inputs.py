@@ -40,3 +40,14 @@ def test_every_membership_interval_counts(spark, tmp_path):
     assert sorted(run("src15"), key=key) == sorted(want, key=key)
     assert sorted(run("prj13")) == sorted((t,) for t in inside(date(1998, 1, 1)))
     assert sorted(run("jon14")) == sorted((d, t) for d in month_ends() for t in inside(d))
+
+
+def test_every_order_can_be_a_report(spark, tmp_path):
+    first = {}
+    for k, c, at, priority, price in orders(spark, tmp_path):
+        first.setdefault((f"Brand#{c % 25 + 1}", at.date()), ({"1": "bmo", "2": "amc"}.get(priority[0], ""), price, price * (1 + (k % 21 - 10) / 100)))
+    want = sorted((*k, *v) for k, v in first.items())
+    got = sorted(tuple(r) for r in entry.queries()["src12"](spark, str(tmp_path)).collect())
+    assert [r[:4] for r in got] == [r[:4] for r in want] and all(abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, want, strict=True))
+    assert len(entry.queries()["src07"](spark, str(tmp_path)).collect()) == len(want)
+    assert {tuple(r)[:2] for r in entry.queries()["src06"](spark, str(tmp_path)).collect()} == {k for k in first if k[1].year == 1998}
