@@ -82,12 +82,20 @@ def _html_text(pages: pd.Series) -> pd.Series:
     return pages.map(one)
 
 
-def html_text(html: str | Column, most: int | None = 12_000) -> Column:
-    """Visible text of a page, white space collapsed, cut to the feature's limit of characters (None: whole)."""
+def html_text(html: str | Column, most: int | None = None) -> Column:
+    """Visible text of a page, white space collapsed; whole, unless a feature gives its limit of characters."""
     text = F.pandas_udf(_html_text, StringType())(col(html))
     return F.substring(text, 1, most) if most else text
 
 
+def first_exhibit(headers: str | Column) -> Column:
+    """File name of the first EX-99 exhibit that a filing's index headers list; NULL where there is none."""
+    plain = F.replace(F.replace(col(headers), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
+    part = lambda k: F.regexp_extract_all(plain, F.lit(r"(?s)<TYPE>([^\s<]+)\s*.*?<FILENAME>([^\s<]+)"), F.lit(k))
+    listed = F.arrays_zip(part(1).alias("kind"), part(2).alias("name"))
+    return F.try_element_at(F.filter(listed, lambda x: F.upper(x["kind"]).startswith("EX-99")), F.lit(1))["name"]
+
+
 def score_requests(events: DataFrame, model: str = "model", most: int = 1500) -> DataFrame:
     """JSONL requests (ticker, date, body -> line) with an id of ticker and date, and an estimate of tokens."""
     body = F.substring("body", 1, most)

@@ -6,6 +6,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import __spark_entry__ as entry
+from quantframe.sources import files
 
 
 def orders(spark, tmp_path, n=400, customers=30):
@@ -51,3 +52,22 @@ def test_every_order_can_be_a_report(spark, tmp_path):
     assert [r[:4] for r in got] == [r[:4] for r in want] and all(abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, want, strict=True))
     assert len(entry.queries()["src07"](spark, str(tmp_path)).collect()) == len(want)
     assert {tuple(r)[:2] for r in entry.queries()["src06"](spark, str(tmp_path)).collect()} == {k for k in first if k[1].year == 1998}
+
+
+def test_pages_give_their_whole_text(spark, tmp_path):
+    words = [f"w{k}" for k in range(5000)]
+    page = "<html><script>x</script><body>" + "\n".join(f"<p>{w}</p>" for w in words) + "</body></html>"
+    spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in entry.queries()["src25"](spark, str(tmp_path)).collect()}
+    assert got == {1: " ".join(words), 2: None} and len(got[1]) > 12_000
+
+
+def test_first_exhibit_of_a_filing(spark):
+    heads = [
+        "&lt;TYPE&gt;8-K\n&lt;FILENAME&gt;a.htm\n&lt;TYPE&gt;ex-99.1 \n&lt;SEQUENCE&gt;2\n&lt;FILENAME&gt;b.htm\n&lt;TYPE&gt;EX-99.2\n&lt;FILENAME&gt;c.htm",
+        "<TYPE>8-K<FILENAME>a.htm<TYPE>EX-10<FILENAME>d.htm",
+        "",
+        None,
+    ]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, h string").select("k", files.first_exhibit("h").alias("name"))
+    assert {r.k: r.name for r in rows.collect()} == {0: "b.htm", 1: None, 2: None, 3: None}
