@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is taken in blocks of at most `block_items` items (the stated size bound of what is sent to
-the tasks); each block is matched against all documents. Seeds are the word n-grams of an item that few items
-share; an item all of whose n-grams are common keeps all. Where a document holds a seed, the words around it
-are aligned with the item, and the pair counts if the score reaches `similarity` of the item's full score.
+the tasks); each block is matched against all documents. Seeds are all word n-grams of an item, however many
+items share them, so what is found for an item depends on no other item. Where a document holds a seed, the
+words around it are aligned with the item, and the pair counts if the score reaches `similarity` of the item's
+full score. A pair is left unaligned only where it can't reach that: each matched word adds MATCH and nothing
+else adds, so `similarity` of the item's words must occur in the document, and in the words around the seed.
 
 Words: A-Z lower-cased, ASCII punctuation and white space part them. Items with fewer words than a seed are
 not searched: they are too short to tell a copy from chance. Null or empty texts match nothing; repeated
@@ -12,7 +14,6 @@ rows and repeated items each give their own pairs once; a null doc_id or item_id
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -53,7 +54,7 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
 class SeedIndex:
     """Seeds of a block of items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int, rare: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
         self.n = n
         self.vocab: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
@@ -64,17 +65,14 @@ class SeedIndex:
                 ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)
                 self.items.append((item_id, ids))
                 grams.append(self.grams(ids))
-        spread = Counter(h for g in grams for h in set(g.tolist()))
-        hashes, places = [], []
-        for k, g in enumerate(grams):
-            few = np.array([spread[h] <= rare for h in g.tolist()])
-            use = np.flatnonzero(few if few.any() else np.ones(len(g), bool))
-            hashes.append(g[use])
-            places.append(np.stack([np.full(len(use), k), use], 1))
-        hash_ = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        places = [np.stack([np.full(len(g), k), np.arange(len(g))], 1) for k, g in enumerate(grams)]
+        hash_ = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(hash_, kind="stable")
         self.hash = hash_[order]
         self.place = (np.concatenate(places) if places else np.empty((0, 2), np.int64))[order]
+        self.sizes = np.array([len(x) for _, x in self.items], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([x for _, x in self.items]) if self.items else np.empty(0, np.int64)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         m = len(ids) - self.n + 1
@@ -83,6 +81,16 @@ class SeedIndex:
             out = mix64(out + ids[k : k + m].astype(np.uint64))
         return out
 
+    def possible(self, ids: np.ndarray, which: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of the items `which` that have enough words among ids to reach similarity."""
+        held = np.zeros(len(self.vocab), bool)
+        held[ids[ids >= 0]] = True
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.begins[which] - (ends - sizes), sizes)
+        n = np.add.reduceat(held[self.words[at]].astype(np.int64), ends - sizes)
+        return which[n >= similarity * sizes - 1e-9]
+
     def matches(self, text: str | None, similarity: float) -> list[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, end word) of each item that the text holds."""
         words = words_of(text)
@@ -97,12 +105,20 @@ class SeedIndex:
         for k in range(self.n):
             h = mix64(h + ids[starts + k].astype(np.uint64))
         lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
+        if not (hi > lo).any():
+            return []
+        n_hits = hi - lo
+        ends = np.cumsum(n_hits)
+        hit = self.place[np.arange(ends[-1]) + np.repeat(lo - (ends - n_hits), n_hits)]
+        at_word = np.repeat(starts, n_hits)
+        fit = np.zeros(len(self.items), bool)
+        fit[self.possible(ids, np.unique(hit[:, 0]), similarity)] = True
+        use = fit[hit[:, 0]]
         spans: dict[int, list[tuple[int, int]]] = {}
-        for s, a, b in zip(starts[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for k, at in self.place[a:b].tolist():
-                size = len(self.items[k][1])
-                pad = 8 + size // 4
-                spans.setdefault(k, []).append((max(0, s - at - pad), min(len(ids), s - at + size + pad)))
+        for s, (k, at) in zip(at_word[use].tolist(), hit[use].tolist(), strict=True):
+            size = len(self.items[k][1])
+            pad = 8 + size // 4
+            spans.setdefault(k, []).append((max(0, s - at - pad), min(len(ids), s - at + size + pad)))
         out = []
         for k, wins in spans.items():
             item_id, item = self.items[k]
@@ -112,15 +128,16 @@ class SeedIndex:
                 if a <= hi_ and b - lo_ <= 4 * len(item) + 64:
                     hi_ = max(hi_, b)
                     continue
-                score, end = smith_waterman(item, ids[lo_:hi_])
-                best = max(best, (score / (MATCH * len(item)), lo_, lo_ + end))
+                if np.isin(item, ids[lo_:hi_]).sum() >= similarity * len(item) - 1e-9:
+                    score, end = smith_waterman(item, ids[lo_:hi_])
+                    best = max(best, (score / (MATCH * len(item)), lo_, lo_ + end))
                 lo_, hi_ = a, b
             if best[0] >= similarity:
                 out.append((item_id, *best))
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int = 4, similarity: float = 0.5, block_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, similarity: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, similarity, first_word, end_word, and th (hash of the document's text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -131,7 +148,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int = 4,
     found = None
     for b in range(blocks):
         rows = sorted(((r[0], r[1]) for r in items.where(F.col("block") == b).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        shared = spark.sparkContext.broadcast(SeedIndex(rows, n, rare))
+        shared = spark.sparkContext.broadcast(SeedIndex(rows, n))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value

@@ -154,6 +154,22 @@ def test_leaks_exact_and_edited(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_are_alike(spark):
+    rng = random.Random(15)
+    frame = [f"f{k}" for k in range(36)]
+    items = [" ".join(frame + [f"own{k}x{j}" for j in range(4)]) for k in range(10)]
+    apart = [prose(random.Random(200 + k), 40) for k in range(8)]
+    noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
+    texts = [noise(60) + " " + " ".join(frame) + " last four words edited " + noise(60), items[3], noise(20) + " " + " ".join(frame[:8]) + " " + noise(20), apart[2]]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items + apart)], "item_id long, text string")
+    want = {(d, k) for d in (0, 1) for k in range(10)} | {(3, 12)}
+    for block in (20_000, 5):
+        found = decontaminate.find_leaks(docs(spark, texts), bench, block_items=block).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want
+        assert all(r.similarity == pytest.approx(0.9) for r in found if r.doc_id == 0)
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs(spark, texts), bench).collect()] == [2]
+
+
 # --- toxicity ---
 
 
