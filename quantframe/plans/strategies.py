@@ -24,7 +24,7 @@ def frame(n: int) -> str:
 
 
 def _events(b):
-    return b.where("day(date) = 15").select("ticker", F.col("date").alias("t0"))
+    return b.select("ticker", F.col("date").alias("t0"))
 
 
 _LAB = f"""numbered AS (SELECT *, row_number() {BY} AS n, CASE WHEN count(x) {frame(21)} = 21 THEN avg(x) {frame(21)} END AS atr FROM (SELECT *, abs(close - lag(close) {BY}) AS x FROM bars)),
@@ -44,7 +44,7 @@ def lab01(spark, d):
 def lab02(spark, d):
     """Entry price given for some events."""
     b = bars(spark, d)
-    ev = b.where("day(date) = 15").select("ticker", F.col("date").alias("t0"), F.when(F.month("date") % 2 == 0, F.col("open")).alias("entry"))
+    ev = b.select("ticker", F.col("date").alias("t0"), F.when(F.month("date") % 2 == 0, F.col("open")).alias("entry"))
     return L.triple_barrier(b, ev).withColumn("ret", F.round("ret", 6))
 
 
@@ -289,11 +289,10 @@ def exe03(spark, d):
     SELECT date, ROUND(sum(CASE WHEN k > 2 THEN ln(1 + ret) ELSE 0 END) OVER (ORDER BY date) + ln(100000.0), 6) AS log_nav FROM r""",
 )
 def exe04(spark, d):
-    """Without costs or cap, two names rebalanced daily: the fold's value must be the product of the weighted returns from the second fill on."""
-    b = bars(spark, d).where("ticker in ('Brand#1', 'Brand#2')")
-    both = b.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n = 2").drop("n")
-    t = both.select(F.lit("x").alias("run"), "date", "ticker", F.lit(0.5).alias("weight"))
-    return X.simulate(t, both, cost_bps=0.0, most=None).select("date", F.round(F.log("nav"), 6).alias("log_nav"))
+    """Without costs or cap, all names of a day in equal parts, rebalanced daily. Its SQL holds two names and the days of both only."""
+    b = bars(spark, d)
+    t = b.select(F.lit("x").alias("run"), "date", "ticker", (1 / F.count(F.lit(1)).over(Window.partitionBy("date"))).alias("weight"))
+    return X.simulate(t, b, cost_bps=0.0, most=None).select("date", F.round(F.log("nav"), 6).alias("log_nav"))
 
 
 @query("exe05")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, datetime, timedelta
 
@@ -71,3 +72,62 @@ def test_first_exhibit_of_a_filing(spark):
     ]
     rows = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, h string").select("k", files.first_exhibit("h").alias("name"))
     assert {r.k: r.name for r in rows.collect()} == {0: "b.htm", 1: None, 2: None, 3: None}
+
+
+def trades(spark, tmp_path, days=70, names=3):
+    """One or two trades of each name on most days; prices by (ticker, date): open, close."""
+    rng = random.Random(32)
+    rows, px = [], {}
+    for k in range(days):
+        for t in range(1, names + 1):
+            if rng.random() < 0.8:
+                at = date(1997, 1, 10) + timedelta(days=k)
+                o, c = (round(50 + t + rng.uniform(-9, 9), 2) for _ in range(2))
+                rows += [(k * 10, t, t, 1, o, 1.0, at), (k * 10 + 1, t, t, 1, c, 1.0, at)]
+                px[f"Brand#{t}", at] = (o, c)
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(t, f"Brand#{t}") for t in range(1, names + 1)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    return px
+
+
+def test_every_bar_is_labelled(spark, tmp_path):
+    px = trades(spark, tmp_path, days=360)
+    want = {"lab01": [], "lab02": []}
+    for t in sorted({t for t, _ in px}):
+        days = sorted(d for n, d in px if n == t)
+        close = [px[t, d][1] for d in days]
+        for i in range(21, len(days) - 1):
+            atr = sum(abs(close[j] - close[j - 1]) for j in range(i - 20, i + 1)) / 21
+            for name, entry_px in (("lab01", close[i]), ("lab02", px[t, days[i]][0] if days[i].month % 2 == 0 else close[i])):
+                ahead = range(i + 1, min(i + 20, len(days) - 1) + 1)
+                hit = next((j for j in ahead if close[j] >= entry_px + 2 * atr or close[j] <= entry_px - atr), None)
+                j = ahead[-1] if hit is None else hit
+                label = 0 if hit is None else 1 if close[j] >= entry_px + 2 * atr else -1
+                want[name].append((t, days[i], days[j], label, round(close[j] / entry_px - 1, 6)))
+    for name, rows in want.items():
+        got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+        assert [r[:4] for r in got] == [r[:4] for r in sorted(rows)]
+        assert all(abs(g[4] - w[4]) < 2e-6 for g, w in zip(got, sorted(rows), strict=True))
+    decided = {(r[0], r[1]) for r in want["lab01"] if r[3]}
+    scored = {(r.ticker, r.t0) for r in entry.queries()["lab03"](spark, str(tmp_path)).collect()}
+    assert scored <= decided and len({d.day for _, d in scored}) > 1
+
+
+def test_every_name_is_simulated(spark, tmp_path):
+    px = trades(spark, tmp_path)
+    cash, shares, mark, held, want = 100_000.0, {}, {}, {}, {}
+    for d in sorted({d for _, d in px}):
+        now = {t: o for (t, x), (o, _) in px.items() if x == d}
+        mark |= now
+        nav = cash + sum(n * mark[t] for t, n in shares.items())
+        for t in [*shares]:
+            if t not in held:
+                cash += shares.pop(t) * mark[t]
+        for t, w in held.items():
+            if t in now:
+                delta = w * nav / now[t] - shares.get(t, 0.0)
+                cash, shares[t] = cash - delta * now[t], shares.get(t, 0.0) + delta
+        want[d] = round(math.log(nav), 6)
+        held = {t: 1 / len(now) for t in now}
+    got = {r.date: r.log_nav for r in entry.queries()["exe04"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 2e-6 for d in want)
