@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: shared-folder tables, batch settings, hashing."""
+"""Helpers shared by the text operators: shared-folder tables, joins on hot keys, hashing."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -14,10 +15,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a folder of this machine is made and set.
+    Only where that is unset and Spark runs on this machine alone a folder of this machine is made and set.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.quantframe.shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quantframe-")
         spark.conf.set("spark.quantframe.shared", folder)
     return folder.rstrip("/")
@@ -40,11 +43,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, unless the user has set a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def join_counted(rows: DataFrame, keys: list[str], side: DataFrame, side_keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows to a table that has one row for each key and the number of its rows in the column c.
+
+    Keys with over a 100,000th of all `total` rows (and 1,000 at least), fewer than 100,000 by that measure, are sent
+    to all tasks; the other keys are shuffled, and none of them is hot. side should be a written table.
+    """
+    limit = max(1000, total // 100_000)
+    on = lambda other: [rows[a] == other[b] for a, b in zip(keys, side_keys, strict=True)]
+    hot = side.where(F.col("c") > limit)
+    if hot.isEmpty():
+        return rows.join(side, on(side))
+    cold = side.where(F.col("c") <= limit)
+    near = rows.join(F.broadcast(hot), on(hot))
+    named = F.broadcast(hot.select(*side_keys))
+    far = rows.join(named, on(named), "left_anti")
+    return near.unionByName(far.join(cold, [far[a] == cold[b] for a, b in zip(keys, side_keys, strict=True)]))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACED)
@@ -140,7 +140,6 @@ class SeedIndex:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, similarity: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, similarity, first_word, end_word, and th (hash of the document's text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select("item_id", "text").distinct()
     blocks = max(1, -(-items.count() // block_items))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches
+from .common import materialize, mix64
 
 _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,7 +119,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_k
     A line goes if its key (white space stripped, A-Z lower-cased) has min_chars code points or more and is
     found in min_docs documents or more, except in the largest doc_id that holds it.
     """
-    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = (
         base.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))

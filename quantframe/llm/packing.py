@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -116,6 +116,5 @@ def _pack(path: str, special: dict[str, int], end_id: int, capacity: int, linear
 
 def pack(docs: DataFrame, rank_file: str, special: dict[str, int], end_id: int = 0, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1.0 / 4096, block: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    small_batches(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     return texts.mapInPandas(_pack(rank_file, special, end_id, capacity, linear, quadratic, block), PIECES)

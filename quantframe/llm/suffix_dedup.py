@@ -7,12 +7,14 @@ windows of an anchor make one stretch of text.
 
 1. Anchors are grouped by hash of k-gram. Those that stand alone are done. Of equal stretches all but the earliest
    repeat as a whole. Only where one anchor has unlike stretches are bytes compared:
-2. the suffixes that start at such anchors, and the reversed prefixes that end there, are sorted: multikey
+2. the suffixes that start at such anchors, and the reversed prefixes that end there, are sorted: ternary multikey
    quicksort on wide characters down to a shallow depth, then blind tries for the groups that still share a prefix.
    Common-prefix lengths of neighbours split the order into classes; a window at distance l before its anchor equals
    another iff they agree in l bytes to the left and length - l to the right. The earliest of each class stays.
-3. An anchor with more than `group_limit` unlike stretches is not gathered: its windows become rows of their own,
-   grouped by a 128-bit hash with map-side minima.
+3. An anchor with more than `group_limit` unlike stretches is dealt over several groups first: its distances are
+   halved, and in each half stretches stay together only if they share the bytes that all its windows hold; halves
+   that are still too large are halved again. Windows at one single distance are equal or not, so there the least
+   is taken by a grouped minimum and nothing is left to sort.
 
 Defined cases: null text is empty; rows that share doc_id are ordered by text hash, and equal rows get one and the
 same result; a null doc_id is the smallest; texts shorter than `length` stay as they are.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches
+from .common import join_counted, materialize, mix64
 
 K = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,14 +85,14 @@ def anchors(data: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _pack(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, tag: int) -> np.ndarray:
-    """Place, distances of the last and first window to the anchor, and 18 bits that tell texts of one doc_id apart."""
-    return ((np.int64(tag) << np.int64(45)) | (a << np.int64(14)) | ((a - hi) << np.int64(7)) | (a - lo)).astype(np.int64)
+def _pack(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place, and distances of the last and first window to the anchor."""
+    return ((a << np.int64(14)) | ((a - hi) << np.int64(7)) | (a - lo)).astype(np.int64)
 
 
 def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, shortest and longest distance."""
-    return (x >> 14) & 0x7FFFFFFF, (x >> 7) & 0x7F, x & 0x7F
+    return x >> 14, (x >> 7) & 0x7F, x & 0x7F
 
 
 def _bytes(text: str | None) -> bytes:
@@ -98,22 +100,24 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _anchor_rows(length: int):
+    names = ("h", "u", "id", "th", "x")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, size = [], 0
-            for doc, tag, text in zip(batch["id"], batch["tag"], batch["text"], strict=True):
+            for doc, th, text in zip(batch["id"], batch["th"], batch["text"], strict=True):
                 raw = _bytes(text)
                 h, a, lo, hi = anchors(np.frombuffer(raw, np.uint8), length)
                 if not len(h):
                     continue
                 stretch = [xxhash.xxh3_64_intdigest(raw[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                out.append((h.view(np.int64), np.array(stretch, np.uint64).view(np.int64), np.full(len(h), doc, np.int64), _pack(a, lo, hi, tag)))
+                out.append((h.view(np.int64), np.array(stretch, np.uint64).view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), th, np.int64), _pack(a, lo, hi)))
                 size += len(h)
                 if size > 200_000:
-                    yield pd.DataFrame(dict(zip(("h", "u", "id", "x"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(("h", "u", "id", "x"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -122,12 +126,12 @@ def _contexts(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, asked in zip(batch["id"], batch["text"], batch["asked"], strict=True):
+            for doc, th, text, asked in zip(batch["id"], batch["th"], batch["text"], batch["asked"], strict=True):
                 raw = _bytes(text)
                 for q in asked:
                     a, short, long = (int(v) for v in _unpack(np.int64(q["x"])))
-                    out.append((q["h"], q["many"], doc, q["x"], raw[a - long : a - short + length]))
-            yield pd.DataFrame(out, columns=["h", "many", "id", "x", "ctx"]).astype({"h": "int64", "many": "bool", "id": "int64", "x": "int64"})
+                    out.append((q["h"], doc, th, q["x"], raw[a - long : a - short + length]))
+            yield pd.DataFrame(out, columns=["h", "id", "th", "x", "ctx"]).astype({"h": "int64", "id": "int64", "th": "int64", "x": "int64"})
 
     return run
 
@@ -135,8 +139,8 @@ def _contexts(length: int):
 # --- deep-shallow sorting ---------------------------------------------------------------------------
 
 
-def blind_trie_order(rows: list[bytes], depth: int) -> tuple[list[int], list[int]]:
-    """Order of rows that agree in `depth` bytes, and the common prefix of each with the one before.
+def blind_trie_order(rows: list[bytes], depth: int) -> list[int]:
+    """Order of rows that agree in `depth` bytes.
 
     Branching nodes keep only where they branch. A row goes down blindly by its bytes there, is compared with one leaf
     to find where it really parts, and is put in at that depth.
@@ -170,91 +174,73 @@ def blind_trie_order(rows: list[bytes], depth: int) -> tuple[list[int], list[int
             root = new
         else:
             parent[1][row[parent[0]]] = new
-    order, common, stack, joint = [], [], [(root, 0)] if root else [], 0
+    order, stack = [], [root] if root else []
     while stack:
-        node, shared = stack.pop()
+        node = stack.pop()
         if node[0] == "leaf":
-            for j, k in enumerate(node[1]):
-                order.append(k)
-                common.append(shared if j == 0 else len(rows[k]))
-            continue
-        children = sorted(node[1].items())
-        for j, (_, child) in reversed(list(enumerate(children))):
-            stack.append((child, shared if j == 0 else node[0]))
-    return order, common
+            order += node[1]
+        else:
+            stack += [child for _, child in sorted(node[1].items(), reverse=True)]
+    return order
+
+
+def multikey_quicksort(group: np.ndarray, wide: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by group and the first `depth` wide characters; per place the run it is in and the characters that run shares.
+
+    Ternary partition of all open runs side by side: each takes a pivot (median of three) at its own depth and falls
+    apart into smaller, equal and larger rows; the equal ones go on with the next character.
+    """
+    n = len(group)
+    order = np.argsort(group, kind="stable")
+    cut = np.ones(n, bool)
+    cut[1:] = group[order][1:] != group[order][:-1]
+    level = np.zeros(n, np.int64)
+    while True:
+        run = np.cumsum(cut) - 1
+        at = np.flatnonzero((np.bincount(run, minlength=1)[run] > 1) & (level < depth)) if n else np.empty(0, np.int64)
+        if not len(at):
+            return order, run, level
+        head = np.concatenate([[True], run[at][1:] != run[at][:-1]])
+        s, start = np.cumsum(head) - 1, np.flatnonzero(head)
+        end = np.concatenate([start[1:], [len(at)]])
+        char = wide[order[at], level[at]]
+        pivot = np.sort(np.stack([char[start], char[(start + end - 1) // 2], char[end - 1]]), 0)[1][s]
+        side = (char > pivot).astype(np.int64) + (char >= pivot)
+        moved = np.argsort(3 * s + side, kind="stable")
+        order[at] = order[at][moved]
+        side = side[moved]
+        level[at] += side == 1
+        cut[at[1:][(side[1:] != side[:-1]) & ~head[1:]]] = True
 
 
 def deep_shallow(group: np.ndarray, text: np.ndarray, shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Order of fixed-width byte rows within groups and the common prefix of each with the one before (0 at a group's start).
 
-    Multikey quicksort with eight-byte characters to `shallow` bytes past where a group begins to differ at all; blind tries below.
+    Multikey quicksort with eight-byte characters to `shallow` bytes; blind tries below.
     """
     n, width = text.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = text
     wide = padded.view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    common = np.zeros(n, np.int64)
-    label = np.concatenate([[0], np.cumsum(group[order][1:] != group[order][:-1])]) if n else np.empty(0, np.int64)
-    level = np.zeros(n, np.int64)  # characters that all rows of the label share
-    tied = np.ones(n, bool)
-    for _ in range(max(1, shallow // 8)):
-        # a label's next character: the first in which its rows differ
-        size = np.bincount(label, minlength=1)
-        tied = size[label] > 1
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        level = _first_difference(label, order, wide, level, at)
-        tied &= level < wide.shape[1]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        char = wide[order[at], level[at]]
-        again = np.lexsort((char, label[at]))
-        order[at] = order[at][again]
-        char, old = char[again], label[at]
-        cut = np.concatenate([[False], (char[1:] != char[:-1]) & (old[1:] == old[:-1])])
-        common[at[cut]] = _shared_bytes(padded, order[at[cut]], order[at[cut] - 1], 8 * level[at[cut]])
-        new = np.zeros(n, bool)
-        new[at[cut]] = True
-        new[1:] |= label[1:] != label[:-1]
-        label, level = np.cumsum(new), np.where(tied, level + 1, level)
-    # deep: blind tries
-    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if n else np.empty(0, np.int64)
+    order, run, level = multikey_quicksort(group, wide, min(-(-shallow // 8), wide.shape[1]))
+    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if n else np.empty(0, np.int64)
     ends = np.concatenate([starts[1:], [n]]).astype(np.int64) if n else starts
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
         rows = [text[k].tobytes() for k in order[a:b]]
-        inner, shared = blind_trie_order(rows, min(int(8 * level[a]), width))
-        order[a:b] = order[a:b][inner]
-        common[a + 1 : b] = shared[1:]
+        order[a:b] = order[a:b][blind_trie_order(rows, min(int(8 * level[a]), width))]
+    common = np.zeros(n, np.int64)
+    if n > 1:
+        differ = text[order[1:]] != text[order[:-1]]
+        common[1:] = np.where(differ.any(1), differ.argmax(1), width)
+        common[1:][group[order[1:]] != group[order[:-1]]] = 0
     return order, common
 
 
-def _first_difference(label: np.ndarray, order: np.ndarray, wide: np.ndarray, level: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per row the first character, from its level on, in which its label's rows differ."""
-    level = level.copy()
-    head = np.zeros(label.max() + 1, np.int64)
-    head[label[::-1]] = order[::-1]
-    open_ = at
-    while len(open_):
-        open_ = open_[level[open_] < wide.shape[1]]
-        same = wide[order[open_], level[open_]] == wide[head[label[open_]], level[open_]]
-        whole = np.ones(label.max() + 1, bool)
-        np.logical_and.at(whole, label[open_], same)
-        open_ = open_[whole[label[open_]]]
-        level[open_] += 1
-    return level
-
-
-def _shared_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Common prefix length of row pairs that agree before `start` and differ within the eight bytes there."""
-    at = start[:, None] + np.arange(8)
-    return start + (text[a[:, None], at] != text[b[:, None], at]).argmax(1)
-
+def repeated_windows(group: np.ndarray, rank: np.ndarray, lo: np.ndarray, hi: np.ndarray, long: np.ndarray, ctx: list[bytes], length: int) -> np.ndarray:
+    """Rows x distances (lo to hi of each row): whether the window also starts at a row of the same group with smaller rank.
 
-def repeated_windows(group: np.ndarray, rank: np.ndarray, short: np.ndarray, long: np.ndarray, ctx: list[bytes], length: int) -> np.ndarray:
-    """Rows x distances: whether the window also starts at a row of the same group with smaller rank."""
+    The anchor of a row is at place `long` of its ctx.
+    """
     n, w = len(group), length - K + 1
     right, left = np.zeros((n, length), np.uint8), np.zeros((n, w), np.uint8)
     for i, c in enumerate(ctx):
@@ -264,13 +250,13 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, short: np.ndarray, lon
         left[i, :m] = b[:m][::-1]
     out = np.zeros((n, w), bool)
     by_rank = np.argsort(rank, kind="stable")
-    order_r, lcp_r = deep_shallow(group, right)
+    order_r, lcp_r = deep_shallow(group, right, K + 16)  # all rows of an anchor share its k-gram
     order_l, lcp_l = deep_shallow(group, left)
     new_r = np.concatenate([[True], group[order_r][1:] != group[order_r][:-1]])
     new_l = np.concatenate([[True], group[order_l][1:] != group[order_l][:-1]])
     class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(int(short.min()), int(long.max()) + 1):
-        on = by_rank[(short[by_rank] <= d) & (d <= long[by_rank])]
+    for d in range(int(lo.min()), int(hi.max()) + 1):
+        on = by_rank[(lo[by_rank] <= d) & (d <= hi[by_rank])]
         if len(on) < 2:
             continue
         class_r[order_r] = np.cumsum(new_r | (lcp_r < length - d))
@@ -282,34 +268,34 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, short: np.ndarray, lon
     return out
 
 
-def _runs(marks: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-    """Marked window starts as runs (id, x, first, last)."""
+def _runs(marks: np.ndarray, ids: np.ndarray, th: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """Marked window starts as runs (id, th, first, last)."""
     edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
     a = _unpack(x)[0][row]
-    return pd.DataFrame({"id": ids[row], "tag": (x[row] >> 45).astype(np.int64), "first": a - (hi - 1), "last": a - lo})
+    return pd.DataFrame({"id": ids[row], "th": th[row], "first": a - (hi - 1), "last": a - lo})
 
 
 def _sort_contexts(length: int, rows_at_once: int = 30_000):
     def marks(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
-        x = rows["x"].to_numpy()
-        a, short, long = _unpack(x)
+        ids, th, x = (rows[c].to_numpy() for c in ("id", "th", "x"))
+        a, _, long = _unpack(x)
         rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((a, x >> 45, rows["id"].to_numpy()))] = np.arange(len(rows))
-        _, group = np.unique(rows["h"].to_numpy(), return_inverse=True)
-        return _runs(repeated_windows(group, rank, short, long, rows["ctx"].tolist(), length), rows["id"].to_numpy(), x)
+        rank[np.lexsort((a, th, ids))] = np.arange(len(rows))
+        _, group = np.unique(rows["g"].to_numpy(), return_inverse=True)
+        return _runs(repeated_windows(group, rank, rows["lo"].to_numpy(), rows["hi"].to_numpy(), long, rows["ctx"].tolist(), length), ids, th, x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
             if not len(batch):
                 continue
-            h = batch["h"].to_numpy()
+            g = batch["g"].to_numpy()
             if held and size >= rows_at_once:
                 # what belongs to the last group goes along
-                cut = int(np.searchsorted(h != held[-1]["h"].iloc[-1], True))
+                cut = int(np.searchsorted(g != held[-1]["g"].iloc[-1], True))
                 held.append(batch.iloc[:cut])
                 batch = batch.iloc[cut:]
                 if not len(batch):
@@ -324,18 +310,31 @@ def _sort_contexts(length: int, rows_at_once: int = 30_000):
     return run
 
 
-def _single_windows(length: int):
-    """A row for each window of stretches whose anchor has too many of them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, x, ctx in zip(batch["id"], batch["x"], batch["ctx"], strict=True):
-                a, short, long = (int(v) for v in _unpack(np.int64(x)))
-                digests = [xxhash.xxh3_128_digest(ctx[i : i + length]) for i in range(long - short + 1)]
-                w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "id": doc, "tag": int(x) >> 45, "start": np.arange(a - long, a - short + 1)})
-
-    return run
+def _split_crowded(contexts: DataFrame, length: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts dealt over groups g of at most `group_limit` rows with their distances lo to hi, and the marks of windows split down to one distance."""
+    open_ = contexts.select(F.col("h").alias("g"), "id", "th", "x", F.expr("cast((x >> 7) & 127 as int)").alias("lo"), F.expr("cast(x & 127 as int)").alias("hi"), F.lit(0).alias("d0"), F.lit(length - K).alias("d1"), "ctx")
+    names = ["g", "id", "th", "x", "lo", "hi", "ctx"]
+    few, alone = None, None
+    while True:
+        large = materialize(open_.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_limit).select(F.col("g").alias("k")), "crowded")
+        if large.isEmpty():
+            part = open_.select(names)
+            return (part if few is None else few.union(part)), alone
+        # one key for each group_limit rows at least, so this is a small part of the contexts
+        named = F.broadcast(large)
+        part = open_.join(named, open_["g"] == named["k"], "left_anti").select(names)
+        few = part if few is None else few.union(part)
+        mid = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
+        halves = open_.join(named, open_["g"] == named["k"], "left_semi").withColumn("d", F.explode(F.array(F.struct(F.col("d0").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("d1").alias("b")))))
+        halves = halves.withColumns({"lo": F.greatest("lo", "d.a"), "hi": F.least("hi", "d.b")}).where("lo <= hi and d.a <= d.b")
+        shared = F.expr(f"substring(ctx, cast((x & 127) - d.a + 1 as int), {length} - d.b + d.a)")
+        halves = materialize(halves.select(F.xxhash64("g", "d.a", shared).alias("g"), "id", "th", "x", "lo", "hi", F.col("d.a").alias("d0"), F.col("d.b").alias("d1"), "ctx"), "halves")
+        single = halves.where("d0 = d1").selectExpr(f"substring(ctx, cast((x & 127) - lo + 1 as int), {length}) as w", "id", "th", "(x >> 14) - lo as start")
+        least = materialize(single.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "start")).alias("least")).withColumnRenamed("w", "v"), "windows")
+        again = join_counted(single, ["w"], least, ["v"], least.agg(F.sum("c")).first()[0] or 0)
+        again = again.where(F.struct("id", "th", "start") != F.col("least")).select("id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
+        alone = again if alone is None else alone.union(again)
+        open_ = halves.where("d0 < d1")
 
 
 def _result(length: int):
@@ -361,35 +360,29 @@ def _result(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = 100, group_limit: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, cut characters replaced)."""
-    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 18)))
-    rows = materialize(base.select("id", "tag", "text").mapInPandas(_anchor_rows(length), "h long, u long, id long, x long"), "anchors")
-    # grouped minima are added up before they are shuffled, and joins split a hot key: no task needs all rows of an anchor
-    place = F.struct("id", F.shiftright("x", 45).alias("tag"), F.shiftright("x", 14).alias("at"))
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("u") != F.max("u")).alias("unlike"), F.min(place).alias("top")).where("c > 1")
-    again = materialize(again.select(F.col("h").alias("k"), "unlike", "top"), "again")
-    shared = materialize(rows.join(again, rows["h"] == again["k"]).select("h", "u", "id", "x", "unlike", (place != F.col("top")).alias("later")), "shared")
-    unlike = shared.where("unlike")
-    first = unlike.groupBy("h", "u").agg(F.min(place).alias("top")).withColumnsRenamed({"h": "k", "u": "v"})
+    base = base.withColumn("th", F.xxhash64("text"))
+    rows = materialize(base.select("id", "th", "text").mapInPandas(_anchor_rows(length), "h long, u long, id long, th long, x long"), "anchors")
+    # grouped counts and minima are added up before they are shuffled, and hot keys are sent to the rows: no task needs all rows of an anchor
+    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("u") != F.max("u")).alias("unlike")).where("c > 1").withColumnRenamed("h", "k")
+    again = materialize(again, "again")
+    n_shared = again.agg(F.sum("c")).first()[0] or 0
+    shared = materialize(join_counted(rows, ["h"], again, ["k"], n_shared).select("h", "u", "id", "th", "x", "unlike"), "shared")
+    place = F.struct("id", "th", F.shiftright("x", 14).alias("at"))
+    first = shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("top")).withColumnsRenamed({"h": "k", "u": "v"})
     first = materialize(first, "stretches")
-    crowded = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("k")
-    marked_first = unlike.join(first, (unlike["h"] == first["k"]) & (unlike["u"] == first["v"])).select("h", "id", "x", (place != F.col("top")).alias("whole"))
-    found = shared.where("not unlike and later").select("h", "id", "x", F.lit(True).alias("whole")).union(marked_first)
-    found = materialize(found, "found")
-    firsts = found.where("not whole").join(crowded.withColumn("many", F.lit(True)), F.col("h") == F.col("k"), "left").select("h", "id", "x", F.coalesce("many", F.lit(False)).alias("many"))
-    asked = firsts.groupBy("id", F.shiftright("x", 45).alias("tag")).agg(F.collect_list(F.struct("h", "x", "many")).alias("asked"))
-    asked = asked.select(F.col("id").alias("qid"), F.col("tag").alias("qtag"), "asked")
-    contexts = base.select("id", "tag", "text").join(asked, (F.col("id") == F.col("qid")) & (F.col("tag") == F.col("qtag"))).select("id", "text", "asked")
-    contexts = materialize(contexts.mapInPandas(_contexts(length), "h long, many boolean, id long, x long, ctx binary"), "contexts")
-    marked = "id long, tag long, first long, last long"
-    few = contexts.where("not many").select("h", "id", "x", "ctx").distinct().repartition("h").sortWithinPartitions("h").mapInPandas(_sort_contexts(length), marked)
-    single = contexts.where("many").distinct().mapInPandas(_single_windows(length), "w1 long, w2 long, id long, tag long, start long")
-    least = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "tag", "start")).alias("least")).withColumnsRenamed({"w1": "v1", "w2": "v2"})
-    rest = single.join(least, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).where(F.struct("id", "tag", "start") != F.col("least")).select("id", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
-    whole = found.where("whole").selectExpr("id", "shiftright(x, 45) as tag", "(shiftright(x, 14) & 2147483647) - (x & 127) as first", "(shiftright(x, 14) & 2147483647) - (shiftright(x, 7) & 127) as last")
-    spans = whole.union(few).union(rest).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = materialize(spans.select(F.col("id").alias("sid"), F.col("tag").alias("stag"), "spans"), "spans")
-    rows = base.join(spans, (F.col("id") == F.col("sid")) & (F.col("tag") == F.col("stag")), "left")
+    found = join_counted(shared, ["h", "u"], first, ["k", "v"], n_shared).select("h", "id", "th", "x", "unlike", (place != F.col("top")).alias("later"))
+    found = materialize(found.where("unlike or later").distinct(), "found")  # repeated rows count once from here
+    asked = found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "x")).alias("asked"))
+    asked = asked.select(F.col("id").alias("qid"), F.col("th").alias("qth"), "asked")
+    contexts = base.select("id", "th", "text").join(asked, (F.col("id") == F.col("qid")) & (F.col("th") == F.col("qth"))).select("id", "th", "text", "asked")
+    contexts = contexts.mapInPandas(_contexts(length), "h long, id long, th long, x long, ctx binary").dropDuplicates(["h", "id", "th", "x"])
+    few, alone = _split_crowded(materialize(contexts, "contexts"), length, group_limit)
+    marks = few.repartition("g").sortWithinPartitions("g").mapInPandas(_sort_contexts(length), "id long, th long, first long, last long")
+    whole = found.where("later").selectExpr("id", "th", "(x >> 14) - (x & 127) as first", "(x >> 14) - ((x >> 7) & 127) as last")
+    spans = whole.union(marks) if alone is None else whole.union(marks).union(alone)
+    spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = materialize(spans.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "spans"), "spans")
+    rows = base.join(spans, (F.col("id") == F.col("sid")) & (F.col("th") == F.col("sth")), "left")
     result = F.pandas_udf(_result(length), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return rows.select("doc_id", result("text", "spans").alias("r")).select("doc_id", "r.*")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
@@ -148,7 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000) -> OrdinalModel
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs plus the struct __qf_tox of severity (expected grade, 0 to 2), p_toxic and grade (most likely)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

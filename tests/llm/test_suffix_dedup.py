@@ -79,3 +79,24 @@ def test_defined_cases(spark):
     t = "z" * 10 + prose(random.Random(6), 60)
     rows = S.remove_repeats(docs(spark, [t, t, None], [7, 7, None]).selectExpr("*", "1 as id", "2 as h")).collect()
     assert len(rows) == 3 and sorted(r.n_removed for r in rows) == [0, 0, 0]
+
+
+def test_many_texts_and_many_repeated_rows_of_one_id(spark):
+    rng = random.Random(7)
+    shared = prose(rng, 40)
+    texts = [prose(rng, rng.randint(5, 30)) + " " + shared[rng.randint(0, 60) :] for _ in range(300)]
+    rows = S.remove_repeats(docs(spark, texts, [3] * 300)).collect()
+    assert len(rows) == 300 and sum(r.n_removed == 0 for r in rows) >= 1 and sum(r.n_removed > 0 for r in rows) > 250
+    t = prose(rng, 60)
+    again = S.remove_repeats(docs(spark, [t, prose(rng, 20) + t] * 2500, [1, 2] * 2500)).groupBy("doc_id", "n_removed", "n_spans", "kept_sha256").count().collect()
+    want = brute([(1, t), (2, "")], 100)
+    assert len(again) == 2 and all(r["count"] == 2500 for r in again)
+    assert {r.n_removed for r in again if r.doc_id == 1} == {want[1][1]} and all(r.n_removed >= len(t) for r in again if r.doc_id == 2)
+
+
+def test_groups_are_halved_until_few_rows_are_left(spark):
+    rng = random.Random(9)
+    line = prose(rng, 9)[:88]
+    texts = [prose(rng, rng.randint(1, 12)) + line + rng.choice(["aa", "ab", "b"]) * 9 + prose(rng, 3) for _ in range(80)]
+    for limit in (1, 7, 30):
+        check(spark, texts, group_limit=limit)
