@@ -4,15 +4,18 @@ Byte-pair encoding of a word is compiled into a deterministic transducer. Readin
 token of every prefix is unique: it is the one token that ends there and may stand behind the last token of the
 prefix before it. A state therefore holds, for each place where a token still open may have begun, its node in
 the vocabulary trie, the last token before it and the tokens counted so far; a transition is annotated
-with the change in that count. States are made on first use and dropped, to be made again, at `max_states`.
+with the change in that count. States are compiled on first use and dropped, to be made again, at `max_states`.
 
 A batch of texts is one stream of symbols (bytes, marked at the end of a word), cut into equal chunks that are
-read side by side, one table step for all of them. A word's end leads to the start state whatever came
-before, so the map of a chunk that holds one is constant from there on: a prefix scan over the chunk maps gives
-the state that enters each chunk, and only what lies before its first word end is read again from that state.
+read side by side, one table step for all of them. A word's end leads to the start state whatever came before, so
+the map of a chunk that holds one is constant. A chunk without one gets its map over all states that can enter it:
+each map starts with one state, and the states that a map gives are added to what the next map is asked, until
+nothing new comes. The maps are then composed by a parallel prefix scan (doubling), which gives the state that enters
+each chunk, and all chunks are read once more from there.
 
-Normalization and word splitting follow the vocabulary file (NFC, lower case; contractions, runs of letters,
-single numerals, runs of other signs; white space dropped); its special strings count as one token each.
+Normalization and the classes of characters are asked of the tokenizers library itself, so both follow its version of
+Unicode, not Python's. Words are contractions, runs of letters, single numerals and runs of other signs; white space
+is dropped; special strings of the vocabulary file count as one token each.
 
 Defined cases: null and empty texts have no bytes and no tokens; repeated rows are counted one by one.
 """
@@ -22,18 +25,19 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
+
 
-from .common import small_batches
 
 FINAL = 256
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 _SPECIAL_CHAR = "\ud800"  # a lone surrogate: no text holds it
+_BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,15 +48,13 @@ def byte_letters() -> dict[str, int]:
 
 
 def char_classes() -> np.ndarray:
+    """Class of every code point, as the library's patterns see it."""
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "L":
-            out[c] = LETTER
-        elif kind[0] == "N":
-            out[c] = NUMBER
-        elif chr(c).isspace() and not 0x1C <= c <= 0x1F:
-            out[c] = SPACE
+    for first, end in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(first, end)))
+        for pattern, kind in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+            for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+                out[first + a : first + b] = kind
     out[ord(_SPECIAL_CHAR)] = SPECIAL
     return out
 
@@ -170,15 +172,21 @@ class Transducer:
             to = self.next[at]
         return to, self.emit[at]
 
-    def read(self, stream: np.ndarray, chunk: int = 256) -> np.ndarray:
+    def read(self, stream: np.ndarray, chunk: int = 256, block: int = 1 << 20) -> np.ndarray:
         """Tokens emitted at each symbol of a stream that begins at a word's start."""
-        if not len(stream):
-            return np.empty(0, np.int16)
-        if len(self.config) > self.max_states:
-            self.reset(self.width)
-        final = stream >= FINAL
-        column = self.columns(stream)
-        n = len(stream)
+        out, config = [np.empty(0, np.int16)], self.config[self.start]
+        for at in range(0, len(stream), block):
+            if len(self.config) > self.max_states:
+                self.reset(self.width)
+            column = self.columns(stream[at : at + block])
+            emitted, state = self._read_block(column, stream[at : at + block] >= FINAL, self.state(config), chunk)
+            out.append(emitted)
+            config = self.config[state]
+        return np.concatenate(out)
+
+    def _read_block(self, column: np.ndarray, final: np.ndarray, entry: int, chunk: int) -> tuple[np.ndarray, int]:
+        """Emitted tokens and the last state."""
+        n = len(column)
         lanes = -(-n // chunk)
         grid = np.zeros(lanes * chunk, np.int64)
         grid[:n] = column
@@ -187,7 +195,8 @@ class Transducer:
         padded = np.zeros(lanes * chunk, bool)
         padded[:n] = final
         ends = padded.reshape(lanes, chunk)
-        first = np.where(ends.any(1), ends.argmax(1), chunk)  # place of the first word end of each chunk
+        closed = ends.any(1)
+        first = np.where(closed, ends.argmax(1), live)  # place of the first word end of each chunk
         out = np.zeros((chunk, lanes), np.int16)
         # behind its first word end a chunk's map is constant: read that part of all chunks from the start state
         state = np.full(lanes, self.start, np.int64)
@@ -195,19 +204,53 @@ class Transducer:
             on = np.flatnonzero((first < t) & (t < live))
             if len(on):
                 state[on], out[t, on] = self.advance(state[on], grid[t, on])
-        # scan of the maps: a chunk with a word end hands on a fixed state, one without applies its map to what enters it
-        enter = np.concatenate([[self.start], state[:-1]])
-        for k in np.flatnonzero(first == chunk).tolist():
-            s = enter[k : k + 1]
-            for t in range(int(live[k])):
-                s, out[t, k : k + 1] = self.advance(s, grid[t, k : k + 1])
-            if k + 1 < lanes:
-                enter[k + 1] = s[0]
-        state, most = enter, np.where(first == chunk, -1, first)
+        enter = np.concatenate([[entry], np.where(closed, state, -1)[:-1]])
+        if (enter < 0).any():
+            self._enter(enter, np.flatnonzero(~closed), grid, live)
+        last, most = enter.copy(), np.where(closed, first, live - 1)
         for t in range(int(most.max()) + 1):
             on = np.flatnonzero(t <= most)
-            state[on], out[t, on] = self.advance(state[on], grid[t, on])
-        return out.T.ravel()[:n]
+            last[on], out[t, on] = self.advance(last[on], grid[t, on])
+        return out.T.ravel()[:n], int(state[-1] if closed[-1] and first[-1] < live[-1] - 1 else last[-1])
+
+    def _enter(self, enter: np.ndarray, open_: np.ndarray, grid: np.ndarray, live: np.ndarray) -> None:
+        """Fill in what enters the chunks behind chunks without a word end (open_), by composing the maps of those."""
+        lanes = len(enter)
+        maps: dict[int, dict[int, int]] = {int(k): {} for k in open_}
+        lane, asked = open_, np.where(enter[open_] >= 0, enter[open_], self.start)
+        while len(lane):
+            now = asked
+            for t in range(len(grid)):
+                on = np.flatnonzero(t < live[lane])
+                moved = now.copy()
+                moved[on] = self.advance(now[on], grid[t, lane[on]])[0]
+                now = moved
+            more: set[tuple[int, int]] = set()
+            for k, s, e in zip(lane.tolist(), asked.tolist(), now.tolist(), strict=True):
+                maps[k][s] = e
+                if k + 1 in maps and enter[k + 1] < 0:
+                    more.add((k + 1, e))
+            more = {(k, s) for k, s in more if s not in maps[k]}
+            lane, asked = np.array([k for k, _ in more], np.int64), np.array([s for _, s in more], np.int64)
+        # maps as arrays over numbered states: row r maps the states of open chunk r to those of the next one
+        known = [list(maps[int(k)]) for k in open_]
+        after = [list(dict.fromkeys(maps[int(k)].values())) if k + 1 not in maps or enter[k + 1] >= 0 else list(maps[k + 1]) for k in open_.tolist()]
+        place = [{s: i for i, s in enumerate(x)} for x in after]
+        step = np.zeros((len(open_), max(map(len, known))), np.int64)
+        for r, k in enumerate(open_.tolist()):
+            step[r, : len(known[r])] = [place[r][maps[k][s]] for s in known[r]]
+        # a run of open chunks begins where the state is known
+        head = enter[open_] >= 0
+        offset = np.arange(len(open_)) - np.maximum.accumulate(np.where(head, np.arange(len(open_)), 0))
+        begin = np.array([known[r].index(enter[k]) if head[r] else 0 for r, k in enumerate(open_.tolist())])
+        span = 1
+        while span <= offset.max():
+            on = np.flatnonzero(offset >= span)
+            step[on] = np.take_along_axis(step[on], step[on - span], 1)
+            span *= 2
+        for r, k in enumerate(open_.tolist()):
+            if k + 1 < lanes:
+                enter[k + 1] = after[r][step[r, begin[r - offset[r]]]]
 
 
 class Counter:
@@ -217,13 +260,17 @@ class Counter:
         self.transducer = Transducer(path)
         self.classes = char_classes()
         self.special = re.compile("|".join(map(re.escape, self.transducer.specials)))
+        self.library = Tokenizer.from_file(path).normalizer
 
     def normal(self, text: str) -> str:
-        if "<|" in text:
-            text = self.special.sub(_SPECIAL_CHAR, text)
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()  # capital sigma has one lower case, wherever it stands
+        if "<|" in text:  # special strings stand apart before anything is normalized
+            return _SPECIAL_CHAR.join(map(self._normal, self.special.split(text)))
+        return self._normal(text)
+
+    def _normal(self, text: str) -> str:
+        if _BEYOND_LATIN.search(text):
+            return self.library.normalize_str(text)
+        return text.lower()  # letters up to U+02FF are composed already
 
     def count(self, texts: list[str]) -> np.ndarray:
         normal = [self.normal(x) for x in texts]
@@ -270,7 +317,6 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, batch_chars: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row per row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(path)

@@ -71,6 +71,28 @@ def test_token_counts_equal_the_library(word_bpe):
     assert counter.count(texts).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_every_code_point_counts_as_in_the_library(word_bpe):
+    counter, tok = word_bpe
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [f"a{chr(k)}b {chr(k)}{chr(k)} x" for k in points[at : at + 50_000]]
+        assert counter.count(texts).tolist() == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_maps_of_chunks_without_a_word_end_are_composed(word_bpe):
+    counter, tok = word_bpe
+    rng = random.Random(12)
+    t = counter.transducer
+    for word in ("a" * 5000, "".join(rng.choice("abcdef") for _ in range(4000)), "ab" * 900 + " x " + "ha" * 700, "to " * 50 + "z" * 99):
+        want = len(tok.encode(word, add_special_tokens=False).ids)
+        pieces = [p.encode() for p in word.split()]
+        stream = np.concatenate([np.array([*p[:-1], p[-1] + token_count.FINAL]) for p in pieces])
+        for chunk, block in ((256, 1 << 20), (7, 1 << 20), (16, 100), (1, 33)):
+            assert int(t.read(stream, chunk, block).sum()) == want
+    long = "ab" * 2_000_000
+    assert counter.count([long])[0] == counter.count(["ab" * 1_000_000])[0] * 2 > 0
+
+
 def test_dropped_states_are_made_again(word_bpe):
     counter, tok = word_bpe
     old, counter.transducer.max_states = counter.transducer.max_states, 10
