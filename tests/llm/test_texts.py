@@ -145,6 +145,31 @@ def test_fingerprints_over_many_ranges_and_ties(spark):
     assert sketch.fingerprints(empty(spark)).count() == 0
 
 
+def test_ranges_follow_uneven_ids(spark):
+    far = spark.range(2000).selectExpr("id", "xxhash64(id) as th").union(spark.sql("select 1000000000000L, 5L"))
+    same = spark.range(3000).selectExpr("if(id % 3 = 0, 7, if(id % 3 = 1, null, id)) as id", "xxhash64(id) as th")
+    for df in (far, same):
+        sizes = [r["count"] for r in sketch.ranged(df, 100).groupBy("r").count().collect()]
+        assert max(sizes) <= 200 and len(sizes) > df.count() / 200
+        order = sketch.ranged(df, 100).selectExpr("r", "coalesce(id, -9223372036854775808L) as id", "th").orderBy("id", "th").collect()
+        assert [r.r for r in order] == sorted(r.r for r in order)
+
+
+def test_fingerprints_at_the_production_fraction(spark):
+    rng = random.Random(13)
+    texts = odd_texts(rng) + [prose(rng, rng.randint(1, 400)) for _ in range(40)]
+    df = docs(spark, texts)
+    full = sketch.with_sketch(df.selectExpr("doc_id", "coalesce(text, '') as text"), "text", "s", 1.0)
+    every = {r.doc_id: set(r.s) for r in full.collect()}
+    keep = lambda h: {x for x in h if x < -(2**63) + 2**61} or {min(h)}
+    order = sorted(range(len(texts)), reverse=True)
+    rows = {r.doc_id: r for r in sketch.fingerprints(df).collect()}
+    for k, i in enumerate(order):
+        a, b = keep(every[i]), keep(every[order[(k + 1) % len(order)]])
+        assert rows[i].fingerprint == "".join(f"{x % 2**64:016X}" for x in sorted(a))
+        assert rows[i].near_next == pytest.approx(len(a & b) / len(a | b)) and rows[i].contained_in_next == pytest.approx(len(a & b) / len(a))
+
+
 # --- decontamination ---
 
 
