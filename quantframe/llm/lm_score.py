@@ -5,9 +5,14 @@ public byte-level BPE. Counts cover every token of every document and are exact;
 table that grows with the corpus and never goes to the driver or whole to a task (only counts of single ids
 do, which the vocabulary bounds). Tasks code texts as ids in chunks of about `chunk_ids` ids and list the
 bigrams of each chunk once; that list is summed up over chunks for the counts and joined to them for the
-scores, so a bigram has at most one row a chunk, however common it is. P(v | u) mixes bigram, unigram and
-uniform shares. A document's score is its mean loss a token under the target model minus that under the
-background model: the lower, the more it is like the target.
+scores, so a bigram has at most one row a chunk, however common it is.
+
+The models are matched: of one order, one smoothing and one weight. Background counts are scaled to the number of
+tokens of the target corpus, so that equal prior weights (PRIOR bigrams, BASE single ids) mean the same in both:
+P1(v) = (s n(v) + BASE / vocabulary) / (s n + BASE) and P(v | u) = (s n(u v) + PRIOR P1(v)) / (s n(u) + PRIOR). A
+document that the counts hold is scored without its own counts, in both models, so no text speaks for itself. A
+document's score is its mean loss a token under the target model minus that under the background model: the lower,
+the more it is like the target.
 
 Defined cases: each text starts and ends with the end id, so null and empty texts have one token; repeated
 rows count and are scored as often as they occur; without target documents the target model is
@@ -30,7 +35,7 @@ from .packing import encoder
 
 N_IDS = 50_257
 END = N_IDS - 1
-BIGRAM, UNIGRAM, UNIFORM = 0.6, 0.39, 0.01
+PRIOR, BASE = 4.0, 100.0
 _CODED = "chunk long, doc_id long, ids binary, pair long, target long, every long"
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
@@ -56,12 +61,23 @@ class Model:
         return np.stack([found["target"].to_numpy(np.int64), found["every"].to_numpy(np.int64)])
 
 
-def losses(pair: np.ndarray, counts: list[np.ndarray], unigram: np.ndarray) -> list[np.ndarray]:
-    """Negative log-likelihood of bigrams under target and background."""
+def scales(unigram: np.ndarray) -> tuple[float, float]:
+    """Weight of a count in the target and in the background model."""
+    target, every = (int(x.sum()) for x in unigram)
+    return 1.0, target / every if target and every else 1.0
+
+
+def losses(pair: np.ndarray, counts: list[np.ndarray], unigram: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], held: list[np.ndarray]) -> list[np.ndarray]:
+    """Negative log-likelihood of bigrams under target and background.
+
+    own: the document's counts of the bigram, of its first id, of its second id and of all; held: by corpus, whether
+    its counts hold the document (1) or not (0).
+    """
     u, v, out = pair // N_IDS, pair % N_IDS, []
-    for n, one in zip(counts, unigram, strict=True):
-        p = BIGRAM * n / np.maximum(one[u], 1) + UNIGRAM * one[v] / max(1, int(one.sum())) + UNIFORM / N_IDS
-        out.append(-np.log(p))
+    for n, one, in_, s in zip(counts, unigram, held, scales(unigram), strict=True):
+        both, first, second, every = (x * in_ for x in own)
+        single = (s * (one[v] - second) + BASE / N_IDS) / (s * (int(one.sum()) - every) + BASE)
+        out.append(-np.log((s * (n - both) + PRIOR * single) / (s * (one[u] - first) + PRIOR)))
     return out
 
 
@@ -101,11 +117,11 @@ def _code(path: str, chunk_ids: int):
                     wanted.append(pair)
                 size += len(pair)
                 if size >= chunk_ids:
-                    yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()))
+                    yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()), target=pa.array(goods[at : at + len(coded)]).cast(pa.int64()))
                     yield from listed()
                     at, coded, held, wanted, size, k = at + len(coded), [], [], [], 0, k + 1
             if coded:
-                yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()))
+                yield rows(len(coded), doc_id=keys.slice(at, len(coded)), ids=pa.array(coded, pa.binary()), target=pa.array(goods[at:]).cast(pa.int64()))
         if held:
             yield from listed()
 
@@ -139,24 +155,48 @@ def fit(docs: DataFrame, target: DataFrame, rank_file: str) -> Model:
     return count(code(docs, target, rank_file))
 
 
-def score_coded(coded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score."""
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
+
+
+def score_coded(coded: DataFrame, model: Model, counted: bool = True) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score; counted: the model's counts hold these documents."""
     shared = coded.sparkSession.sparkContext.broadcast(model.unigram)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         pair = known.column("pair").to_numpy()
-        by_pair = losses(pair, [known.column(x).to_numpy() for x in ("n_target", "n_every")], shared.value)
         order = np.argsort(pair)
-        pair, by_pair = pair[order], [x[order] for x in by_pair]
+        pair, counts = pair[order], [known.column(x).to_numpy()[order] for x in ("n_target", "n_every")]
+        good, raws = texts.column("good").to_numpy(), texts.column("ids").to_pylist()
         n, means = [], []
-        for raw in texts.column("ids").to_pylist():
-            at = np.searchsorted(pair, pairs_of(np.frombuffer(raw, "<u2").astype(np.int64)))
-            n.append(len(at))
-            means.append([float(x[at].mean()) for x in by_pair])
-        t, b = np.array(means).reshape(-1, 2).T
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": t, "background_loss": b, "score": t - b})
-
-    texts = coded.where("ids is not null").select(F.col("chunk").alias("__chunk"), "doc_id", "ids")
+        at = 0
+        while at < len(raws):  # documents of about a million ids at once
+            end, size = at, 0
+            while end < len(raws) and (end == at or size + len(raws[end]) <= 1 << 21):
+                size += len(raws[end])
+                end += 1
+            some = [pairs_of(np.frombuffer(raw, "<u2").astype(np.int64)) for raw in raws[at:end]]
+            sizes = np.array([len(x) for x in some])
+            doc, every = np.repeat(np.arange(len(some)), sizes), np.concatenate(some)
+            place = np.searchsorted(pair, every)
+            kinds, times = _places(doc * len(pair) + place)
+            doc, place = np.divmod(kinds, len(pair))
+            one, single = _places(np.repeat(np.arange(len(some)), sizes) * N_IDS + every % N_IDS)
+            # every id of a text but the end id at its ends is once first and once second of a bigram, and so is that one
+            own = (times, single[np.searchsorted(one, doc * N_IDS + pair[place] // N_IDS)], single[np.searchsorted(one, doc * N_IDS + pair[place] % N_IDS)], sizes[doc])
+            held = [good[at:end][doc] * int(counted), np.full(len(doc), int(counted))]
+            found = losses(pair[place], [x[place] for x in counts], shared.value, own, held)
+            n.append(sizes)
+            means.append(np.stack([np.bincount(doc, x * times, len(some)) / sizes for x in found]))
+            at = end
+        t, b = np.concatenate(means, 1) if means else np.empty((2, 0))
+        sizes = np.concatenate(n).astype(np.int64) if n else np.empty(0, np.int64)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": sizes, "target_loss": t, "background_loss": b, "score": t - b})
+
+    texts = coded.where("ids is not null").select(F.col("chunk").alias("__chunk"), "doc_id", "ids", F.coalesce("target", F.lit(0)).alias("good"))
     asked = coded.where("pair is not null").select("chunk", "pair")
     counts = model.pairs.select(F.col("pair").alias("__pair"), F.col("target").alias("__t"), F.col("every").alias("__e"))
     # one plan at every size: the counts grow with the corpus
@@ -165,5 +205,5 @@ def score_coded(coded: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, rank_file: str) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score."""
-    return score_coded(code(docs, None, rank_file), model)
+    """doc_id, n_tokens, target_loss, background_loss, score of documents that the model's counts do not hold."""
+    return score_coded(code(docs, None, rank_file), model, counted=False)

@@ -294,26 +294,48 @@ def test_lm_scores_are_those_of_exact_bigrams(spark):
             one[v] += n
     assert len(pairs[1]) > 15_000
 
-    def loss(c, u, v):
-        one = single[c]
-        return -math.log(0.6 * pairs[c][u, v] / max(one[u], 1) + 0.39 * one[v] / sum(one.values()) + 0.01 / lm_score.N_IDS)
-
     total = [sum(x.values()) for x in single]
+    scale = [1.0, total[0] / total[1]]
     assert total[1] == sum(len(x) - 1 for x in ids)
+
+    def loss(c, i, u, v, left_out):
+        own = ids[i].tolist() if left_out and (c or i in good) else [0]
+        two, one = Counter(zip(own[:-1], own[1:], strict=True)), Counter(own[1:])
+        p1 = (scale[c] * (single[c][v] - one[v]) + 100 / lm_score.N_IDS) / (scale[c] * (total[c] - len(own) + 1) + 100)
+        return -math.log((scale[c] * (pairs[c][u, v] - two[u, v]) + 4 * p1) / (scale[c] * (single[c][u] - one[u]) + 4))
+
     df, target = docs(spark, texts), spark.createDataFrame([(i,) for i in good], "doc_id long")
     model = lm_score.fit(df, target, RANKS)
     coded = lm_score.code(df, target, RANKS, chunk_ids=1500)
     assert coded.select("chunk").distinct().count() > 8
-    for out in (lm_score.score(df, model, RANKS), lm_score.score_coded(coded, lm_score.count(coded))):
+    for out, left_out in ((lm_score.score(df, model, RANKS), False), (lm_score.score_coded(coded, lm_score.count(coded)), True)):
         rows = {r.doc_id: r for r in out.collect()}
         assert len(rows) == len(texts)
         for i in (0, 1, 2, 59, 60, 61):
             steps = list(zip(ids[i][:-1].tolist(), ids[i][1:].tolist(), strict=True))
-            want = [sum(loss(c, u, v) for u, v in steps) / len(steps) for c in range(2)]
+            want = [sum(loss(c, i, u, v, left_out) for u, v in steps) / len(steps) for c in range(2)]
             assert rows[i].n_tokens == len(steps)
             assert rows[i].target_loss == pytest.approx(want[0], abs=1e-9) and rows[i].background_loss == pytest.approx(want[1], abs=1e-9)
 
 
+def test_lm_losses_of_counts_beyond_32_bits():
+    unigram = np.zeros((2, lm_score.N_IDS), np.int64)
+    unigram[:, 7] = 2**40
+    none = tuple(np.zeros(1, np.int64) for _ in range(4))
+    t, b = lm_score.losses(np.array([7 * lm_score.N_IDS + 7]), [np.array([2**39])] * 2, unigram, none, [np.ones(1, np.int64)] * 2)
+    assert t[0] == b[0] == pytest.approx(math.log(2))
+
+
+def test_lm_defined_cases(spark):
+    df = docs(spark, [None, "", "a b", "a b", "c " * 30_000], [None, 1, 2, 2, 3]).selectExpr("*", "1 as pair", "2 as target", "3 as chunk")
+    coded = lm_score.code(df, df.where("doc_id = 2").select("doc_id"), RANKS)
+    rows = lm_score.score_coded(coded, lm_score.count(coded)).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in rows)[-1] == (True, 1) and len(rows) == 5
+    assert len({r.score for r in rows if r.doc_id == 2}) == 1 and all(math.isfinite(r.score) for r in rows)
+    blank = lm_score.code(empty(spark), None, RANKS)
+    assert lm_score.score_coded(blank, lm_score.count(blank)).count() == 0
+
+
 # --- chat ---
 
 
