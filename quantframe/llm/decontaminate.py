@@ -1,15 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-The benchmark is taken in blocks of at most `block_items` items (the stated size bound of what is sent to
-the tasks); each block is matched against all documents. Seeds are all word n-grams of an item, however many
-items share them, so what is found for an item depends on no other item. Where a document holds a seed, the
-words around it are aligned with the item, and the pair counts if the score reaches `similarity` of the item's
-full score. A pair is left unaligned only where it can't reach that: each matched word adds MATCH and nothing
-else adds, so `similarity` of the item's words must occur in the document, and in the words around the seed.
+"""Benchmark decontamination: rare n-gram seeds join documents to items, then Smith-Waterman alignment.
+
+1. Seeds of an item are its word n-grams that at most `rare` items of the whole benchmark hold. Where a stretch of n
+   successive n-grams has none so rare, the least common one of the stretch is a seed, so a benchmark of items that
+   are alike keeps seeds over the whole length of each item: every rare n-gram and every run of 3 n - 2 words that a
+   document copies holds one.
+2. Documents are read once. A Bloom filter of all seeds, of at most `filter_bits` bits, goes to the tasks; a document
+   with a word n-gram in it is kept with its hits. Hits are joined to the seeds by a shuffle, which drops what
+   the filter let through wrongly, and give the pairs of document and item.
+3. The words around the common n-grams of a pair are aligned with the item; the pair counts if the score reaches
+   `similarity` of the item's full score. A pair is left unaligned only where it can't reach that: each matched word
+   adds MATCH and nothing else adds, so `similarity` of the item's words must occur in the document, and in
+   the words around the seed.
 
 Words: A-Z lower-cased, ASCII punctuation and white space part them. Items with fewer words than a seed are
 not searched: they are too short to tell a copy from chance. Null or empty texts match nothing; repeated
-rows and repeated items each give their own pairs once; a null doc_id or item_id is carried as null.
+documents each give their pairs, repeated items give them once; a null doc_id or item_id is carried as null.
 """
 
 from __future__ import annotations
@@ -19,14 +24,16 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import materialize, mix64
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACED)
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
+PROBES = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,118 +58,169 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-class SeedIndex:
-    """Seeds of a block of items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
-        self.n = n
-        self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        grams: list[np.ndarray] = []
-        for item_id, text in items:
-            words = words_of(text)
-            if len(words) >= n:
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)
-                self.items.append((item_id, ids))
-                grams.append(self.grams(ids))
-        places = [np.stack([np.full(len(g), k), np.arange(len(g))], 1) for k, g in enumerate(grams)]
-        hash_ = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        order = np.argsort(hash_, kind="stable")
-        self.hash = hash_[order]
-        self.place = (np.concatenate(places) if places else np.empty((0, 2), np.int64))[order]
-        self.sizes = np.array([len(x) for _, x in self.items], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.words = np.concatenate([x for _, x in self.items]) if self.items else np.empty(0, np.int64)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        m = len(ids) - self.n + 1
-        out = np.zeros(max(m, 0), np.uint64)
-        for k in range(self.n if m > 0 else 0):
-            out = mix64(out + ids[k : k + m].astype(np.uint64))
-        return out
+def gram_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place."""
+    m = max(0, len(word_hash) - n + 1)
+    out = np.zeros(m, np.uint64)
+    for k in range(n):
+        out = mix64(out + word_hash[k : k + m])
+    return out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def filter_places(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The PROBES places of each n-gram in a filter of `bits` (a power of two)."""
+    step = mix64(grams) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return (grams + np.arange(PROBES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)
+
+
+def _item_grams(n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [gram_hashes(word_hashes(words_of(x)), n).view(np.int64) for x in batch["text"]]
+            sizes = [len(g) for g in grams]
+            yield pd.DataFrame({"ik": np.repeat(batch["ik"].to_numpy(), sizes), "pos": np.concatenate([np.arange(k) for k in sizes] or [np.empty(0, int)]), "g": np.concatenate(grams or [np.empty(0, np.int64)])})
+
+    return run
 
-    def possible(self, ids: np.ndarray, which: np.ndarray, similarity: float) -> np.ndarray:
-        """Those of the items `which` that have enough words among ids to reach similarity."""
-        held = np.zeros(len(self.vocab), bool)
-        held[ids[ids >= 0]] = True
-        sizes = self.sizes[which]
+
+def seeds_of(items: DataFrame, n: int, rare: int) -> DataFrame:
+    """(g, ik): the seeds of each item (ik its key), as a table."""
+    grams = materialize(items.mapInPandas(_item_grams(n), "ik long, pos long, g long"), "item-grams")
+    held = grams.select("g", "ik").distinct().groupBy("g").agg(F.count("ik").alias("c")).withColumnRenamed("g", "k")
+    counted = grams.join(held, grams["g"] == held["k"]).select("ik", "g", "c", F.floor(F.col("pos") / n).alias("stretch"))
+    least = F.min(F.struct("c", "g")).over(Window.partitionBy("ik", "stretch"))
+    return materialize(counted.withColumn("least", least).where((F.col("c") <= rare) | (F.struct("c", "g") == F.col("least"))).select("g", "ik").distinct(), "seeds")
+
+
+def seed_filter(seeds: DataFrame, filter_bits: int) -> tuple[np.ndarray, int]:
+    """Bloom filter over the seeds: packed bits and their number, 64 for each seed up to `filter_bits`. Tasks make it piece by piece."""
+    grams = seeds.select("g").distinct()
+    bits = min(filter_bits, 1 << max(16, (64 * grams.count() - 1).bit_length()))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"at": np.unique(filter_places(batch["g"].to_numpy().view(np.uint64), bits)).astype(np.int64)})
+
+    def piece(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << 16, np.uint8)
+        on[rows["at"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"piece": [key[0]], "bits": [np.packbits(on).tobytes()]})
+
+    found = grams.mapInPandas(places, "at long").distinct().groupBy(F.shiftright("at", 16).alias("piece")).applyInPandas(piece, "piece long, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for k, raw in found.collect():
+        out[k << 13 : (k + 1) << 13] = np.frombuffer(raw, np.uint8)
+    return out, bits
+
+
+def _hits(shared, bits: int, n: int, words_at_once: int = 500_000):
+    def found(texts: list[list[bytes]]) -> list[np.ndarray]:
+        sizes = np.array([len(x) for x in texts])
+        grams = gram_hashes(word_hashes([w for x in texts for w in x]), n)
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(self.begins[which] - (ends - sizes), sizes)
-        n = np.add.reduceat(held[self.words[at]].astype(np.int64), ends - sizes)
-        return which[n >= similarity * sizes - 1e-9]
-
-    def matches(self, text: str | None, similarity: float) -> list[tuple[int | None, float, int, int]]:
-        """(item_id, similarity, first word, end word) of each item that the text holds."""
-        words = words_of(text)
-        if len(words) < self.n or not len(self.hash):
-            return []
-        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
-        known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        starts = np.flatnonzero(known[self.n :] - known[: -self.n] == self.n)
-        if not len(starts):
-            return []
-        h = np.zeros(len(starts), np.uint64)
-        for k in range(self.n):
-            h = mix64(h + ids[starts + k].astype(np.uint64))
-        lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
-        if not (hi > lo).any():
-            return []
-        n_hits = hi - lo
-        ends = np.cumsum(n_hits)
-        hit = self.place[np.arange(ends[-1]) + np.repeat(lo - (ends - n_hits), n_hits)]
-        at_word = np.repeat(starts, n_hits)
-        fit = np.zeros(len(self.items), bool)
-        fit[self.possible(ids, np.unique(hit[:, 0]), similarity)] = True
-        use = fit[hit[:, 0]]
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for s, (k, at) in zip(at_word[use].tolist(), hit[use].tolist(), strict=True):
-            size = len(self.items[k][1])
-            pad = 8 + size // 4
-            spans.setdefault(k, []).append((max(0, s - at - pad), min(len(ids), s - at + size + pad)))
-        out = []
-        for k, wins in spans.items():
-            item_id, item = self.items[k]
-            wins.sort()
-            best, lo_, hi_ = (0.0, 0, 0), *wins[0]
-            for a, b in [*wins[1:], (len(ids) + 1, 0)]:
-                if a <= hi_ and b - lo_ <= 4 * len(item) + 64:
-                    hi_ = max(hi_, b)
-                    continue
-                if np.isin(item, ids[lo_:hi_]).sum() >= similarity * len(item) - 1e-9:
-                    score, end = smith_waterman(item, ids[lo_:hi_])
-                    best = max(best, (score / (MATCH * len(item)), lo_, lo_ + end))
-                lo_, hi_ = a, b
-            if best[0] >= similarity:
-                out.append((item_id, *best))
+        at = np.arange(len(grams))
+        for place in range(PROBES):
+            p = filter_places(grams[at], bits)[place].astype(np.int64) if place else (grams & np.uint64(bits - 1)).astype(np.int64)
+            at = at[(shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + n <= ends[owner]
+        at, owner = at[inside], owner[inside]
+        out = [np.empty(0, np.int64)] * len(texts)
+        if len(at):
+            cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                out[owner[a]] = np.unique(grams[at[a:b]]).view(np.int64)
         return out
 
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, similarity: float = 0.5, block_items: int = 20_000) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits, held, size = [], [], 0
+            for text in batch["text"]:
+                held.append(words_of(text))
+                size += len(held[-1])
+                if size >= words_at_once:
+                    hits += found(held)
+                    held, size = [], 0
+            hits += found(held) if held else []
+            some = np.array([len(x) > 0 for x in hits], bool)
+            out = batch.loc[some].astype({"doc_id": "Int64"})
+            yield out.assign(hits=pd.Series([x for x in hits if len(x)], out.index, dtype=object))
+
+    return run
+
+
+def align(words: list[bytes], item: list[bytes], similarity: float, n: int) -> tuple[float, int, int] | None:
+    """Similarity, first word and end word of the best copy of an item among words, if it reaches `similarity`."""
+    vocab: dict[bytes, int] = {}
+    wanted = np.array([vocab.setdefault(w, len(vocab)) for w in item], np.int64)
+    ids = np.fromiter(map(vocab.get, words, repeat(-1)), np.int64, len(words))
+    least = similarity * len(item) - 1e-9
+    held = np.zeros(len(vocab) + 1, bool)
+    held[ids] = True
+    if held[wanted].sum() < least or len(ids) < n:
+        return None
+    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+    starts = np.flatnonzero(known[n:] - known[:-n] == n)
+    grams = gram_hashes(np.where(ids < 0, 0, ids).astype(np.uint64), n)[starts]
+    own = gram_hashes(wanted.astype(np.uint64), n)
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own[order], grams), np.searchsorted(own[order], grams, "right")
+    times = hi - lo
+    at = order[np.arange(times.sum()) + np.repeat(lo - (np.cumsum(times) - times), times)]
+    pad = 8 + len(item) // 4
+    begins = np.sort(np.repeat(starts, times) - at)
+    best: tuple[float, int, int] = (0.0, 0, 0)
+    spans: list[list[int]] = []
+    for b in begins.tolist():
+        first, end = max(0, b - pad), min(len(ids), b + len(item) + pad)
+        if spans and first <= spans[-1][1] and end - spans[-1][0] <= 4 * len(item) + 64:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([first, end])
+    for first, end in spans:
+        if np.isin(wanted, ids[first:end]).sum() >= least:
+            score, stop = smith_waterman(wanted, ids[first:end])
+            best = max(best, (score / (MATCH * len(item)), first, first + stop))
+    return best if best[0] >= similarity else None
+
+
+def _align(similarity: float, n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, words = None, []
+        for batch in batches:
+            out = []
+            for doc, th, text, item_id, item in zip(batch["doc_id"], batch["th"], batch["text"], batch["item_id"], batch["item"], strict=True):
+                if key != (th, text):  # pairs of a document come one after another
+                    key, words = (th, text), words_of(text)
+                if found := align(words, words_of(item), similarity, n):
+                    out.append((None if pd.isna(doc) else int(doc), th, None if pd.isna(item_id) else int(item_id), *found))
+            frame = pd.DataFrame(out, columns=["doc_id", "th", "item_id", "similarity", "first_word", "end_word"])
+            yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "th": "int64", "similarity": "float64", "first_word": "int64", "end_word": "int64"})
+
+    return run
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, similarity: float = 0.5, rare: int = 4, filter_bits: int = 1 << 29) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, similarity, first_word, end_word, and th (hash of the document's text)."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").distinct()
-    blocks = max(1, -(-items.count() // block_items))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    found = None
-    for b in range(blocks):
-        rows = sorted(((r[0], r[1]) for r in items.where(F.col("block") == b).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        shared = spark.sparkContext.broadcast(SeedIndex(rows, n))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for batch in batches:
-                out = [
-                    (None if pd.isna(d) else int(d), th, *match)
-                    for d, th, text in zip(batch["doc_id"], batch["th"], batch["text"], strict=True)
-                    for match in index.matches(text, similarity)
-                ]
-                frame = pd.DataFrame(out, columns=["doc_id", "th", "item_id", "similarity", "first_word", "end_word"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "th": "int64", "similarity": "float64", "first_word": "int64", "end_word": "int64"})
-
-        part = base.mapInPandas(run, "doc_id long, th long, item_id long, similarity double, first_word long, end_word long")
-        found = part if found is None else found.union(part)
-    return found
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item is not null").distinct()
+    items = materialize(items.withColumn("ik", F.xxhash64("item_id", "item")), "items")
+    seeds = seeds_of(items.select("ik", F.col("item").alias("text")), n, rare)
+    packed, bits = seed_filter(seeds, filter_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    touched = materialize(base.mapInPandas(_hits(shared, bits, n), "doc_id long, th long, text string, hits array<long>"), "touched")
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    asked = touched.select(key.alias("id"), "th", F.explode("hits").alias("h"))
+    pairs = asked.join(seeds, F.col("h") == F.col("g")).select("id", "th", "ik").distinct()
+    known = items.withColumnRenamed("ik", "k")
+    pairs = pairs.join(known, F.col("ik") == F.col("k")).select("id", F.col("th").alias("pth"), "item_id", "item")
+    texts = touched.select("doc_id", "th", "text", key.alias("did"))
+    return texts.join(pairs, (F.col("did") == F.col("id")) & (F.col("th") == F.col("pth"))).select("doc_id", "th", "text", "item_id", "item").mapInPandas(_align(similarity, n), "doc_id long, th long, item_id long, similarity double, first_word long, end_word long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

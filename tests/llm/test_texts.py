@@ -192,8 +192,8 @@ def test_leaks_exact_and_edited(spark):
     noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
     texts = [noise(50) + " " + items[0] + " " + noise(300), edit(items[1], 5), items[2].upper().replace(" ", ", "), noise(30) + items[3][: len(items[3]) // 4], noise(200), None, "", items[4] + " " + items[5]]
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
-    for block in (20_000, 4):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, texts), bench, block_items=block).collect()}
+    for rare, bits in ((4, 1 << 29), (1, 1 << 16)):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, texts), bench, rare=rare, filter_bits=bits).collect()}
         assert got == {(0, 0), (1, 1), (2, 2), (7, 4), (7, 5)}
     left = decontaminate.drop_leaks(docs(spark, texts).selectExpr("*", "1 as item_id"), bench)
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns[-1] == "item_id"
@@ -210,13 +210,48 @@ def test_leaks_of_items_that_are_alike(spark):
     texts = [noise(60) + " " + " ".join(frame) + " last four words edited " + noise(60), items[3], noise(20) + " " + " ".join(frame[:8]) + " " + noise(20), apart[2]]
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items + apart)], "item_id long, text string")
     want = {(d, k) for d in (0, 1) for k in range(10)} | {(3, 12)}
-    for block in (20_000, 5):
-        found = decontaminate.find_leaks(docs(spark, texts), bench, block_items=block).collect()
+    for rare in (4, 1):
+        found = decontaminate.find_leaks(docs(spark, texts), bench, rare=rare).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
         assert all(r.similarity == pytest.approx(0.9) for r in found if r.doc_id == 0)
     assert [r.doc_id for r in decontaminate.drop_leaks(docs(spark, texts), bench).collect()] == [2]
 
 
+def test_leaks_are_those_of_all_pairs(spark):
+    rng = random.Random(25)
+    items = [" ".join(rng.choice(WORDS) + rng.choice("xyz") for _ in range(30)) for _ in range(15)]
+    items += [" ".join(items[0].split()[:20] + [f"o{k}{j}" for j in range(10)]) for k in range(8)]
+    texts = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.randint(0, 12)):
+            how, at = rng.random(), rng.randrange(len(w))
+            w[at : at + 1] = [] if how < 0.2 else [w[at], "more"] if how < 0.4 else ["other"]
+        texts.append(" ".join([prose(rng, rng.randint(0, 40)), *w, prose(rng, rng.randint(0, 40))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(items):
+            vocab = {}
+            a = np.array([vocab.setdefault(w, len(vocab)) for w in x.split()])
+            score, _ = decontaminate.smith_waterman(a, np.array([vocab.get(w, -1) for w in t.split()]))
+            if score / (2 * len(a)) >= 0.5:
+                want[i, k] = score / (2 * len(a))
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert all(s == pytest.approx(want[k]) for k, s in got.items())
+
+
+def test_leaks_of_odd_rows(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item + " tail"), (2, None)], "item_id long, text string").selectExpr("*", "1 as g", "2 as ik")
+    long = "x y " * 50_000 + item
+    df = docs(spark, [item, item, long, None, item], [5, 5, 6, 7, None]).selectExpr("*", "1 as hits", "2 as th", "'q' as item")
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.find_leaks(df, bench).collect())
+    assert got == sorted((d, i) for d in ("5", "5", "6", "None") for i in ("1", "None"))
+    assert [r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()] == [7]
+
+
 # --- toxicity ---
 
 
