@@ -47,18 +47,15 @@ def join_counted(rows: DataFrame, keys: list[str], side: DataFrame, side_keys: l
     """Inner join of rows to a table that has one row for each key and the number of its rows in the column c.
 
     Keys with over a 100,000th of all `total` rows (and 1,000 at least), fewer than 100,000 by that measure, are sent
-    to all tasks; the other keys are shuffled, and none of them is hot. side should be a written table.
+    to all tasks; the other keys are shuffled, and none of them is hot.
     """
     limit = max(1000, total // 100_000)
-    on = lambda other: [rows[a] == other[b] for a, b in zip(keys, side_keys, strict=True)]
-    hot = side.where(F.col("c") > limit)
-    if hot.isEmpty():
-        return rows.join(side, on(side))
-    cold = side.where(F.col("c") <= limit)
-    near = rows.join(F.broadcast(hot), on(hot))
-    named = F.broadcast(hot.select(*side_keys))
-    far = rows.join(named, on(named), "left_anti")
-    return near.unionByName(far.join(cold, [far[a] == cold[b] for a, b in zip(keys, side_keys, strict=True)]))
+    on = lambda a, b: [a[x] == b[y] for x, y in zip(keys, side_keys, strict=True)]
+    if total <= limit:
+        return rows.join(side, on(rows, side))
+    hot, cold = F.broadcast(side.where(F.col("c") > limit)), side.where(F.col("c") <= limit)
+    near, far = rows.join(hot, on(rows, hot)), rows.join(hot, on(rows, hot), "left_anti")
+    return near.unionByName(far.join(cold, on(far, cold)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
-def _nearest(arcs: DataFrame) -> DataFrame:
-    """arcs (u, v) with m, the least of u and all its v; the minimum is pre-aggregated before it is shuffled."""
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return arcs.join(least, arcs["u"] == least["k"]).select("u", "v", "m")
+def _nearest(arcs: DataFrame, total: int) -> DataFrame:
+    """arcs (u, v) with m, the least of u and all its v; minima are pre-aggregated before they are shuffled, and those of hubs are sent to all tasks."""
+    least = arcs.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("c")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "c")
+    return join_counted(arcs, ["u"], least, ["k"], total).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id on an edge (u, v): root is the smallest id that it reaches.
 
     Each round is two grouped minima and joins over the edges left; rounds grow with the logarithm of a
-    component's width. No component is gathered anywhere.
+    component's width, and end when every component is a star around its root. No component is gathered anywhere.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     while True:
+        n, ends = now.agg(F.count("u"), F.countDistinct("u")).first()
+        # each u has one v, and no v is a u: stars
+        if n == ends and now.join(now.select(F.col("v").alias("k")).distinct(), F.col("u") == F.col("k"), "left_semi").isEmpty():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = _nearest(large)
+        large = _nearest(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = _nearest(large, 2 * n)
         small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        seen = state

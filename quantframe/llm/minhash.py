@@ -2,10 +2,16 @@
 
 Two small collections of half-keys A and B (each half-key hashes `rows` minhashes) form m * m table keys by
 combining pairs (A_i, B_j), so m * m tables cost 2 * m * rows minhashes. Texts with equal shingle sets are
-one class first. Classes that meet in a table are candidates, linked in a star to the table's smallest; all
-that a star reaches form a candidate group. The full shingle sets of a group meet in blocks of bounded size and
-every pair of a block, or of two blocks of one large group, is confirmed exactly; only a spanning forest
-of confirmed links leaves a task. A second pass over that forest gives the components.
+one class first. Classes that meet in a table (tables with equal members count once) are candidates:
+
+1. In each table one member, the hub, is compared with every other on full sets; so all its links there are known and
+   it leaves the table. Tables with one member left, or whose members are linked already, are done. This is repeated
+   with other hubs, `rounds` times.
+2. What is left is confirmed over all pairs in blocks of bounded size: the members of the tables that hang together,
+   or table by table, whichever means fewer copies of sets. Only a spanning forest of links leaves a task.
+3. The components of all confirmed links are found.
+
+A hub with many candidates has its set copied to several tasks, and hot tables are not shuffled as one key.
 
 Defined cases: null or empty texts have an empty set and stay alone; a text with fewer words than a shingle is
 one shingle; rows with a null doc_id are kept and belong to no component; rows that share doc_id count as
@@ -23,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import join_counted, materialize, mix64
 from .components import connected_components
 
 MISS = 1e-4
+HUB = 500  # candidates compared with one copy of a hub's set
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -148,10 +155,10 @@ def _confirm(percent: int):
         key, held = None, []
         for batch in batches:
             out = []
-            for root, i, j, node, s in zip(batch["root"], batch["i"], batch["j"], batch["id"], batch["set"], strict=True):
-                if key != (root, i, j):
+            for *unit, node, s in zip(batch["kind"], batch["unit"], batch["i"], batch["j"], batch["id"], batch["set"], strict=True):
+                if key != unit:
                     out += links(held) if len(held) > 1 else []
-                    key, held = (root, i, j), []
+                    key, held = unit, []
                 held.append((node, s))
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
         yield pd.DataFrame(links(held) if len(held) > 1 else [], columns=["u", "v"]).astype("int64")
@@ -159,9 +166,68 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
+def _compare(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            linked = []
+            for a, b in zip(batch["su"], batch["sv"], strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                at = np.searchsorted(a, b)
+                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.loc[np.array(linked, bool), ["u", "v"]]
+
+    return run
+
+
+def _compared(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those candidate edges (u, v) whose sets are similar; the set of a v with many u is copied."""
+    counts = edges.groupBy("v").agg(F.count("u").alias("c")).withColumnRenamed("v", "k")
+    copies = F.ceil(F.col("c") / HUB).cast("int")
+    dealt = join_counted(edges, ["v"], counts, ["k"], edges.count()).select("u", "v", F.pmod(F.xxhash64("u"), copies).cast("int").alias("copy"))
+    hubs = counts.join(sets.select(F.col("id").alias("hid"), F.col("set").alias("sv")), F.col("k") == F.col("hid"))
+    hubs = hubs.select("k", "sv", F.explode(F.sequence(F.lit(0), copies - 1)).alias("n"))
+    both = dealt.join(sets.select(F.col("id").alias("uid"), F.col("set").alias("su")), F.col("u") == F.col("uid"))
+    both = both.join(hubs, (F.col("v") == F.col("k")) & (F.col("copy") == F.col("n")))
+    return both.select("u", "v", "su", "sv").mapInPandas(_compare(percent), "u long, v long")
+
+
+def _stars(tables: DataFrame, turn: int) -> DataFrame:
+    """A row for each set of members that a table has: k (one such table), hub and its set size hn, c."""
+    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    found = tables.groupBy("key").agg(
+        F.count("rep").alias("c"), F.min_by(F.struct("rep", "n"), order).alias("hub"),
+        F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("members"), "rep")).alias("s2"),
+    )
+    found = found.where("c > 1").groupBy("c", "hub", "s1", "s2").agg(F.min("key").alias("k"))
+    return materialize(found.select("k", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hn"), "c"), "stars")
+
+
+def _left_over(tables: DataFrame, sets: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links (u, v) that span what the members of tables (key, rep, n) are linked by, over all pairs in blocks."""
+    blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / block_docs), F.ceil(F.col(s) / block_shingles)).cast("int")
+    by_table = tables.groupBy("key").agg(F.count("rep").alias("c"), F.sum("n").alias("s"), F.min("rep").alias("hub")).withColumnRenamed("key", "k")
+    by_table = materialize(by_table.withColumn("nb", blocks("c", "s")), "left-tables")
+    total = by_table.agg(F.sum("c")).first()[0] or 0
+    edges = join_counted(tables, ["key"], by_table, ["k"], total).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    groups = materialize(connected_components(edges), "groups").withColumnsRenamed({"id": "gid"})
+    member = tables.select("rep", "n").distinct().join(groups, F.col("rep") == F.col("gid"))
+    by_group = member.groupBy("root").agg(F.count("rep").alias("gc"), F.sum("n").alias("gs")).withColumnRenamed("root", "groot").withColumn("gnb", blocks("gc", "gs"))
+    cost = by_table.join(groups, F.col("hub") == F.col("gid")).groupBy("root").agg(F.sum(F.col("c") * F.col("nb")).alias("cost"))
+    plan = by_group.join(cost, F.col("groot") == F.col("root")).select("groot", F.col("gc").alias("c"), F.col("gnb").alias("gnb"), (F.col("gc") * F.col("gnb") <= F.col("cost")).alias("whole"))
+    plan = materialize(plan, "left-groups")
+    whole = join_counted(member.select("rep", "root"), ["root"], plan.where("whole"), ["groot"], total).select(F.lit(0).alias("kind"), F.col("root").alias("unit"), "rep", F.col("gnb").alias("nb"))
+    apart = by_table.join(groups, F.col("hub") == F.col("gid")).join(plan.where("not whole").select("groot"), F.col("root") == F.col("groot")).select("k", "c", "nb")
+    apart = join_counted(tables, ["key"], apart, ["k"], total).select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "rep", "nb")
+    dealt = sets.join(whole.union(apart), F.col("id") == F.col("rep")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("kind", "unit", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "id", "set")
+    order = ["kind", "unit", "i", "j"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_confirm(percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, rounds: int = 2, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
     """One row per row of docs: id (its doc_id), th (hash of its text), n (set size), component (smallest doc_id reached; null for a null doc_id)."""
-    spark = docs.sparkSession
     m = tables_for(percent / 100, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     feats = materialize(base.mapInPandas(_features(width, m, rows), "id long, th long, hi long, lo long, n long, a array<long>, b array<long>"), "minhash")
@@ -170,25 +236,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         .agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
         "classes",
     )
-    # A half-keys of one class alone go first; counts and minima are added up before the shuffle and joins split a hot key
-    halves = classes.select("rep", "b", F.explode("a").alias("ak"))
-    met = halves.groupBy("ak").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("ak").alias("k"))
-    pairs = materialize(halves.join(met, F.col("ak") == F.col("k")).select("rep", F.explode(F.transform("b", lambda x: F.xxhash64("ak", x))).alias("key")), "tables")
-    least = pairs.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "v")
-    edges = pairs.join(least, F.col("key") == F.col("k")).select(F.col("rep").alias("u"), "v").where("u <> v")
-    groups = materialize(connected_components(edges), "groups")
-    member = classes.select("rep", "th", "n").join(groups, F.col("rep") == F.col("id")).select("id", "th", "n", "root")
-    size = member.groupBy("root").agg(F.count("id").alias("c"), F.sum("n").alias("s"))
-    nb = F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("s") / block_shingles)).cast("int")
-    placed = member.join(size.select(F.col("root").alias("r"), nb.alias("nb")), F.col("root") == F.col("r"))
-    placed = placed.select(F.col("id").alias("mid"), F.col("th").alias("mth"), "root", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("at"))
-    sets = base.join(placed, (base["id"] == placed["mid"]) & (base["th"] == placed["mth"])).select("id", "root", "nb", "at", F.pandas_udf(_sets(width), "binary")("text").alias("set"))
-    dealt = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("root", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "id", "set")
-    forest = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_confirm(percent), "u long, v long")
-    final = connected_components(forest)
+    # A half-keys of one class alone go first; counts are added up before the shuffle
+    halves = classes.select("rep", "n", "b", F.explode("a").alias("ak"))
+    met = materialize(halves.groupBy("ak").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("ak", "k"), "half-keys")
+    pairs = join_counted(halves, ["ak"], met, ["k"], met.agg(F.sum("c")).first()[0] or 0)
+    tables = materialize(pairs.select("rep", "n", F.explode(F.transform("b", lambda x: F.xxhash64("ak", x))).alias("key")), "tables")
+    sets, tested, links = None, None, None
+    for turn in range(rounds):
+        stars = _stars(tables, turn)
+        total = stars.agg(F.sum("c")).first()[0]
+        if total is None:
+            break
+        tables = join_counted(tables, ["key"], stars, ["k"], total).where("rep <> hub").select("key", "rep", "n", "hub", "hn")
+        # sets of unlike sizes can't be similar enough
+        near = tables.where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
+        edges = near.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+        edges = materialize(edges if tested is None else edges.join(tested, ["u", "v"], "left_anti"), "candidates")
+        tested = edges if tested is None else tested.union(edges)
+        if sets is None:  # of all members of tables; repeated rows once
+            member = tables.select("rep").union(tables.select("hub")).distinct().join(classes.select(F.col("rep").alias("crep"), F.col("th").alias("mth")), F.col("rep") == F.col("crep"))
+            held = base.join(member, (base["id"] == member["rep"]) & (base["th"] == member["mth"])).dropDuplicates(["id", "th"])
+            sets = materialize(held.select("id", F.pandas_udf(_sets(width), "binary")("text").alias("set")), "sets")
+        found = materialize(_compared(edges, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        part = materialize(connected_components(links), "parts")
+        rest = tables.join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        mixed = rest.groupBy("key").agg(F.count("rep").alias("c"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").withColumnRenamed("key", "k")
+        tables = materialize(join_counted(rest, ["key"], mixed, ["k"], total).select("key", "rep", "n"), "tables")
+    if links is None:
+        final = None
+    elif tables.isEmpty():
+        final = part
+    else:
+        final = connected_components(links.union(_left_over(tables, sets, percent, block_docs, block_shingles)))
     named = feats.select("id", "th", "n", "hi", "lo").join(classes.select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), "rep"), (F.col("hi") == F.col("chi")) & (F.col("lo") == F.col("clo")) & (F.col("n") > 0), "left")
     node = named.select("id", "th", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    if final is None:
+        return node.withColumnRenamed("rep", "component")
     out = node.join(final.select(F.col("id").alias("fid"), F.col("root").alias("froot")), F.col("rep") == F.col("fid"), "left")
     return out.select("id", "th", "n", F.coalesce("froot", "rep").alias("component"))
 
