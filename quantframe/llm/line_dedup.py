@@ -1,13 +1,15 @@
 """Line dedup over a sharded minimal perfect hash.
 
-Lines are hashed once; the hashes that repeat in enough documents go, shard by shard, into a minimal
-perfect hash (a cascade of bit arrays) that indexes three plain arrays: fingerprint, document count and
-last document. A shard is one binary row. Documents send the hashes of their lines, never the lines, to
-the shards and probe the arrays there. A shard that many documents probe is copied to several tasks
-(it is compact), so a hot line does not meet in one task.
+Lines are hashed once. The distinct line hashes go, shard by shard, into a minimal perfect hash (a cascade of bit
+arrays) that indexes three plain arrays: fingerprint, document count and last document. Counts reach a shard as
+partial sums (a line by groups of documents), which are added up in the count array at the line's slot. A shard is one
+binary row. Documents send the hashes of their lines, never the lines, to the shards and probe the arrays there,
+which say whether a line is in enough documents and whether this is the last of them. A shard that many documents
+probe is copied to several tasks (it is compact), so a hot line does not meet in one task.
 
 Defined cases: null and empty text are one empty line; a null doc_id counts as one document, smaller
-than all others; rows that share doc_id count as one document; other columns pass through.
+than all others; rows that share doc_id count as one document; other columns pass through. Two lines with equal
+64-bit hashes but other fingerprints are both kept: what finds its slot taken is listed beside the arrays.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .common import materialize, mix64
 _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAMMA = 2.0
+PARTS = 8  # partial counts a line may have
 
 
 def build_mph(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -54,28 +57,52 @@ def probe_mph(levels: list[tuple[int, np.ndarray]], keys: np.ndarray) -> np.ndar
 
 
 def pack_shard(place: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray) -> bytes:
-    levels = build_mph(place)
-    slot = probe_mph(levels, place)
-    arrays = [np.empty(len(place), t) for t in (np.uint64, np.uint32, np.int64)]
-    for a, values in zip(arrays, (fingerprint, np.minimum(count, 0xFFFFFFFF), last), strict=True):
-        a[slot] = values
-    head = struct.pack("<II", len(levels), len(place)) + b"".join(struct.pack("<Q", size) for size, _ in levels)
-    return head + b"".join(bits.tobytes() for _, bits in levels) + b"".join(a.tobytes() for a in arrays)
-
-
-def open_shard(blob: bytes) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
-    n_levels, n = struct.unpack_from("<II", blob)
-    sizes = struct.unpack_from(f"<{n_levels}Q", blob, 8)
-    at, levels, arrays = 8 + 8 * n_levels, [], []
+    """Shard of rows (line hash, fingerprint, count in some documents, last of them); the rows of a line are added up."""
+    order = np.lexsort((fingerprint, place))
+    place, fingerprint, count, last = place[order], fingerprint[order], count[order], last[order]
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (fingerprint[1:] != fingerprint[:-1])])[: len(place)]
+    # of lines with equal hashes the first takes the slot, the others are listed
+    first = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
+    line = np.cumsum(new) - 1
+    fits = first[new]
+    levels = build_mph(place[new][fits])
+    slot = np.where(fits, probe_mph(levels, place[new]), 0)
+    n, beside = int(fits.sum()), int((~fits).sum())
+    slot[~fits] = n + np.arange(beside)
+    keys, fingerprints = (np.empty(n + beside, np.uint64) for _ in range(2))
+    keys[slot], fingerprints[slot] = place[new], fingerprint[new]
+    counts, lasts = np.zeros(n + beside, np.int64), np.full(n + beside, -(2**63), np.int64)
+    np.add.at(counts, slot[line], count)
+    np.maximum.at(lasts, slot[line], last)
+    head = struct.pack("<III", len(levels), n, beside) + b"".join(struct.pack("<Q", size) for size, _ in levels)
+    return head + b"".join(bits.tobytes() for _, bits in levels) + b"".join(a.tobytes() for a in (fingerprints, counts, lasts, keys[n:]))
+
+
+def open_shard(blob: bytes) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels; fingerprint, count and last document by slot; the hashes of lines listed behind the slots."""
+    n_levels, n, beside = struct.unpack_from("<III", blob)
+    sizes = struct.unpack_from(f"<{n_levels}Q", blob, 12)
+    at, levels, arrays = 12 + 8 * n_levels, [], []
     for size in sizes:
         levels.append((size, np.frombuffer(blob, np.uint8, -(-size // 8), at)))
         at += -(-size // 8)
-    for t in (np.uint64, np.uint32, np.int64):
-        arrays.append(np.frombuffer(blob, t, n, at))
+    for t, size in ((np.uint64, n + beside), (np.int64, n + beside), (np.int64, n + beside), (np.uint64, beside)):
+        arrays.append(np.frombuffer(blob, t, size, at))
         at += arrays[-1].nbytes
     return levels, *arrays
 
 
+def probe_shard(shard: tuple, place: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+    """Slot of each line, -1 where the shard does not hold it."""
+    levels, fingerprints, _, _, beside = shard
+    slot = probe_mph(levels, place)
+    slot = np.where((slot >= 0) & (fingerprints[slot] == fingerprint), slot, -1) if len(fingerprints) else slot
+    for k, key in enumerate(beside.tolist()):
+        at = len(fingerprints) - len(beside) + k
+        slot[(place == np.uint64(key)) & (fingerprint == fingerprints[at])] = at
+    return slot
+
+
 def _line_key(line):
     return F.translate(F.btrim(line, F.lit(_WHITE)), _UPPER, _LOWER)
 
@@ -85,16 +112,17 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [key[0]], "blob": [blob]})
 
 
-def _probe(probes: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-    if not len(shards) or not len(probes):
-        return probes.iloc[:0][["id", "th", "pos"]]
-    levels, fingerprint, _, last = open_shard(shards["blob"].iloc[0])
-    slot = probe_mph(levels, probes["h1"].to_numpy().view(np.uint64))
-    found = slot >= 0
-    slot = np.where(found, slot, 0)
-    found &= fingerprint[slot] == probes["h2"].to_numpy().view(np.uint64)
-    found &= last[slot] != probes["key_id"].to_numpy()
-    return probes.loc[found, ["id", "th", "pos"]]
+def _probe(min_docs: int):
+    def run(probes: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+        if not len(shards) or not len(probes):
+            return probes.iloc[:0][["id", "th", "pos"]]
+        shard = open_shard(shards["blob"].iloc[0])
+        _, _, count, last, _ = shard
+        slot = probe_shard(shard, probes["h1"].to_numpy().view(np.uint64), probes["h2"].to_numpy().view(np.uint64))
+        gone = (slot >= 0) & (count[slot] >= min_docs) & (last[slot] != probes["key_id"].to_numpy())
+        return probes.loc[gone, ["id", "th", "pos"]]
+
+    return run
 
 
 def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -127,18 +155,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_k
         .select(F.col("id"), "th", "pos", F.coalesce("id", F.lit(-(2**63))).alias("key_id"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("fingerprint"), "line").alias("h2"))
     )
     lines = materialize(lines, "lines")
-    frequent = materialize(
-        lines.groupBy("h1", "h2").agg(F.countDistinct("key_id").alias("n"), F.max("key_id").alias("last")).where(F.col("n") >= min_docs),
-        "frequent-lines",
-    )
-    n_shards = max(1, math.ceil(frequent.count() / shard_keys))
-    n_salts = max(1, math.ceil(lines.count() / n_shards / probes_per_task))
-    # one key per h1: of two lines with equal h1 (2**-64 a pair) the probe's fingerprint could tell only one
-    frequent = frequent.groupBy("h1").agg(F.max_by(F.struct("h2", "n", "last"), F.struct("n", "h2")).alias("x")).select("h1", "x.*")
-    shards = frequent.withColumn("shard", F.pmod("h1", F.lit(n_shards))).groupBy("shard").applyInPandas(_build, "shard long, blob binary")
+    # each (line, document) once, then partial sums by groups of documents: a hot line is split over PARTS rows
+    held = lines.groupBy("h1", "h2", "key_id").agg(F.count(F.lit(1)).alias("times"))
+    partial = held.groupBy("h1", "h2", F.pmod(F.xxhash64("key_id"), F.lit(PARTS)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("key_id").alias("last"), F.sum("times").alias("times"))
+    partial = materialize(partial, "line-counts")
+    n_partial, n_lines = partial.agg(F.count(F.lit(1)), F.sum("times")).first()
+    n_shards = max(1, math.ceil(n_partial / shard_keys))
+    n_salts = max(1, math.ceil((n_lines or 0) / n_shards / probes_per_task))
+    shards = partial.select("h1", "h2", "n", "last", F.pmod("h1", F.lit(n_shards)).alias("shard")).groupBy("shard").applyInPandas(_build, "shard long, blob binary")
     shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    probes = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(n_salts)).cast("int"))
-    hits = probes.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(_probe, "id long, th long, pos int")
+    probes = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).withColumn("salt", F.pmod(F.xxhash64("id", "th", "pos"), F.lit(n_salts)).cast("int"))
+    hits = probes.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "id long, th long, pos int")
     drops = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("__qf_drop")).select(F.col("id").alias("__qf_id"), F.col("th").alias("__qf_th"), "__qf_drop")
     clean = F.pandas_udf(_kept, "text string, n_lines long, n_dropped long")
     rows = docs.withColumn("__qf_hash", F.xxhash64(F.coalesce("text", F.lit(""))))

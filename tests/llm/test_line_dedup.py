@@ -27,12 +27,24 @@ def test_mph_gives_each_key_its_own_slot():
     levels = D.build_mph(np.unique(keys))
     assert sorted(D.probe_mph(levels, np.unique(keys))) == list(range(len(np.unique(keys))))
     blob = D.pack_shard(np.unique(keys), np.unique(keys) + np.uint64(1), np.arange(len(np.unique(keys))), np.arange(len(np.unique(keys))))
-    levels, fp, count, last = D.open_shard(blob)
+    levels, fp, count, last, beside = D.open_shard(blob)
     slot = D.probe_mph(levels, np.unique(keys))
+    assert not len(beside)
     assert (fp[slot] == np.unique(keys) + np.uint64(1)).all() and (count[slot] == last[slot]).all()
     assert D.build_mph(np.empty(0, np.uint64)) == []
 
 
+def test_shards_add_up_and_keep_lines_with_equal_hashes():
+    place = np.array([5, 5, 5, 9, 5, 9], np.uint64)
+    print_ = np.array([1, 2, 1, 7, 3, 7], np.uint64)
+    shard = D.open_shard(D.pack_shard(place, print_, np.array([2, 1, 3, 1, 8, 1]), np.array([4, 6, 9, -3, 2, -8])))
+    slot = D.probe_shard(shard, np.array([5, 5, 5, 9, 9, 4], np.uint64), np.array([1, 2, 3, 7, 8, 1], np.uint64))
+    assert (slot >= 0).tolist() == [True, True, True, True, False, False] and len(set(slot[:4].tolist())) == 4
+    assert shard[2][slot[:4]].tolist() == [5, 1, 8, 2] and shard[3][slot[:4]].tolist() == [9, 6, 2, -3]
+    none = np.empty(0, np.uint64)
+    assert D.probe_shard(D.open_shard(D.pack_shard(none, none, none.astype(np.int64), none.astype(np.int64))), place, print_).tolist() == [-1] * 6
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
     pool = [prose(rng, 6) for _ in range(30)]
