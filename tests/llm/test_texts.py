@@ -414,6 +414,47 @@ def test_fragments_give_the_whole_path():
     assert out == whole
 
 
+def brute_roles(model, texts):
+    """Viterbi over the lines of one conversation, a line at a time."""
+    symbols = [chat.observe(x, k == 0)[0] for t in texts for k, x in enumerate((t or "").split("\n"))]
+    score, back = model.start + model.emit[:, symbols[0]], []
+    for s in symbols[1:]:
+        total = score[:, None] + model.step(s)
+        back.append(total.argmax(0))
+        score = total.max(0)
+    out = [int(score.argmax())]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return [chat.ROLES[r] for r in out[::-1]]
+
+
+def test_chat_is_viterbi_however_conversations_are_cut(spark):
+    rng = random.Random(18)
+    talk = lambda: rng.choice(["", "User: ", "AI: ", "### system\n"]) + "\n".join(prose(rng, rng.choice([0, 2, 9, 40])) + rng.choice(["", "?"]) for _ in range(rng.randint(1, 3)))
+    rows = [(c, t, rng.choice([*chat.ROLES, None]), talk()) for c, n in enumerate([1, 2, 70, 9, 3]) for t in range(n)]
+    counts = {"start": np.zeros(3), "cont": np.zeros((3, 3)), "turn": np.zeros((3, 3)), "emit": np.zeros((3, chat.SYMBOLS))}
+    for c in range(5):
+        before = None
+        for k, (_, _, role, text) in enumerate(r for r in rows if r[0] == c):
+            r = -1 if role is None else chat.ROLES.index(role)
+            if r >= 0:
+                for j, line in enumerate(text.split("\n")):
+                    counts["emit"][r, chat.observe(line, j == 0)[0]] += 1
+                    counts["cont"][r, r] += j > 0
+                if k == 0:
+                    counts["start"][r] += 1
+                elif before >= 0:
+                    counts["turn"][before, r] += 1
+            before = r
+    model = chat.RoleModel(**counts)
+    want = {c: brute_roles(model, [x for d, _, _, x in rows if d == c]) for c in range(5)}
+    for size in (20_000, 7, 1):
+        got = {c: [] for c in range(5)}
+        for r in sorted(chat.parse(turns(spark, rows), size).collect(), key=lambda r: (r.conv_id, r.turn, r.part)):
+            got[r.conv_id] += [r.role] * r.n_lines
+        assert got == want
+
+
 def test_chat_defined_cases(spark):
     rows = [(1, 0, "user", "User: hello?\nAssistant: good day"), (1, 1, None, None), (None, 0, "odd", "x"), (2, 5, "user", "a"), (2, 5, "user", "a")]
     out = chat.parse(turns(spark, rows).selectExpr("*", "1 as conv", "2 as frag")).collect()
