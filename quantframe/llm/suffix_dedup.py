@@ -358,7 +358,7 @@ def _result(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, group_limit: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, group_limit: int = 5_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, cut characters replaced)."""
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
