@@ -1,4 +1,8 @@
-"""Corpus cleaning pipeline: STAGES in order, each over all that its predecessor kept."""
+"""Corpus cleaning pipeline: STAGES in order, each over all that its predecessor kept.
+
+Every stage but the last is written to the shared folder and read again, so a lost executor repeats one stage at most.
+Nulls, empty texts, ties, repeated rows, empty tables and extra columns are handled as quantframe.llm.stages states.
+"""
 
 from __future__ import annotations
 
