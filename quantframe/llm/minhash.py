@@ -5,8 +5,8 @@ combining pairs (A_i, B_j), so m * m tables cost 2 * m * rows minhashes. Texts w
 one class first. Classes that meet in a table (tables with equal members count once) are candidates:
 
 1. In each table one member, the hub, is compared with every other on full sets; so all its links there are known and
-   it leaves the table. Tables with one member left, or whose members are linked already, are done. This is repeated
-   with other hubs, `rounds` times.
+   it leaves the table. Tables with one member left, or whose members are all linked with the hub, are done. This is
+   done `rounds` times, each with other hubs.
 2. What is left is confirmed over all pairs in blocks of bounded size: the members of the tables that hang together,
    or table by table, whichever means fewer copies of sets. Only a spanning forest of links leaves a task.
 3. The components of all confirmed links are found.
@@ -226,7 +226,7 @@ def _left_over(tables: DataFrame, sets: DataFrame, percent: int, block_docs: int
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_confirm(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, rounds: int = 2, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, rounds: int = 1, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
     """One row per row of docs: id (its doc_id), th (hash of its text), n (set size), component (smallest doc_id reached; null for a null doc_id)."""
     m = tables_for(percent / 100, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -259,20 +259,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
             sets = materialize(held.select("id", F.pandas_udf(_sets(width), "binary")("text").alias("set")), "sets")
         found = materialize(_compared(edges, sets, percent), "links")
         links = found if links is None else links.union(found)
-        part = materialize(connected_components(links), "parts")
-        rest = tables.join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        mixed = rest.groupBy("key").agg(F.count("rep").alias("c"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").withColumnRenamed("key", "k")
+        # a table goes on only if the hub is not linked with all its members
+        met = found.select(F.col("u").alias("mu"), F.col("v").alias("mv"))
+        rest = tables.join(met, (F.greatest("rep", "hub") == F.col("mu")) & (F.least("rep", "hub") == F.col("mv")), "left").select("key", "rep", "n", F.col("mu").isNull().alias("apart"))
+        mixed = rest.groupBy("key").agg(F.count("rep").alias("c"), F.max("apart").alias("apart")).where("c > 1 and apart").select(F.col("key").alias("k"), "c")
         tables = materialize(join_counted(rest, ["key"], mixed, ["k"], total).select("key", "rep", "n"), "tables")
-    if links is None:
-        final = None
-    elif tables.isEmpty():
-        final = part
-    else:
-        final = connected_components(links.union(_left_over(tables, sets, percent, block_docs, block_shingles)))
+    if links is not None:
+        links = links if tables.isEmpty() else links.union(_left_over(tables, sets, percent, block_docs, block_shingles))
     named = feats.select("id", "th", "n", "hi", "lo").join(classes.select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), "rep"), (F.col("hi") == F.col("chi")) & (F.col("lo") == F.col("clo")) & (F.col("n") > 0), "left")
     node = named.select("id", "th", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    if final is None:
+    if links is None:
         return node.withColumnRenamed("rep", "component")
+    final = connected_components(links)
     out = node.join(final.select(F.col("id").alias("fid"), F.col("root").alias("froot")), F.col("rep") == F.col("fid"), "left")
     return out.select("id", "th", "n", F.coalesce("froot", "rep").alias("component"))
 
