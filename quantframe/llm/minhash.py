@@ -2,16 +2,16 @@
 
 Two small collections of half-keys A and B (each half-key hashes `rows` minhashes) form m * m table keys by
 combining pairs (A_i, B_j), so m * m tables cost 2 * m * rows minhashes. Texts with equal shingle sets are
-one class first. Classes that meet in a table (tables with equal members count once) are candidates:
+one class first. Classes that meet in a table bucket are candidates:
 
-1. In each table one member, the hub, is compared with every other on full sets; so all its links there are known and
-   it leaves the table. Tables with one member left, or whose members are all linked with the hub, are done. This is
-   done `rounds` times, each with other hubs.
-2. What is left is confirmed over all pairs in blocks of bounded size: the members of the tables that hang together,
-   or table by table, whichever means fewer copies of sets. Only a spanning forest of links leaves a task.
+1. The smallest member of a bucket is its hub, and buckets with one hub are taken as one. The hub is compared with
+   every other member on full sets, so all its links there are known and it leaves the bucket. A bucket with one
+   member left, or whose members are all linked with the hub, is done.
+2. What is left is confirmed over all pairs in blocks of bounded size: the members of the buckets that hang together,
+   or bucket by bucket, whichever means fewer copies of sets. Only a spanning forest of links leaves a task.
 3. The components of all confirmed links are found.
 
-A hub with many candidates has its set copied to several tasks, and hot tables are not shuffled as one key.
+A hub with many candidates has its set copied to several tasks; minima and counts are added up before they are shuffled.
 
 Defined cases: null or empty texts have an empty set and stay alone; a text with fewer words than a shingle is
 one shingle; rows with a null doc_id are kept and belong to no component; rows that share doc_id count as
@@ -192,19 +192,8 @@ def _compared(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInPandas(_compare(percent), "u long, v long")
 
 
-def _stars(tables: DataFrame, turn: int) -> DataFrame:
-    """A row for each set of members that a table has: k (one such table), hub and its set size hn, c."""
-    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    found = tables.groupBy("key").agg(
-        F.count("rep").alias("c"), F.min_by(F.struct("rep", "n"), order).alias("hub"),
-        F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("members"), "rep")).alias("s2"),
-    )
-    found = found.where("c > 1").groupBy("c", "hub", "s1", "s2").agg(F.min("key").alias("k"))
-    return materialize(found.select("k", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hn"), "c"), "stars")
-
-
 def _left_over(tables: DataFrame, sets: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """Links (u, v) that span what the members of tables (key, rep, n) are linked by, over all pairs in blocks."""
+    """Links (u, v) that span what the members of buckets (key, rep, n) are linked by, over all pairs in blocks."""
     blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / block_docs), F.ceil(F.col(s) / block_shingles)).cast("int")
     by_table = tables.groupBy("key").agg(F.count("rep").alias("c"), F.sum("n").alias("s"), F.min("rep").alias("hub")).withColumnRenamed("key", "k")
     by_table = materialize(by_table.withColumn("nb", blocks("c", "s")), "left-tables")
@@ -226,7 +215,7 @@ def _left_over(tables: DataFrame, sets: DataFrame, percent: int, block_docs: int
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_confirm(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, rounds: int = 1, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
     """One row per row of docs: id (its doc_id), th (hash of its text), n (set size), component (smallest doc_id reached; null for a null doc_id)."""
     m = tables_for(percent / 100, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -236,41 +225,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         .agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
         "classes",
     )
-    # A half-keys of one class alone go first; counts are added up before the shuffle
+    # A half-keys of one class alone go first; counts and minima are added up before the shuffle and joins split a hot key
     halves = classes.select("rep", "n", "b", F.explode("a").alias("ak"))
-    met = materialize(halves.groupBy("ak").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("ak", "k"), "half-keys")
-    pairs = join_counted(halves, ["ak"], met, ["k"], met.agg(F.sum("c")).first()[0] or 0)
-    tables = materialize(pairs.select("rep", "n", F.explode(F.transform("b", lambda x: F.xxhash64("ak", x))).alias("key")), "tables")
-    sets, tested, links = None, None, None
-    for turn in range(rounds):
-        stars = _stars(tables, turn)
-        total = stars.agg(F.sum("c")).first()[0]
-        if total is None:
-            break
-        tables = join_counted(tables, ["key"], stars, ["k"], total).where("rep <> hub").select("key", "rep", "n", "hub", "hn")
+    met = halves.groupBy("ak").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("ak").alias("k"))
+    pairs = materialize(halves.join(met, F.col("ak") == F.col("k")).select("rep", "n", F.explode(F.transform("b", lambda x: F.xxhash64("ak", x))).alias("key")), "tables")
+    least = pairs.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "hub")
+    edges = pairs.join(least, F.col("key") == F.col("k")).where("rep <> hub.rep")
+    edges = materialize(edges.select(F.col("rep").alias("u"), F.col("hub.rep").alias("v"), "n", F.col("hub.n").alias("hn")).distinct(), "candidates")
+    final = None
+    if not edges.isEmpty():
+        member = edges.select("u").union(edges.select("v")).distinct().join(classes.select(F.col("rep").alias("crep"), F.col("th").alias("mth")), F.col("u") == F.col("crep"))
+        held = base.join(member, (base["id"] == member["u"]) & (base["th"] == member["mth"])).dropDuplicates(["id", "th"])
+        sets = materialize(held.select("id", F.pandas_udf(_sets(width), "binary")("text").alias("set")), "sets")
         # sets of unlike sizes can't be similar enough
-        near = tables.where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
-        edges = near.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
-        edges = materialize(edges if tested is None else edges.join(tested, ["u", "v"], "left_anti"), "candidates")
-        tested = edges if tested is None else tested.union(edges)
-        if sets is None:  # of all members of tables; repeated rows once
-            member = tables.select("rep").union(tables.select("hub")).distinct().join(classes.select(F.col("rep").alias("crep"), F.col("th").alias("mth")), F.col("rep") == F.col("crep"))
-            held = base.join(member, (base["id"] == member["rep"]) & (base["th"] == member["mth"])).dropDuplicates(["id", "th"])
-            sets = materialize(held.select("id", F.pandas_udf(_sets(width), "binary")("text").alias("set")), "sets")
-        found = materialize(_compared(edges, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        # a table goes on only if the hub is not linked with all its members
-        met = found.select(F.col("u").alias("mu"), F.col("v").alias("mv"))
-        rest = tables.join(met, (F.greatest("rep", "hub") == F.col("mu")) & (F.least("rep", "hub") == F.col("mv")), "left").select("key", "rep", "n", F.col("mu").isNull().alias("apart"))
-        mixed = rest.groupBy("key").agg(F.count("rep").alias("c"), F.max("apart").alias("apart")).where("c > 1 and apart").select(F.col("key").alias("k"), "c")
-        tables = materialize(join_counted(rest, ["key"], mixed, ["k"], total).select("key", "rep", "n"), "tables")
-    if links is not None:
-        links = links if tables.isEmpty() else links.union(_left_over(tables, sets, percent, block_docs, block_shingles))
+        links = materialize(_compared(edges.where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")).select("u", "v"), sets, percent), "links")
+        # a bucket goes on if two or more are left and the hub is not linked with all of them
+        apart = links.groupBy(F.col("v").alias("k")).agg(F.count("u").alias("linked"))
+        sizes = edges.groupBy(F.col("v").alias("hub")).agg(F.count("u").alias("c"))
+        open_ = sizes.join(apart, F.col("hub") == F.col("k"), "left").where("c > 1 and c > coalesce(linked, 0)").select("hub")
+        left = materialize(edges.join(open_, F.col("v") == F.col("hub"), "left_semi").select(F.col("v").alias("key"), F.col("u").alias("rep"), "n"), "left")
+        if not left.isEmpty():
+            links = links.union(_left_over(left, sets, percent, block_docs, block_shingles))
+        final = connected_components(links)
     named = feats.select("id", "th", "n", "hi", "lo").join(classes.select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), "rep"), (F.col("hi") == F.col("chi")) & (F.col("lo") == F.col("clo")) & (F.col("n") > 0), "left")
     node = named.select("id", "th", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    if links is None:
+    if final is None:
         return node.withColumnRenamed("rep", "component")
-    final = connected_components(links)
     out = node.join(final.select(F.col("id").alias("fid"), F.col("root").alias("froot")), F.col("rep") == F.col("fid"), "left")
     return out.select("id", "th", "n", F.coalesce("froot", "rep").alias("component"))
 
