@@ -19,14 +19,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log2
-from sys import intern
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
@@ -65,18 +64,31 @@ class OrdinalModel:
 
 
 def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int], grade: np.ndarray, l1: float, l2: float, steps: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Accelerated proximal gradient on the cumulative-link likelihood: shared weights, one cut a threshold."""
+    """Accelerated proximal gradient on the cumulative-link likelihood: shared weights, one cut a threshold. Entries come by row."""
     n, width = shape
+    by_col = np.argsort(col, kind="stable")
+    rows_of, values_of = row[by_col].astype(np.int32), value[by_col]
+    row_at, col_at = np.searchsorted(row, np.arange(n)), np.searchsorted(col[by_col], np.arange(width))
+    col = col.astype(np.int32)
+    empty_row, empty_col = np.bincount(row, minlength=n) == 0, np.bincount(col, minlength=width) == 0
+
+    def sums(x: np.ndarray, at: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        out = np.add.reduceat(np.append(x, 0.0), at)
+        out[empty] = 0.0
+        return out
+
+    times = lambda w: sums(value * w[col], row_at, empty_row)
+    back = lambda z: sums(values_of * z[rows_of], col_at, empty_col)
     w, x, momentum, v = np.zeros(width), np.zeros(width), 1.0, np.ones(width)
     for _ in range(15):  # the largest eigenvalue bounds the step
-        v = np.bincount(col, value * np.bincount(row, value * v[col], n)[row], width)
+        v = back(times(v))
         v /= (top := float(np.linalg.norm(v)))
     rate = 1.0 / (0.25 * (GRADES - 1) * top / n + l2)
     for _ in range(steps):
-        z = np.bincount(row, value * x[col], n)
+        z = times(x)
         p = 1.0 / (1.0 + np.exp(np.clip(cuts[None, :] - z[:, None], -40, 40)))
         err = p - (grade[:, None] > np.arange(GRADES - 1)[None, :])
-        g = np.bincount(col, value * err.sum(1)[row], width) / n + l2 * x
+        g = back(err.sum(1)) / n + l2 * x
         new = x - rate * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         if (new - w) @ (x - new) > 0:  # restart where momentum turns against the descent
@@ -87,63 +99,68 @@ def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[i
     return w, cuts
 
 
-def fit_ordinal(words: list[set[str]], grade: np.ndarray, min_docs: int = 4, l1: float = 1.5e-3, l2: float = 2e-4, steps: int = 150) -> OrdinalModel:
-    """An L1 fit chooses the features; a second fit over those alone gives their weights unshrunk."""
-    seen: dict[str, int] = {}
-    for s in words:
-        for f in features(s):
-            seen[f] = seen.get(f, 0) + 1
-    names = sorted(f for f, n in seen.items() if min_docs <= n <= len(words) / 3)
-    vocab = {f: k for k, f in enumerate(names)}
-    if not vocab:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, names: list[str], grade: np.ndarray, l1: float = 1.5e-3, l2: float = 2e-4, steps: int = 150) -> OrdinalModel:
+    """Model of features given as (document, feature, value). An L1 fit chooses the features; a second fit over those alone gives their weights unshrunk."""
+    if not len(row):
         return OrdinalModel()
-    del seen
-    cols, values = [], []
-    for s in words:  # made again rather than kept: the sample's features take far more room than its words
-        some = [(vocab[f], x) for f, x in features(s).items() if f in vocab]
-        cols.append(np.array([k for k, _ in some], np.int32))
-        values.append(np.array([x for _, x in some], np.float32))
-    value = np.concatenate(values)
-    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     share = [np.clip(np.mean(grade > k), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)]
     cuts = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + 1e-6 * np.arange(GRADES - 1))
-    w, cuts = _descend(row, col, value, (len(words), len(names)), grade, l1, 0.0, steps, cuts)
+    w, cuts = _descend(row, col, value, (len(grade), len(names)), grade, l1, 0.0, steps, cuts)
     chosen = np.flatnonzero(w)
     if not len(chosen):
         return OrdinalModel()
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     on = place[col] >= 0
-    w, cuts = _descend(row[on], place[col[on]], value[on], (len(words), len(chosen)), grade, 0.0, l2, 3 * steps, cuts)
+    w, cuts = _descend(row[on], place[col[on]], value[on], (len(grade), len(chosen)), grade, 0.0, l2, 3 * steps, cuts)
     return OrdinalModel({names[k]: float(v) for k, v in zip(chosen, w, strict=True)}, tuple(map(float, cuts)))
 
 
-def grades(words: list[set[str]], toxic: np.ndarray, many: int = 3) -> np.ndarray:
-    """0 clean, 1 toxic, 2 toxic with `many` or more distinct words that are typical of toxic documents."""
-    seen: dict[str, list[int]] = {}
-    for s, t in zip(words, toxic, strict=True):
-        for w in s:
-            seen.setdefault(w, [0, 0])[int(t)] += 1
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    typical = {w for w, (c, t) in seen.items() if t >= 3 and (t + 0.5) / n1 > 8 * (c + 0.5) / n0}
-    return np.array([0 if not t else 1 + (len(s & typical) >= many) for s, t in zip(words, toxic, strict=True)])
+def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [features(word_set(text)) for text in batch["text"]]
+        out = batch[["doc", "toxic"]].assign(f=pd.Series([list(x) for x in found], batch.index, dtype=object))
+        yield out.assign(x=pd.Series([np.fromiter(x.values(), np.float32, len(x)) for x in found], batch.index, dtype=object))
+
 
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000, min_docs: int = 4, many: int = 3) -> OrdinalModel:
+    """Model of at most `max_fit` labelled documents (of rows that share a doc_id the least text counts).
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000) -> OrdinalModel:
+    Features are counted by Spark; only those that are used, and their numbers in each document, come to the driver. A
+    document has grade 0 if it is labelled clean, 1 if toxic, 2 if toxic with `many` or more distinct words that are
+    typical of toxic documents.
+    """
     sample = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__qf_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
         .select(F.col("doc_id").alias("__qf_label"), "__qf_toxic")
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__qf_label"))
-    split = F.pandas_udf(lambda s: s.map(lambda x: sorted(word_set(x))), "array<string>")
-    rows = texts.select("doc_id", "__qf_toxic", split("text").alias("words")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    toxic = rows["__qf_toxic"].to_numpy().astype(int)
-    if not 0 < toxic.sum() < len(toxic):
+    texts = texts.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("__qf_toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    # the sample is small: one part of it for each core, not one for each Arrow batch
+    texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc")
+    found = materialize(texts.mapInPandas(_featured, "doc long, toxic int, f array<string>, x array<float>"), "toxic-features")
+    n, n1 = found.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n1 or n1 == n:
         return OrdinalModel()
-    words = [set(map(intern, x)) for x in rows["words"]]  # one string for a word, however many documents hold it
-    del rows
-    return fit_ordinal(words, grades(words, toxic))
+    typical = (F.substring("f", 1, 1) != "^") & (F.col("t") >= 3) & ((F.col("t") + 0.5) / n1 > 8 * (F.col("n") - F.col("t") + 0.5) / (n - n1))
+    used = (F.col("n") >= min_docs) & (F.col("n") <= n / 3)
+    seen = found.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    vocab = seen.where(typical | used).select("f", typical.alias("typical"), used.alias("used")).toPandas().sort_values("f")
+    names, is_typical, is_used = vocab["f"].tolist(), vocab["typical"].to_numpy(), vocab["used"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cols = [np.array([shared.value.get(f, -1) for f in x], np.int32) for x in batch["f"]]
+            out = batch[["doc", "toxic"]].assign(cols=pd.Series([c[c >= 0] for c in cols], batch.index, dtype=object))
+            yield out.assign(x=pd.Series([x[c >= 0] for c, x in zip(cols, batch["x"], strict=True)], batch.index, dtype=object))
+
+    rows = found.mapInPandas(numbered, "doc long, toxic int, cols array<int>, x array<float>").toPandas().sort_values("doc")
+    row, col = np.repeat(np.arange(n), rows["cols"].map(len)), np.concatenate(rows["cols"].tolist()).astype(np.int64)
+    grade = rows["toxic"].to_numpy() * (1 + (np.bincount(row, is_typical[col], n) >= many))
+    on = is_used[col]
+    return fit_ordinal(row[on], col[on], np.concatenate(rows["x"].tolist())[on].astype(np.float64), names, grade)
 
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:

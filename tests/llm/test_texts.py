@@ -279,6 +279,41 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(a >= b for a, b in [model.above(many)])
 
 
+def test_ordinal_fit_is_where_the_likelihood_is_flat():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 12)) < 0.3) * rng.random((200, 12))
+    grade = np.clip(np.rint(x @ rng.normal(0, 2, 12) + rng.logistic(0, 1, 200) * 0.5 + 0.5), 0, 2).astype(int)
+    row, col = np.nonzero(x)
+    l2 = 0.01
+    w, cuts = toxicity._descend(row, col, x[row, col], x.shape, grade, 0.0, l2, 5000, np.array([0.0, 1.0]))
+
+    def objective(w, cuts):
+        p = 1 / (1 + np.exp(cuts[None, :] - (x @ w)[:, None]))
+        over = grade[:, None] > np.arange(2)[None, :]
+        return -np.log(np.where(over, p, 1 - p)).sum(1).mean() + l2 / 2 * (w**2).sum()
+
+    at = np.concatenate([w, cuts])
+    for k in range(14):
+        step = np.zeros(14)
+        step[k] = 1e-5
+        slope = (objective(*np.split(at + step, [12])) - objective(*np.split(at - step, [12]))) / 2e-5
+        assert abs(slope) < 1e-4
+
+
+def test_toxicity_of_long_texts_and_repeated_rows(spark):
+    bad = ["vexa", "groxly", "plorm"]
+    rng = random.Random(26)
+    texts = [" ".join([prose(rng, 30), *(bad if k % 3 == 0 else [])]) for k in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts + texts[:40] * 3 + [prose(rng, 50_000) + " vexa groxly plorm", None], [*range(90), *[*range(40)] * 3, 500, None])
+    once = toxicity.fit(docs(spark, texts), labels)
+    model = toxicity.fit(df, labels)
+    assert model.weights == pytest.approx(once.weights) and model.thresholds == pytest.approx(once.thresholds)
+    rows = toxicity.score(df, model).collect()
+    assert len(rows) == 212 and all(len({r.severity for r in rows if r.doc_id == i}) == 1 for i in range(90))
+    assert next(r for r in rows if r.doc_id == 500).toxic and not next(r for r in rows if r.doc_id is None).toxic
+
+
 def test_toxicity_defined_cases(spark):
     df = docs(spark, [None, "", "a b"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
