@@ -67,10 +67,10 @@ def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[i
     """Accelerated proximal gradient on the cumulative-link likelihood: shared weights, one cut a threshold. Entries come by row."""
     n, width = shape
     by_col = np.argsort(col, kind="stable")
-    rows_of, values_of = row[by_col].astype(np.int32), value[by_col]
-    row_at, col_at = np.searchsorted(row, np.arange(n)), np.searchsorted(col[by_col], np.arange(width))
-    col = col.astype(np.int32)
-    empty_row, empty_col = np.bincount(row, minlength=n) == 0, np.bincount(col, minlength=width) == 0
+    rows_of, values_of = row[by_col], value[by_col]
+    del by_col
+    in_row, in_col = np.bincount(row, minlength=n), np.bincount(col, minlength=width)
+    row_at, col_at, empty_row, empty_col = np.cumsum(in_row) - in_row, np.cumsum(in_col) - in_col, in_row == 0, in_col == 0
 
     def sums(x: np.ndarray, at: np.ndarray, empty: np.ndarray) -> np.ndarray:
         out = np.add.reduceat(np.append(x, 0.0), at)
@@ -157,10 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000, min_docs: int =
             yield out.assign(x=pd.Series([x[c >= 0] for c, x in zip(cols, batch["x"], strict=True)], batch.index, dtype=object))
 
     rows = found.mapInPandas(numbered, "doc long, toxic int, cols array<int>, x array<float>").toPandas().sort_values("doc")
-    row, col = np.repeat(np.arange(n), rows["cols"].map(len)), np.concatenate(rows["cols"].tolist()).astype(np.int64)
-    grade = rows["toxic"].to_numpy() * (1 + (np.bincount(row, is_typical[col], n) >= many))
+    row, col = np.repeat(np.arange(n, dtype=np.int32), rows["cols"].map(len)), np.concatenate(rows["cols"].tolist())
+    value, toxic = np.concatenate(rows["x"].tolist()), rows["toxic"].to_numpy()
+    del rows, vocab
+    grade = toxic * (1 + (np.bincount(row, is_typical[col], n) >= many))
     on = is_used[col]
-    return fit_ordinal(row[on], col[on], np.concatenate(rows["x"].tolist())[on].astype(np.float64), names, grade)
+    row, col, value = row[on], col[on], value[on]
+    return fit_ordinal(row, col, value, names, grade)
 
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
