@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000, min_docs: int =
     document has grade 0 if it is labelled clean, 1 if toxic, 2 if toxic with `many` or more distinct words that are
     typical of toxic documents.
     """
+    small_batches(docs.sparkSession)
     sample = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__qf_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000, min_docs: int =
             yield out.assign(x=pd.Series([x[c >= 0] for c, x in zip(cols, batch["x"], strict=True)], batch.index, dtype=object))
 
     rows = found.mapInPandas(numbered, "doc long, toxic int, cols array<int>, x array<float>").toPandas().sort_values("doc")
-    row, col = np.repeat(np.arange(n, dtype=np.int32), rows["cols"].map(len)), np.concatenate(rows["cols"].tolist())
+    row, col = np.repeat(np.arange(n, dtype=np.int32), rows["cols"].map(len)), np.concatenate(rows["cols"].tolist()).astype(np.int32)
     value, toxic = np.concatenate(rows["x"].tolist()), rows["toxic"].to_numpy()
     del rows, vocab
     grade = toxic * (1 + (np.bincount(row, is_typical[col], n) >= many))
@@ -168,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 3000, min_docs: int =
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs plus the struct __qf_tox of severity (expected grade, 0 to 2), p_toxic and grade (most likely)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
