@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 ROLES = ("system", "user", "assistant")
 K = len(ROLES)
@@ -242,6 +242,7 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse(conversations: DataFrame, fragment_rows: int = 20_000) -> DataFrame:
     """One row per recovered turn: conv_id, turn (of the row), part (run of one role in that row), role, given_role, n_lines, text (rendered)."""
+    small_batches(conversations.sparkSession)
     rows = materialize(ordered_rows(conversations, fragment_rows), "chat")
     # the folder keeps neither partitions nor order; texts stay behind from here
     light = rows.select("conv", "frag", "idx", "role", "symbols").repartition("conv", "frag").sortWithinPartitions("conv", "frag", "idx")

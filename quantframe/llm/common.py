@@ -58,6 +58,13 @@ def join_counted(rows: DataFrame, keys: list[str], side: DataFrame, side_keys: l
     return near.unionByName(far.join(cold, on(far, cold)))
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand whole texts to Python in Arrow batches of at most `size` bytes, unless the user has set another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(size))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64) over a uint64 array."""
     with np.errstate(over="ignore"):

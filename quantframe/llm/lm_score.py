@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .packing import encoder
 
 N_IDS = 50_257
@@ -130,6 +130,7 @@ def _code(path: str, chunk_ids: int):
 
 def code(docs: DataFrame, target: DataFrame | None, rank_file: str, chunk_ids: int = 1 << 21) -> DataFrame:
     """A table of two kinds of rows: documents as ids, and for each chunk of documents its bigrams with their counts there."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("target"))
     if target is not None:
         named = target.select(F.col("doc_id").alias("__qf_id")).where("__qf_id is not null").distinct().withColumn("__qf_in", F.lit(True))
@@ -173,7 +174,7 @@ def score_coded(coded: DataFrame, model: Model, counted: bool = True) -> DataFra
         good, raws = texts.column("good").to_numpy(), texts.column("ids").to_pylist()
         n, means = [], []
         at = 0
-        while at < len(raws):  # documents of about a million ids at once
+        while at < len(raws):  # documents of about 250,000 ids at once
             end, size = at, 0
             while end < len(raws) and (end == at or size + len(raws[end]) <= 1 << 21):
                 size += len(raws[end])

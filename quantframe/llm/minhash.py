@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, mix64
+from .common import join_counted, materialize, mix64, small_batches
 from .components import connected_components
 
 MISS = 1e-4
@@ -217,6 +217,7 @@ def _left_over(tables: DataFrame, sets: DataFrame, percent: int, block_docs: int
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, block_docs: int = 1500, block_shingles: int = 1_500_000) -> DataFrame:
     """One row per row of docs: id (its doc_id), th (hash of its text), n (set size), component (smallest doc_id reached; null for a null doc_id)."""
+    small_batches(docs.sparkSession)
     m = tables_for(percent / 100, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     feats = materialize(base.mapInPandas(_features(width, m, rows), "id long, th long, hi long, lo long, n long, a array<long>, b array<long>"), "minhash")

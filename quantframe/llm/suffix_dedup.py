@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, mix64
+from .common import join_counted, materialize, mix64, small_batches
 
 K = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -360,6 +360,7 @@ def _result(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = 100, group_limit: int = 5_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, cut characters replaced)."""
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     rows = materialize(base.select("id", "th", "text").mapInPandas(_anchor_rows(length), "h long, u long, id long, th long, x long"), "anchors")
