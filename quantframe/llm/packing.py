@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

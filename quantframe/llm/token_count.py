@@ -34,8 +34,6 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .common import small_batches
 
-
-
 FINAL = 256
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 _SPECIAL_CHAR = "\ud800"  # a lone surrogate: no text holds it
