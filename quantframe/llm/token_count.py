@@ -256,9 +256,9 @@ class Transducer:
 class Counter:
     """Counts the tokens of many texts at once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: np.ndarray | None = None):
         self.transducer = Transducer(path)
-        self.classes = char_classes()
+        self.classes = char_classes() if classes is None else classes
         self.special = re.compile("|".join(map(re.escape, self.transducer.specials)))
         self.library = Tokenizer.from_file(path).normalizer
 
@@ -308,19 +308,20 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, classes: np.ndarray) -> Counter:
     """One compiled transducer a worker process."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, classes)
     return _COUNTERS[path]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, batch_chars: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row per row of docs."""
     small_batches(docs.sparkSession)
+    classes = docs.sparkSession.sparkContext.broadcast(char_classes())  # a byte for each code point
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(path)
+        c = counter(path, classes.value)
         for batch in batches:
             texts = [x or "" for x in batch["text"]]
             n, at = [], 0
