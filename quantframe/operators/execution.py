@@ -1,10 +1,7 @@
-"""From targets to positions: normalising, capping, simulated fills, reconciliation, sizing and risk."""
+"""From targets to positions: normalising, capping, backtests, reconciliation, sizing and risk."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,86 +19,39 @@ def cap(targets: DataFrame, most: float | None = MAX_WEIGHT) -> DataFrame:
     return targets if most is None or most >= 1 else targets.withColumn("weight", F.least("weight", F.lit(most)))
 
 
-class Account:
-    """Simulated account. A day: mark, value, close what is not wanted, trade towards targets at costs, value again."""
-
-    def __init__(self, start: float = START, cost_bps: float = COST_BPS, most: float | None = MAX_WEIGHT, overlay: float = 1.0, hold_unchanged: bool = False):
-        self.cash, self.shares, self.marks, self.last = start, {}, {}, {}
-        self.rate, self.most, self.overlay, self.hold = cost_bps / 1e4, most, overlay, hold_unchanged
-
-    def nav(self) -> float:
-        return self.cash + sum(n * self.marks.get(t, 0.0) for t, n in self.shares.items())
-
-    def execute(self, targets: dict[str, float], prices: dict[str, float]) -> float:
-        """Value after trading to targets (ticker -> share of value) at prices; a missing or non-positive price is no price."""
-        prices = {t: p for t, p in prices.items() if p is not None and p > 0}
-        self.marks.update(prices)
-        most = 1.0 if self.most is None else self.most
-        targets = {t: min(w, most) for t, w in targets.items() if w > 0}
-        total = self.nav()
-        for t in [t for t in self.shares if t not in targets]:
-            p, n = prices.get(t, self.marks.get(t, 0.0)), self.shares.pop(t)
-            self.cash += n * p - abs(n * p) * self.rate
-        for t, w in targets.items():
-            p = prices.get(t)
-            if p is None or (self.hold and t in self.shares and self.last.get(t) == w):
-                continue
-            delta = w * total * self.overlay / p - self.shares.get(t, 0.0)
-            if abs(delta) >= 1e-9:
-                self.cash -= delta * p + abs(delta) * p * self.rate
-                self.shares[t] = self.shares.get(t, 0.0) + delta
-        self.last = targets
-        return self.nav()
-
-
-def simulate(targets: DataFrame, bars: DataFrame, price: str = "open", **account) -> DataFrame:
-    """(run, date, nav): each run replays its bars in date order, and targets of one bar are filled on the next.
-
-    Runs are independent; a run's rows are sorted by Spark and read as a stream, so a task holds one day of one run at a time.
+def backtest(targets: DataFrame, bars: DataFrame, price: str = "open", cost_bps: float = COST_BPS, most: float | None = MAX_WEIGHT, start: float = START) -> DataFrame:
+    """(run, date, nav, log_nav) of targets (run, date, ticker, weight), by column arithmetic: no account is replayed.
+
+    What is decided on a bar is held from the next bar of the market on (of the run's own bars, if bars have a run), in
+    each name that has a price there. A name's gain is its price over its last one and counts on the day it is known.
+    With g the sum of held weights times gains, holdings drift to weight (1 + gain) / (1 + g), costs are paid on the sum of
+    differences to the new weights, and nav is the running product of (1 + g) (1 - costs). A run has a row for each day on
+    which it decides or holds. Shuffles are by (run, date, ticker); only days of a run are put in order.
     """
-    runs = targets.select("run").distinct()
-    rows = runs.crossJoin(F.broadcast(bars.select("date", "ticker", F.col(price).alias("price")))) if bars.columns.count("run") == 0 else bars.select("run", "date", "ticker", F.col(price).alias("price"))
-    rows = rows.join(targets.select("run", "date", "ticker", "weight"), ["run", "date", "ticker"], "full_outer")
-    rows = rows.repartition("run").sortWithinPartitions("run", "date", "ticker")
-
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = day = acc = None
-        held: dict[str, float] = {}
-        want, prices = {}, {}
-
-        def close() -> tuple | None:
-            nonlocal held
-            if acc is None or day is None:
-                return None
-            out = (run, day, acc.execute(held, prices)) if prices else None
-            held = want
-            return out
-
-        for batch in batches:
-            out = []
-            for r, date, ticker, p, w in zip(batch["run"], batch["date"], batch["ticker"], batch["price"], batch["weight"], strict=True):
-                if (r, date) != (run, day):
-                    if row := close():
-                        out.append(row)
-                    if r != run:
-                        run, acc, held = r, Account(**account), {}
-                    day, want, prices = date, {}, {}
-                if not pd.isna(p):
-                    prices[ticker] = p
-                if not pd.isna(w):
-                    want[ticker] = w
-            yield pd.DataFrame(out, columns=["run", "date", "nav"])
-        if row := close():
-            yield pd.DataFrame([row], columns=["run", "date", "nav"])
-
-    kind = dict(targets.dtypes)["run"]
-    return rows.select("run", "date", "ticker", "price", "weight").mapInPandas(play, f"run {kind}, date date, nav double")
+    own = [c for c in ("run",) if c in bars.columns]
+    px = bars.where(F.col(price) > 0).select(*own, "date", "ticker", F.col(price).alias("p"))
+    px = px.withColumn("gain", F.col("p") / F.lag("p").over(Window.partitionBy(*own, "ticker").orderBy("date")) - 1)
+    days = px.select(*own, "date").distinct().withColumn("next", F.lead("date").over(Window.partitionBy(*own).orderBy("date")))  # a row a market day
+    later = lambda held: held.join(days, [*own, "date"]).where("next is not null").select("run", F.col("next").alias("date"), "ticker", "weight")
+    names, none = ["run", "date", "ticker"], F.lit(0.0)
+    decided = cap(targets.where("weight > 0"), most).select(*names, "weight")
+    held = later(decided).join(px.select(*own, "date", "ticker"), [*own, "date", "ticker"], "left_semi")
+    before = later(held).join(px.select(*own, "date", "ticker", "gain"), [*own, "date", "ticker"], "left")
+    rows = held.select(*names, F.col("weight").alias("new"), none.alias("old"), none.alias("gain"))
+    rows = rows.unionByName(before.select(*names, none.alias("new"), F.col("weight").alias("old"), F.coalesce("gain", none).alias("gain")))
+    rows = rows.unionByName(decided.join(days, [*own, "date"], "left_semi").select(*names, none.alias("new"), none.alias("old"), none.alias("gain")))
+    by_name = rows.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("new", "old", "gain")])
+    by_name = by_name.withColumn("g", F.sum(F.col("old") * F.col("gain")).over(Window.partitionBy("run", "date")))
+    moved = F.abs(F.col("new") - F.col("old") * (1 + F.col("gain")) / (1 + F.col("g")))
+    by_day = by_name.groupBy("run", "date").agg(F.log((1 + F.first("g")) * (1 - F.sum(moved) * cost_bps / 1e4)).alias("step"))
+    by_day = by_day.withColumn("log_nav", F.log(F.lit(start)) + F.sum("step").over(Window.partitionBy("run").orderBy("date")))
+    return by_day.select("run", "date", F.exp("log_nav").alias("nav"), "log_nav")
 
 
 def nav_returns(nav: DataFrame) -> DataFrame:
-    """(series_id, date, ret) of navs; the first day of a run is left out."""
-    before = F.lag("nav").over(Window.partitionBy("run").orderBy("date"))
-    return nav.withColumn("ret", F.col("nav") / before - 1).where("ret is not null").select(F.col("run").alias("series_id"), "date", "ret")
+    """(series_id, date, ret) of navs (run, date, log_nav); the first day of a run is left out."""
+    before = F.lag("log_nav").over(Window.partitionBy("run").orderBy("date"))
+    return nav.withColumn("ret", F.expm1(F.col("log_nav") - before)).where("ret is not null").select(F.col("run").alias("series_id"), "date", "ret")
 
 
 def reconcile(targets: DataFrame, positions: DataFrame, prices: DataFrame, equity: float, hold: list[str] = (), least: float = 1.0) -> DataFrame:

@@ -78,9 +78,10 @@ def in_interval(events: DataFrame, spans: DataFrame, by: list[str], time: str, s
     if not bucket_days:
         return events.join(spans, by).where(inside)
     number = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / bucket_days)
-    last = F.coalesce(F.col(end), F.current_date().cast("timestamp"))
-    dealt = spans.withColumn("__b", F.explode(F.sequence(number(F.col(start)), F.greatest(number(last), number(F.col(start))))))
-    return events.withColumn("__b", number(F.col(time))).join(dealt, [*by, "__b"]).where(inside).drop("__b")
+    closed = spans.where(F.col(end).isNotNull())
+    dealt = closed.withColumn("__b", F.explode(F.sequence(number(F.col(start)), F.greatest(number(F.col(end)), number(F.col(start))))))
+    near = events.withColumn("__b", number(F.col(time))).join(dealt, [*by, "__b"]).where(inside).drop("__b")
+    return near.unionByName(events.join(spans.where(F.col(end).isNull()), by).where(inside))  # an open span has no last bucket
 
 
 def newest(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -115,8 +116,12 @@ def members(intervals: DataFrame, at) -> DataFrame:
 
 
 def members_by_date(intervals: DataFrame, dates: DataFrame) -> DataFrame:
-    """(date, ticker) of every rebalance date: each interval lists its own month ends, so no date meets all intervals."""
-    end = F.coalesce(F.date_sub("date_removed", 1), F.lit("2001-12-31").cast("date"))
+    """(date, ticker) of every rebalance date: each interval lists its own month ends up to the last date, so no date meets all intervals."""
+    last = dates.agg(F.max("date")).first()[0]
+    if last is None:
+        return dates.limit(0).select("date", F.lit(None).cast("string").alias("ticker"))
+    intervals = intervals.where(F.col("date_added") <= F.lit(last))
+    end = F.coalesce(F.least(F.date_sub("date_removed", 1), F.lit(last)), F.lit(last))
     months = F.sequence(F.trunc("date_added", "month"), F.trunc(F.greatest(end, F.col("date_added")), "month"), F.expr("interval 1 month"))
     listed = intervals.select("ticker", "date_added", "date_removed", F.explode(months).alias("__m")).select("ticker", "date_added", "date_removed", F.last_day("__m").alias("date"))
     inside = (F.col("date_added") <= F.col("date")) & (F.col("date_removed").isNull() | (F.col("date_removed") > F.col("date")))

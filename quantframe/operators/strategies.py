@@ -94,62 +94,6 @@ def hold_entries(entries: DataFrame, hold: int, size: float = 0.02) -> DataFrame
     return rows.mapInPandas(run, "date date, ticker string, weight double")
 
 
-class TrailingBook:
-    """Event-driven book: up to `slots` names, entered on a surprise bar, left when the close meets a stop that only rises (close less `stop` Wilder ranges) or after `hold` bars."""
-
-    def __init__(self, slots: int = 10, hold: int = 10, stop: float = 2.5, n: int = 14):
-        self.slots, self.hold, self.stop, self.n = slots, hold, stop, n
-        self.atr: dict[str, float] = {}
-        self.close: dict[str, float] = {}
-        self.open: dict[str, list[float]] = {}  # ticker -> [stop, bars held]
-
-    def day(self, bars: list[tuple[str, float, float, float, bool]]) -> dict[str, float]:
-        """Targets after one day of (ticker, high, low, close, entry)."""
-        for t, high, low, close, _ in bars:
-            before = self.close.get(t)
-            tr = high - low if before is None else max(high - low, abs(high - before), abs(low - before))
-            a = self.atr.get(t)
-            self.atr[t] = tr if a is None else a + (tr - a) / self.n
-            self.close[t] = close
-        for state in self.open.values():
-            state[1] += 1
-        for t, _, _, close, _ in bars:
-            if t in self.open:
-                state = self.open[t]
-                if close <= state[0] or state[1] >= self.hold:
-                    del self.open[t]
-                else:
-                    state[0] = max(state[0], close - self.stop * self.atr[t])
-        for t, _, _, close, entry in bars:
-            if entry and t not in self.open and len(self.open) < self.slots:
-                self.open[t] = [close - self.stop * self.atr[t], 0]
-        return {t: 1 / self.slots for t in self.open}
-
-
-def surprise_book(panel: DataFrame, **book) -> DataFrame:
-    """(run, date, ticker, weight) of TrailingBook over panel (run, date, ticker, high, low, close, entry); one run is one book, read as a sorted stream."""
-
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = day = state = None
-        today: list = []
-        for b in batches:
-            out = []
-            for r, date, t, high, low, close, entry in zip(b["run"], b["date"], b["ticker"], b["high"], b["low"], b["close"], b["entry"], strict=True):
-                if (r, date) != (run, day):
-                    if today:
-                        out += [(run, day, k, w) for k, w in state.day(today).items()]
-                    if r != run:
-                        state = TrailingBook(**book)
-                    run, day, today = r, date, []
-                today.append((t, high, low, close, bool(entry)))
-            yield pd.DataFrame(out, columns=["run", "date", "ticker", "weight"])
-        if today:
-            yield pd.DataFrame([(run, day, k, w) for k, w in state.day(today).items()], columns=["run", "date", "ticker", "weight"])
-
-    rows = panel.dropna(subset=["high", "low", "close"]).repartition("run").sortWithinPartitions("run", "date", "ticker")
-    return rows.select("run", "date", "ticker", "high", "low", "close", "entry").mapInPandas(play, "run string, date date, ticker string, weight double")
-
-
 def surprise_entries(panel: DataFrame, eps: float = 0.05, gap: float = 0.03, runup: float = 0.10, sector: float = -0.015) -> DataFrame:
     """panel with entry: a reaction bar with enough surprise, growing revenue and a gap up, without a run-up before it or a weak sector; what is not known is no entry."""
     before = div(1 + F.col("ret_10d"), 1 + F.col("ret_1d")) - 1

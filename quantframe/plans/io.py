@@ -96,21 +96,6 @@ def _drain(stream, name):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query("stm01")
-def stm01(spark, d):
-    """Live simulation of monthly momentum: days come as files of a year each, targets are filled on the next bar."""
-    b = bars(spark, d)
-    t = X.normalise(T.momentum(b).withColumn("run", F.lit("momentum")))
-    days, path = stateful.day_rows(t, b), files.work_dir(spark, "days")
-    for year in range(1995, 2002):
-        days.where(F.year("date") == year).coalesce(1).write.mode("append").parquet(path)
-    live = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _drain(stateful.simulate(live), "live").withColumn("nav", F.round("nav", 4))
-
-
-query("run02")(stm01)
-
-
 @query("stm04", sql("SELECT ticker, count(*) AS ticks FROM ticks GROUP BY 1", "ticks"))
 def stm04(spark, d):
     """Value-driven bars of a stream: with a threshold below any trade each tick is a bar, so their number is known."""
@@ -157,7 +142,7 @@ def run04(spark, d):
     b = bars(spark, d)
     f = W.volatility(b, 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
     t = T.etf_trend(f.select("date", "ticker", "trend", "vol")).withColumn("run", F.lit("trend"))
-    r = X.nav_returns(X.simulate(X.normalise(t.select("run", "date", "ticker", "weight")), b))
+    r = X.nav_returns(X.backtest(X.normalise(t.select("run", "date", "ticker", "weight")), b))
     g = S.growth(r).select("series_id", "n", F.round("cagr", 6).alias("cagr"), F.round("vol", 6).alias("vol"))
     return g.join(B.equal_weight_benchmark(b).agg(F.round(F.avg("ret") * 252, 6).alias("benchmark")), how="cross")
 
@@ -169,5 +154,5 @@ def run07(spark, d):
     folds = L.runner_folds(L.cpcv(b)).select(F.concat_ws("-", "split", "seg").alias("run"), "start", "end")
     inside = lambda df: df.join(F.broadcast(folds), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     t = X.normalise(inside(T.momentum(b)).select("run", "date", "ticker", "weight"))
-    r = X.nav_returns(X.simulate(t, inside(b).select("run", "date", "ticker", "open")))
+    r = X.nav_returns(X.backtest(t, inside(b).select("run", "date", "ticker", "open")))
     return r.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(S.sharpe(), 6).alias("sharpe"))

@@ -155,32 +155,24 @@ def jon13(spark, d):
     return J.in_interval(full, spans, ["ticker"], "ts", "s", "e", bucket_days=1).groupBy("ticker", "date").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
-_CHANGES = "changes AS (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'added' ELSE 'removed' END AS action FROM orders WHERE o_custkey % 10 = 0)"
-_INTERVALS = f"""{_CHANGES}, spans AS (SELECT ticker, date AS date_added, (SELECT min(c.date) FROM changes c WHERE c.ticker = a.ticker AND c.action = 'removed' AND c.date > a.date) AS date_removed
-    FROM (SELECT DISTINCT ticker, min(date) AS date FROM changes WHERE action = 'added' GROUP BY ticker) a)"""
-
-
 def _intervals(spark, d):
     o = table(spark, d, "orders")
     c = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "added").otherwise("removed").alias("action"))
     return J.membership_intervals(c)
 
 
-@query("src15", f"WITH {_INTERVALS} SELECT ticker, date_added, date_removed FROM spans")
+@query("src15")
 def src15(spark, d):
-    """Every membership interval of every ticker, paired greedily. Its SQL holds a tenth of the tickers and their first interval only."""
+    """Every membership interval of every ticker, paired greedily."""
     return _intervals(spark, d)
 
 
-@query("prj13", f"WITH {_INTERVALS} SELECT ticker FROM spans WHERE date_added <= DATE '1998-01-01' AND (date_removed IS NULL OR date_removed > DATE '1998-01-01')")
+@query("prj13")
 def prj13(spark, d):
     return J.members(_intervals(spark, d), F.lit("1998-01-01").cast("date")).select("ticker").distinct()
 
 
-@query(
-    "jon14",
-    f"WITH {_INTERVALS}, dates AS (SELECT last_day(m) AS date FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS m)) SELECT date, ticker FROM dates JOIN spans ON date_added <= date AND (date_removed IS NULL OR date_removed > date)",
-)
+@query("jon14")
 def jon14(spark, d):
     dates = spark.sql("select last_day(m) as date from (select explode(sequence(date '1995-01-01', date '2001-12-01', interval 1 month)) as m)")
     return J.members_by_date(_intervals(spark, d), dates)

@@ -128,7 +128,7 @@ def lib04(spark, d):
 
 @query("lop01")
 def lop01(spark, d):
-    """One round of the search over given expressions: checked, scored, simulated at next open, gated on activity and marginal alpha."""
+    """One round of the search over given expressions: checked, scored, backtested from the next open, gated on activity and marginal alpha."""
     from ..operators import execution as X
 
     b = W.gap(W.lookback_returns(bars(spark, d), (21,)))
@@ -143,7 +143,7 @@ def lop01(spark, d):
         picks = top_quantile(scored.join(F.broadcast(first), "date"), "score", ["date"]).select("date", "ticker", "weight")
         one = T.carry(picks, b.select("date").distinct(), b).select(F.lit(f"h{k}").alias("run"), "date", "ticker", "weight")
         runs = one if runs is None else runs.unionByName(one)
-    r = X.nav_returns(X.simulate(X.normalise(runs), b))
+    r = X.nav_returns(X.backtest(X.normalise(runs), b))
     act = r.groupBy("series_id").agg(F.count_if(F.col("ret") != 0).alias("active_days"))
     fit = S.simple_ols(r.join(F.broadcast(book), "date"), ["series_id"], "ret", "b", 30).select("series_id", F.round("alpha_t", 4).alias("alpha_t"))
     return act.join(fit, "series_id").withColumn("accepted", (F.col("active_days") >= 50) & (F.col("alpha_t") >= S.min_alpha_t(0)))

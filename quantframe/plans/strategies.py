@@ -28,7 +28,7 @@ def _events(b):
 
 
 _LAB = f"""numbered AS (SELECT *, row_number() {BY} AS n, CASE WHEN count(x) {frame(21)} = 21 THEN avg(x) {frame(21)} END AS atr FROM (SELECT *, abs(close - lag(close) {BY}) AS x FROM bars)),
-    ev AS (SELECT ticker, date AS t0, n, {{0}} AS px, {{0}} + 2 * atr AS top, {{0}} - atr AS floor FROM numbered WHERE day(date) = 15 AND atr > 0),
+    ev AS (SELECT ticker, date AS t0, n, {{0}} AS px, {{0}} + 2 * atr AS top, {{0}} - atr AS floor FROM numbered WHERE atr > 0),
     ahead AS (SELECT e.ticker, e.t0, e.px, f.n AS fn, f.date, f.close, CASE WHEN f.close >= e.top THEN 1 WHEN f.close <= e.floor THEN -1 ELSE 0 END AS hit FROM ev e JOIN numbered f ON f.ticker = e.ticker AND f.n BETWEEN e.n + 1 AND e.n + 20),
     firsts AS (SELECT ticker, t0, any_value(px) AS px, coalesce(min(fn) FILTER (WHERE hit <> 0), max(fn)) AS fn FROM ahead GROUP BY 1, 2)
     SELECT a.ticker, a.t0, a.date AS t1, a.hit AS label, ROUND(a.close / a.px - 1, 6) AS ret FROM firsts JOIN ahead a USING (ticker, t0, fn)"""
@@ -206,14 +206,8 @@ def _panel(spark, d):
 
 @query("str04")
 def str04(spark, d):
-    """Event-driven book with slots, trailing stop and time exit."""
-    return T.surprise_book(_panel(spark, d))
-
-
-@query("top06")
-def top06(spark, d):
-    """Capacity-limited fill: names held a day never exceed the slots."""
-    return T.surprise_book(_panel(spark, d), slots=3).groupBy("date").agg(F.count(F.lit(1)).alias("held"))
+    """Surprise entries held for ten bars; every name on its own, without a limit of names or a stop (see README)."""
+    return T.hold_entries(_panel(spark, d).select("ticker", "date", "entry"), 10)
 
 
 _WORDS = "[rtrim(ltrim(w, '.,;:!?\"''()'), '.,;:!?\"''()') for w in string_split_regex(lower(text), '\\s+') if w <> '']"
@@ -272,27 +266,29 @@ def exe02(spark, d):
 def _momentum_nav(spark, d, **account):
     b = bars(spark, d)
     t = T.momentum(b).withColumn("run", F.lit("momentum"))
-    return X.simulate(X.normalise(t), b, **account)
+    return X.backtest(X.normalise(t), b, **account)
 
 
 @query("exe03")
 def exe03(spark, d):
     """Momentum targets filled on the next bar's open, with costs and cap."""
-    return _momentum_nav(spark, d).withColumn("nav", F.round("nav", 4))
+    return _momentum_nav(spark, d).select("run", "date", F.round("nav", 4).alias("nav"))
 
 
 @query(
     "exe04",
     sql("", "bars").rstrip()
-    + """, full_days AS (SELECT date FROM bars WHERE ticker IN ('Brand#1', 'Brand#2') GROUP BY date HAVING count(*) = 2), p AS (SELECT date, max(CASE WHEN ticker = 'Brand#1' THEN open END) AS a, max(CASE WHEN ticker = 'Brand#2' THEN open END) AS b FROM bars JOIN full_days USING (date) GROUP BY date),
-    r AS (SELECT date, row_number() OVER (ORDER BY date) AS k, 0.5 * (a / lag(a) OVER (ORDER BY date) - 1) + 0.5 * (b / lag(b) OVER (ORDER BY date) - 1) AS ret FROM p)
-    SELECT date, ROUND(sum(CASE WHEN k > 2 THEN ln(1 + ret) ELSE 0 END) OVER (ORDER BY date) + ln(100000.0), 6) AS log_nav FROM r""",
+    + """, px AS (SELECT ticker, date, open / lag(open) OVER (PARTITION BY ticker ORDER BY date) - 1 AS gain FROM bars WHERE open > 0),
+    days AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM (SELECT DISTINCT date FROM px)),
+    held AS (SELECT d.nx AS date, t.ticker, t.weight FROM (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM bars) t JOIN days d USING (date) JOIN px ON px.date = d.nx AND px.ticker = t.ticker),
+    g AS (SELECT d.nx AS date, sum(h.weight * coalesce(px.gain, 0)) AS g FROM held h JOIN days d USING (date) LEFT JOIN px ON px.date = d.nx AND px.ticker = h.ticker GROUP BY 1)
+    SELECT date, ROUND(sum(ln(1 + coalesce(g, 0))) OVER (ORDER BY date) + ln(100000.0), 6) AS log_nav FROM days LEFT JOIN g USING (date)""",
 )
 def exe04(spark, d):
-    """Without costs or cap, all names of a day in equal parts, rebalanced daily. Its SQL holds two names and the days of both only."""
+    """Without costs or cap, all names of a day in equal parts, rebalanced daily."""
     b = bars(spark, d)
     t = b.select(F.lit("x").alias("run"), "date", "ticker", (1 / F.count(F.lit(1)).over(Window.partitionBy("date"))).alias("weight"))
-    return X.simulate(t, b, cost_bps=0.0, most=None).select("date", F.round(F.log("nav"), 6).alias("log_nav"))
+    return X.backtest(t, b, cost_bps=0.0, most=None).select("date", F.round("log_nav", 6).alias("log_nav"))
 
 
 @query("exe05")
@@ -341,7 +337,7 @@ def run01(spark, d):
     folds = L.runner_folds(L.cpcv(b, groups=4)).select(F.concat_ws("-", "split", "seg").alias("run"), "start", "end")
     inside = lambda df: df.join(F.broadcast(folds), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     t = X.normalise(inside(T.momentum(b)).select("run", "date", "ticker", "weight"))
-    return X.simulate(t, inside(b).select("run", "date", "ticker", "open")).withColumn("nav", F.round("nav", 4))
+    return X.backtest(t, inside(b).select("run", "date", "ticker", "open")).withColumns({"nav": F.round("nav", 4), "log_nav": F.round("log_nav", 6)})
 
 
 @query("run03")
@@ -353,7 +349,7 @@ def run03(spark, d):
 
 
 def _books(spark, d):
-    """Three strategies as runs of one simulation."""
+    """Three strategies as runs of one backtest."""
     b = bars(spark, d)
     f = W.volatility(b, 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
     facts = filings(spark, d).select("ticker", "period_date", "roe", "margin", (F.col("leverage") / (F.abs("leverage") + 1e5)).alias("lev")).distinct()
@@ -362,12 +358,12 @@ def _books(spark, d):
     for k, x in named.items():
         one = x.select(F.lit(k).alias("run"), "date", "ticker", "weight")
         t = one if t is None else t.unionByName(one)
-    return X.nav_returns(X.simulate(X.normalise(t), b))
+    return X.nav_returns(X.backtest(X.normalise(t), b))
 
 
 @query("run05")
 def run05(spark, d):
-    """Forward book: each signal simulated, then the equal-weight combination."""
+    """Forward book: each signal backtested, then the equal-weight combination."""
     r = _books(spark, d).where("date >= date '2000-05-21'")
     mix = r.groupBy("date").agg(F.avg("ret").alias("ret")).select(F.lit("equal").alias("series_id"), "date", "ret")
     return r.unionByName(mix).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(S.sharpe(), 6).alias("sharpe"))

@@ -106,7 +106,7 @@ CTES = {
                CASE WHEN o_orderpriority LIKE '1%' THEN 'bmo' WHEN o_orderpriority LIKE '2%' THEN 'amc' ELSE '' END AS time,
                o_totalprice AS actual, o_totalprice * (1 + (o_orderkey % 21 - 10) / 100) AS estimate,
                row_number() OVER (PARTITION BY {_BRAND}, CAST(o_orderdate AS DATE) ORDER BY o_orderkey, o_totalprice) AS k
-        FROM orders WHERE o_orderkey % 7 = 0) WHERE k = 1)""",
+        FROM orders) WHERE k = 1)""",
     "filings": f"""quarters AS (
     SELECT {_BRAND} AS ticker, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS period_date,
            count(*) AS n, max(o_totalprice) AS top, min(o_totalprice) AS bottom, max(o_orderkey) AS k

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: value-driven bars, sessions, upserts and the incremental book. The folds are those of the batch operators."""
+"""Structured Streaming forms: value-driven bars, sessions and upserts. The folds are those of the batch operators."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bars import BAR_SCHEMA, BarFold
-from ..operators.execution import Account
 
 _BAR_STATE = "ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
 
@@ -31,33 +30,6 @@ def dollar_bars(ticks: DataFrame, threshold: float) -> DataFrame:
     return ticks.groupBy("ticker").applyInPandasWithState(run, BAR_SCHEMA, _BAR_STATE, "append", "NoTimeout")
 
 
-def simulate(days: DataFrame, **account) -> DataFrame:
-    """(run, date, nav) of a stream of days (run, date, prices, targets as maps): targets of one day are filled on the next. State: cash, shares, marks, last targets."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        acc, held = Account(**account), {}
-        if state.exists:
-            cash, shares, marks, last, held = state.get
-            acc.cash, acc.shares, acc.marks, acc.last, held = cash, dict(shares), dict(marks), dict(last), dict(held)
-        out = []
-        for date, prices, targets in pd.concat(list(batches)).sort_values("date")[["date", "prices", "targets"]].itertuples(index=False):
-            out.append((key[0], date, acc.execute(held, dict(prices or {}))))
-            held = dict(targets or {})
-        state.update((acc.cash, acc.shares, acc.marks, acc.last, held))
-        yield pd.DataFrame(out, columns=["run", "date", "nav"])
-
-    kind = "cash double, shares map<string,double>, marks map<string,double>, last map<string,double>, held map<string,double>"
-    return days.groupBy("run").applyInPandasWithState(run, "run string, date date, nav double", kind, "append", "NoTimeout")
-
-
-def day_rows(targets: DataFrame, bars: DataFrame, price: str = "open") -> DataFrame:
-    """Rows of `simulate` from long targets and bars: a map of prices and one of targets for each run and day."""
-    px = bars.where(F.col(price).isNotNull()).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", price))).alias("prices"))
-    t = targets.groupBy("run", "date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("targets"))
-    every = targets.select("run").distinct().crossJoin(px)
-    return every.join(t, ["run", "date"], "left")
-
-
 def daily_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tumbling daily bars with a watermark (an extension: late ticks beyond it are left out by definition)."""
     w = ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", "1 day"))

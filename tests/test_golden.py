@@ -127,43 +127,17 @@ def test_dollar_bars_reach_the_threshold(spark):
 def test_cap_and_normalise(spark):
     t = spark.createDataFrame([("r", D0, "A", 3.0), ("r", D0, "B", 1.0), ("r", D0, "C", -1.0)], "run string, date date, ticker string, weight double")
     assert {x.ticker: x.weight for x in X.normalise(t).collect()} == {"A": 0.75, "B": 0.25}
-    acc = X.Account(cost_bps=0)
-    acc.execute({"AAPL": 0.78, "MSFT": 0.06}, {"AAPL": 100.0, "MSFT": 50.0})
-    assert acc.shares == {"AAPL": 100.0, "MSFT": 120.0}
+    held = X.cap(spark.createDataFrame([("r", D0, "AAPL", 0.78), ("r", D0, "MSFT", 0.06)], "run string, date date, ticker string, weight double"))
+    assert {x.ticker: round(x.weight * 100_000) for x in held.collect()} == {"AAPL": 10_000, "MSFT": 6_000}
 
 
-def test_account_marks_missing_prices_and_holds():
-    acc = X.Account(cost_bps=0, most=None)
-    assert acc.execute({"A": 0.5}, {"A": 100.0}) == 100_000
-    assert acc.execute({"A": 0.5}, {}) == 100_000
-    assert acc.execute({}, {}) == 100_000 and not acc.shares
-    held, moved = X.Account(cost_bps=0, hold_unchanged=True), X.Account(cost_bps=0)
-    for a in (held, moved):
-        a.execute({"A": 0.005, "B": 0.005}, {"A": 100.0, "B": 100.0})
-        a.execute({"A": 0.005, "B": 0.005}, {"A": 110.0, "B": 100.0})
-    assert held.shares["A"] == 5.0 > moved.shares["A"]
-
-
-def test_simulate_fills_on_the_next_bar(spark):
+def test_backtest_fills_on_the_next_bar(spark):
     p = panel(spark, {"A": [100.0, 110.0, 121.0]})
     t = spark.createDataFrame([("r", d, "A", 1.0) for d in bdays(3)], "run string, date date, ticker string, weight double")
-    nav = {x.date: round(x.nav, 6) for x in X.simulate(t, p, cost_bps=0.0, most=None).collect()}
+    nav = {x.date: round(x.nav, 6) for x in X.backtest(t, p, cost_bps=0.0, most=None).collect()}
     assert list(map(nav.get, bdays(3))) == [100_000, 100_000, 110_000]
 
 
-def test_surprise_book_trace():
-    book = T.TrailingBook()
-    atr = [("A", 101.0, 99.0, 100.0, True)]
-    assert book.day(atr) == {"A": 0.1}
-    assert book.day([("A", 111.0, 109.0, 110.0, False)]) == {"A": 0.1}
-    assert book.day([("A", 104.0, 102.0, 103.0, False)]) == {}
-    book.day([("A", 104.0, 102.0, 103.0, True)])
-    held = 0
-    while book.day([("A", 104.0, 102.0, 103.0, False)]):
-        held += 1
-    assert held == 9
-
-
 def test_hold_entries_count_bars(spark):
     rows = [("A", d, k == 1) for k, d in enumerate(bdays(8))]
     got = sorted((x.date, x.weight) for x in T.hold_entries(spark.createDataFrame(rows, "ticker string, date date, entry boolean"), 3).collect())

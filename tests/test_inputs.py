@@ -7,7 +7,9 @@ import random
 from datetime import date, datetime, timedelta
 
 import __spark_entry__ as entry
-from quantframe.sources import files
+from quantframe.operators import execution as X
+from quantframe.operators import joins as J
+from quantframe.sources import files, market
 
 
 def orders(spark, tmp_path, n=400, customers=30):
@@ -113,21 +115,39 @@ def test_every_bar_is_labelled(spark, tmp_path):
     assert scored <= decided and len({d.day for _, d in scored}) > 1
 
 
-def test_every_name_is_simulated(spark, tmp_path):
+def test_backtests_are_those_of_a_loop(spark, tmp_path):
     px = trades(spark, tmp_path)
-    cash, shares, mark, held, want = 100_000.0, {}, {}, {}, {}
-    for d in sorted({d for _, d in px}):
-        now = {t: o for (t, x), (o, _) in px.items() if x == d}
-        mark |= now
-        nav = cash + sum(n * mark[t] for t, n in shares.items())
-        for t in [*shares]:
-            if t not in held:
-                cash += shares.pop(t) * mark[t]
-        for t, w in held.items():
-            if t in now:
-                delta = w * nav / now[t] - shares.get(t, 0.0)
-                cash, shares[t] = cash - delta * now[t], shares.get(t, 0.0) + delta
-        want[d] = round(math.log(nav), 6)
-        held = {t: 1 / len(now) for t in now}
+    days = sorted({d for _, d in px})
+
+    def loop(targets, cost, most):
+        nav, held, last, out = 100_000.0, {}, {}, {}
+        decided = {}
+        for d in days:
+            now = {t: o for (t, x), (o, _) in px.items() if x == d}
+            gain = {t: o / last[t] - 1 for t, o in now.items() if t in last}
+            g = sum(w * gain.get(t, 0.0) for t, w in held.items())
+            drift = {t: w * (1 + gain.get(t, 0.0)) / (1 + g) for t, w in held.items()}
+            new = {t: min(w, most) for t, w in decided.items() if t in now}
+            nav *= (1 + g) * (1 - cost / 1e4 * sum(abs(new.get(t, 0.0) - drift.get(t, 0.0)) for t in new.keys() | drift.keys()))
+            out[d], held, decided, last = nav, new, targets(d, now), last | now
+        return out
+
+    equal = lambda d, now: {t: 1 / len(now) for t in now}
+    want = {d: round(math.log(x), 6) for d, x in loop(equal, 0.0, 1.0).items()}
     got = {r.date: r.log_nav for r in entry.queries()["exe04"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 2e-6 for d in want)
+    odd = lambda d, now: {t: 0.2 + 0.1 * (d.day % 3) for t in now if (d.day + int(t[-1])) % 2}
+    rows = [("r", d, t, w) for d in days for t, w in odd(d, [t for t, x in px if x == d]).items()]
+    t = spark.createDataFrame(rows, "run string, date date, ticker string, weight double")
+    got = {r.date: r.nav for r in X.backtest(t, market.bars(spark, str(tmp_path)), cost_bps=25.0, most=0.3).collect()}
+    want = loop(odd, 25.0, 0.3)
+    assert set(got) >= {r[1] for r in rows} and all(abs(got[d] / want[d] - 1) < 1e-9 for d in got)
+
+
+def test_open_spans_and_memberships_have_no_end(spark):
+    ev = spark.sql("select * from values ('A', timestamp '2190-05-01 10:00:00', 1), ('A', timestamp '1997-05-01 10:00:00', 2) as e(ticker, ts, n)")
+    spans = spark.sql("select * from values ('A', timestamp '1998-01-01 00:00:00', cast(null as timestamp)), ('A', timestamp '1997-01-01 00:00:00', timestamp '1997-06-01 00:00:00') as s(ticker, s, e)")
+    assert sorted(r.n for r in J.in_interval(ev, spans, ["ticker"], "ts", "s", "e", bucket_days=30).collect()) == [1, 2]
+    iv = spark.sql("select 'A' as ticker, date '2001-11-05' as date_added, cast(null as date) as date_removed")
+    dates = spark.sql("select explode(array(date '2001-12-31', date '2030-01-31')) as date")
+    assert J.members_by_date(iv, dates).count() == 2 and J.members_by_date(iv, dates.limit(0)).count() == 0

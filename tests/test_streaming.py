@@ -28,19 +28,6 @@ def test_dollar_bars_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
-def test_simulation_stream_equals_batch(spark, tmp_path):
-    p = panel(spark, {"A": [100.0 + k % 5 for k in range(12)], "B": [50.0 + k % 3 for k in range(12)]})
-    t = spark.createDataFrame([("r", d, "A" if k % 2 else "B", 0.4) for k, d in enumerate(bdays(12))], "run string, date date, ticker string, weight double")
-    days = S.day_rows(t, p)
-    for k in range(3):
-        d = bdays(12)[k * 4 : k * 4 + 4]
-        days.where(days["date"].isin(d)).coalesce(1).write.mode("append").parquet(str(tmp_path / "days"))
-    live = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "days"))
-    got = {x.date: round(x.nav, 6) for x in run(S.simulate(live, most=None), tmp_path, "navs").collect()}
-    want = {x.date: round(x.nav, 6) for x in X.simulate(t, p, most=None).collect()}
-    assert got == want
-
-
 def test_upsert_is_idempotent(spark):
     held = {}
     f = S.upsert_keep_last(["k"], "v", lambda: held.get("t"), lambda df: held.update(t=spark.createDataFrame(df.collect(), df.schema)))
