@@ -330,20 +330,24 @@ def exe07(spark, d):
     return X.split_legs(o)
 
 
-@query("run01")
-def run01(spark, d):
-    """Backtest over purged folds: each (split, segment) is a run of its own, filled on the next bar."""
+def _fold_navs(spark, d):
     b = bars(spark, d)
     folds = L.runner_folds(L.cpcv(b, groups=4)).select(F.concat_ws("-", "split", "seg").alias("run"), "start", "end")
     inside = lambda df: df.join(F.broadcast(folds), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     t = X.normalise(inside(T.momentum(b)).select("run", "date", "ticker", "weight"))
-    return X.backtest(t, inside(b).select("run", "date", "ticker", "open")).withColumns({"nav": F.round("nav", 4), "log_nav": F.round("log_nav", 6)})
+    return X.backtest(t, inside(b).select("run", "date", "ticker", "open"))
+
+
+@query("run01")
+def run01(spark, d):
+    """Backtest over purged folds: each (split, segment) is a run of its own, filled on the next bar."""
+    return _fold_navs(spark, d).withColumns({"nav": F.round("nav", 4), "log_nav": F.round("log_nav", 6)})
 
 
 @query("run03")
 def run03(spark, d):
     """Backtest to metrics: fold returns, averaged by date, then Sharpe, drawdown and activity."""
-    r = X.nav_returns(run01(spark, d)).groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("series_id", F.lit("momentum"))
+    r = X.nav_returns(_fold_navs(spark, d)).groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("series_id", F.lit("momentum"))
     m = r.groupBy("series_id").agg(F.round(S.sharpe(population=True), 6).alias("sharpe"), F.count_if(F.col("ret") != 0).alias("active_days"), F.count(F.lit(1)).alias("n"))
     return m.join(S.drawdown(r).withColumn("max_drawdown", F.round("max_drawdown", 6)), "series_id")
 
