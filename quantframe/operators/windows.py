@@ -114,6 +114,21 @@ def frac_diff(bars: DataFrame, x: str, d: float, out: str = "frac", cutoff: floa
     return bars.withColumn(out, value).where(F.col(out).isNotNull())
 
 
+def frac_diff_by(bars: DataFrame, x: str, d: str, out: str = "frac", cutoff: float = 1e-3) -> DataFrame:
+    """frac_diff with an order for each row, a hundredth from 0 to 1 in column d: one window pass whatever the orders.
+
+    Rows whose window is not full or holds NULL, or whose order is NULL or no such hundredth, are left out.
+    """
+    known = [(k, frac_weights(k / 100, cutoff) if k else [1.0]) for k in range(100)] + [(100, [1.0, -1.0])]
+    weights = F.broadcast(bars.sparkSession.createDataFrame(known, "__k long, __w array<double>"))  # 101 rows
+    j = bars.withColumn("__k", F.when(F.abs(F.col(d) * 100 - F.round(F.col(d) * 100)) < 1e-9, F.round(F.col(d) * 100).cast("long"))).join(weights, "__k")
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(1 - max(len(v) for _, v in known), 0)
+    j = j.withColumn("__x", F.reverse(F.collect_list(F.struct(F.col(x).cast("double").alias("v"))).over(w)))  # the row's own value first
+    near = F.slice("__x", F.lit(1), F.size("__w"))
+    value = F.aggregate(F.zip_with(near, "__w", lambda a, b: a["v"] * b), F.lit(0.0), lambda s, t: s + t)
+    return j.where(F.size("__x") >= F.size("__w")).withColumn(out, value).where(F.col(out).isNotNull()).drop("__k", "__w", "__x")
+
+
 def trend_regime(series: DataFrame, n: int = 63, edge: float = 0.05) -> DataFrame:
     """series (ticker, date, close) with regime bull, bear or sideways by the change over n bars; NULL while warming up."""
     c = change(F.col("close"), lag("close", n))

@@ -220,7 +220,13 @@ def met23(spark, d):
     return b.select("series_id", F.round(F.log10(F.pow(div(F.lit(2.0), "ir"), F.lit(2.0)) * 252), 4).alias("log_days"))
 
 
-@query("met24")
+@query(
+    "met24",
+    sql("", "returns", "book").rstrip()
+    + f""", {_M}, zs AS (SELECT series_id, n AS bars, {_Z.format('0.62')} AS z FROM ({_MOM})),
+    act AS (SELECT series_id, count(*) FILTER (WHERE ret <> 0) AS active FROM returns GROUP BY 1)
+    SELECT series_id, bars >= 50 AND z > 0.38532046640756773 AND max_drawdown < 0.3 AND active >= 50 AND alpha_t >= 2 AS go FROM m JOIN zs USING (series_id) JOIN act USING (series_id)""",
+)  # a probability over 0.65 is a z over its normal quantile
 def met24(spark, d):
     """Go / no-go: enough bars and activity, probable Sharpe, drawdown, significant alpha."""
     r = returns(spark, d)

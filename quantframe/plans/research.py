@@ -9,6 +9,7 @@ from ..operators import stats as S
 from ..operators import strategies as T
 from ..operators import windows as W
 from ..sources.market import bars, returns, sql, table
+from .metrics import _LOOX, _OLS
 from .registry import query
 
 _FITTED = "|".join(K.FITTED_PHRASES)
@@ -117,7 +118,14 @@ def lib03(spark, d):
     return u.select("name", F.round("weight", 6).alias("weight"), "days_at_floor", "status")
 
 
-@query("lib04")
+@query(
+    "lib04",
+    sql(
+        """SELECT series_id, CASE WHEN count(*) FILTER (WHERE date < DATE '1998-01-01') >= 300 THEN 'factors' WHEN count(*) >= 20 THEN 'benchmark' ELSE 'raw' END AS residual
+        FROM returns GROUP BY 1""",
+        "returns",
+    ),
+)
 def lib04(spark, d):
     """Which residual each series uses: factors where they cover it, else the benchmark, else itself."""
     r = returns(spark, d)
@@ -183,7 +191,10 @@ def rep03(spark, d):
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(F.col("low") - F.col("low2")) < 1e-6) & (F.col("close") >= F.col("low2"))).alias("matched"))
 
 
-@query("top07")
+@query(
+    "top07",
+    sql(f"SELECT series_id, ROUND(CASE WHEN n >= 30 THEN alpha_t END, 5) AS alpha_t FROM ({_OLS.format('others', _LOOX)}) ORDER BY CASE WHEN n >= 30 THEN alpha_t END NULLS FIRST, series_id LIMIT 1", "returns"),
+)
 def top07(spark, d):
     """The weakest series against the mean of the others."""
     f = S.simple_ols(S.leave_one_out(returns(spark, d)), ["series_id"], "ret", "others", 30)

@@ -83,11 +83,8 @@ def src11(spark, d):
     e = table(spark, d, "events")
     one = F.struct(F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("t"), F.col("value").alias("o"), F.col("value").alias("h"), F.col("value").alias("l"), (F.col("value") + 1).alias("c"), F.lit(1.0).alias("v"))
     pages = e.groupBy("event_type", F.floor(F.col("event_id") / 100).alias("page")).agg(F.to_json(F.struct(F.collect_list(one).alias("results"))).alias("body"))
-    kinds = None
-    for k in [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]:  # a handful of types
-        part = files.parse_minutes(pages.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"), "open", "close")
-        kinds = part if kinds is None else kinds.unionByName(part)
-    return kinds
+    at = F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    return files.parse_minutes(pages, keep=("event_type",)).select("event_type", at.alias("ts"), "open", "close")
 
 
 @query("src12", sql("SELECT ticker, date, time, actual, estimate FROM reports", "reports"))

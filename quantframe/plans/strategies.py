@@ -174,7 +174,28 @@ def str02(spark, d):
     return T.quality(f, bars(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query("str03")
+_PEAD = f"""reactions AS (SELECT DISTINCT r.ticker, (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker AND b.date >= r.date + CASE WHEN r.time = 'bmo' THEN 0 ELSE 1 END) AS date FROM reports r
+    WHERE actual > estimate AND r.date >= (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker))"""
+
+
+def _held_sql(hold: int) -> str:
+    """Greedy holds over numbered (ticker, date, n, entry): an entry while none is held takes its bar, the next hold - 1 and one of 0."""
+    return f"""e AS (SELECT ticker, n FROM numbered WHERE entry),
+    nx AS (SELECT a.ticker, a.n, min(b.n) AS later FROM e a JOIN e b ON b.ticker = a.ticker AND b.n > a.n + {hold} GROUP BY 1, 2),
+    taken AS (SELECT ticker, min(n) AS n FROM e GROUP BY 1 UNION ALL SELECT t.ticker, nx.later FROM taken t JOIN nx ON nx.ticker = t.ticker AND nx.n = t.n)
+    SELECT b.date, b.ticker, CASE WHEN b.n < t.n + {hold} THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM taken t JOIN numbered b ON b.ticker = t.ticker AND b.n BETWEEN t.n AND t.n + {hold}"""
+
+
+def _recursive(body: str) -> str:
+    return "WITH RECURSIVE " + body.removeprefix("WITH ")
+
+
+@query(
+    "str03",
+    _recursive(sql("", "bars", "reports").rstrip())
+    + f""", {_PEAD}, numbered AS (SELECT b.ticker, b.date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS n, r.date IS NOT NULL AND coalesce(b.close / b.before >= 1.01, false) AS entry
+    FROM (SELECT *, lag(close) {BY} AS before FROM bars) b LEFT JOIN reactions r ON r.ticker = b.ticker AND r.date = b.date), {_held_sql(10)}""",
+)
 def str03(spark, d):
     """Beats on a rising close, 2 % for 10 bars, then 0 once."""
     b = bars(spark, d)
@@ -183,10 +204,6 @@ def str03(spark, d):
     return T.hold_entries(rows, 10)
 
 
-_PEAD = f"""reactions AS (SELECT DISTINCT r.ticker, (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker AND b.date >= r.date + CASE WHEN r.time = 'bmo' THEN 0 ELSE 1 END) AS date FROM reports r
-    WHERE actual > estimate AND r.date >= (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker))"""
-
-
 @query("prj10", sql("", "bars", "reports").rstrip() + f", {_PEAD} SELECT ticker, date FROM (SELECT *, open / lag(close) {BY} - 1 AS gap FROM bars) JOIN reactions USING (ticker, date) WHERE gap >= 0.03")
 def prj10(spark, d):
     """Entry predicate on reaction bars: a beat and a gap up."""
@@ -224,7 +241,15 @@ def str05(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.transcript_score(F.col("text"), T.POSITIVE + ["the"], T.NEGATIVE + ["der"]), 9).alias("score"))
 
 
-@query("str06")
+@query(
+    "str06",
+    _recursive(sql("", "bars", "filings").rstrip())
+    + f""", changes AS (SELECT *, lag(roe) OVER (PARTITION BY ticker, quarter(period_date) ORDER BY period_date) AS p FROM (SELECT DISTINCT ticker, period_date, roe FROM filings)),
+    reactions AS (SELECT DISTINCT c.ticker, (SELECT min(b.date) FROM bars b WHERE b.ticker = c.ticker AND b.date >= c.period_date) AS date FROM changes c
+        WHERE (roe - p) / abs(p) >= 0.05 AND c.period_date >= (SELECT min(b.date) FROM bars b WHERE b.ticker = c.ticker)),
+    numbered AS (SELECT b.ticker, b.date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS n, r.date IS NOT NULL AS entry
+        FROM bars b LEFT JOIN reactions r ON r.ticker = b.ticker AND r.date = b.date), {_held_sql(21)}""",
+)
 def str06(spark, d):
     """Yearly change of a reported figure of at least 5 %, 2 % for 21 bars from the next bar."""
     f = filings(spark, d).select("ticker", "period_date", "roe").distinct()
@@ -440,13 +465,8 @@ def win15(spark, d):
 def win16(spark, d):
     """Later bars differenced by the order found on earlier ones."""
     b = bars(spark, d)
-    order = win15(spark, d)
-    ds = [r["d"] for r in order.select("d").distinct().collect()]  # a hundred orders at most
-    out = None
-    for v in ds:
-        one = W.frac_diff(b.join(order.where(F.col("d") == v), "ticker"), "close", v).select("ticker", "date", "d", F.round("frac", 4).alias("frac"))
-        out = one if out is None else out.unionByName(one)
-    return out.where("date >= date '2000-05-21'")
+    moved = W.frac_diff_by(b.join(win15(spark, d), "ticker"), "close", "d")
+    return moved.where("date >= date '2000-05-21'").select("ticker", "date", "d", F.round("frac", 4).alias("frac"))
 
 
 @query(

@@ -40,11 +40,11 @@ def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="date date, value double", nullValue=".")
 
 
-def parse_minutes(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Minute bars out of JSON pages {results: [{t, o, h, l, c, v}]}: UTC timestamps from epoch milliseconds."""
+def parse_minutes(pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Minute bars out of JSON pages {results: [{t, o, h, l, c, v}]}, with columns of the page to keep: UTC timestamps from epoch milliseconds."""
     kind = "struct<results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double>>>"
-    r = pages.select(F.explode(F.from_json(body, kind)["results"]).alias("r"))
-    return r.select(F.timestamp_millis("r.t").alias("ts"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").alias("volume"))
+    r = pages.select(*keep, F.explode(F.from_json(body, kind)["results"]).alias("r"))
+    return r.select(*keep, F.timestamp_millis("r.t").alias("ts"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").alias("volume"))
 
 
 def zip_filings(submissions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from datetime import date, datetime, timedelta
 import __spark_entry__ as entry
 from quantframe.operators import execution as X
 from quantframe.operators import joins as J
+from quantframe.operators import windows as W
 from quantframe.sources import files, market
 
 
@@ -151,3 +152,16 @@ def test_open_spans_and_memberships_have_no_end(spark):
     iv = spark.sql("select 'A' as ticker, date '2001-11-05' as date_added, cast(null as date) as date_removed")
     dates = spark.sql("select explode(array(date '2001-12-31', date '2030-01-31')) as date")
     assert J.members_by_date(iv, dates).count() == 2 and J.members_by_date(iv, dates.limit(0)).count() == 0
+
+
+def test_orders_by_row_difference_as_one_order_does(spark):
+    rng = random.Random(5)
+    orders = {"A": 0.0, "B": 0.07, "C": 0.4, "D": 1.0, "E": None}
+    rows = [(t, date(2000, 1, 1) + timedelta(days=k), None if (t, k) == ("C", 150) else rng.uniform(1, 9), v) for t, v in orders.items() for k in range(180)]
+    b = spark.createDataFrame(rows, "ticker string, date date, close double, d double")
+    got = {(r["ticker"], r["date"]): r["frac"] for r in W.frac_diff_by(b, "close", "d").collect()}
+    want = {}
+    for t, v in orders.items():
+        if v is not None:
+            want |= {(t, r["date"]): r["frac"] for r in W.frac_diff(b.where(f"ticker = '{t}'"), "close", v).collect()}
+    assert got == want and {t for t, _ in got} == set("ABCD")
