@@ -1,7 +1,7 @@
 """Source divergence audit over wide term vectors.
 
-1. Tasks count the terms of whole texts, by batch: one row for each (lang, source, term) of a batch, with occurrences
-   and documents. Spark adds these up map-side and by a shuffle.
+1. Tasks count the terms of whole texts: a row for each (lang, source, term), with occurrences and documents, whenever
+   HELD of them are held. Spark adds these up map-side and by a shuffle.
 2. Each term of a language that enough of its documents hold is pivoted into one wide row: an array of counts with a
    place for each source of the language.
 3. Higher-order functions turn counts into shares p in billionths and emit what the term adds to each pair of
@@ -32,6 +32,7 @@ from .common import materialize, small_batches
 #: of UTF-8 bytes: letters and all above ASCII are parts of terms, A-Z count as a-z
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 PIECE = 1 << 20  # bytes of a text that are split at once
+HELD = 400_000  # terms of groups that a task adds up before it hands them on
 MAX_GROUPS = 100_000  # (lang, source) rows that may be broadcast
 SCALE = 1_000_000_000
 
@@ -48,16 +49,24 @@ def terms_of(text: str | None, piece: int = PIECE) -> Counter:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    times: dict[tuple[str, str], Counter] = {}
+    docs: dict[tuple[str, str], Counter] = {}
+
+    def rows() -> Iterator[pd.DataFrame]:
+        for (lang, source), counts in times.items():
+            held = docs[lang, source]
+            yield pd.DataFrame({"lang": lang, "source": source, "term": list(counts), "n": list(counts.values()), "d": [held[x] for x in counts]}).astype({"n": "int64", "d": "int64"})
+        times.clear()
+        docs.clear()
+
     for batch in batches:
-        times: dict[tuple[str, str], Counter] = {}
-        docs: dict[tuple[str, str], Counter] = {}
         for text, *group in zip(batch["text"], batch["lang"], batch["source"], strict=True):
             found, key = terms_of(text), tuple(group)
             times.setdefault(key, Counter()).update(found)
             docs.setdefault(key, Counter()).update(found.keys())
-        for (lang, source), counts in times.items():
-            held = docs[lang, source]
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [x.decode("utf-8", "surrogatepass") for x in counts], "n": list(counts.values()), "d": [held[x] for x in counts]}).astype({"n": "int64", "d": "int64"})
+        if sum(map(len, times.values())) >= HELD:
+            yield from rows()
+    yield from rows()
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -77,8 +86,8 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     base = docs.select(known("text"), known("lang"), known("source"))
     groups = materialize(base.select("lang", "source").distinct(), "groups")
-    counts = base.mapInPandas(_counted, "lang string, source string, term string, n long, d long")
-    counts = materialize(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
+    counts = base.mapInPandas(_counted, "lang string, source string, term binary, n long, d long")
+    counts = materialize(counts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
     small = groups.count() <= MAX_GROUPS
     sent = F.broadcast if small else lambda x: x
 
