@@ -37,15 +37,14 @@ MAX_GROUPS = 100_000  # (lang, source) rows that may be broadcast
 SCALE = 1_000_000_000
 
 
-def terms_of(text: str | None, piece: int = PIECE) -> Counter:
-    """Occurrences of each term (UTF-8, A-Z lower-cased)."""
-    raw, at, found = (text or "").encode("utf-8", "surrogatepass").translate(_TERMS), 0, Counter()
+def terms_of(text: str | None, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The terms of a text in order (UTF-8, A-Z lower-cased), in lists of about `piece` bytes."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(_TERMS), 0
     while at < len(raw):
         end = raw.find(b" ", at + piece)
         end = len(raw) if end < 0 else end
-        found.update(raw[at:end].split())
+        yield raw[at:end].split()
         at = end
-    return found
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,15 +54,18 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[pd.DataFrame]:
         for (lang, source), counts in times.items():
             held = docs[lang, source]
-            yield pd.DataFrame({"lang": lang, "source": source, "term": list(counts), "n": list(counts.values()), "d": [held[x] for x in counts]}).astype({"n": "int64", "d": "int64"})
+            yield pd.DataFrame({"lang": lang, "source": source, "term": list(counts), "n": list(counts.values()), "d": list(map(held.__getitem__, counts))}).astype({"n": "int64", "d": "int64"})
         times.clear()
         docs.clear()
 
     for batch in batches:
         for text, *group in zip(batch["text"], batch["lang"], batch["source"], strict=True):
-            found, key = terms_of(text), tuple(group)
-            times.setdefault(key, Counter()).update(found)
-            docs.setdefault(key, Counter()).update(found.keys())
+            key, seen = tuple(group), set()
+            counts = times.setdefault(key, Counter())
+            for terms in terms_of(text):
+                counts.update(terms)
+                seen.update(terms)
+            docs.setdefault(key, Counter()).update(seen)
         if sum(map(len, times.values())) >= HELD:
             yield from rows()
     yield from rows()
@@ -87,7 +89,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     base = docs.select(known("text"), known("lang"), known("source"))
     groups = materialize(base.select("lang", "source").distinct(), "groups")
     counts = base.mapInPandas(_counted, "lang string, source string, term binary, n long, d long")
-    counts = materialize(counts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
+    counts = counts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     small = groups.count() <= MAX_GROUPS
     sent = F.broadcast if small else lambda x: x
 

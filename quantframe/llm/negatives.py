@@ -2,7 +2,7 @@
 
 1. A further coordinate, sqrt(M^2 - |x|^2) for a row and 0 for an anchor (M the greatest norm of all rows), turns the
    inner product into a Euclidean distance: d^2 = |q|^2 + M^2 - 2 q.x.
-2. Pivots are taken farthest first from a sample of at most SAMPLE rows (those of least hash). The pivot table holds
+2. Pivots are taken farthest first from a sample of about SAMPLE rows. The pivot table holds
    the distances of every row to all pivots; it is cut into blocks of near rows by range, so that neither a label nor
    copies of one vector fill a block beyond its size.
 3. By the triangle inequality, pivot distances bracket the distance, and so the score, of anchor and row. An anchor
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-SAMPLE = 4096  # rows from which pivots and first bounds are taken
+SAMPLE = 4096  # rows, as expected of a random share, from which pivots and first bounds are taken
 MAX_BLOCKS = 32_768
 SALTED = 200_000  # anchors for which a block is sent once more
 EXACT = 2.0**53
@@ -210,7 +210,7 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     count, width, square = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     if not count:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    sample = rows.orderBy(F.xxhash64("id", "label", "v"), "id").limit(SAMPLE).toPandas()
+    sample = rows.sample(min(1.0, SAMPLE / count), seed=1).toPandas()
     space = Space(matrix(sample["v"], width), pivots, square)
 
     kept = rows.mapInPandas(_table(space, width), "id long, label long, v array<double>, dist array<double>, home int, near double")
