@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chains
 from .windows import lag_calendar
 
-BAR_SCHEMA = "ticker string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
+BAR_COLUMNS = ("ticker", "ts", "open", "high", "low", "close", "volume", "dollar_volume")
 
 
 def adtv(daily: DataFrame, days: int = 63) -> DataFrame:
@@ -19,38 +17,43 @@ def adtv(daily: DataFrame, days: int = 63) -> DataFrame:
     return daily.withColumn("__k", k).where(F.col("__k") <= days).groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("adtv"))
 
 
-class BarFold:
-    """Accumulates ticks into bars of at least `threshold` traded value; overshoot is not carried, a part bar stays open."""
-
-    def __init__(self, threshold: float, state: tuple | None = None):
-        self.threshold, self.state = threshold, state
+def value_bars(ticks: DataFrame, thresholds: DataFrame, opened: DataFrame | None = None, unit: float = 1e-4, block_rows: int = chains.BLOCK_ROWS) -> DataFrame:
+    """Bars of equal traded value from ticks (ticker, ts, price, size) and thresholds (ticker, threshold), complete ones (done) and each ticker's open one.
 
-    def add(self, ts, price: float, size: float) -> tuple | None:
-        s = self.state
-        s = (ts, price, price, price, price, size, price * size) if s is None else (s[0], s[1], max(s[2], price), min(s[3], price), price, s[5] + size, s[6] + price * size)
-        self.state = None if s[6] >= self.threshold else s
-        return s if self.state is None else None
+    A bar ends at the first tick with which its value reaches the threshold; overshoot is not carried. Values count in
+    whole `unit`s, so that where bars end does not depend on the order of additions. opened: the open bars of earlier
+    ticks, as this function gave them. Where a bar ends is found by pointers over blocks of ticks (see chains), so one
+    ticker's ticks lie over many tasks; bars are then grouped sums. Prices and sizes are not negative; a tick without
+    one of them is none; a threshold of 0 or less makes each tick a bar.
+    """
+    units = lambda x: F.round(x / unit).cast("long")
+    t = ticks.where("price is not null and size is not null").select("ticker", "ts", "price", "size").join(thresholds.select("ticker", "threshold"), "ticker")
+    every = F.col("threshold") <= 0
+    t = t.withColumn("step", F.when(every, 1).otherwise(F.greatest(units(F.col("threshold")), F.lit(1)))).withColumn("units", F.when(every, 1).otherwise(units(F.col("price") * F.col("size"))))
+    held = None
+    if opened is not None:
+        held = opened.join(thresholds, "ticker").withColumn("need", F.greatest(units(F.col("threshold")), F.lit(1)) - F.col("units")).drop("threshold")
+        t = t.join(held.select("ticker", F.col("need").alias("first")), "ticker", "left").withColumn("first", F.coalesce("first", "step"))
+    else:
+        t = t.withColumn("first", F.col("step"))
+    rows = chains.chain(t.drop("threshold"), "ticker", ["ts", "price", "size"], F.col("units"), F.col("step"), F.col("first"), F.lit(True), block_rows)
+    order = F.struct("ts", "price", "size")
+    new = rows.groupBy("ticker", "need").agg(
+        F.max("chosen").alias("done"), F.min("ts").alias("ts"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("dollar_volume"), F.sum("units").alias("units"),
+    )
+    if held is None:
+        return new.drop("need")
+    both = new.withColumn("late", F.lit(1)).unionByName(held.select(*new.columns).withColumn("late", F.lit(0)))
+    return both.groupBy("ticker", "need").agg(
+        F.max("done").alias("done"), F.min("ts").alias("ts"), F.min_by("open", "late").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "late").alias("close"), F.sum("volume").alias("volume"), F.sum("dollar_volume").alias("dollar_volume"), F.sum("units").alias("units"),
+    ).drop("need")
 
 
 def dollar_bars(ticks: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Bars of equal traded value from ticks (ticker, ts, price, size) and thresholds (ticker, threshold); the part bar at the end is left out.
-
-    Rows are sorted by Spark and read as a stream, so a ticker of any length needs one open bar of memory.
-    """
-    rows = ticks.where("price is not null and size is not null").join(thresholds, "ticker").repartition("ticker").sortWithinPartitions("ticker", "ts", "price", "size")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, now, names = None, None, [x.split()[0] for x in BAR_SCHEMA.split(", ")]
-        for batch in batches:
-            out = []
-            for t, ts, price, size, threshold in zip(batch["ticker"], batch["ts"], batch["price"], batch["size"], batch["threshold"], strict=True):
-                if t != now:
-                    fold, now = BarFold(threshold), t
-                if done := fold.add(ts, price, size):
-                    out.append((t, *done))
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.select("ticker", "ts", "price", "size", "threshold").mapInPandas(run, BAR_SCHEMA)
+    """The complete bars of value_bars; the part bar at the end is left out."""
+    return value_bars(ticks, thresholds).where("done").select(*BAR_COLUMNS)
 
 
 def equal_weight_benchmark(bars: DataFrame, floor: float = 5.0) -> DataFrame:

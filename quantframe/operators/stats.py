@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EULER, col, div, kurt, normal_cdf, skew
+from ..sources.files import stored
 
 YEAR = 252
 
@@ -225,10 +226,89 @@ def backward_elimination(df: DataFrame, least_t: float = 0.5, at_least: int = 30
         df.unpersist()
 
 
+SORTED = 100_000  # values that one task may sort
+
+
+def order_values(df: DataFrame, x: str, shares: list[float], sorted_rows: int = SORTED) -> tuple[list[float | None], int]:
+    """Values of x at the places share * (n - 1), linear between neighbours as `percentile` has them, and n; NULL is no value.
+
+    Ranks are selected by counts of ranges: estimated quantiles bracket each rank, exact counts tell which side of the
+    bracket holds it, and only that range is looked at again, until `sorted_rows` values or equal ones are left. No
+    task holds the distinct values of the column, and a wrong estimate costs a round, not the result.
+    """
+    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null")
+    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares), 0
+    if n > sorted_rows:
+        values = stored(values, "values")
+    places = [share * (n - 1) for share in shares]
+    ranks = sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))})
+    open_ = {r: (least, most, 0, n) for r in ranks}  # rank -> range (ends included), rows below it, rows in it
+    found: dict[int, float] = {}
+    inside = lambda lo, hi: F.col("v").between(lo, hi)
+    while True:
+        found |= {r: lo for r, (lo, hi, _, _) in open_.items() if lo == hi}
+        open_ = {r: o for r, o in open_.items() if r not in found}
+        wide = {r: o for r, o in open_.items() if o[3] > sorted_rows}
+        if not wide:
+            break
+        ask = lambda r, o, d: F.percentile_approx(F.when(inside(o[0], o[1]), F.col("v")), F.array(*[F.lit(min(1.0, max(0.0, (r - o[2] + s) / o[3]))) for s in (-d, d)]), 10_000)
+        near = values.agg(*[ask(r, o, 2e-4 * o[3] + 1) for r, o in wide.items()]).first()
+        cuts = {r: ((a, b) if (a, b) != (o[0], o[1]) else (b, b) if r - o[2] > o[3] / 2 else (a, a)) for (r, o), (a, b) in zip(wide.items(), near, strict=True)}
+        counts = values.agg(*[f for r, (lo, hi, _, _) in wide.items() for a, b in [cuts[r]] for f in (
+            F.count(F.when((F.col("v") >= lo) & (F.col("v") < a), 1)), F.count(F.when(inside(a, b), 1)), F.max(F.when(F.col("v") < a, F.col("v"))), F.min(F.when(F.col("v") > b, F.col("v"))))]).first()
+        for k, (r, (lo, hi, below, size)) in enumerate(wide.items()):
+            (left, mid, under, over), (a, b) = counts[4 * k : 4 * k + 4], cuts[r]
+            if r - below < left:
+                open_[r] = (lo, under, below, left)
+            elif r - below < left + mid:
+                open_[r] = (a, b, below + left, mid)
+            else:
+                open_[r] = (over, hi, below + left + mid, size - left - mid)
+    if open_:
+        ranges = sorted({o for o in open_.values()})
+        held = values.agg(*[F.sort_array(F.collect_list(F.when(inside(lo, hi), F.col("v")))).alias(f"r{k}") for k, (lo, hi, _, _) in enumerate(ranges)])
+        rows = held.select(*[F.get(f"r{ranges.index(o)}", F.lit(r - o[2])) for r, o in open_.items()]).first()
+        found |= dict(zip(open_, rows, strict=True))
+    out = []
+    for p in places:
+        a, b = found[int(p)], found[min(int(p) + 1, n - 1)]
+        out.append(a if p == int(p) else a + (p - int(p)) * (b - a))
+    return out, n
+
+
+def group_quantiles(df: DataFrame, by: str, x: str, shares: list[float], block_rows: int = SORTED) -> DataFrame:
+    """(by, n, most, values): of each group the number of values, the largest, and those at places share * (n - 1), linear between neighbours.
+
+    Values are dealt to blocks by range of (group, value), blocks are counted, and only those that hold an asked rank
+    are sorted, so a group of any size lies over many tasks. NULL is no value; a NULL group is left out.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(x).alias("v")).where("g is not null and v is not null").withColumn("rid", F.monotonically_increasing_id())
+    parts = max(1, -(-rows.count() // block_rows))
+    blocks = stored(rows.repartitionByRange(parts, "g", "v", "rid").select("g", "v", F.spark_partition_id().alias("b")), "value-blocks")
+    before, whole = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("g")
+    counts = blocks.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("top"))
+    counts = stored(counts.withColumns({"p0": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(whole), "most": F.max("top").over(whole)}), "block-counts")
+    ranks = F.flatten(F.transform(F.array(*[F.lit(float(q)) for q in shares]), lambda q: F.array(F.floor(q * (F.col("n") - 1)), F.ceil(q * (F.col("n") - 1)))))
+    asked = counts.select("g", "b", "p0", "c", F.explode(F.array_distinct(ranks)).alias("rank")).where("p0 <= rank and rank < p0 + c").select("g", "b", "rank", (F.col("rank") - F.col("p0") + 1).alias("k"))
+    held = blocks.join(asked.select("g", "b").distinct(), ["g", "b"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("g", "b").orderBy("v")))
+    found = held.join(asked, ["g", "b", "k"]).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    sizes = counts.select(F.col("g").alias("g2"), "n", "most").distinct()
+    out = sizes.join(found, F.col("g") == F.col("g2"))
+
+    def value(q: float) -> Column:
+        p = F.lit(float(q)) * (F.col("n") - 1)
+        a, b = F.element_at("at", F.floor(p)), F.element_at("at", F.ceil(p))
+        return a + (p - F.floor(p)) * (b - a)
+
+    return out.select(F.col("g").alias(by), "n", "most", F.array(*[value(q) for q in shares]).alias("values"))
+
+
 def winsorize(df: DataFrame, x: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """x cut at its overall quantiles."""
-    q = df.agg(F.expr(f"percentile({x}, array({lo}, {hi}))").alias("__q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(x, F.col("__q")[0]), F.col("__q")[1]))).drop("__q")
+    (a, b), n = order_values(df, x, [lo, hi])
+    return df.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(x, F.lit(a)), F.lit(b)))) if n else df
 
 
 def mean_t(x: str) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import change, div, z_score
+from . import chains
 from . import windows as W
 from .clean import top_quantile
 from .joins import asof
@@ -69,29 +67,16 @@ def transcript_score(text: Column, positive: list[str] = POSITIVE, negative: lis
     return F.when(n > 0, (count(positive) - count(negative)) / n - 0.5 * count(uncertain) / n).otherwise(0.0)
 
 
-def hold_entries(entries: DataFrame, hold: int, size: float = 0.02) -> DataFrame:
+def hold_entries(entries: DataFrame, hold: int, size: float = 0.02, block_rows: int = chains.BLOCK_ROWS) -> DataFrame:
     """Rows (date, ticker, entry) in force: an entry while none is held gives `size` for `hold` bars, then 0 once.
 
-    A counter along each ticker's bars; rows are sorted by Spark and read as a stream.
+    Which entries are taken is a chain over bar numbers, so a ticker's bars lie over many tasks.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, left = None, 0
-        for b in batches:
-            out = []
-            for t, date, entry in zip(b["ticker"], b["date"], b["entry"], strict=True):
-                if t != now:
-                    now, left = t, 0
-                if left:
-                    left -= 1
-                    out.append((date, t, size if left else 0.0))
-                elif entry:
-                    left = hold
-                    out.append((date, t, size))
-            yield pd.DataFrame(out, columns=["date", "ticker", "weight"])
-
-    rows = entries.select("ticker", "date", "entry").repartition("ticker").sortWithinPartitions("ticker", "date")
-    return rows.mapInPandas(run, "date date, ticker string, weight double")
+    rows = entries.select("ticker", "date", "entry")
+    rows = chains.chain(rows, "ticker", ["date"], F.lit(1), F.lit(hold + 1), F.lit(0), F.coalesce("entry", F.lit(False)), block_rows)
+    bars_in = F.when(F.col("chosen"), 0).otherwise(F.col("total") - F.col("need") + hold + 1)
+    held = rows.withColumn("since", bars_in).where(F.col("chosen") | (F.col("since") <= hold))
+    return held.select("date", "ticker", F.when(F.col("chosen") | (F.col("since") < hold), size).otherwise(0.0).alias("weight"))
 
 
 def surprise_entries(panel: DataFrame, eps: float = 0.05, gap: float = 0.03, runup: float = 0.10, sector: float = -0.015) -> DataFrame:

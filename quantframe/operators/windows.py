@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from math import sqrt
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import change, col, div, full
+from ..sources.files import stored
 
 YEAR = 252
 
@@ -76,23 +77,56 @@ def atr(bars: DataFrame, n: int = 21) -> DataFrame:
     return d.select(*bars.columns, full(F.avg("__d").over(rows(n)), F.col("__d"), rows(n), n).alias("atr"))
 
 
-def wilder_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+def _composed(maps: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """maps x -> a x + b, each composed with all before it of its group (of at most `most` rows), by doubling."""
+    w, d = Window.partitionBy(*by).orderBy(order), 1
+    while d < most:
+        a, b = F.lag("a", d).over(w), F.lag("b", d).over(w)
+        maps = maps.withColumns({"a": F.coalesce(F.col("a") * a, F.col("a")), "b": F.coalesce(F.col("a") * b + F.col("b"), F.col("b"))})
+        d *= 2
+    return maps
+
+
+def wilder_atr(bars: DataFrame, n: int = 14, block_rows: int = 100_000) -> DataFrame:
     """wilder_atr: recursive mean of the true range, seeded with the first; NULL prices are left out.
 
-    A recursion over a ticker's bars in order, so one pass over each ticker's rows, a ticker a group.
+    Each step is an affine map of the mean, and maps compose, so a ticker is cut into blocks of rows and those into
+    chunks: running sums in chunks, maps of chunks composed in each block, maps of blocks over the ticker, then each
+    chunk takes the mean it begins with. No task holds more than a block's rows and a row for each block.
     """
-    prev = lag("close")
-    tr = F.when(prev.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, a, out = rows.sort_values("date"), None, []
-        for t in rows["tr"].to_numpy():
-            a = t if a is None else a + (t - a) / n
-            out.append(a)
-        return rows[["ticker", "date"]].assign(wilder_atr=out)
-
-    seq = bars.select("ticker", "date", tr.alias("tr")).where("tr is not null")
-    return seq.groupBy("ticker").applyInPandas(run, "ticker string, date date, wilder_atr double")
+    q = 1 - 1 / n
+    chunk = max(1, int(np.log(1e6) / -np.log(q))) if q > 0 else 1  # powers of q stay above a millionth
+    parts = max(1, -(-bars.count() // block_rows))
+    cut = bars.select("ticker", "date", "high", "low", "close").repartitionByRange(parts, "ticker", "date").withColumn("block", F.spark_partition_id())
+    rows = stored(cut, "atr-rows")
+    over_blocks, in_block = Window.partitionBy("ticker").orderBy("block"), Window.partitionBy("ticker", "block").orderBy("date")
+    ends = rows.groupBy("ticker", "block").agg(F.max(F.struct("date", "close")).alias("end"))
+    ends = ends.select("ticker", "block", F.lag("end.close").over(over_blocks).alias("before"))
+    # the first row of a block takes the close before it from the block before
+    prev = F.coalesce(F.lag("close").over(in_block), F.when(F.row_number().over(in_block) == 1, F.col("before")))
+    known = rows.join(ends, ["ticker", "block"]).withColumn("prev", prev)
+    spread = F.col("high") - F.col("low")
+    tr = F.when(F.col("prev").isNull(), spread).otherwise(F.greatest(spread, F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev"))))
+    known = known.select("ticker", "date", "block", tr.alias("tr")).where("tr is not null").withColumn("k", F.row_number().over(in_block) - 1)
+    known = known.select("ticker", "date", "block", "tr", F.floor(F.col("k") / chunk).cast("int").alias("chunk"), (F.col("k") % chunk).alias("j"))
+    begin = known.groupBy("ticker").agg(F.min("date").alias("begin"))
+    known = stored(known.join(begin, "ticker").withColumn("b", F.when(F.col("date") == F.col("begin"), F.col("tr")).otherwise(F.col("tr") / n)).drop("begin"), "atr-ranges")
+
+    power = F.pow(F.lit(q), F.col("j")) if q > 0 else F.lit(1.0)
+    run = F.sum(F.col("b") / power).over(Window.partitionBy("ticker", "block", "chunk").orderBy("j"))
+    own = known.withColumn("own", power * run)
+    chunks = own.groupBy("ticker", "block", "chunk").agg((F.pow(F.lit(q), F.max("j") + 1)).alias("a"), F.max_by("own", "j").alias("b"))
+    chunks = stored(chunks, "atr-chunks")
+    most = chunks.agg(F.max("chunk")).first()[0] or 0
+    chunks = _composed(chunks, ["ticker", "block"], "chunk", most + 1)
+    blocks = stored(chunks.groupBy("ticker", "block").agg(F.max_by("a", "chunk").alias("a"), F.max_by("b", "chunk").alias("b")), "atr-blocks")
+    most = blocks.groupBy("ticker").count().agg(F.max("count")).first()[0] or 0
+    carried = _composed(blocks, ["ticker"], "block", most).select("ticker", "block", F.lag("b").over(over_blocks).alias("into"))
+    before = Window.partitionBy("ticker", "block").orderBy("chunk")
+    a, b = F.lag("a").over(before), F.lag("b").over(before)
+    # without a block before, the first row is the seed and nothing is carried into it
+    enters = chunks.join(carried, ["ticker", "block"]).select("ticker", "block", "chunk", F.when(a.isNull(), F.coalesce("into", F.lit(0.0))).otherwise(b + a * F.coalesce("into", F.lit(0.0))).alias("enters"))
+    return own.join(enters, ["ticker", "block", "chunk"]).select("ticker", "date", (F.col("own") + power * q * F.col("enters")).alias("wilder_atr"))
 
 
 def frac_weights(d: float, cutoff: float = 1e-3) -> list[float]:

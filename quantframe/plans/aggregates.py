@@ -8,6 +8,7 @@ from ..functions.expr import surprise
 from ..operators import bars as B
 from ..operators import clean as C
 from ..operators import joins as J
+from ..operators import stats as S
 from ..operators import windows as W
 from ..sources.market import bars, macro, reports, returns, sql, table, ticks
 from .registry import query
@@ -20,8 +21,7 @@ def agg01(spark, d):
     return B.adtv(bars(spark, d)).select("ticker", F.round("adtv", 2).alias("adtv"))
 
 
-@query(
-    "agg02",
+TICK_BARS = (
     "WITH RECURSIVE " + sql("", "ticks").removeprefix("WITH ").rstrip() + """,
     t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts, price) AS k FROM ticks WHERE price IS NOT NULL),
     walk AS (
@@ -30,8 +30,11 @@ def agg01(spark, d):
         SELECT t.ticker, t.k, CASE WHEN dv >= 2000 THEN t.ts ELSE w.ts END, CASE WHEN dv >= 2000 THEN t.price ELSE o END, CASE WHEN dv >= 2000 THEN t.price ELSE greatest(h, t.price) END,
                CASE WHEN dv >= 2000 THEN t.price ELSE least(l, t.price) END, t.price, CASE WHEN dv >= 2000 THEN t.size ELSE v + t.size END, CASE WHEN dv >= 2000 THEN t.price * t.size ELSE dv + t.price * t.size END
         FROM walk w JOIN t ON t.ticker = w.ticker AND t.k = w.k + 1)
-    SELECT ticker, ts, o AS open, h AS high, l AS low, c AS close, v AS volume, ROUND(dv, 4) AS dollar_volume FROM walk WHERE dv >= 2000""",
+    SELECT ticker, ts, o AS open, h AS high, l AS low, c AS close, v AS volume, ROUND(dv, 4) AS dollar_volume FROM walk WHERE dv >= 2000"""
 )
+
+
+@query("agg02", TICK_BARS)
 def agg02(spark, d):
     t = ticks(spark, d)
     limit = t.select("ticker").distinct().withColumn("threshold", F.lit(2000.0))
@@ -136,9 +139,9 @@ _P = "quantile_cont(o_totalprice, {})"
 
 @query("agg17", f"SELECT o_orderpriority, ROUND({_P.format('0.1::DOUBLE')}, 3) AS p10, ROUND({_P.format('0.5::DOUBLE')}, 3) AS p50, ROUND({_P.format('0.9::DOUBLE')}, 3) AS p90, max(o_totalprice) AS top FROM orders GROUP BY 1")
 def agg17(spark, d):
-    p = F.expr("percentile(o_totalprice, array(0.1, 0.5, 0.9))")
-    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(p.alias("p"), F.max("o_totalprice").alias("top"))
-    return o.select("o_orderpriority", *[F.round(F.col("p")[k], 3).alias(n) for k, n in enumerate(("p10", "p50", "p90"))], "top")
+    o = table(spark, d, "orders")
+    p = S.group_quantiles(o, "o_orderpriority", "o_totalprice", [0.1, 0.5, 0.9])
+    return p.select("o_orderpriority", *[F.round(F.col("values")[k], 3).alias(n) for k, n in enumerate(("p10", "p50", "p90"))], F.col("most").alias("top"))
 
 
 @query("agg18", "SELECT n_regionkey, ROUND(avg(coalesce(s.w, 1)), 6) AS weight FROM nation LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) / 1000 AS w FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON s_nationkey = n_nationkey GROUP BY 1")

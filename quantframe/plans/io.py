@@ -1,4 +1,4 @@
-"""Sinks read back, and streams run to their end (SNK, STM, RUN02, RUN04, RUN07)."""
+"""Sinks read back and gate runs (SNK, STM06, RUN04, RUN07)."""
 
 from __future__ import annotations
 
@@ -13,8 +13,7 @@ from ..operators import stats as S
 from ..operators import strategies as T
 from ..operators import windows as W
 from ..sources import files
-from ..sources.market import bars, returns, sql, table, ticks
-from ..streaming import stateful
+from ..sources.market import bars, returns, sql, table
 from .registry import query
 
 _ALL = sql("SELECT ticker, date, close, CAST(year(date) AS INTEGER) AS year FROM bars", "bars")
@@ -89,37 +88,6 @@ def snk12(spark, d):
     return spark.read.parquet(path).select("n_nationkey", "n_name")
 
 
-def _drain(stream, name):
-    """All that a stream gives until its input ends, through a Parquet sink with a checkpoint."""
-    spark, path = stream.sparkSession, files.work_dir(stream.sparkSession, name)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
-
-
-@query("stm04", sql("SELECT ticker, count(*) AS ticks FROM ticks GROUP BY 1", "ticks"))
-def stm04(spark, d):
-    """Value-driven bars of a stream: with a threshold below any trade each tick is a bar, so their number is known."""
-    t = ticks(spark, d).select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.greatest("price", F.lit(0.01)).alias("price"), "size")
-    path = files.work_dir(spark, "ticks")
-    t.write.parquet(path)
-    live = spark.readStream.schema(t.schema).parquet(path)
-    return _drain(stateful.dollar_bars(live, 0.01), "bars").groupBy("ticker").agg(F.count(F.lit(1)).alias("ticks"))
-
-
-@query(
-    "stm05",
-    sql(
-        """SELECT ticker, min(date) AS "start", count(*) AS n FROM (SELECT ticker, date, sum(CASE WHEN g > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date) AS seg FROM (SELECT ticker, date, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS g FROM bars)) GROUP BY ticker, seg""",
-        "bars",
-    ),
-)
-def stm05(spark, d):
-    """Contiguous runs as session windows."""
-    b = bars(spark, d).select("ticker", F.col("date").cast("timestamp").alias("ts"))
-    s = b.groupBy("ticker", F.session_window("ts", "10 days")).agg(F.count(F.lit(1)).alias("n"))
-    return s.select("ticker", F.to_date("session_window.start").alias("start"), "n")
-
-
 @query("stm06", sql("SELECT ticker, max(date) = (SELECT max(date) FROM bars) AS fresh FROM bars GROUP BY 1", "bars"))
 def stm06(spark, d):
     """Whether each ticker's last bar is of the last session."""
@@ -128,14 +96,6 @@ def stm06(spark, d):
     return last.crossJoin(F.broadcast(top)).select("ticker", (F.col("last") == F.col("top")).alias("fresh"))
 
 
-@query("stm07", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'drop' ELSE 'keep' END AS action FROM supplier WHERE s_suppkey % 2 = 0")
-def stm07(spark, d):
-    """Saved state against the system of record: what the broker no longer holds is dropped."""
-    saved = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"))
-    held = table(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("id"))
-    return saved.join(held, "id", "left_anti").withColumn("action", F.lit("drop")).unionByName(saved.join(held, "id", "left_semi").withColumn("action", F.lit("keep")))
-
-
 @query("run04")
 def run04(spark, d):
     """Gate run of the trend strategy over the whole span: navs, returns, summary."""

@@ -206,34 +206,9 @@ def snk10(spark, d):
     return r.select(F.substring("ticker", 2, 9).cast("long").alias("s_suppkey"), "score", "guidance")
 
 
-@query("stm02", sql("SELECT ticker, date, ROUND(close / lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS ret_5d FROM bars QUALIFY date > DATE '2001-06-30'", "bars"))
-def stm02(spark, d):
-    """Incremental append: only new days leave, computed with the bars before them as warm-up."""
-    b = bars(spark, d)
-    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))
-    warm = b.where("date <= '2001-06-30'").withColumn("k", k).where("k <= 70").drop("k")
-    f = W.lookback_returns(warm.unionByName(b.where("date > '2001-06-30'")), (5,))
-    return f.where("date > '2001-06-30'").select("ticker", "date", F.round("ret_5d", 6).alias("ret_5d"))
-
-
-@query("stm03", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
-def stm03(spark, d):
-    """Keep-last de-duplication."""
-    return C.keep_one(table(spark, d, "events"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "event_id")
-
-
 @query("stm08", sql("", "filings").rstrip() + ", top AS (SELECT *, max(period_date) OVER (PARTITION BY ticker ORDER BY filing_date, period_date ROWS UNBOUNDED PRECEDING) AS newest FROM filings) SELECT ticker, count(*) FILTER (WHERE newest <> period_date) AS late FROM top GROUP BY 1")
 def stm08(spark, d):
     """Late filings that the newest-period rule sets aside."""
     f = filings(spark, d)
     w = Window.partitionBy("ticker").orderBy("filing_date", "period_date").rowsBetween(Window.unboundedPreceding, 0)
     return f.withColumn("newest", F.max("period_date").over(w)).groupBy("ticker").agg(F.count_if(F.col("newest") != F.col("period_date")).alias("late"))
-
-
-@query("stm10", "SELECT event_type AS ticker, CAST(ts AS DATE) AS date, first(value ORDER BY ts) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts) AS close, count(*) AS n FROM events GROUP BY 1, 2")
-def stm10(spark, d):
-    """Daily bars from ticks (an extension: the inputs usually come as bars)."""
-    t = market.ticks(spark, d)
-    return t.groupBy("ticker", F.to_date("ts").alias("date")).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.count(F.lit(1)).alias("n"))
-
-

@@ -123,3 +123,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="quantframe-")
         spark.conf.set("spark.quantframe.work", base)
     return f"{base.rstrip('/')}/quantframe/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table under work_dir and read back: cuts the lineage, so a lost executor repeats no earlier stage."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,61 +1,173 @@
-"""Structured Streaming forms: value-driven bars, sessions and upserts. The folds are those of the batch operators."""
+"""Structured Streaming jobs: value bars, incremental features, keep-last, daily roll-up, sessions, and state read back.
+
+Jobs that write do so batch by batch, each batch to a folder of its own (`batch=<id>`) that it overwrites: a batch that
+runs twice changes nothing. What a job needs of earlier batches it reads from their folders, never from its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.bars import BAR_COLUMNS, value_bars
+from ..operators.clean import keep_one
+from ..sources.files import stored
+
+Batch = Callable[[DataFrame, int], None]
+OPEN_BARS = "ticker string, done boolean, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double, units long"
+
+
+def run_available(stream: DataFrame, job: Batch, checkpoint: str, mode: str = "append") -> None:
+    """All that a stream has now, through a job, then stop; the checkpoint says what the next run begins with."""
+    stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def write_batches(folder: str) -> Batch:
+    """Each batch as it comes."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
+    """Rows of all batches, or of those before one, with the column batch; no rows where none was written."""
+    rows = spark.read.schema(f"{schema}, batch int").option("basePath", folder).parquet(f"{folder}/batch=*") if before is None or before > 0 else spark.createDataFrame([], f"{schema}, batch int")
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def last_written(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows that later batches wrote again the last."""
+    return keep_one(rows, key, [F.col("batch").desc()]).drop("batch")
+
+
+def bar_job(folder: str, thresholds: DataFrame) -> Batch:
+    """Value bars of a stream of ticks: complete bars go to bars/, each ticker's open bar to open/, where the next batch takes it up.
+
+    What is kept of earlier ticks is one row a ticker; a batch's own ticks are cut into blocks as in value_bars, so a hot ticker
+    lies over many tasks. Ticks of a batch are taken in time order; a batch's ticks come after those of the batches before.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        opened = batch.sparkSession.read.schema(OPEN_BARS).parquet(f"{folder}/open/batch={number - 1}") if number else None
+        rows = stored(value_bars(batch, thresholds, opened), "bars")
+        rows.where("done").select(*BAR_COLUMNS).write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
+        rows.where("not done").select(*[x.split()[0] for x in OPEN_BARS.split(", ")]).write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
+
+    return run
+
+
+def append_job(folder: str, schema: str, history: DataFrame, features: Callable[[DataFrame], DataFrame], warm_rows: int) -> Batch:
+    """Incremental append: features of new days only, with the last `warm_rows` rows of each ticker as warm-up.
 
-from ..operators.bars import BAR_SCHEMA, BarFold
+    Days that are not after all of the history and of earlier batches are refused, so nothing stored changes.
+    """
 
-_BAR_STATE = "ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
+    def run(batch: DataFrame, number: int) -> None:
+        names = batch.columns
+        old = history.select(*names).unionByName(read_batches(batch.sparkSession, folder, schema, number).select(*names))
+        last = old.agg(F.max("date").alias("last"))
+        new = batch.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col("date") > F.col("last"))).select(*names, F.lit(True).alias("new"))
+        k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))
+        warm = old.withColumn("k", k).where(F.col("k") <= warm_rows).select(*names, F.lit(False).alias("new"))
+        features(warm.unionByName(new)).where("new").drop("new").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
+    return run
 
-def dollar_bars(ticks: DataFrame, threshold: float) -> DataFrame:
-    """Value-driven bars of a stream (ticker, ts, price, size): a ticker's state is its one open bar. Ticks of a micro-batch are taken in time order."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fold = BarFold(threshold, tuple(state.get) if state.exists else None)
-        rows = pd.concat(list(batches)).dropna(subset=["price", "size"]).sort_values(["ts", "price", "size"])
-        done = [bar for ts, p, s in zip(rows["ts"], rows["price"], rows["size"], strict=True) if (bar := fold.add(ts, p, s))]
-        if fold.state is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pd.Timestamp(fold.state[0]).to_pydatetime(), *map(float, fold.state[1:])))
-        yield pd.DataFrame([(key[0], *b) for b in done], columns=[x.split()[0] for x in BAR_SCHEMA.split(", ")])
+class LastOfKind(StatefulProcessor):
+    """The last row (us, id) of each kind of a key, in map state.
 
-    return ticks.groupBy("ticker").applyInPandasWithState(run, BAR_SCHEMA, _BAR_STATE, "append", "NoTimeout")
+    Rows older than the watermark are left out. A kind without rows for `idle` microseconds of event time is forgotten by
+    a timer; a later row begins it anew, which is right, as older ones are left out.
+    """
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getMapState("last", "kind string", "us long, id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))[["kind", "us", "id"]]
+        got = got[got["us"] >= timerValues.getCurrentWatermarkInMs() * 1000].sort_values(["us", "id"]).drop_duplicates("kind", keep="last")
+        out = []
+        for kind, us, number in got.itertuples(index=False, name=None):
+            known = self.last.getValue((kind,)) if self.last.containsKey((kind,)) else None
+            if known is None or (us, number) > tuple(known):
+                self.last.updateValue((kind,), (int(us), int(number)))
+                self.handle.registerTimer((int(us) + self.idle) // 1000 + 1)
+                out.append((key[0], kind, us, number))
+        yield pd.DataFrame(out, columns=["key", "kind", "us", "id"]).astype({"us": "int64", "id": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for kind in [k for k, v in self.last.iterator() if v[0] + self.idle <= until]:
+            self.last.removeKey(kind)
+        yield pd.DataFrame({"key": [], "kind": [], "us": [], "id": []}).astype({"key": "int64", "kind": "object", "us": "int64", "id": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """State in RocksDB, which map state and timers need, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keep_last(events: DataFrame, late: str = "1 hour", idle_days: int = 30) -> DataFrame:
+    """(key, kind, us, id) whenever the last row of a kind changes, from a stream (key long, kind string, ts timestamp, id long); ties in time by id. For output mode update."""
+    day = 86_400_000
+    rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(LastOfKind(idle_days * day * 1000), "key long, kind string, us long, id long", "Update", "EventTime")
 
 
 def daily_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Tumbling daily bars with a watermark (an extension: late ticks beyond it are left out by definition)."""
+    """Tumbling daily bars of a stream (ticker, ts, tick_id, price); ticks of days that ended before the watermark are left out by definition. For output mode update: a day is written again when it changes."""
+    order = F.struct("ts", "tick_id")
     w = ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", "1 day"))
-    return w.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume")).select("ticker", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "volume")
+    bars = w.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("n"))
+    return bars.select("ticker", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "n")
 
 
 def sessions(events: DataFrame, gap: str = "10 days", late: str = "30 days") -> DataFrame:
-    """Runs of events (key, ts) parted by more than `gap`."""
+    """Runs of events (key, ts) of a stream parted by `gap` or more. For output mode append (closed runs) or complete."""
     w = events.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap))
     return w.agg(F.count(F.lit(1)).alias("n")).select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_keep_last(key: list[str], order: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None]):
+def held_state(positions: DataFrame) -> DataFrame:
+    """Last size of each position of a stream (id, version, size): the state that a later run reads. For output mode update."""
+    return positions.groupBy("id").agg(F.max_by("size", "version").alias("size"))
+
+
+def saved_state(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """Keys that the aggregation of a stopped stream has in its saved state, read from its checkpoint."""
+    return spark.read.format("statestore").load(checkpoint).select(F.col(f"key.{key}").alias(key))
+
+
+def reconcile(saved: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, action): what a run saved and the system of record still holds is kept, the rest is dropped."""
+    both = saved.join(held.select(F.col(key).alias("__k"), F.lit(True).alias("__held")).distinct(), F.col(key) == F.col("__k"), "left")
+    return both.select(key, F.when(F.col("__held"), "keep").otherwise("drop").alias("action"))
+
+
+def upsert_keep_last(key: list[str], order: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None]) -> Batch:
     """foreachBatch function that keeps the last row of each key over all batches; a batch that runs twice changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        from ..operators.clean import keep_one
-
         old = read()
         both = batch if old is None else old.unionByName(batch)
         write(keep_one(both, key, [F.col(order).desc()]))
 
     return apply
-
-
-def fresh(last_bar, previous_session) -> None:
-    """Refuse to run on stale data."""
-    if last_bar != previous_session:
-        raise RuntimeError(f"last bar {last_bar} is not the previous session {previous_session}")
