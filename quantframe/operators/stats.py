@@ -44,6 +44,13 @@ def expected_max_sharpe(trials: int) -> float:
     return (1 - EULER) * q(1 - 1 / trials) + EULER * q(1 - 1 / (trials * E_))
 
 
+def expected_max(trials: str) -> Column:
+    """expected_max_sharpe of a column of numbers of trials."""
+    from pyspark.sql.types import DoubleType
+
+    return F.pandas_udf(lambda n: n.map({k: expected_max_sharpe(int(k)) for k in n.unique()}).astype(float), DoubleType())(F.col(trials))
+
+
 def deflated_sharpe(df: DataFrame, by: list[str], trials: int) -> DataFrame:
     """dsr: the probabilistic Sharpe ratio against the best of `trials` by luck alone."""
     n = df.groupBy(*by).agg(F.count("ret").alias("n"))
@@ -351,28 +358,7 @@ _ADF_SMALL = (2.1659, 1.4412, 0.038269)
 _ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-def adf_pvalue(x: np.ndarray) -> float:
-    """p-value of the augmented Dickey-Fuller test with a constant; lags by the least AIC; 1 where it can't be computed."""
-    x = np.asarray(x, float)
-    x = x[np.isfinite(x)]
-    if len(x) < 20 or np.ptp(x) == 0:
-        return 1.0
-    d = np.diff(x)
-    most = min(int(np.ceil(12 * (len(x) / 100) ** 0.25)), len(x) // 2 - 2)
-
-    def fit(lags: int, start: int) -> tuple[float, float]:
-        y = d[start:]
-        cols = [x[start:-1], *[d[start - k : len(d) - k] for k in range(1, lags + 1)], np.ones(len(y))]
-        a = np.stack(cols, 1)
-        inv = np.linalg.pinv(a.T @ a)
-        b = inv @ (a.T @ y)
-        r = y - a @ b
-        n, k = a.shape
-        aic = n * (np.log(2 * np.pi * (r @ r) / n) + 1) + 2 * k
-        return aic, b[0] / np.sqrt((r @ r) / (n - k) * inv[0, 0])
-
-    best = min(range(most + 1), key=lambda k: fit(k, most)[0])
-    t = fit(best, best)[1]
+def _dickey_fuller_p(t: float) -> float:
     if not np.isfinite(t) or t > _ADF_MAX:
         return 1.0
     if t < _ADF_MIN:
@@ -381,6 +367,89 @@ def adf_pvalue(x: np.ndarray) -> float:
     return NormalDist().cdf(sum(c * t**k for k, c in enumerate(coef)))
 
 
+def _unit_root(n: int, lags: int, count: int, sx: float, sxx: float, moments: dict[int, tuple[float, float, float]], edges: dict[int, float]) -> tuple[int, float, float]:
+    """Chosen lags, t and p of one series from its sums.
+
+    moments: by lag j the sums of d[s - j], x[s] * d[s - j] and d[s] * d[s - j] over s from `lags` on, for the changes
+    d[s] = x[s + 1] - x[s]. Products of two lags follow from them, as a sum shifted by one differs at its ends only.
+    """
+    d = lambda s: edges[s + 1] - edges[s]
+    size, last = lags + 3, n - 2
+    sd, xd, dd = ([moments[j][k] for j in range(lags + 1)] for k in range(3))
+    c = np.zeros((lags + 1, lags + 1))
+    c[0] = dd
+    for i in range(1, lags + 1):
+        for j in range(i, lags + 1):
+            c[i, j] = c[i - 1, j - 1] + d(lags - i) * d(lags - j) - d(last - i + 1) * d(last - j + 1)
+    c = np.triu(c) + np.triu(c, 1).T
+    g = np.zeros((size, size))  # constant, x, lagged changes, change
+    order = [*range(1, lags + 1), 0]
+    g[0, 0], g[0, 1], g[1, 1] = count, sx, sxx
+    g[0, 2:], g[1, 2:] = [sd[j] for j in order], [xd[j] for j in order]
+    g[2:, 2:] = c[np.ix_(order, order)]
+    g = np.triu(g) + np.triu(g, 1).T
+    scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+    try:  # the squares left by the first regressors, one more at a time, are read off one factor
+        y = np.linalg.cholesky(g * scale * scale[:, None])[-1]
+        rest = [max((1 - (y[: 2 + k] ** 2).sum()), 1e-300) / scale[-1] ** 2 for k in range(lags + 1)]
+    except np.linalg.LinAlgError:
+        rest = [max(g[-1, -1] - g[-1, : 2 + k] @ np.linalg.pinv(g[: 2 + k, : 2 + k]) @ g[-1, : 2 + k], 1e-300) for k in range(lags + 1)]
+    best = int(np.argmin([count * (np.log(2 * np.pi * r / count) + 1) + 2 * (k + 2) for k, r in enumerate(rest)]))
+    keep = [*range(best + 2), size - 1]
+    g = g[np.ix_(keep, keep)]
+    for s in range(best, lags):  # with fewer lags the sample begins earlier
+        row = np.array([1.0, edges[s], *[d(s - j) for j in range(1, best + 1)], d(s)])
+        g += np.outer(row, row)
+    scale = 1 / np.sqrt(np.maximum(np.diag(g)[:-1], 1e-300))
+    inv = np.linalg.pinv(g[:-1, :-1] * scale * scale[:, None]) * scale * scale[:, None]
+    beta = inv @ g[:-1, -1]
+    left = max(g[-1, -1] - beta @ g[:-1, -1], 0.0) / max(g[0, 0] - len(beta), 1)
+    t = beta[1] / np.sqrt(left * inv[1, 1]) if left * inv[1, 1] > 0 else np.nan
+    return best, float(t), _dickey_fuller_p(t)
+
+
+def unit_roots(df: DataFrame, by: list[str], order: str, x: str) -> DataFrame:
+    """by with n, lags, t, p: augmented Dickey-Fuller test with a constant, lags by the least AIC; p is 1 where it can't be computed.
+
+    A table of cross moments by lag is summed map-side; all orders of lags are then solved from these sums, so rows are
+    read once whatever the orders and no series is gathered. Values that are NULL or not finite are left out.
+    """
+    w, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    v = F.col(x).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*by, order, v.alias("v"))
+    longest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    lags_of = lambda n: F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int")
+    most = max(0, min(int(np.ceil(12 * (longest / 100) ** 0.25)), longest // 2 - 2))
+    rows = rows.select(*by, order, (F.col("v") - F.first("v").over(w)).alias("v"), (F.row_number().over(w) - 1).alias("__k"), F.count(F.lit(1)).over(whole).alias("n"))
+    rows = rows.withColumns({"before": F.lag("v").over(w), "d": F.col("v") - F.lag("v").over(w), "lags": F.greatest(lags_of(F.col("n")), F.lit(0))})
+    rows = rows.withColumn("near", F.reverse(F.collect_list("d").over(w.rowsBetween(-most, 0))))
+    inside = F.col("__k") > F.col("lags")
+    edge = (F.col("__k") <= F.col("lags") + 1) | (F.col("__k") >= F.col("n") - F.col("lags") - 2)
+    sums = rows.groupBy(*by).agg(
+        F.first("n").alias("n"), F.first("lags").alias("lags"), F.count_if(inside).alias("count"), F.sum(F.when(inside, F.col("before"))).alias("sx"),
+        F.sum(F.when(inside, F.col("before") * F.col("before"))).alias("sxx"), (F.max("v") - F.min("v")).alias("span"), F.collect_list(F.when(edge, F.struct(F.col("__k").alias("k"), "v"))).alias("edges"),
+    )
+    lagged = rows.where(inside).select(*by, F.col("before").alias("x"), F.get("near", F.lit(0)).alias("d"), F.posexplode(F.slice("near", F.lit(1), F.col("lags") + 1)).alias("j", "dj"))
+    moments = lagged.groupBy(*by, "j").agg(F.sum("dj").alias("sd"), F.sum(F.col("x") * F.col("dj")).alias("xd"), F.sum(F.col("d") * F.col("dj")).alias("dd"))
+    moments = moments.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.collect_list(F.struct("j", "sd", "xd", "dd")).alias("moments"))
+    joined = sums.join(moments, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.n < 20 or r.span == 0:
+                    out.append((0, None, 1.0))
+                    continue
+                known = {m["j"]: (m["sd"], m["xd"], m["dd"]) for m in r.moments}
+                out.append(_unit_root(int(r.n), int(r.lags), int(r.count_), r.sx, r.sxx, known, {e["k"]: e["v"] for e in r.edges}))
+            yield batch[[*by, "n"]].assign(lags=[x for x, _, _ in out], t=[y for _, y, _ in out], p=[z for _, _, z in out])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", n long, lags int, t double, p double"
+    return joined.select(*by, "n", "lags", F.col("count").alias("count_"), "sx", "sxx", "span", "edges", "moments").mapInPandas(solve, schema)
+
+
 def kelly(df: DataFrame, n: int = 63, at_least: int = 20) -> DataFrame:
     """(series_id, leverage): mean / variance of the last n returns within [0, 2]; 1 with too few or no spread."""
     k = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("date").desc()))

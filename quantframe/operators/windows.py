@@ -163,6 +163,38 @@ def frac_diff_by(bars: DataFrame, x: str, d: str, out: str = "frac", cutoff: flo
     return j.where(F.size("__x") >= F.size("__w")).withColumn(out, value).where(F.col(out).isNotNull()).drop("__k", "__w", "__x")
 
 
+def frac_variants(rows: DataFrame, x: str, orders: Column, cutoff: float = 1e-3) -> DataFrame:
+    """(ticker, date, k, frac): x differenced by each of a row's orders k, in hundredths from 0 to 100; rows whose window is not full or holds NULL are left out."""
+    known = [(k, frac_weights(k / 100, cutoff) if k else [1.0]) for k in range(101)]
+    weights = F.broadcast(rows.sparkSession.createDataFrame(known, "k long, __w array<double>"))  # 101 rows
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(1 - max(len(v) for _, v in known), 0)
+    near = rows.withColumn("__x", F.reverse(F.collect_list(F.struct(F.col(x).cast("double").alias("v"))).over(w)))
+    each = near.select("ticker", "date", "__x", F.explode(orders).alias("k")).join(weights, "k").where(F.size("__x") >= F.size("__w"))
+    value = F.aggregate(F.zip_with(F.slice("__x", F.lit(1), F.size("__w")), "__w", lambda a, b: a["v"] * b), F.lit(0.0), lambda s, t: s + t)
+    return each.select("ticker", "date", "k", value.alias("frac")).where("frac is not null")
+
+
+def least_order(rows: DataFrame, x: str, at_most: float = 0.05) -> DataFrame:
+    """(ticker, d): the least order of differencing from 0 to 1 that makes x stationary, by tenths, then by hundredths below the tenth; 1 where none does.
+
+    Each grid is one pass: all orders of all tickers are series of the same unit-root test.
+    """
+    from .stats import unit_roots
+
+    def passing(orders: Column, of: DataFrame) -> DataFrame:
+        tests = unit_roots(frac_variants(of, x, orders), ["ticker", "k"], "date", "frac")
+        return tests.where((F.col("p") < at_most) & (F.col("n") > 20)).groupBy(F.col("ticker").alias("t")).agg(F.min("k").alias("least"))
+
+    of = stored(rows.select("ticker", "date", x), "series")
+    names = of.select("ticker").distinct()
+    coarse = stored(names.join(passing(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(10).cast("long")), of), F.col("ticker") == F.col("t"), "left").select("ticker", F.col("least").alias("tenth")), "tenths")
+    # the grid's begin in doubles, cut to a whole number: a tenth may begin one step lower
+    begin = F.floor(F.greatest(F.col("tenth") / 100 - 0.1, F.lit(0.0)) * 100)
+    finer = of.join(coarse.where("tenth > 0").withColumn("begin", begin), "ticker")
+    fine = passing(F.sequence(F.col("begin"), F.col("tenth") - 1), finer)
+    return coarse.join(fine, F.col("ticker") == F.col("t"), "left").select("ticker", (F.coalesce("least", "tenth", F.lit(100)) / 100).alias("d"))
+
+
 def trend_regime(series: DataFrame, n: int = 63, edge: float = 0.05) -> DataFrame:
     """series (ticker, date, close) with regime bull, bear or sideways by the change over n bars; NULL while warming up."""
     c = change(F.col("close"), lag("close", n))

@@ -37,9 +37,9 @@ def met02(spark, d):
 
 @query("met03")
 def met03(spark, d):
-    n = spark.range(1, 200).select(F.col("id").alias("trials"))
-    table_ = spark.createDataFrame([(k, S.expected_max_sharpe(k)) for k in range(1, 200)], "trials long, expected_max double")
-    return n.join(table_, "trials")
+    """Expected best Sharpe ratio of as many trials as a customer's orders are."""
+    trials = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("trials"))
+    return trials.withColumn("expected_max", S.expected_max("trials"))
 
 
 @query("met04")
@@ -265,18 +265,13 @@ def met28(spark, d):
 
 @query("met29")
 def met29(spark, d):
-    """Unit-root test of each series' log value, a series a group; lag-1 autocorrelation in SQL."""
-    import numpy as np
-    import pandas as pd
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.log1p(rows.sort_values("date")["ret"].to_numpy()).cumsum()
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[:1], "adf_p": [S.adf_pvalue(x)]})
-
+    """Unit-root test of each series' log value; lag-1 autocorrelation."""
     r = returns(spark, d)
-    lagged = r.withColumn("p", F.lag("ret").over(Window.partitionBy("series_id").orderBy("date")))
+    w = Window.partitionBy("series_id").orderBy("date")
+    lagged = r.withColumn("p", F.lag("ret").over(w))
     auto = lagged.groupBy("series_id").agg(F.round(F.corr("ret", "p"), 6).alias("autocorr"))
-    return r.groupBy("series_id").applyInPandas(test, "series_id string, adf_p double").join(auto, "series_id")
+    value = r.select("series_id", "date", F.sum(F.log1p("ret")).over(w).alias("x"))
+    return S.unit_roots(value, ["series_id"], "date", "x").select("series_id", F.col("p").alias("adf_p")).join(auto, "series_id")
 
 
 @query("met30", sql("SELECT series_id, ROUND(CASE WHEN c < 20 OR f IS NULL THEN 1.0 ELSE least(greatest(f, 0), 2) END, 5) AS leverage FROM (SELECT series_id, count(ret) AS c, avg(ret) / nullif(var_samp(ret), 0) AS f FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS k FROM returns) WHERE k <= 63 GROUP BY 1)", "returns"))

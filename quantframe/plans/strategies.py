@@ -444,21 +444,7 @@ def rsk01(spark, d):
 @query("win15")
 def win15(spark, d):
     """Least order of differencing that makes a ticker's log close stationary (0.1 steps, then 0.01)."""
-    import numpy as np
-    import pandas as pd
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.log(rows.sort_values("date")["close"].to_numpy())
-
-        def passes(k: int) -> bool:
-            w = np.array(W.frac_weights(k / 100)) if k else np.ones(1)
-            return len(x) >= len(w) + 20 and S.adf_pvalue(np.convolve(x, w, "valid")) < 0.05
-
-        coarse = next((k for k in range(0, 101, 10) if passes(k)), 100)
-        fine = next((k for k in range(max(0, coarse - 9), coarse) if passes(k)), coarse)
-        return pd.DataFrame({"ticker": rows["ticker"].iloc[:1], "d": [fine / 100]})
-
-    return bars(spark, d).select("ticker", "date", "close").groupBy("ticker").applyInPandas(search, "ticker string, d double")
+    return W.least_order(bars(spark, d).select("ticker", "date", F.log("close").alias("x")), "x")
 
 
 @query("win16")

@@ -217,11 +217,13 @@ def test_multi_ols_and_clusters(spark):
     assert np.allclose(c["tstats"], beta / np.sqrt(np.diag(cov))) and c["clusters"] == 40
 
 
-def test_unit_root():
+def test_unit_root(spark):
     rng = np.random.default_rng(5)
     noise = rng.normal(size=500)
-    assert S.adf_pvalue(noise) < 0.01 < 0.05 < S.adf_pvalue(noise.cumsum())
-    assert S.adf_pvalue(np.ones(50)) == S.adf_pvalue(noise[:10]) == 1.0
+    series = {"noise": noise, "walk": noise.cumsum(), "flat": np.ones(50), "short": noise[:10]}
+    rows = [(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)]
+    p = {r.s: r.p for r in S.unit_roots(spark.createDataFrame(rows, "s string, t int, x double"), ["s"], "t", "x").collect()}
+    assert p["noise"] < 0.01 < 0.05 < p["walk"] and p["flat"] == p["short"] == 1.0
 
 
 def test_ranks_and_scores(spark):
