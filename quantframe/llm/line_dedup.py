@@ -4,8 +4,9 @@ Lines are hashed once. The distinct line hashes go, shard by shard, into a minim
 arrays) that indexes three plain arrays: fingerprint, document count and last document. Counts reach a shard as
 partial sums (a line by groups of documents), which are added up in the count array at the line's slot. A shard is one
 binary row. Documents send the hashes of their lines, never the lines, to the shards and probe the arrays there,
-which say whether a line is in enough documents and whether this is the last of them. A shard that many documents
-probe is copied to several tasks (it is compact), so a hot line does not meet in one task.
+which say whether a line is in enough documents and whether this is the last of them. A shard is copied to as many
+tasks as its own probes need (it is compact, and how many they are follows from the counts), and they are dealt to the
+copies by document and place, so the probes of one hot line lie over many tasks.
 
 Defined cases: null and empty text are one empty line; a null doc_id counts as one document, smaller
 than all others; rows that share doc_id count as one document; other columns pass through. Two lines with equal
@@ -29,6 +30,7 @@ _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAMMA = 2.0
 PARTS = 8  # partial counts a line may have
+MAX_SENT = 100_000  # shards whose numbers of copies may be broadcast
 
 
 def build_mph(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -141,6 +143,15 @@ def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         yield pd.DataFrame({"text": kept, "n_lines": n, "n_dropped": gone})
 
 
+def salted_probes(lines: DataFrame, loads: DataFrame, n_shards: int, probes_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """lines with shard and salt, and (of, salts): a shard with `load` probes deals them to so many copies that each gets about `probes_per_task` at most."""
+    copies = materialize(loads.select(F.col("shard").alias("of"), F.greatest(F.ceil(F.col("load") / probes_per_task), F.lit(1)).cast("int").alias("salts")), "copies")
+    several = copies.where("salts > 1")
+    several = F.broadcast(several) if n_shards <= MAX_SENT else several
+    placed = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).join(several, F.col("shard") == F.col("of"), "left")
+    return placed.withColumn("salt", F.pmod(F.xxhash64("id", "th", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("of", "salts"), copies
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_keys: int = 200_000, probes_per_task: int = 200_000, counts: bool = True) -> DataFrame:
     """All columns of docs with the cleaned text, plus (with counts) n_lines and n_dropped, which replace columns so named.
 
@@ -160,12 +171,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_k
     held = lines.groupBy("h1", "h2", "key_id").agg(F.count(F.lit(1)).alias("times"))
     partial = held.groupBy("h1", "h2", F.pmod(F.xxhash64("key_id"), F.lit(PARTS)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("key_id").alias("last"), F.sum("times").alias("times"))
     partial = materialize(partial, "line-counts")
-    n_partial, n_lines = partial.agg(F.count(F.lit(1)), F.sum("times")).first()
-    n_shards = max(1, math.ceil(n_partial / shard_keys))
-    n_salts = max(1, math.ceil((n_lines or 0) / n_shards / probes_per_task))
-    shards = partial.select("h1", "h2", "n", "last", F.pmod("h1", F.lit(n_shards)).alias("shard")).groupBy("shard").applyInPandas(_build, "shard long, blob binary")
-    shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    probes = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).withColumn("salt", F.pmod(F.xxhash64("id", "th", "pos"), F.lit(n_salts)).cast("int"))
+    n_shards = max(1, math.ceil(partial.count() / shard_keys))
+    partial = partial.withColumn("shard", F.pmod("h1", F.lit(n_shards)))
+    loads = partial.groupBy("shard").agg(F.sum("times").alias("load"))
+    probes, copies = salted_probes(lines, loads, n_shards, probes_per_task)
+    shards = partial.select("h1", "h2", "n", "last", "shard").groupBy("shard").applyInPandas(_build, "shard long, blob binary")
+    shards = shards.join(copies.withColumnRenamed("of", "k"), F.col("shard") == F.col("k")).select("shard", "blob", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     hits = probes.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "id long, th long, pos int")
     drops = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("__qf_drop")).select(F.col("id").alias("__qf_id"), F.col("th").alias("__qf_th"), "__qf_drop")
     clean = F.pandas_udf(_kept, "text string, n_lines long, n_dropped long")

@@ -54,6 +54,19 @@ def test_against_brute_force(spark):
     assert got == brute(list(enumerate(texts)))
 
 
+def test_a_hot_line_lies_over_many_tasks(spark, monkeypatch):
+    """One line in every document beside lines of their own: no group of probes has over twice what a task should get, however many documents there are."""
+    seen = []
+    salted = D.salted_probes
+    monkeypatch.setattr(D, "salted_probes", lambda *a: (seen.append(out := salted(*a)), out)[1])
+    for n in (500, 2000):
+        texts = [f"the line that all documents hold\nline number {k} of this one alone" for k in range(n)]
+        got = D.dedup_lines(docs(spark, texts), shard_keys=300, probes_per_task=300).select("doc_id", "n_dropped").collect()
+        assert sorted(map(tuple, got)) == [(k, int(k < n - 1)) for k in range(n)]
+        groups = [r["count"] for r in seen[-1][0].groupBy("shard", "salt").count().collect()]
+        assert sum(groups) == 2 * n and max(groups) <= 600
+
+
 def test_defined_cases(spark):
     line = "a line that is long enough"
     df = docs(spark, [line, line, line, line], [1, 1, 2, None])
