@@ -1,8 +1,7 @@
-"""Research catalog: hypotheses, trial returns, signal library. Tables are DataFrames; a change is a new table, written aside and swapped in."""
+"""Research catalog: hypotheses, trial returns, signal library. Tables are DataFrames; a change is a new table, committed as the next version (sources.manifest)."""
 
 from __future__ import annotations
 
-import uuid
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,28 +44,6 @@ def upsert(table: DataFrame, new: DataFrame, key: list[str], replace: bool = Tru
     return base.unionByName(extra.select(*table.columns))
 
 
-def write_swapped(df: DataFrame, path: str) -> None:
-    """Overwrite a table that df may itself read: write aside, then rename through the table's own file system.
-
-    The old table is deleted last, and put back where the new one can't take its place.
-    """
-    spark = df.sparkSession
-    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(hadoop)
-    aside, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
-    df.write.parquet(aside.toString())
-    replaced = fs.exists(target)
-    if replaced and not fs.rename(target, old):
-        raise OSError(f"{path} can't be moved aside; the new table is in {aside}")
-    if not fs.rename(aside, target):
-        if replaced:
-            fs.rename(old, target)
-        raise OSError(f"{aside} can't be renamed to {path}")
-    if replaced:
-        fs.delete(old, True)
-
-
 def next_trial(hypotheses: DataFrame) -> DataFrame:
     return hypotheses.agg((F.coalesce(F.max("trial_number"), F.lit(0)) + 1).cast("long").alias("next"))
 

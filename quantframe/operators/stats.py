@@ -194,6 +194,40 @@ def factor_alpha(df: DataFrame, factors: DataFrame, names: list[str], at_least:
     return fit.select("series_id", "n", (F.col("coefs")[0] * YEAR).alias("alpha"), F.col("tstats")[0].alias("alpha_t"), betas.alias("betas"))
 
 
+def residual_returns(df: DataFrame, factors: DataFrame, names: list[str], bench: DataFrame, factor_rows: int = 60, bench_rows: int = 20) -> DataFrame:
+    """(series_id, date, method, residual): returns without their exposures, the intercept left in.
+
+    A series that the factors (date, names, rf) cover on `factor_rows` days is taken over rf without its factor
+    exposures, on those days; one that the benchmark (date, b) covers on `bench_rows` days without its beta, on those;
+    any other as it is. Both fits come from one pass of sums, each over the rows where its regressors are known.
+    """
+    known = factors.select("date", *[F.col(f).alias(f"__f{k}") for k, f in enumerate(names)], F.col("rf").alias("__rf")).dropna()
+    j = df.where("ret is not null").join(known, "date", "left").join(bench.select("date", F.col("b").alias("__b")), "date", "left")
+    j = j.withColumns({"__has": F.col("__rf").isNotNull(), "__y": F.col("ret") - F.col("__rf")})
+    v = [F.lit(1.0), *[F.col(f"__f{k}") for k in range(len(names))], F.col("__y")]
+    m = len(v)
+    both = F.when(F.col("__b").isNotNull(), F.col("ret"))
+    sums = j.groupBy("series_id").agg(
+        *[F.sum(F.when(F.col("__has"), v[i] * v[k])).alias(f"g_{i}_{k}") for i in range(m) for k in range(i, m)],
+        F.count_if("__has").alias("nf"), F.count("__b").alias("nb"), div(F.regr_sxy(both, F.col("__b")), F.regr_sxx(both, F.col("__b"))).alias("beta"),
+    )
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                g = np.array([[getattr(r, f"g_{min(i, k)}_{max(i, k)}") for k in range(m)] for i in range(m)], float)
+                out.append((np.linalg.pinv(g[:-1, :-1]) @ g[:-1, -1])[1:] if r.nf >= factor_rows else None)
+            yield batch[["series_id", "nf", "nb", "beta"]].assign(betas=out)
+
+    fits = sums.mapInPandas(solve, f"series_id {dict(df.dtypes)['series_id']}, nf long, nb long, beta double, betas array<double>")
+    method = F.when(F.col("nf") >= factor_rows, "factors").when((F.col("nb") >= bench_rows) & F.col("beta").isNotNull(), "benchmark").otherwise("raw")
+    j = j.join(fits.withColumn("method", method).withColumnRenamed("series_id", "__s"), F.col("series_id") == F.col("__s"))
+    exposure = sum((F.get("betas", F.lit(k)) * F.col(f"__f{k}") for k in range(len(names))), F.lit(0.0))
+    value = F.when(F.col("method") == "factors", F.when(F.col("__has"), F.col("__y") - exposure)).when(F.col("method") == "benchmark", F.col("ret") - F.col("beta") * F.col("__b")).otherwise(F.col("ret"))
+    return j.select("series_id", "date", "method", value.alias("residual")).where("residual is not null")
+
+
 def marginal_sharpe(df: DataFrame, book: DataFrame, at_least: int = 10) -> DataFrame:
     """(series_id, marginal_sharpe) of what a no-intercept fit on the book leaves; the own Sharpe ratio where they overlap in fewer rows."""
     j = df.join(F.broadcast(book), "date")

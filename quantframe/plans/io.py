@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import change
 from ..operators import bars as B
-from ..operators import catalog as K
 from ..operators import execution as X
 from ..operators import labels as L
 from ..operators import stats as S
 from ..operators import strategies as T
 from ..operators import windows as W
-from ..sources import files
+from ..sources import files, manifest
 from ..sources.market import bars, returns, sql, table
 from .registry import query
 
@@ -48,12 +47,12 @@ def snk03(spark, d):
 
 @query("snk04", sql("SELECT ticker, date, close, ROUND(open / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS gap_1d FROM bars", "bars"))
 def snk04(spark, d):
-    """A column of a stored table replaced: joined on the key, written aside and swapped in."""
+    """A column of a stored table replaced: joined on the key and committed as the table's next version."""
     path, b = files.work_dir(spark, "columns"), bars(spark, d)
-    b.withColumn("gap_1d", F.lit(None).cast("double")).write.parquet(path)
+    manifest.replace_table(b.withColumn("gap_1d", F.lit(None).cast("double")), path)
     new = W.gap(b).select("ticker", "date", F.round("gap_1d", 6).alias("gap_1d"))
-    K.write_swapped(spark.read.parquet(path).drop("gap_1d").join(new, ["ticker", "date"], "left"), path)
-    return spark.read.parquet(path).select("ticker", "date", "close", "gap_1d")
+    manifest.replace_table(manifest.read_table(spark, path).drop("gap_1d").join(new, ["ticker", "date"], "left"), path)
+    return manifest.read_table(spark, path).select("ticker", "date", "close", "gap_1d")
 
 
 @query("snk05", sql("SELECT ticker, date, CASE WHEN year(date) = 2001 THEN 0 ELSE close END AS close FROM bars", "bars"))
@@ -81,11 +80,11 @@ def snk08(spark, d):
 
 @query("snk12", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10")
 def snk12(spark, d):
-    """A table overwritten from itself by rename."""
+    """A table replaced by rows of itself in one commit."""
     path = files.work_dir(spark, "swap")
-    K.write_swapped(table(spark, d, "nation"), path)
-    K.write_swapped(spark.read.parquet(path).where("n_nationkey < 10"), path)
-    return spark.read.parquet(path).select("n_nationkey", "n_name")
+    manifest.replace_table(table(spark, d, "nation"), path)
+    manifest.replace_table(manifest.read_table(spark, path).where("n_nationkey < 10"), path)
+    return manifest.read_table(spark, path).select("n_nationkey", "n_name")
 
 
 @query("stm06", sql("SELECT ticker, max(date) = (SELECT max(date) FROM bars) AS fresh FROM bars GROUP BY 1", "bars"))

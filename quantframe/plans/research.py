@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from ..operators import stats as S
-from ..operators import strategies as T
 from ..operators import windows as W
+from ..operators.joins import asof
 from ..sources.market import bars, returns, sql, table
 from .metrics import _LOOX, _OLS
 from .registry import query
 
+YEAR = W.YEAR
+BY = "OVER (PARTITION BY ticker ORDER BY date)"
+_FRAME = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _FITTED = "|".join(K.FITTED_PHRASES)
 
 
@@ -118,40 +122,56 @@ def lib03(spark, d):
     return u.select("name", F.round("weight", 6).alias("weight"), "days_at_floor", "status")
 
 
+_LIVES = "(SELECT series_id, date, ret FROM returns WHERE CASE CAST(substr(series_id, 7) AS INTEGER) % 3 WHEN 0 THEN date >= DATE '1999-01-01' WHEN 2 THEN date < DATE '1995-12-01' ELSE true END)"
+
+
 @query(
     "lib04",
-    sql(
-        """SELECT series_id, CASE WHEN count(*) FILTER (WHERE date < DATE '1998-01-01') >= 300 THEN 'factors' WHEN count(*) >= 20 THEN 'benchmark' ELSE 'raw' END AS residual
-        FROM returns GROUP BY 1""",
-        "returns",
-    ),
+    sql("", "returns").rstrip()
+    + f""", lives AS {_LIVES},
+    f AS (SELECT date, coalesce(avg(ret) FILTER (WHERE CAST(substr(series_id, 7) AS INTEGER) % 5 = 0), 0) AS f0, coalesce(avg(ret) FILTER (WHERE CAST(substr(series_id, 7) AS INTEGER) % 5 = 1), 0) AS f1, 0.0001 AS rf
+          FROM returns WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY date),
+    b AS (SELECT date, avg(ret) AS b FROM returns WHERE date >= DATE '1996-01-01' GROUP BY date),
+    j AS (SELECT l.*, f0, f1, ret - rf AS y, b FROM lives l LEFT JOIN f USING (date) LEFT JOIN b USING (date)),
+    m AS (SELECT series_id, count(y) AS nf, count(b) AS nb, regr_sxx(y, f0) AS s11, regr_sxx(y, f1) AS s22, regr_sxy(f1, f0) FILTER (WHERE y IS NOT NULL) AS s12, regr_sxy(y, f0) AS s1y, regr_sxy(y, f1) AS s2y,
+                 regr_sxy(ret, b) / nullif(regr_sxx(ret, b), 0) AS beta FROM j GROUP BY series_id),
+    k AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b0, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b1,
+                 CASE WHEN nf >= 60 THEN 'factors' WHEN nb >= 20 AND beta IS NOT NULL THEN 'benchmark' ELSE 'raw' END AS method FROM m)
+    SELECT * FROM (SELECT series_id, date, method, ROUND(CASE method WHEN 'factors' THEN y - b0 * f0 - b1 * f1 WHEN 'benchmark' THEN ret - beta * b ELSE ret END, 7) AS residual FROM j JOIN k USING (series_id)) WHERE residual IS NOT NULL""",
 )
 def lib04(spark, d):
-    """Which residual each series uses: factors where they cover it, else the benchmark, else itself."""
+    """Residual returns of series: over factors where they cover it, else over the benchmark, else as they are; factors end early, the benchmark begins late, and a third of the series end or begin between them."""
     r = returns(spark, d)
-    book = r.groupBy("date").agg(F.avg("ret").alias("b"))
-    n = r.join(F.broadcast(book), "date").groupBy("series_id").agg(F.count_if(F.col("date") < "1998-01-01").alias("f"), F.count(F.lit(1)).alias("n"))
-    return n.select("series_id", F.when(F.col("f") >= 300, "factors").when(F.col("n") >= 20, "benchmark").otherwise("raw").alias("residual"))
+    number = F.substring("series_id", 7, 2).cast("int")
+    lives = r.where(F.when(number % 3 == 0, F.col("date") >= "1999-01-01").when(number % 3 == 2, F.col("date") < "1995-12-01").otherwise(F.lit(True)))
+    group = lambda k: F.coalesce(F.avg(F.when(number % 5 == k, F.col("ret"))), F.lit(0.0)).alias(f"f{k}")
+    factors = r.where("date between '1996-01-01' and '1997-12-31'").groupBy("date").agg(group(0), group(1)).withColumn("rf", F.lit(0.0001))
+    bench = r.where("date >= '1996-01-01'").groupBy("date").agg(F.avg("ret").alias("b"))
+    return S.residual_returns(lives, factors, ["f0", "f1"], bench).withColumn("residual", F.round("residual", 7))
+
+
+PROPOSED = ("ret_21d", "-ret_21d", "-gap_1d")  # expressions that a proposer returned
 
 
 @query("lop01")
 def lop01(spark, d):
-    """One round of the search over given expressions: checked, scored, backtested from the next open, gated on activity and marginal alpha."""
+    """One round of the search over given expressions: checked, scored, backtested from the next open, gated on activity and marginal alpha. All expressions are one plan: a bar gives a row for each."""
     from ..operators import execution as X
+    from ..operators.clean import top_quantile
 
     b = W.gap(W.lookback_returns(bars(spark, d), (21,)))
     book = returns(spark, d).groupBy("date").agg(F.avg("ret").alias("b"))
-    runs = None
-    for k, text in enumerate(("ret_21d", "-ret_21d", "-gap_1d")):  # what a proposer returned
-        score = K.checked_expression(spark, text, ["ret_21d", "gap_1d", "close"])
-        scored = b.withColumn("score", score).where("score is not null")
-        first = scored.groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date")).select("date")
-        from ..operators.clean import top_quantile
-
-        picks = top_quantile(scored.join(F.broadcast(first), "date"), "score", ["date"]).select("date", "ticker", "weight")
-        one = T.carry(picks, b.select("date").distinct(), b).select(F.lit(f"h{k}").alias("run"), "date", "ticker", "weight")
-        runs = one if runs is None else runs.unionByName(one)
-    r = X.nav_returns(X.backtest(X.normalise(runs), b))
+    scores = [F.struct(F.lit(f"h{k}").alias("run"), K.checked_expression(spark, text, ["ret_21d", "gap_1d", "close"]).alias("score")) for k, text in enumerate(PROPOSED)]
+    days = b.select("date").distinct()
+    first = days.groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date")).select("date")
+    scored = b.join(F.broadcast(first), "date").select("date", "ticker", F.explode(F.array(*scores)).alias("x")).select("date", "ticker", "x.*").where("score is not null")
+    picks = top_quantile(scored, "score", ["run", "date"]).select("run", "date", "ticker", "weight")
+    # a decision holds until the next of its run
+    decided = picks.select("run", "date").distinct()
+    calendar = decided.select("run").distinct().join(days, how="cross")  # runs are as many as expressions
+    at = asof(calendar, decided.withColumnRenamed("date", "decided"), ["run"], "date", "decided", ["decided"]).where("decided is not null")
+    held = at.join(picks.withColumnRenamed("date", "decided"), ["run", "decided"]).join(b.select("date", "ticker"), ["date", "ticker"], "left_semi")
+    r = X.nav_returns(X.backtest(X.normalise(held.select("run", "date", "ticker", "weight")), b))
     act = r.groupBy("series_id").agg(F.count_if(F.col("ret") != 0).alias("active_days"))
     fit = S.simple_ols(r.join(F.broadcast(book), "date"), ["series_id"], "ret", "b", 30).select("series_id", F.round("alpha_t", 4).alias("alpha_t"))
     return act.join(fit, "series_id").withColumn("accepted", (F.col("active_days") >= 50) & (F.col("alpha_t") >= S.min_alpha_t(0)))
@@ -182,13 +202,39 @@ def rep02(spark, d):
     return g.select("series_id", F.round("total", 6).alias("total"))
 
 
-@query("rep03", sql("SELECT count(*) AS n, count(*) FILTER (WHERE close >= low) AS matched FROM bars", "bars"))
+_PARITY = {"rsi": "rsi_14 rsi_15", "vol": "vol_21d vol_22d", "from_high": "high_63 high_2", "ret_5d": "ret_5d warm_5d"}
+
+
+@query(
+    "rep03",
+    sql("", "bars").rstrip()
+    + f""", x AS (SELECT *, close - lag(close) {BY} AS d1, close / lag(close) {BY} - 1 AS r, close / lag(close, 5) {BY} - 1 AS ret_5d FROM bars),
+    f AS (SELECT ticker, date, ret_5d, ret_5d AS warm_5d,
+        CASE WHEN count(d1) {_FRAME.format(13)} = 14 THEN 100 - 100 / (1 + avg(greatest(d1, 0)) {_FRAME.format(13)} / nullif(avg(greatest(-d1, 0)) {_FRAME.format(13)}, 0)) END AS rsi_14,
+        CASE WHEN count(d1) {_FRAME.format(14)} = 15 THEN 100 - 100 / (1 + avg(greatest(d1, 0)) {_FRAME.format(14)} / nullif(avg(greatest(-d1, 0)) {_FRAME.format(14)}, 0)) END AS rsi_15,
+        CASE WHEN count(r) {_FRAME.format(20)} = 21 THEN stddev_samp(r) {_FRAME.format(20)} * sqrt(252) END AS vol_21d, CASE WHEN count(r) {_FRAME.format(21)} = 22 THEN stddev_samp(r) {_FRAME.format(21)} * sqrt(252) END AS vol_22d,
+        CASE WHEN count(close) {_FRAME.format(251)} >= 63 THEN close / max(close) {_FRAME.format(251)} - 1 END AS high_63, CASE WHEN count(close) {_FRAME.format(251)} >= 2 THEN close / max(close) {_FRAME.format(251)} - 1 END AS high_2
+        FROM x)
+    """
+    + " UNION ALL ".join(f"SELECT '{k}' AS feature, count(*) AS n, count(*) FILTER (WHERE ({a} IS NULL AND {b} IS NULL) OR coalesce(abs({a} - {b}) < 1e-6, false)) AS matched FROM f" for k, (a, b) in ((k, v.split()) for k, v in _PARITY.items())),
+)
 def rep03(spark, d):
-    """Parity of a bar column with its own recomputation, within a tolerance."""
-    b = bars(spark, d)
-    low = b.groupBy("ticker", "date").agg(F.min("low").alias("low2"))
-    j = b.join(low, ["ticker", "date"])
-    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(F.col("low") - F.col("low2")) < 1e-6) & (F.col("close") >= F.col("low2"))).alias("matched"))
+    """Parity of the panel's features with the incremental path's, which counts its windows otherwise: rows and those within a tolerance, by feature. The returns are computed over the warm-up of an append."""
+    from ..sources.files import stored
+
+    b = stored(bars(spark, d), "bars")
+    batch = W.from_high(W.volatility(W.rsi(W.lookback_returns(b, (5,)))), YEAR, 63).withColumnRenamed("pct_from_high", "high_63")
+    own = W.from_high(W.volatility(W.rsi(b, 15), 22), at_least=2).select("ticker", "date", "rsi_15", "vol_22d", F.col("pct_from_high").alias("high_2"))
+    cut = F.lit("2000-06-30").cast("date")
+    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))
+    warm = b.where(F.col("date") <= cut).withColumn("k", k).where("k <= 70").drop("k")
+    late = W.lookback_returns(warm.unionByName(b.where(F.col("date") > cut)), (5,)).where(F.col("date") > cut)
+    early = W.lookback_returns(b.where(F.col("date") <= cut), (5,))
+    again = early.unionByName(late).select("ticker", "date", F.col("ret_5d").alias("warm_5d"))
+    both = batch.join(own, ["ticker", "date"]).join(again, ["ticker", "date"])
+    same = lambda x, y: (F.col(x).isNull() & F.col(y).isNull()) | F.coalesce(F.abs(F.col(x) - F.col(y)) < 1e-6, F.lit(False))
+    counts = F.array(*[F.struct(F.lit(k).alias("feature"), same(*v.split()).alias("same")) for k, v in _PARITY.items()])
+    return both.select(F.explode(counts).alias("x")).groupBy(F.col("x.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.count_if("x.same").alias("matched"))
 
 
 @query(

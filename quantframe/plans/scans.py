@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import windows as W
-from ..sources import files, market
+from ..sources import files, market, paged
 from ..sources.market import bars, filings, macro, reports, sql, table
 from .registry import query
 
@@ -79,12 +79,13 @@ def src10(spark, d):
 
 @query("src11", "SELECT event_type, date_trunc('second', ts) AS ts, value AS open, value + 1 AS close FROM events")
 def src11(spark, d):
-    """Minute bars through JSON pages of a hundred results, as a paged service sends them."""
-    e = table(spark, d, "events")
-    one = F.struct(F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("t"), F.col("value").alias("o"), F.col("value").alias("h"), F.col("value").alias("l"), (F.col("value") + 1).alias("c"), F.lit(1.0).alias("v"))
-    pages = e.groupBy("event_type", F.floor(F.col("event_id") / 100).alias("page")).agg(F.to_json(F.struct(F.collect_list(one).alias("results"))).alias("body"))
+    """Minute bars of a paged service: pages of a thousand results, each naming the next, read back by chains."""
+    one = F.lit(1.0)
+    e = table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), *[F.col("value").alias(x) for x in ("open", "high", "low")], (F.col("value") + 1).alias("close"), one.alias("volume"))
+    path = files.work_dir(spark, "pages")
+    paged.write_pages(e, path)
     at = F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    return files.parse_minutes(pages, keep=("event_type",)).select("event_type", at.alias("ts"), "open", "close")
+    return paged.read_pages(spark, path).select(F.col("ticker").alias("event_type"), at.alias("ts"), "open", "close")
 
 
 @query("src12", sql("SELECT ticker, date, time, actual, estimate FROM reports", "reports"))
@@ -147,9 +148,8 @@ def src21(spark, d):
 
 @query("src22")
 def src22(spark, d):
-    """A sampling operator: 12 names by seeded hash, the same on every run."""
-    names = bars(spark, d).select("ticker").distinct()
-    return names.orderBy(F.xxhash64("ticker", F.lit(20240521)), "ticker").limit(12)
+    """A sampling operator: 400 names by seeded hash, the same on every run."""
+    return files.sample_names(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
 @query("src24", "SELECT o_custkey AS cik, o_orderkey AS accession FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'O'")
@@ -163,8 +163,16 @@ def src24(spark, d):
 
 @query("src25")
 def src25(spark, d):
-    """Visible text of pages."""
-    return table(spark, d, "pages").select("page_id", files.html_text("html").alias("text"))
+    """Filings with headers that list their documents: the first EX-99 exhibit of each is chosen by its header, and its page's visible text taken."""
+    p = table(spark, d, "pages")
+    part = lambda kind, name: F.concat(F.lit("&lt;DOCUMENT&gt;\n&lt;TYPE&gt;"), F.lit(kind), F.lit("\n&lt;SEQUENCE&gt;1\n&lt;FILENAME&gt;"), name, F.lit("\n&lt;DESCRIPTION&gt;x\n"))
+    page = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".htm"))
+    graphic, chart = part("GRAPHIC", F.lit("logo.jpg")), part("EX-10", F.lit("plan.htm"))
+    before = F.when(F.col("page_id") % 3 == 0, graphic).when(F.col("page_id") % 3 == 1, chart).otherwise(F.lit(""))
+    header = F.concat(part("8-K", F.lit("main.htm")), before, F.when(F.col("page_id") % 2 == 0, part("ex-99.1", page)).otherwise(part("EX-99", page)), part("EX-99.2", F.lit("other.htm")))
+    listed = p.select("page_id", header.alias("headers")).select("page_id", files.first_exhibit("headers").alias("exhibit"))
+    found = listed.join(p.select(page.alias("name"), "html"), F.col("exhibit") == F.col("name"), "left")
+    return found.select("page_id", "exhibit", files.html_text("html").alias("text"))
 
 
 @query("src26", "SELECT c_custkey FROM customer WHERE c_acctbal >= 1000 AND c_mktsegment <> 'BUILDING'")
@@ -172,12 +180,18 @@ def src26(spark, d):
     return table(spark, d, "customer").where("c_acctbal >= 1000 and c_mktsegment <> 'BUILDING'").select("c_custkey")
 
 
-@query("src29", sql("SELECT ticker, len(list_filter([1995, 1996, 1997, 1998, 1999, 2000, 2001], lambda y: NOT list_contains(years, y))) AS missing FROM (SELECT ticker, list(DISTINCT year(date)) AS years FROM bars WHERE month(date) = 2 GROUP BY 1)", "bars"))
+@query(
+    "src29",
+    sql("", "bars").rstrip()
+    + """, months AS (SELECT DISTINCT date_trunc('month', date)::DATE AS m FROM bars),
+    held AS (SELECT DISTINCT ticker, date_trunc('month', date)::DATE AS m FROM bars WHERE NOT (ticker IN ('Brand#3', 'Brand#8') AND date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'))
+    SELECT ticker, m AS missing FROM (SELECT DISTINCT ticker FROM held), months EXCEPT SELECT ticker, m FROM held""",
+)
 def src29(spark, d):
-    """Years that a cache lacks."""
-    have = bars(spark, d).where("month(date) = 2").groupBy("ticker").agg(F.collect_set(F.year("date")).alias("years"))
-    need = F.array(*[F.lit(y) for y in range(1995, 2002)])
-    return have.select("ticker", F.size(F.array_except(need, "years")).cast("long").alias("missing"))
+    """Months that each ticker's cache lacks of all that the market has; one month was taken from two of them on purpose."""
+    b = bars(spark, d)
+    cache = b.where("not (ticker in ('Brand#3', 'Brand#8') and date between '1998-03-01' and '1998-03-31')")
+    return files.missing_parts(cache.withColumn("m", F.trunc("date", "month")), b.select(F.trunc("date", "month").alias("m")), "ticker", "m").select("ticker", F.col("m").alias("missing"))
 
 
 @query("prj16", "SELECT s_suppkey, CASE WHEN c1 <> c2 THEN abs(pc - c1) < abs(pc - c2) ELSE op <> lo END AND abs(pc / c1 - 1) <= 0.05 AS usable FROM (SELECT s_suppkey, 100.0 + s_suppkey % 7 AS c1, 100.0 + s_suppkey % 5 AS c2, 100.0 + s_suppkey % 6 AS pc, s_suppkey % 3 AS op, s_suppkey % 2 AS lo FROM supplier)")

@@ -40,13 +40,6 @@ def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="date date, value double", nullValue=".")
 
 
-def parse_minutes(pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Minute bars out of JSON pages {results: [{t, o, h, l, c, v}]}, with columns of the page to keep: UTC timestamps from epoch milliseconds."""
-    kind = "struct<results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double>>>"
-    r = pages.select(*keep, F.explode(F.from_json(body, kind)["results"]).alias("r"))
-    return r.select(*keep, F.timestamp_millis("r.t").alias("ts"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").alias("volume"))
-
-
 def zip_filings(submissions: DataFrame) -> DataFrame:
     """Parallel arrays (cik, form, items, accession, accepted) as rows; results filings only."""
     z = submissions.select("cik", F.explode(F.arrays_zip("form", "items", "accession", "accepted")).alias("z")).select("cik", "z.*")
@@ -77,23 +70,43 @@ def _html_text(pages: pd.Series) -> pd.Series:
         p = _Text()
         p.feed(page)
         p.close()
-        return re.sub(r"\s+", " ", " ".join(p.parts)).strip()
+        return re.sub(r"[\s\u200b]+", " ", " ".join(p.parts)).strip()
 
     return pages.map(one)
 
 
 def html_text(html: str | Column, most: int | None = None) -> Column:
-    """Visible text of a page, white space collapsed; whole, unless a feature gives its limit of characters."""
+    """Visible text of a page, white space and zero-width spaces collapsed; whole, unless a feature gives its limit of characters."""
     text = F.pandas_udf(_html_text, StringType())(col(html))
     return F.substring(text, 1, most) if most else text
 
 
 def first_exhibit(headers: str | Column) -> Column:
-    """File name of the first EX-99 exhibit that a filing's index headers list; NULL where there is none."""
-    plain = F.replace(F.replace(col(headers), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
-    part = lambda k: F.regexp_extract_all(plain, F.lit(r"(?s)<TYPE>([^\s<]+)\s*.*?<FILENAME>([^\s<]+)"), F.lit(k))
-    listed = F.arrays_zip(part(1).alias("kind"), part(2).alias("name"))
-    return F.try_element_at(F.filter(listed, lambda x: F.upper(x["kind"]).startswith("EX-99")), F.lit(1))["name"]
+    """File name of the first EX-99 exhibit that a filing's index headers list, as text or as a page; NULL where there is none.
+
+    A header lists its documents one after another, each with its type and then its file name, a tag and a token.
+    """
+    tag = lambda name: f"(?:<|&lt;){name}(?:>|&gt;)"
+    token = lambda text: F.try_element_at(F.split(F.ltrim(text), r"[\s<&]"), F.lit(1))
+    listed = F.slice(F.split(col(headers), tag("TYPE")), F.lit(2), F.lit(1_000_000))
+    documents = F.transform(listed, lambda x: F.struct(token(x).alias("kind"), token(F.try_element_at(F.split(x, tag("FILENAME")), F.lit(2))).alias("name")))
+    return F.try_element_at(F.filter(documents, lambda x: F.upper(x["kind"]).startswith("EX-99") & (x["name"] != "")), F.lit(1))["name"]
+
+
+def sample_names(names: DataFrame, column: str, most: int = 400, seed: int = 20240521) -> DataFrame:
+    """The same `most` distinct names on every run, by seeded hash; all of them where `most` is 0."""
+    all_ = names.select(column).distinct()
+    return all_.orderBy(F.xxhash64(column, F.lit(seed)), column).limit(most) if most else all_
+
+
+def missing_parts(cache: DataFrame, whole: DataFrame, key: str, part: str) -> DataFrame:
+    """(key, part): parts of the whole that a key's cache lacks; keys without any are not known here.
+
+    Each key's parts are one set, and what it lacks is the difference to the set of all parts, which is as large as a calendar.
+    """
+    need = whole.agg(F.collect_set(part).alias("need"))
+    have = cache.groupBy(key).agg(F.collect_set(part).alias("have"))
+    return have.crossJoin(F.broadcast(need)).select(key, F.explode(F.array_except("need", "have")).alias(part))
 
 
 def score_requests(events: DataFrame, model: str = "model", most: int = 1500) -> DataFrame:

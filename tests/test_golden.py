@@ -21,6 +21,7 @@ from quantframe.operators import stats as S
 from quantframe.operators import strategies as T
 from quantframe.operators import windows as W
 from quantframe.sources import files, market
+from quantframe.sources import manifest as M
 
 D0 = date(2024, 1, 1)
 
@@ -259,9 +260,9 @@ def test_catalog(spark, tmp_path):
     assert sorted(tuple(x) for x in K.upsert(t, new, ["id"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(tuple(x) for x in K.upsert(t, new, ["id"], replace=False).collect()) == [(1, "a"), (2, "b"), (3, "d")]
     path = f"file://{tmp_path}/t"
-    K.write_swapped(t, path)
-    K.write_swapped(K.upsert(spark.read.parquet(path), new, ["id"]), path)
-    assert spark.read.parquet(path).count() == 3
+    M.replace_table(t, path)
+    M.replace_table(K.upsert(M.read_table(spark, path), new, ["id"]), path)
+    assert M.read_table(spark, path).count() == 3
     faults = spark.createDataFrame([("too short", "value"), ("word " * 25, "macro"), ("word " * 25 + "Has worked", "odd")], "t string, c string")
     assert [x.f for x in faults.select(K.knowledge_faults("t", "c").alias("f")).collect()] == [["short"], [], ["fitted", "cohort"]]
     with pytest.raises(ValueError):

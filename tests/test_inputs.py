@@ -165,3 +165,21 @@ def test_orders_by_row_difference_as_one_order_does(spark):
         if v is not None:
             want |= {(t, r["date"]): r["frac"] for r in W.frac_diff(b.where(f"ticker = '{t}'"), "close", v).collect()}
     assert got == want and {t for t, _ in got} == set("ABCD")
+
+
+def test_samples_of_names(spark):
+    names = spark.createDataFrame([(f"N{k % 500}",) for k in range(700)], "name string")
+    one, two = (sorted(r.name for r in files.sample_names(x, "name", 40).collect()) for x in (names, names.repartition(7)))
+    assert one == two and len(set(one)) == 40
+    assert files.sample_names(names, "name", 0).count() == 500 and files.sample_names(names, "name").count() == 400
+
+
+def test_missing_parts(spark):
+    cache = spark.createDataFrame([("A", 1), ("A", 2), ("B", 2), ("B", 2)], "k string, m int")
+    whole = spark.createDataFrame([(1,), (2,), (3,)], "m int")
+    assert sorted(map(tuple, files.missing_parts(cache, whole, "k", "m").collect())) == [("A", 3), ("B", 1), ("B", 3)]
+
+
+def test_zero_width_spaces_go(spark):
+    page = spark.createDataFrame([("<p>a​ ​ b</p><script>x</script>",)], "html string")
+    assert page.select(files.html_text("html")).first()[0] == "a b"
