@@ -92,22 +92,17 @@ def newest(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> Dat
 def membership_intervals(changes: DataFrame) -> DataFrame:
     """(ticker, date, action added or removed) -> (ticker, date_added, date_removed): an addition lasts until the next later removal not used by an earlier addition.
 
-    Each ticker's events are few and ordered, so the greedy pairing is a pass over them.
+    The i-th addition takes removal number max(first later than it, that of the addition before + 1), which is i plus the
+    running maximum of (first later - i): windows over a ticker's events and a join on the number.
     """
-    import pandas as pd
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["date", "action"])
-        removed = list(rows.loc[rows["action"] == "removed", "date"])
-        out, k = [], 0
-        for added in rows.loc[rows["action"] == "added", "date"]:
-            while k < len(removed) and removed[k] <= added:
-                k += 1
-            out.append((rows["ticker"].iloc[0], added, removed[k] if k < len(removed) else None))
-            k += k < len(removed)
-        return pd.DataFrame(out, columns=["ticker", "date_added", "date_removed"])
-
-    return changes.groupBy("ticker").applyInPandas(pair, "ticker string, date_added date, date_removed date")
+    by_date = Window.partitionBy("ticker").orderBy("date")
+    e = changes.where(F.col("action").isin("added", "removed")).select("ticker", "date", "action")
+    until = F.count_if(F.col("action") == "removed").over(by_date.rangeBetween(Window.unboundedPreceding, 0))
+    adds = e.withColumn("later", until).where("action = 'added'").withColumn("i", F.row_number().over(by_date))
+    taken = F.col("i") + F.max(F.col("later") - F.col("i")).over(Window.partitionBy("ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + 1
+    adds = adds.select("ticker", F.col("date").alias("date_added"), taken.alias("j"))
+    gone = e.where("action = 'removed'").select(F.col("ticker").alias("t"), F.col("date").alias("date_removed"), F.row_number().over(by_date).alias("k"))
+    return adds.join(gone, (F.col("ticker") == F.col("t")) & (F.col("j") == F.col("k")), "left").select("ticker", "date_added", "date_removed")
 
 
 def members(intervals: DataFrame, at) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import windows as W
 from ..sources import files, manifest
 from ..sources.market import bars, returns, sql, table
 from .registry import query
+from .strategies import runs_sql
 
 _ALL = sql("SELECT ticker, date, close, CAST(year(date) AS INTEGER) AS year FROM bars", "bars")
 
@@ -95,14 +96,19 @@ def stm06(spark, d):
     return last.crossJoin(F.broadcast(top)).select("ticker", (F.col("last") == F.col("top")).alias("fresh"))
 
 
-@query("run04")
+@query(
+    "run04",
+    sql("", "returns", "calendar").rstrip() + runs_sql("trend")
+    + f""", prev AS (SELECT b.date, b.open / p.open - 1 AS r FROM (SELECT * FROM bars JOIN calendar USING (date)) b JOIN (SELECT ticker, idx, open FROM bars JOIN calendar USING (date) WHERE open > 0) p ON p.ticker = b.ticker AND p.idx = b.idx - 1 WHERE p.open >= 5 AND b.open > 0)
+    SELECT series_id, count(ret) AS n, ROUND(sum(ln(1 + ret)) * 252 / count(ret), 6) AS log_growth, ROUND(stddev_samp(ret) * sqrt(252), 6) AS vol, (SELECT ROUND(avg(m) * 252, 6) FROM (SELECT avg(r) AS m FROM prev GROUP BY date)) AS benchmark FROM rets GROUP BY 1""",
+)
 def run04(spark, d):
     """Gate run of the trend strategy over the whole span: navs, returns, summary."""
     b = bars(spark, d)
     f = W.volatility(b, 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
     t = T.etf_trend(f.select("date", "ticker", "trend", "vol")).withColumn("run", F.lit("trend"))
     r = X.nav_returns(X.backtest(X.normalise(t.select("run", "date", "ticker", "weight")), b))
-    g = S.growth(r).select("series_id", "n", F.round("cagr", 6).alias("cagr"), F.round("vol", 6).alias("vol"))
+    g = S.growth(r).select("series_id", "n", F.round(F.log1p("cagr"), 6).alias("log_growth"), F.round("vol", 6).alias("vol"))
     return g.join(B.equal_weight_benchmark(b).agg(F.round(F.avg("ret") * 252, 6).alias("benchmark")), how="cross")
 
 

@@ -155,24 +155,31 @@ def jon13(spark, d):
     return J.in_interval(full, spans, ["ticker"], "ts", "s", "e", bucket_days=1).groupBy("ticker", "date").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
+_MEMBERS = """WITH RECURSIVE e AS (SELECT 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, o_orderkey % 2 = 0 AS added FROM orders),
+    gone AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS j FROM e WHERE NOT added),
+    adds AS (SELECT a.ticker, a.date, row_number() OVER (PARTITION BY a.ticker ORDER BY a.date) AS i, (SELECT count(*) FROM gone g WHERE g.ticker = a.ticker AND g.date <= a.date) + 1 AS later FROM e a WHERE added),
+    walk AS (SELECT ticker, date, i, later AS j FROM adds WHERE i = 1 UNION ALL SELECT a.ticker, a.date, a.i, greatest(a.later, w.j + 1) FROM walk w JOIN adds a ON a.ticker = w.ticker AND a.i = w.i + 1),
+    spans AS (SELECT w.ticker, w.date AS date_added, g.date AS date_removed FROM walk w LEFT JOIN gone g ON g.ticker = w.ticker AND g.j = w.j) """
+
+
 def _intervals(spark, d):
     o = table(spark, d, "orders")
     c = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "added").otherwise("removed").alias("action"))
     return J.membership_intervals(c)
 
 
-@query("src15")
+@query("src15", _MEMBERS + "SELECT * FROM spans")
 def src15(spark, d):
     """Every membership interval of every ticker, paired greedily."""
     return _intervals(spark, d)
 
 
-@query("prj13")
+@query("prj13", _MEMBERS + "SELECT DISTINCT ticker FROM spans WHERE date_added <= DATE '1998-01-01' AND (date_removed IS NULL OR date_removed > DATE '1998-01-01')")
 def prj13(spark, d):
     return J.members(_intervals(spark, d), F.lit("1998-01-01").cast("date")).select("ticker").distinct()
 
 
-@query("jon14")
+@query("jon14", _MEMBERS + "SELECT DISTINCT d.date, ticker FROM spans JOIN (SELECT last_day(m::DATE) AS date FROM (SELECT unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH)) AS m)) d ON date_added <= d.date AND (date_removed IS NULL OR date_removed > d.date)")
 def jon14(spark, d):
     dates = spark.sql("select last_day(m) as date from (select explode(sequence(date '1995-01-01', date '2001-12-01', interval 1 month)) as m)")
     return J.members_by_date(_intervals(spark, d), dates)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import change, pct_rank
+from ..functions.expr import change, pct_rank, surprise
 from ..operators import clean as C
 from ..operators import execution as X
 from ..operators import joins as J
@@ -13,7 +15,8 @@ from ..operators import labels as L
 from ..operators import stats as S
 from ..operators import strategies as T
 from ..operators import windows as W
-from ..sources.market import bars, filings, reports, returns, sql, table
+from ..operators.joins import asof
+from ..sources.market import bars, brand_of, filings, reports, returns, sql, table
 from .registry import query
 
 BY = "OVER (PARTITION BY ticker ORDER BY date)"
@@ -146,13 +149,16 @@ def str08(spark, d):
 _CARRY = "SELECT d.date, t.ticker, ROUND(t.weight, 6) AS weight FROM (SELECT d.date, max(x.date) AS decided FROM (SELECT DISTINCT date FROM bars) d JOIN (SELECT DISTINCT date FROM picks) x ON x.date <= d.date GROUP BY 1) d JOIN picks t ON t.date = d.decided JOIN bars b ON b.date = d.date AND b.ticker = t.ticker"
 
 
+_MOMENTUM_PICKS = f"""scored AS (SELECT *, lag(close, 20) {BY} / lag(close, 272) {BY} - 1 AS mom FROM bars),
+    firsts AS (SELECT min(date) AS date FROM bars GROUP BY date_trunc('month', date)),
+    cut AS (SELECT *, quantile_cont(mom, 0.8::DOUBLE) OVER (PARTITION BY date) AS q, count(*) OVER (PARTITION BY date) AS n FROM scored JOIN firsts USING (date) WHERE mom IS NOT NULL),
+    picks AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM cut WHERE n >= 5 AND mom >= q)"""
+
+
 @query(
     "str01",
     sql("", "bars").rstrip()
-    + f""", scored AS (SELECT *, lag(close, 20) {BY} / lag(close, 272) {BY} - 1 AS mom FROM bars),
-    firsts AS (SELECT min(date) AS date FROM bars GROUP BY date_trunc('month', date)),
-    cut AS (SELECT *, quantile_cont(mom, 0.8::DOUBLE) OVER (PARTITION BY date) AS q, count(*) OVER (PARTITION BY date) AS n FROM scored JOIN firsts USING (date) WHERE mom IS NOT NULL),
-    picks AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM cut WHERE n >= 5 AND mom >= q) {_CARRY}""",
+    + f", {_MOMENTUM_PICKS} {_CARRY}",
 )
 def str01(spark, d):
     return T.momentum(bars(spark, d)).withColumn("weight", F.round("weight", 6))
@@ -161,13 +167,16 @@ def str01(spark, d):
 _ZS = "coalesce(({0} - avg({0}) OVER (PARTITION BY period_date)) / nullif(stddev_pop({0}) OVER (PARTITION BY period_date), 0), 0)"
 
 
+_QUALITY_PICKS = f"""facts AS (SELECT DISTINCT ticker, period_date, roe, margin, leverage / (abs(leverage) + 1e5) AS lev FROM filings),
+    scored AS (SELECT *, ROUND({_ZS.format('roe')} - {_ZS.format('lev')} + {_ZS.format('margin')}, 9) AS s FROM facts),
+    cut AS (SELECT *, quantile_cont(s, 0.8::DOUBLE) OVER (PARTITION BY period_date) AS q, count(*) OVER (PARTITION BY period_date) AS n FROM scored),
+    picks AS (SELECT CAST(period_date + 45 AS DATE) AS date, ticker, 1.0 / count(*) OVER (PARTITION BY period_date) AS weight FROM cut WHERE n >= 5 AND s >= q)"""
+
+
 @query(
     "str02",
     sql("", "bars", "filings").rstrip()
-    + f""", facts AS (SELECT DISTINCT ticker, period_date, roe, margin, leverage / (abs(leverage) + 1e5) AS lev FROM filings),
-    scored AS (SELECT *, ROUND({_ZS.format('roe')} - {_ZS.format('lev')} + {_ZS.format('margin')}, 9) AS s FROM facts),
-    cut AS (SELECT *, quantile_cont(s, 0.8::DOUBLE) OVER (PARTITION BY period_date) AS q, count(*) OVER (PARTITION BY period_date) AS n FROM scored),
-    picks AS (SELECT CAST(period_date + 45 AS DATE) AS date, ticker, 1.0 / count(*) OVER (PARTITION BY period_date) AS weight FROM cut WHERE n >= 5 AND s >= q) {_CARRY}""",
+    + f", {_QUALITY_PICKS} {_CARRY}",
 )
 def str02(spark, d):
     f = filings(spark, d).select("ticker", "period_date", "roe", "margin", (F.col("leverage") / (F.abs("leverage") + 1e5)).alias("lev")).distinct()
@@ -212,16 +221,33 @@ def prj10(spark, d):
     return b.join(beat, ["ticker", "date"], "left_semi").where("gap_1d >= 0.03").select("ticker", "date")
 
 
+_REPORTED = """reported AS (SELECT ticker, date, (actual - estimate) / nullif(abs(estimate), 0) AS surprise, (revenue - expected) / nullif(abs(expected), 0) AS revenue_surprise FROM (
+    SELECT 'Brand#' || (o_custkey % 25 + 1) AS ticker, CAST(o_orderdate AS DATE) AS date, o_totalprice AS actual, o_totalprice * (1 + (o_orderkey % 21 - 10) / 100) AS estimate, o_totalprice AS revenue, o_totalprice * (1 + (o_custkey % 17 - 8) / 100) AS expected,
+           row_number() OVER (PARTITION BY 'Brand#' || (o_custkey % 25 + 1), CAST(o_orderdate AS DATE) ORDER BY o_orderkey, o_totalprice) AS k FROM orders) WHERE k = 1)"""
+
+
 def _panel(spark, d):
+    """Bars with what the entry rule reads: earnings and revenue surprise of the last report, bars since its reaction, gap, run-up and the market's return."""
     b = W.gap(W.lookback_returns(bars(spark, d), (1,)))
-    r = reports(spark, d)
-    p = J.days_since_reaction(b, r)
-    p = J.latest_surprise(p, r.withColumn("actual", F.col("actual")))
+    o = table(spark, d, "orders")
+    raw = o.select(brand_of(F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("date"), "o_orderkey", F.col("o_totalprice").alias("actual"), (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 21 - 10) / 100)).alias("estimate"), (F.col("o_totalprice") * (1 + (F.col("o_custkey") % 17 - 8) / 100)).alias("expected"))
+    first = C.keep_one(raw, ["ticker", "date"], [F.col("o_orderkey"), F.col("actual")])
+    reported = first.select("ticker", F.col("date").alias("__rd"), surprise("actual", "estimate").alias("surprise"), surprise("actual", "expected").alias("revenue_surprise"))
+    p = J.days_since_reaction(asof(b, reported, ["ticker"], "date", "__rd", ["surprise", "revenue_surprise"]), reports(spark, d))
     m = b.groupBy("date").agg(F.avg("ret_1d").alias("sector_ret_1d"))
-    return T.surprise_entries(p.withColumn("revenue_surprise", F.col("surprise")).join(F.broadcast(m), "date"), runup=1.0).withColumn("run", F.lit("all"))
+    return T.surprise_entries(p.join(m, "date"))
 
 
-@query("str04")
+@query(
+    "str04",
+    _recursive(sql("", "bars", "reports").rstrip())
+    + f""", {_REPORTED}, hits AS (SELECT DISTINCT r.ticker, (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker AND b.date >= r.date + CASE WHEN r.time = 'bmo' THEN 0 ELSE 1 END) AS date FROM reports r WHERE r.date >= (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker)),
+    f AS (SELECT *, close / lag(close) {BY} - 1 AS ret_1d, open / lag(close) {BY} - 1 AS gap_1d, close / lag(close, 10) {BY} - 1 AS ret_10d, row_number() {BY} AS n FROM bars),
+    m AS (SELECT date, avg(ret_1d) AS market FROM f GROUP BY date),
+    known AS (SELECT f.*, r.surprise, r.revenue_surprise FROM f ASOF LEFT JOIN reported r ON f.ticker = r.ticker AND f.date >= r.date),
+    numbered AS (SELECT k.ticker, k.date, k.n, coalesce(h.date IS NOT NULL AND surprise >= 0.05 AND revenue_surprise > 0 AND gap_1d >= 0.03 AND (1 + ret_10d) / nullif(1 + ret_1d, 0) - 1 <= 0.10 AND market > -0.015, false) AS entry
+                 FROM known k JOIN m USING (date) LEFT JOIN hits h ON h.ticker = k.ticker AND h.date = k.date), {_held_sql(10)}""",
+)
 def str04(spark, d):
     """Surprise entries held for ten bars; every name on its own, without a limit of names or a stop (see README)."""
     return T.hold_entries(_panel(spark, d).select("ticker", "date", "entry"), 10)
@@ -288,16 +314,53 @@ def exe02(spark, d):
     return X.cap(X.normalise(_targets(spark, d))).select("date", "ticker", F.round("weight", 10).alias("weight"))
 
 
+_EXACT_CARRY = _CARRY.replace("ROUND(t.weight, 6) AS weight", "t.weight")
+
+
+def _strategy_sql(name: str) -> str:
+    """CTEs of a strategy's targets, `<name>_t` (date, ticker, weight), from the SQL of its own query, without rounding."""
+    if name == "trend":
+        return f"trend_t AS (SELECT date, ticker, CASE WHEN trend > 0 THEN (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) ELSE 0 END AS weight FROM (SELECT ticker, date, close / lag(close, 252) {BY} - 1 AS trend, CASE WHEN count(r) {frame(63)} = 63 THEN stddev_samp(r) {frame(63)} * sqrt(252) END AS vol FROM (SELECT *, close / lag(close) {BY} - 1 AS r FROM bars)) WHERE trend IS NOT NULL AND vol > 0)"
+    inner = {"momentum": _MOMENTUM_PICKS, "quality": _QUALITY_PICKS}[name] + f", t AS ({_EXACT_CARRY})"
+    for cte in ("facts", "scored", "firsts", "cut", "picks", "t"):
+        inner = re.sub(rf"\b{cte}\b(?=( AS \(| JOIN|\)| WHERE| x\b| t\b| USING))", f"{name}_{cte}", inner) if cte != "t" else inner.replace(", t AS (", f", {name}_t AS (")
+    return inner
+
+
+_BACKTEST = """tn AS (SELECT run, date, ticker, least(weight / greatest(1, sum(weight) OVER (PARTITION BY run, date)), 0.1) AS weight FROM goals WHERE weight > 0),
+    px AS (SELECT run, ticker, date, open / lag(open) OVER (PARTITION BY run, ticker ORDER BY date) - 1 AS gain FROM opens WHERE open > 0),
+    market AS (SELECT run, date, lead(date) OVER (PARTITION BY run ORDER BY date) AS nx FROM (SELECT DISTINCT run, date FROM px)),
+    held AS (SELECT d.run, d.nx AS date, t.ticker, t.weight FROM tn t JOIN market d USING (run, date) JOIN px ON px.run = d.run AND px.date = d.nx AND px.ticker = t.ticker),
+    olds AS (SELECT d.run, d.nx AS date, h.ticker, h.weight AS old, coalesce(px.gain, 0) AS gain FROM held h JOIN market d USING (run, date) LEFT JOIN px ON px.run = d.run AND px.date = d.nx AND px.ticker = h.ticker WHERE d.nx IS NOT NULL),
+    gains AS (SELECT run, date, sum(old * gain) AS g FROM olds GROUP BY run, date),
+    moves AS (SELECT run, date, sum(abs(coalesce(h.weight, 0) - coalesce(o.old, 0) * (1 + coalesce(o.gain, 0)) / (1 + coalesce(g, 0)))) AS moved FROM held h FULL JOIN olds o USING (run, date, ticker) LEFT JOIN gains USING (run, date) GROUP BY run, date),
+    acts AS (SELECT run, date FROM held UNION SELECT run, date FROM olds UNION SELECT run, date FROM tn SEMI JOIN market USING (run, date)),
+    navs AS (SELECT run, date, ln(100000.0) + sum(ln((1 + coalesce(g, 0)) * (1 - coalesce(moved, 0) * 11 / 1e4))) OVER (PARTITION BY run ORDER BY date) AS log_nav FROM acts LEFT JOIN gains USING (run, date) LEFT JOIN moves USING (run, date)),
+    rets AS (SELECT * FROM (SELECT run AS series_id, date, exp(log_nav - lag(log_nav) OVER (PARTITION BY run ORDER BY date)) - 1 AS ret FROM navs) WHERE ret IS NOT NULL)"""
+
+
+def runs_sql(*names: str) -> str:
+    """CTEs up to navs and rets of a backtest in which each strategy is a run over all bars."""
+    goals = " UNION ALL ".join(f"SELECT '{n}' AS run, date, ticker, weight FROM {n}_t" for n in names)
+    return ", " + ", ".join(_strategy_sql(n) for n in names) + f", goals AS ({goals}), opens AS (SELECT r.run, b.date, b.ticker, b.open FROM bars b CROSS JOIN (SELECT DISTINCT run FROM goals) r), {_BACKTEST} "
+
+
+_FOLDS_SQL = f""", {_cpcv_sql(4, 2)}, folds AS (SELECT CAST(split AS VARCHAR) || '-' || CAST(CAST(seg AS BIGINT) AS VARCHAR) AS run, min(date) AS a, max(date) AS b FROM (
+    SELECT split, date, sum(CASE WHEN gap > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY split ORDER BY date) AS seg FROM (SELECT split, date, date - lag(date) OVER (PARTITION BY split ORDER BY date) AS gap FROM roles WHERE role = 'test')) GROUP BY split, seg),
+    {_strategy_sql('momentum')}, goals AS (SELECT run, date, ticker, weight FROM momentum_t JOIN folds ON date BETWEEN a AND b), opens AS (SELECT run, date, ticker, open FROM bars JOIN folds ON date BETWEEN a AND b), {_BACKTEST} """
+_DRAWN = "SELECT series_id, ROUND(max(1 - nav / greatest(top, 1.0)), 6) AS max_drawdown FROM (SELECT *, max(nav) OVER (PARTITION BY series_id ORDER BY date) AS top FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY series_id ORDER BY date)) AS nav FROM {0})) GROUP BY series_id"
+
+
 def _momentum_nav(spark, d, **account):
     b = bars(spark, d)
     t = T.momentum(b).withColumn("run", F.lit("momentum"))
     return X.backtest(X.normalise(t), b, **account)
 
 
-@query("exe03")
+@query("exe03", sql("", "bars").rstrip() + runs_sql("momentum") + "SELECT run, date, ROUND(log_nav, 6) AS log_nav FROM navs")
 def exe03(spark, d):
     """Momentum targets filled on the next bar's open, with costs and cap."""
-    return _momentum_nav(spark, d).select("run", "date", F.round("nav", 4).alias("nav"))
+    return _momentum_nav(spark, d).select("run", "date", F.round("log_nav", 6).alias("log_nav"))
 
 
 @query(
@@ -316,9 +379,9 @@ def exe04(spark, d):
     return X.backtest(t, b, cost_bps=0.0, most=None).select("date", F.round("log_nav", 6).alias("log_nav"))
 
 
-@query("exe05")
+@query("exe05", sql("", "bars").rstrip() + runs_sql("momentum") + "SELECT series_id, date, ROUND(ret, 7) + 0.0 AS ret FROM rets")
 def exe05(spark, d):
-    return X.nav_returns(_momentum_nav(spark, d)).withColumn("ret", F.round("ret", 9))
+    return X.nav_returns(_momentum_nav(spark, d)).withColumn("ret", F.round("ret", 7) + 0.0)
 
 
 _POS = "t AS (SELECT s_suppkey AS k, s_acctbal / 100000 AS w FROM supplier WHERE s_suppkey % 3 > 0), p AS (SELECT s_suppkey AS k, CAST(s_suppkey % 40 AS DOUBLE) AS shares FROM supplier WHERE s_suppkey % 5 > 0), px AS (SELECT s_suppkey AS k, 10.0 + s_suppkey % 90 AS price FROM supplier)"
@@ -363,17 +426,23 @@ def _fold_navs(spark, d):
     return X.backtest(t, inside(b).select("run", "date", "ticker", "open"))
 
 
-@query("run01")
+@query("run01", sql("", "bars").rstrip() + _FOLDS_SQL + "SELECT run, date, ROUND(log_nav, 6) AS log_nav FROM navs")
 def run01(spark, d):
     """Backtest over purged folds: each (split, segment) is a run of its own, filled on the next bar."""
-    return _fold_navs(spark, d).withColumns({"nav": F.round("nav", 4), "log_nav": F.round("log_nav", 6)})
+    return _fold_navs(spark, d).select("run", "date", F.round("log_nav", 6).alias("log_nav"))
 
 
-@query("run03")
+@query(
+    "run03",
+    sql("", "bars").rstrip() + _FOLDS_SQL
+    + f""", r AS (SELECT 'momentum' AS series_id, date, avg(ret) AS ret FROM rets GROUP BY date)
+    SELECT series_id, ROUND(coalesce(avg(ret) / nullif(stddev_pop(ret), 0), 0) * sqrt(252), 6) AS sharpe, count(*) FILTER (WHERE abs(ret) > 1e-12) AS active_days, count(*) AS n, any_value(max_drawdown) AS max_drawdown
+    FROM r JOIN ({_DRAWN.format('r')}) USING (series_id) GROUP BY series_id""",
+)
 def run03(spark, d):
     """Backtest to metrics: fold returns, averaged by date, then Sharpe, drawdown and activity."""
     r = X.nav_returns(_fold_navs(spark, d)).groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("series_id", F.lit("momentum"))
-    m = r.groupBy("series_id").agg(F.round(S.sharpe(population=True), 6).alias("sharpe"), F.count_if(F.col("ret") != 0).alias("active_days"), F.count(F.lit(1)).alias("n"))
+    m = r.groupBy("series_id").agg(F.round(S.sharpe(population=True), 6).alias("sharpe"), F.count_if(F.abs("ret") > 1e-12).alias("active_days"), F.count(F.lit(1)).alias("n"))
     return m.join(S.drawdown(r).withColumn("max_drawdown", F.round("max_drawdown", 6)), "series_id")
 
 
@@ -390,7 +459,12 @@ def _books(spark, d):
     return X.nav_returns(X.backtest(X.normalise(t), b))
 
 
-@query("run05")
+@query(
+    "run05",
+    sql("", "bars", "filings").rstrip() + runs_sql("momentum", "trend", "quality")
+    + """, r AS (SELECT * FROM rets WHERE date >= DATE '2000-05-21'), m AS (SELECT * FROM r UNION ALL SELECT 'equal', date, avg(ret) FROM r GROUP BY date)
+    SELECT series_id, count(*) AS n, ROUND(coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252), 6) AS sharpe FROM m GROUP BY series_id""",
+)
 def run05(spark, d):
     """Forward book: each signal backtested, then the equal-weight combination."""
     r = _books(spark, d).where("date >= date '2000-05-21'")
@@ -398,7 +472,13 @@ def run05(spark, d):
     return r.unionByName(mix).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(S.sharpe(), 6).alias("sharpe"))
 
 
-@query("run06")
+@query(
+    "run06",
+    sql("", "returns", "book", "filings").rstrip() + runs_sql("momentum", "trend", "quality")
+    + f""", r AS (SELECT * FROM rets WHERE date BETWEEN DATE '2000-05-21' AND DATE '2001-05-21'), j AS (SELECT r.series_id, r.ret, k.b FROM r JOIN book k USING (date)),
+    o AS (SELECT *, my - beta * mx AS alpha, (syy - beta * sxy) / (n - 2) AS s2 FROM (SELECT series_id, count(*) AS n, avg(b) AS mx, avg(ret) AS my, regr_sxx(ret, b) AS sxx, regr_syy(ret, b) AS syy, regr_sxy(ret, b) AS sxy, regr_sxy(ret, b) / regr_sxx(ret, b) AS beta FROM j GROUP BY 1))
+    SELECT series_id, n, ROUND(alpha * 252, 6) AS alpha, ROUND(alpha / sqrt(s2 * (1.0 / n + mx * mx / sxx)), 4) AS alpha_t, max_drawdown FROM o JOIN ({_DRAWN.format('r')}) USING (series_id)""",
+)
 def run06(spark, d):
     """Holdout evaluation of each signal with benchmark alpha."""
     r = _books(spark, d).where("date between date '2000-05-21' and date '2001-05-21'")
