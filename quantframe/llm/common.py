@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, under the shared one."""
+    return f"{shared_dir(spark)}/quantframe/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application: to be called when its results are written, as results read them."""
+    where, path = fs.FileSystem.from_uri(run_folder(spark))
+    if where.get_file_info(path).type == fs.FileType.Directory:
+        where.delete_dir(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -33,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quantframe/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:

@@ -128,14 +128,19 @@ def _code(path: str, chunk_ids: int):
     return run
 
 
+MAX_SENT = 1_000_000  # ids of target documents that may be broadcast (16 bytes each)
+
+
 def code(docs: DataFrame, target: DataFrame | None, rank_file: str, chunk_ids: int = 1 << 21) -> DataFrame:
     """A table of two kinds of rows: documents as ids, and for each chunk of documents its bigrams with their counts there."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("target"))
     if target is not None:
         named = target.select(F.col("doc_id").alias("__qf_id")).where("__qf_id is not null").distinct().withColumn("__qf_in", F.lit(True))
-        # one plan at every size: labels grow with the documents, so they are never sent to all tasks
-        rows = rows.join(named.hint("merge"), rows["doc_id"] == named["__qf_id"], "left").select("doc_id", "text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
+        named = materialize(named, "lm-targets")
+        # ids are sent to the texts while there are few of them; only beyond that texts are shuffled to meet them
+        named = F.broadcast(named) if named.count() <= MAX_SENT else named.hint("merge")
+        rows = rows.join(named, rows["doc_id"] == named["__qf_id"], "left").select("doc_id", "text", F.coalesce("__qf_in", F.lit(False)).alias("target"))
     # a chunk's number holds for one run of a task only, so what was coded is kept as a table
     return materialize(rows.mapInArrow(_code(rank_file, chunk_ids), _CODED), "lm-coded")
 

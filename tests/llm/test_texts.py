@@ -106,7 +106,8 @@ def test_dropped_states_are_made_again(word_bpe):
 def test_token_count_rows(spark, word_bpe):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = token_count.count_tokens(docs(spark, [None, "", "é", "a b c", "a b c"], [None, 1, 2, 3, 3]).selectExpr("*", "1 as n_tokens"), path, limit=2).collect()
-    assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == [(0, 0, False), (0, 0, False), (2, 1, False), (5, 3, True), (5, 3, True)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows)
+    assert got == [("1", 0, 0, False), ("2", 2, 1, False), ("3", 5, 3, True), ("3", 5, 3, True), ("None", 0, 0, False)]
     assert token_count.count_tokens(empty(spark), path).count() == 0
 
 
@@ -132,6 +133,13 @@ def test_fingerprints(spark):
     assert len({rows[i].fingerprint for i in same}) == 1
 
 
+def test_fingerprints_beside_columns_of_their_names(spark):
+    df = docs(spark, ["a b c d e f", None, "x"])
+    clash = df.selectExpr("*", "1 as id", "2 as th", "3 as r", "'q' as s", "5 as edited", "6 as words", "7 as next_text")
+    rows = lambda x: sorted(map(str, sketch.fingerprints(x).collect()))
+    assert rows(clash) == rows(df) and len(rows(df)) == 3
+
+
 def test_fingerprints_over_many_ranges_and_ties(spark):
     rng = random.Random(4)
     ids = [None, 5, 5, -7, 10**15, *range(100, 160)]
@@ -279,6 +287,26 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(a >= b for a, b in [model.above(many)])
 
 
+def test_toxicity_scores_are_those_of_the_weights(spark):
+    """Severity, p_toxic and grade of each text against sums over its words and word beginnings."""
+    rng = random.Random(31)
+    weights = {w: rng.uniform(-3, 3) for w in rng.sample(WORDS, 12)} | {"^" + w[:n]: rng.uniform(-1, 1) for w in rng.sample(WORDS, 12) for n in toxicity.PREFIXES}
+    model = toxicity.OrdinalModel(weights, (0.5, 2.0))
+    texts = [prose(rng, rng.randint(0, 40)) for _ in range(80)] + [None, ""]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        words = set((text or "").split())
+        score = sum(weights.get(w, 0) for w in words)
+        for f, v in weights.items():
+            if f[0] == "^":
+                score += v * math.log2(1 + sum(w.startswith(f[1:]) and len(w) > len(f) - 1 for w in words))
+        above = [1 / (1 + math.exp(c - score)) for c in (0.5, 2.0)]
+        bounds = [1, *above, 0]
+        share = [a - b for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got[i].p_toxic == pytest.approx(above[0]) and got[i].severity == pytest.approx(sum(k * p for k, p in enumerate(share)))
+        assert got[i].grade == share.index(max(share)) and got[i].toxic == (above[0] >= 0.5)
+
+
 def test_ordinal_fit_is_where_the_likelihood_is_flat():
     rng = np.random.default_rng(3)
     x = (rng.random((200, 12)) < 0.3) * rng.random((200, 12))
@@ -388,6 +416,20 @@ def test_lm_scores_are_those_of_exact_bigrams(spark):
             assert rows[i].target_loss == pytest.approx(want[0], abs=1e-9) and rows[i].background_loss == pytest.approx(want[1], abs=1e-9)
 
 
+def test_lm_targets_are_found_by_either_join(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(40)] + [None]
+    df, good = docs(spark, texts, [*range(39), 7, None]), spark.createDataFrame([(k,) for k in (1, 7, 7, 30, None, 99)], "doc_id long")
+
+    def scores():
+        coded = lm_score.code(df, good, RANKS)
+        return sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_score.score_coded(coded, lm_score.count(coded)).collect())
+
+    sent = scores()
+    monkeypatch.setattr(lm_score, "MAX_SENT", 0)
+    assert scores() == sent and len(sent) == 41
+
+
 def test_lm_losses_of_counts_beyond_32_bits():
     unigram = np.zeros((2, lm_score.N_IDS), np.int64)
     unigram[:, 7] = 2**40
