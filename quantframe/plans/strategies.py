@@ -16,6 +16,7 @@ from ..operators import stats as S
 from ..operators import strategies as T
 from ..operators import windows as W
 from ..operators.joins import asof
+from ..sources import files
 from ..sources.market import bars, brand_of, filings, reports, returns, sql, table
 from .registry import query
 
@@ -352,7 +353,7 @@ _DRAWN = "SELECT series_id, ROUND(max(1 - nav / greatest(top, 1.0)), 6) AS max_d
 
 
 def _momentum_nav(spark, d, **account):
-    b = bars(spark, d)
+    b = files.stored(bars(spark, d), "bars")  # read several times below
     t = T.momentum(b).withColumn("run", F.lit("momentum"))
     return X.backtest(X.normalise(t), b, **account)
 
@@ -419,7 +420,7 @@ def exe07(spark, d):
 
 
 def _fold_navs(spark, d):
-    b = bars(spark, d)
+    b = files.stored(bars(spark, d), "bars")
     folds = L.runner_folds(L.cpcv(b, groups=4)).select(F.concat_ws("-", "split", "seg").alias("run"), "start", "end")
     inside = lambda df: df.join(F.broadcast(folds), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     t = X.normalise(inside(T.momentum(b)).select("run", "date", "ticker", "weight"))
@@ -448,7 +449,7 @@ def run03(spark, d):
 
 def _books(spark, d):
     """Three strategies as runs of one backtest."""
-    b = bars(spark, d)
+    b = files.stored(bars(spark, d), "bars")
     f = W.volatility(b, 63, "vol").withColumn("trend", change(F.col("close"), W.lag("close", 252)))
     facts = filings(spark, d).select("ticker", "period_date", "roe", "margin", (F.col("leverage") / (F.abs("leverage") + 1e5)).alias("lev")).distinct()
     named = {"momentum": T.momentum(b), "trend": T.etf_trend(f.select("date", "ticker", "trend", "vol")), "quality": T.quality(facts, b)}

@@ -135,7 +135,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quantframe-")
         spark.conf.set("spark.quantframe.work", base)
-    return f"{base.rstrip('/')}/quantframe/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quantframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
