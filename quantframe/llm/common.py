@@ -71,6 +71,21 @@ def join_counted(rows: DataFrame, keys: list[str], side: DataFrame, side_keys: l
     return near.unionByName(far.join(cold, on(far, cold)))
 
 
+def join_split(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
+    """Inner join of rows (read three times) to a side that may have several rows for a key.
+
+    Rows of a key with over a 100,000th of all rows (and 1,000 at least) are dealt to several tasks, and the side's rows
+    of that key are copied to each. Fewer than 100,000 such keys, with their number of copies, are sent to all tasks.
+    """
+    limit = max(1000, rows.count() // 100_000)
+    hot = rows.groupBy(F.col(key).alias("__qf_key")).agg(F.count(F.lit(1)).alias("__qf_rows")).where(F.col("__qf_rows") > limit)
+    hot = F.broadcast(hot.select("__qf_key", F.ceil(F.col("__qf_rows") / limit).cast("int").alias("__qf_copies")))
+    copies = F.coalesce("__qf_copies", F.lit(1))
+    dealt = rows.join(hot, rows[key] == hot["__qf_key"], "left").withColumn("__qf_copy", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("__qf_key", "__qf_copies")
+    copied = side.join(hot, side[side_key] == hot["__qf_key"], "left").withColumn("__qf_at", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__qf_key", "__qf_copies")
+    return dealt.join(copied, (F.col(key) == F.col(side_key)) & (F.col("__qf_copy") == F.col("__qf_at"))).drop("__qf_copy", "__qf_at")
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Hand whole texts to Python in Arrow batches of at most `size` bytes, unless the user has set another size than Spark's own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -225,6 +225,35 @@ def test_leaks_of_items_that_are_alike(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs(spark, texts), bench).collect()] == [2]
 
 
+def test_each_of_many_alike_texts_meets_each_of_many_alike_items(spark):
+    rng = random.Random(35)
+    frame = [f"f{k}" for k in range(40)]
+    items = [" ".join(frame[:20] + [f"i{k}x{j}" for j in range(6)] + frame[20:]) for k in range(130)]
+    noise = lambda: " ".join(f"n{rng.randrange(10**6)}" for _ in range(20))
+    texts = [" ".join([noise(), *frame, f"d{k}", noise()]) for k in range(30)] + [noise() + " " + " ".join(frame[:20])] * 2
+    texts += texts[:3]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_leaks(docs(spark, texts), bench).collect()
+    leaky = [*range(30), 32, 33, 34]
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(d, k) for d in leaky for k in range(130)]
+    assert all(r.similarity == pytest.approx((2 * 40 - 6) / (2 * 46)) and r.end_word == 60 for r in found)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark, texts), bench).collect()} == {30, 31}
+
+
+def test_alignments_in_one_pass_are_those_one_by_one():
+    rng = np.random.default_rng(45)
+    items = [rng.integers(-2, 9, rng.integers(1, 30)) for _ in range(60)]
+    windows = [rng.integers(0, 9, rng.integers(1, 60)) for _ in range(60)]
+    scores, ends = decontaminate.smith_waterman_many(items, windows)
+    for item, window, score, end in zip(items, windows, scores, ends, strict=True):
+        table = np.zeros((len(item) + 1, len(window) + 1))
+        for i, x in enumerate(item, 1):
+            for j, y in enumerate(window, 1):
+                table[i, j] = max(0, table[i - 1, j - 1] + (2 if x == y else -1), table[i - 1, j] - 1, table[i, j - 1] - 1)
+        assert score == table.max()
+        assert score == 0 or score == table[:, end].max()
+
+
 def test_leaks_are_those_of_all_pairs(spark):
     rng = random.Random(25)
     items = [" ".join(rng.choice(WORDS) + rng.choice("xyz") for _ in range(30)) for _ in range(15)]
