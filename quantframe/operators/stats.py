@@ -253,18 +253,62 @@ def leave_one_out(df: DataFrame) -> DataFrame:
     return df.withColumn("others", div(F.sum("ret").over(w) - F.col("ret"), F.count("ret").over(w) - 1))
 
 
-def backward_elimination(df: DataFrame, least_t: float = 0.5, at_least: int = 30) -> list[str]:
-    """Series kept when the weakest against the mean of the others is dropped until all reach least_t. Each round is one grouped pass; only the statistics come to the driver."""
-    kept = df.persist()
-    try:
+def backward_elimination(df: DataFrame, at_least: int = 30, adaptive: bool = False) -> DataFrame:
+    """(series_id, step, n, alpha_t): the series with the least alpha_t against the mean of the others goes while it is below the gate.
+
+    step is the round a series went in, NULL if it stays; n and alpha_t are of that round or of the last one. The gate is
+    min_alpha_t of all series, or with `adaptive` of those left. A series without alpha_t (fewer than `at_least` common
+    days, no spread, an exact fit) stays; so does the last one. Repeated days of a series are averaged.
+
+    Days with the same series are one block, whose rows ([1, returns]) are replaced by their triangular factor: it has
+    at most one row more than columns and the same sums of products, which is all that the fits need. The rounds then run
+    in one task over these factors, which grow with the number of series and of their patterns of missing days.
+    """
+    daily = df.where("ret is not null").groupBy("date", "series_id").agg(F.avg("ret").alias("ret"))
+    days = daily.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("series_id", "ret"))).alias("s")).select(F.year("date").alias("year"), F.col("s.series_id").alias("ids"), F.col("s.ret").alias("rets"))
+    kind = f"array<{dict(df.dtypes)['series_id']}>"
+
+    def factor(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.column_stack([np.ones(len(rows)), np.stack(rows["rets"])]), mode="r")
+        return pd.DataFrame({"ids": [list(key[0])] * len(r), "row": list(r)})
+
+    def rounds(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({x for ids in rows["ids"] for x in ids})
+        at = {x: k for k, x in enumerate(names)}
+        one, held = np.zeros(len(rows)), np.zeros((len(rows), len(names)), bool)
+        value = np.zeros((len(rows), len(names)))
+        for k, (ids, row) in enumerate(zip(rows["ids"], rows["row"], strict=True)):
+            cols = [at[x] for x in ids]
+            one[k], held[k, cols], value[k, cols] = row[0], True, row[1:]
+        kept, step, out = np.ones(len(names), bool), 0, {}
         while True:
-            fit = simple_ols(leave_one_out(kept), ["series_id"], "ret", "others", at_least).select("series_id", "alpha_t")
-            rows = fit.orderBy(F.col("alpha_t").asc_nulls_first(), "series_id").collect()
-            if len(rows) < 2 or (rows[0]["alpha_t"] is not None and rows[0]["alpha_t"] >= least_t):
-                return sorted(r["series_id"] for r in rows)
-            kept = kept.where(F.col("series_id") != rows[0]["series_id"])
-    finally:
-        df.unpersist()
+            step += 1
+            k = held[:, kept].sum(1)
+            total = value[:, kept].sum(1)
+            both = held & (k > 1)[:, None] & kept
+            y = np.where(both, value, 0)
+            x = np.where(both, (total[:, None] - value) / np.maximum(k - 1, 1)[:, None], 0)
+            o = np.where(both, one[:, None], 0)
+            n = (o * o).sum(0)
+            safe = np.maximum(n, 1)
+            mx, my = (o * x).sum(0) / safe, (o * y).sum(0) / safe
+            dx, dy = x - o * mx, y - o * my
+            sxx, sxy, syy = (dx * dx).sum(0), (dx * dy).sum(0), (dy * dy).sum(0)
+            beta = sxy / np.where(sxx > 0, sxx, 1)
+            rest = dy - beta * dx
+            s2 = (rest * rest).sum(0) / np.maximum(n - 2, 1)
+            known = kept & (np.rint(n) >= at_least) & (sxx > 1e-24 * safe) & (s2 > 1e-12 * syy / safe)
+            t = np.where(known, (my - beta * mx) / np.sqrt(np.where(known, s2 * (1 / safe + mx * mx / np.where(sxx > 0, sxx, 1)), 1)), np.inf)
+            worst = int(t.argmin())
+            now = {names[c]: (int(round(n[c])), float(t[c]) if known[c] else None) for c in np.flatnonzero(kept)}
+            if kept.sum() < 2 or not t[worst] < min_alpha_t(int(kept.sum()) if adaptive else len(names)):
+                out |= {x: (x, None, *v) for x, v in now.items()}
+                return pd.DataFrame(list(out.values()), columns=["series_id", "step", "n", "alpha_t"]).astype({"step": "Int32", "alpha_t": "Float64"})
+            out[names[worst]] = (names[worst], step, *now[names[worst]])
+            kept[worst] = False
+
+    factors = days.groupBy("ids", "year").applyInPandas(factor, f"ids {kind}, row array<double>")
+    return factors.groupBy().applyInPandas(rounds, f"series_id {dict(df.dtypes)['series_id']}, step int, n long, alpha_t double")
 
 
 SORTED = 100_000  # values that one task may sort

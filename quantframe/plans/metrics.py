@@ -42,12 +42,18 @@ def met03(spark, d):
     return trials.withColumn("expected_max", S.expected_max("trials"))
 
 
-@query("met04")
+# Phi(z) = 1/2 + phi(z) * sum of z^(2k+1) / (2k+1)!!, whose terms are all of one sign
+_PHI = "0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(abs({0}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) FOR k IN range(200)])"
+_DSR = f"""SELECT series_id, n, CASE WHEN n >= 5 THEN {_PHI.format('z')} ELSE 0 END AS dsr FROM (
+    SELECT series_id, n, (sr - {S.expected_max_sharpe(50)!r} / sqrt(n - 1)) / sqrt(greatest((1 + sr * sr / 2 - sk * sr + ku / 4 * sr * sr) / (n - 1), 1e-12)) AS z FROM ({_MOM}))"""
+
+
+@query("met04", sql(f"SELECT series_id, n, ROUND(dsr, 9) AS dsr FROM ({_DSR})", "returns"))
 def met04(spark, d):
     return S.deflated_sharpe(returns(spark, d), ["series_id"], 50).select("series_id", "n", F.round("dsr", 9).alias("dsr"))
 
 
-@query("met05")
+@query("met05", sql(f"SELECT series_id, dsr > 0.95 AS passes FROM ({_DSR})", "returns"))
 def met05(spark, d):
     return S.deflated_sharpe(returns(spark, d), ["series_id"], 50).select("series_id", (F.col("dsr") > 0.95).alias("passes"))
 
@@ -173,11 +179,29 @@ def met19(spark, d):
     return f.select("series_id", "n", F.round("alpha_t", 5).alias("alpha_t"), F.round("beta", 6).alias("beta"))
 
 
-@query("met20")
+_WALK = """WITH RECURSIVE {0}, size AS (SELECT count(DISTINCT series_id) AS total FROM returns),
+    walk AS (
+        SELECT 0 AS step, (SELECT list(DISTINCT series_id) FROM returns) AS kept, CAST(NULL AS VARCHAR) AS gone, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS alpha_t
+        UNION ALL
+        SELECT step + 1, list_filter(kept, lambda x: x <> series_id), series_id, n, alpha_t
+        FROM (SELECT *, row_number() OVER (ORDER BY alpha_t, series_id) AS k FROM ({1})) JOIN (SELECT step, kept FROM walk) ON true
+        WHERE k = 1 AND n >= 30 AND len(kept) > 1 AND alpha_t < (SELECT greatest(0.5, 2 - 0.01 * total) FROM size)),
+    last AS (SELECT arg_max(kept, step) AS kept FROM walk), left_over AS (SELECT r.* FROM returns r JOIN last ON list_contains(last.kept, r.series_id))
+    SELECT gone AS series_id, step, n, ROUND(alpha_t, 5) AS alpha_t FROM walk WHERE gone IS NOT NULL
+    UNION ALL SELECT u.series_id, 0, coalesce(f.n, 0), ROUND(CASE WHEN f.n >= 30 THEN f.alpha_t END, 5) FROM (SELECT unnest(kept) AS series_id FROM last) u LEFT JOIN ({2}) f USING (series_id)"""
+_LEFT = "(SELECT series_id, ret, (sum(ret) OVER w - ret) / nullif(count(ret) OVER w - 1, 0) AS others FROM {0} WINDOW w AS (PARTITION BY date) QUALIFY others IS NOT NULL)"
+
+
+def _walk_sql() -> str:
+    given = sql("", "returns").strip().removeprefix("WITH ")
+    kept = "(SELECT r.* FROM walk JOIN returns r ON list_contains(walk.kept, r.series_id))"
+    return _WALK.format(given, _OLS.format("others", _LEFT.format(kept)), _OLS.format("others", _LEFT.format("left_over")))
+
+
+@query("met20", _walk_sql())
 def met20(spark, d):
-    """Series left by backward elimination."""
-    kept = S.backward_elimination(returns(spark, d))
-    return spark.createDataFrame([(k,) for k in kept], "series_id string")
+    """Backward elimination with the gate of all series: the round each series goes in, 0 for those that stay."""
+    return S.backward_elimination(returns(spark, d)).select("series_id", F.coalesce("step", F.lit(0)).alias("step"), "n", F.round("alpha_t", 5).alias("alpha_t"))
 
 
 _POOL = "pool AS (SELECT 'Brand#1' AS series_id, date, ret FROM returns WHERE series_id = 'Brand#1' AND date < DATE '2000-01-01' UNION ALL SELECT 'Brand#1', date, ret / 2 FROM returns WHERE series_id = 'Brand#1' AND date >= DATE '2000-01-01')"

@@ -298,3 +298,49 @@ def test_transcript_scores(spark):
     df = spark.createDataFrame([("Record strong growth, robust!",), ("loss weak decline risk declined",), ("",), (None,)], "t string")
     s = [x.s for x in df.select(T.transcript_score(F.col("t")).alias("s")).collect()]
     assert s[0] > 0 > s[1] and s[2] == s[3] == 0
+
+
+def plain_elimination(wide: pd.DataFrame, adaptive: bool) -> dict:
+    """The same rule over a frame of days by series."""
+    book, out, step = list(wide.columns), {}, 0
+    while True:
+        step += 1
+        stats = {}
+        for c in book:
+            both = pd.DataFrame({"y": wide[c], "x": wide[[x for x in book if x != c]].mean(axis=1)}).dropna()
+            stats[c] = (len(both), None)
+            if len(both) >= 30 and both["x"].std() > 0:
+                beta, alpha = np.polyfit(both["x"], both["y"], 1)
+                rest = both["y"] - alpha - beta * both["x"]
+                s2 = (rest**2).sum() / (len(both) - 2)
+                if s2 > 1e-20:
+                    stats[c] = (len(both), alpha / np.sqrt(s2 * (1 / len(both) + both["x"].mean() ** 2 / ((both["x"] - both["x"].mean()) ** 2).sum())))
+        gate = S.min_alpha_t(len(book) if adaptive else wide.shape[1])
+        failing = sorted((t, c) for c, (_, t) in stats.items() if t is not None and t < gate)
+        if not failing or len(book) < 2:
+            return out | {c: (None, *v) for c, v in stats.items()}
+        out[failing[0][1]] = (step, *stats[failing[0][1]])
+        book.remove(failing[0][1])
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_backward_elimination_is_the_plain_rule(spark, adaptive):
+    rng = np.random.default_rng(7)
+    market = rng.normal(0, 0.01, 800)
+    wide = pd.DataFrame({f"s{k}": 0.7 * market + rng.normal(0.0004 * k, 0.008, 800) for k in range(12)}, index=pd.bdate_range("2020-01-01", periods=800))
+    wide.iloc[:300, 3] = np.nan
+    wide.iloc[500:, 5] = np.nan
+    wide.iloc[rng.integers(0, 800, 60), 8] = np.nan
+    wide.iloc[20:, 9] = np.nan  # too few days
+    wide["flat"] = 0.0
+    long = wide.reset_index(names="date").melt("date", var_name="series_id", value_name="ret")
+    long["date"] = long["date"].dt.date
+    df = spark.createDataFrame(long.astype({"ret": object}).where(long["ret"].notna(), None), "date date, series_id string, ret double")
+    got = {r.series_id: (r.step, r.n, r.alpha_t) for r in S.backward_elimination(df, adaptive=adaptive).collect()}
+    want = plain_elimination(wide, adaptive)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k][2] == (None if v[2] is None else pytest.approx(v[2], rel=1e-6)) for k, v in want.items())
+    assert any(v[0] for v in want.values()) and any(v[0] is None for v in want.values())
+    assert S.backward_elimination(df.limit(0)).count() == 0
+    one = S.backward_elimination(df.where("series_id = 's1'")).collect()
+    assert [(r.series_id, r.step, r.n, r.alpha_t) for r in one] == [("s1", None, 0, None)]
