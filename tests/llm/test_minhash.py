@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from quantframe.llm import minhash as M
 from quantframe.llm.components import connected_components
@@ -87,3 +89,44 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 4), (False, 4), (False, 5), (False, 6), (True, None)]
     assert M.near_duplicates(empty(spark)).count() == 0
+
+
+def linked_sets(sets, percent):
+    """All pairs of unlike sets at the threshold, by an index of each set's rarest members: one of so many must be shared."""
+    held = Counter(x for s in sets for x in s)
+    index, found = {}, []
+    for k, s in enumerate(sets):
+        least = -(-percent * len(s) // 100)
+        rare = sorted(s, key=lambda x: (held[x], x))[: len(s) - least + 1]
+        for j in {j for x in rare for j in index.get(x, ())}:
+            both = len(s & sets[j])
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                found.append((j, k))
+        for x in rare:
+            index.setdefault(x, []).append(k)
+    return found
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_recall_over_all_pairs_of_the_shared_documents(spark, width, percent):
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in given.select("doc_id", "text").collect())
+    classes, of = {}, {}
+    for i, t in rows:
+        of[i] = classes.setdefault(shingles(t, width) or i, len(classes))
+    sets = [s if isinstance(s, frozenset) else frozenset() for s in classes]
+    pairs = linked_sets(sets, percent)
+    got = {r.id: (r.n, r.component) for r in M.near_duplicates(given, width, percent).collect()}
+    reached = {of[i]: component for i, (_, component) in got.items()}
+    kept = [reached[a] == reached[b] for a, b in pairs]
+    print(f"{width} words, {percent} %: {sum(kept)} of {len(kept)} pairs of unlike texts")
+    assert len(kept) > 40 and all(kept)  # all, and not of nothing
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    first = {}
+    for i, _ in rows:
+        first.setdefault(find(of[i]), i)
+    assert got == {i: (len(sets[of[i]]), first[find(of[i])]) for i, _ in rows}
