@@ -38,7 +38,7 @@ TICK_BARS = (
 def agg02(spark, d):
     t = ticks(spark, d)
     limit = t.select("ticker").distinct().withColumn("threshold", F.lit(2000.0))
-    return B.dollar_bars(t, limit).withColumn("dollar_volume", F.round("dollar_volume", 4))
+    return B.dollar_bars(t, limit, doubles=True).withColumn("dollar_volume", F.round("dollar_volume", 4))
 
 
 @query("agg03", sql("SELECT ticker, date, open, high, low, close, volume, close * volume AS dollar_volume FROM bars", "bars"))

@@ -53,6 +53,31 @@ def test_bars_equal_the_fold(spark, threshold, block_rows):
         assert [plain(r) for r in mine if not r.done] == (seen([last]) if last else [])
 
 
+def loop_bars(rows, threshold):
+    """(ticker, ts, ticks, value) of the bars that a loop over doubles finds; the open ones last."""
+    done, now = [], {}
+    for t, ts, price, size in sorted(rows):
+        begin, n, total = now.pop(t, (ts, 0, 0.0))
+        now[t] = (begin, n + 1, total + price * size)
+        if now[t][2] >= threshold:
+            done.append((t, *now.pop(t)))
+    return sorted(done), sorted((t, *v) for t, v in now.items())
+
+
+@pytest.mark.parametrize(("threshold", "block_rows"), [(1.0, 100_000), (1.0, 25), (1.0, 4), (4.1, 30)])
+def test_bars_end_where_a_loop_over_doubles_ends_them(spark, threshold, block_rows):
+    rng = random.Random(block_rows)
+    begin = datetime(2023, 1, 1)
+    rows = [("A", begin + timedelta(seconds=k), 0.1, 1.0) for k in range(200)] + [("B", begin + timedelta(seconds=k), rng.randint(0, 4) / 10, 1.0) for k in range(300)] + [("C", begin + timedelta(seconds=k), 0.25, 1.0) for k in range(50)]
+    limits = spark.createDataFrame([(x, threshold) for x in "ABC"], "ticker string, threshold double")
+    got = B.value_bars(spark.createDataFrame(rows, TICKS), limits, block_rows=block_rows, doubles=True).collect()
+    done, left = loop_bars(rows, threshold)
+    assert sorted((r.ticker, r.ts, r.volume) for r in got if r.done) == [r[:3] for r in done]
+    assert sorted((r.ticker, r.ts, r.volume, r.dollar_volume) for r in got if not r.done) == left
+    whole, _ = fold_bars([r for r in rows if r[0] == "A"], threshold)
+    assert threshold != 1.0 or len(whole) > sum(r[0] == "A" for r in done)
+
+
 def test_one_ticker_lies_over_many_tasks(spark):
     """A million ticks of one ticker: the fold's bars, and no block with over twice the mean rows."""
     n = 1_000_000
