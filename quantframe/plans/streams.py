@@ -63,7 +63,7 @@ def stm04(spark, d):
     t = ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     limit = files.stored(t.select("ticker").distinct().withColumn("threshold", F.lit(2000.0)), "thresholds")
     folder = files.work_dir(spark, "value-bars")
-    _runs(_thirds(t, "ts"), lambda s: s, S.bar_job(folder, limit))
+    _runs(_thirds(t, "ts"), lambda s: s, S.bar_job(folder, limit, doubles=True))
     kinds = "ticker string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
     return S.read_batches(spark, f"{folder}/bars", kinds).drop("batch").withColumn("dollar_volume", F.round("dollar_volume", 4))
 

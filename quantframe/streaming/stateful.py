@@ -43,7 +43,7 @@ def last_written(rows: DataFrame, key: list[str]) -> DataFrame:
     return keep_one(rows, key, [F.col("batch").desc()]).drop("batch")
 
 
-def bar_job(folder: str, thresholds: DataFrame) -> Batch:
+def bar_job(folder: str, thresholds: DataFrame, doubles: bool = False) -> Batch:
     """Value bars of a stream of ticks: complete bars go to bars/, each ticker's open bar to open/, where the next batch takes it up.
 
     What is kept of earlier ticks is one row a ticker; a batch's own ticks are cut into blocks as in value_bars, so a hot ticker
@@ -52,7 +52,7 @@ def bar_job(folder: str, thresholds: DataFrame) -> Batch:
 
     def run(batch: DataFrame, number: int) -> None:
         opened = batch.sparkSession.read.schema(OPEN_BARS).parquet(f"{folder}/open/batch={number - 1}") if number else None
-        rows = stored(value_bars(batch, thresholds, opened), "bars")
+        rows = stored(value_bars(batch, thresholds, opened, doubles=doubles), "bars")
         rows.where("done").select(*BAR_COLUMNS).write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
         rows.where("not done").select(*[x.split()[0] for x in OPEN_BARS.split(", ")]).write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
 

@@ -38,6 +38,25 @@ def test_value_bars_of_three_runs_equal_the_batch(spark, tmp_path):
     assert {r.ticker for r in left} == {"A", "B", "C"} and not any(r.done for r in left)
 
 
+def test_value_bars_of_a_stream_end_where_a_loop_over_doubles_ends_them(spark, tmp_path):
+    rows = [(t, datetime(2023, 1, 1) + timedelta(minutes=k), 0.1 * n, 1.0) for n, t in ((1, "A"), (3, "B")) for k in range(125)]
+    ticks = spark.createDataFrame(rows, TICKS)
+    limits = spark.createDataFrame([("A", 1.0), ("B", 3.0)], "ticker string, threshold double")
+    minute = F.expr("minute(ts) + 60 * hour(ts)")
+    # A's first ten ticks reach 1 in tenths, not in doubles: its bar is open after the first part
+    parts = [ticks.where(minute < 10), ticks.where((minute >= 10) & (minute < 64)), ticks.where(minute >= 64)]
+    arrive(spark, parts, tmp_path, lambda s: s, S.bar_job(f"{tmp_path}/out", limits, doubles=True))
+    want, now = [], {}
+    for t, ts, price, _ in rows:
+        begin, n, total = now.pop(t, (ts, 0, 0.0))
+        now[t] = (begin, n + 1, total + price)
+        if now[t][2] >= {"A": 1.0, "B": 3.0}[t]:
+            want.append((t, *now.pop(t)[:2]))
+    kinds = "ticker string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
+    assert sorted((r.ticker, r.ts, r.volume) for r in S.read_batches(spark, f"{tmp_path}/out/bars", kinds).collect()) == sorted(want)
+    assert want[0][2] == 11
+
+
 def test_incremental_features_equal_the_batch(spark, tmp_path):
     rows = [(t, date(2020, 1, 1) + timedelta(k), 100.0 + (k * 7 + n) % 11) for n, t in enumerate("AB") for k in range(60)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
