@@ -54,10 +54,13 @@ def lab02(spark, d):
 
 @query("lab03")
 def lab03(spark, d):
-    """Probability that a momentum side is right, by a forest over three features."""
-    b = W.volatility(W.from_high(W.gap(bars(spark, d))), 21)
+    """Probability that a momentum side is right, by a forest over three features.
+
+    Bars and labelled rows are stored, as the fit reads its rows again and again: trades are read once.
+    """
+    b = W.volatility(W.from_high(W.gap(files.stored(bars(spark, d), "bars"))), 21)
     side = b.select("ticker", F.col("date").alias("t0"), F.signum("ret_10d").alias("side"), "gap_1d", "pct_from_high", "vol_21d").dropna()
-    rows = L.meta_labels(side, L.triple_barrier(b, _events(b)).where("label <> 0"))
+    rows = files.stored(L.meta_labels(side, L.triple_barrier(b, _events(b)).where("label <> 0")), "labelled")
     out = L.meta_probability(L.fit_meta(rows, ["gap_1d", "pct_from_high", "vol_21d"]), rows)
     return out.select("ticker", "t0", "y", F.round("proba", 6).alias("proba"))
 

@@ -116,6 +116,13 @@ def test_every_bar_is_labelled(spark, tmp_path):
     assert scored <= decided and len({d.day for _, d in scored}) > 1
 
 
+def test_a_forest_reads_trades_once(spark, tmp_path):
+    px = trades(spark, tmp_path, days=360)
+    out = entry.queries()["lab03"](spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if "lineitem" in f or "part.parquet" in f]
+    assert {(r.ticker, r.t0) for r in out.collect()} <= px.keys() and out.count() > 100
+
+
 def test_backtests_are_those_of_a_loop(spark, tmp_path):
     px = trades(spark, tmp_path)
     days = sorted({d for _, d in px})
