@@ -48,7 +48,7 @@ def stm02(spark, d):
 
 @query("stm03", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stm03(spark, d):
-    """Keep-last of each user's event types as a stream with map state, timers and time to live."""
+    """Keep-last of each user's event types as a stream with list state, timers and time to live."""
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
     folder = files.work_dir(spark, "last")
     with S.rocks(spark):

@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -78,10 +77,11 @@ def append_job(folder: str, schema: str, history: DataFrame, features: Callable[
 
 
 class LastOfKind(StatefulProcessor):
-    """The last row (us, id) of each kind of a key, in map state.
+    """The last row (us, id) of each kind of a key, in list state: kinds are few, and a key's are read and written in one call each.
 
     Rows older than the watermark are left out. A kind without rows for `idle` microseconds of event time is forgotten by
-    a timer; a later row begins it anew, which is right, as older ones are left out.
+    a timer; a later row begins it anew, which is right, as older ones are left out. A key asks for a timer when its first
+    kind could go, and at that time for the next.
     """
 
     def __init__(self, idle: int):
@@ -89,25 +89,35 @@ class LastOfKind(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getMapState("last", "kind string", "us long, id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))[["kind", "us", "id"]]
-        got = got[got["us"] >= timerValues.getCurrentWatermarkInMs() * 1000].sort_values(["us", "id"]).drop_duplicates("kind", keep="last")
-        out = []
-        for kind, us, number in got.itertuples(index=False, name=None):
-            known = self.last.getValue((kind,)) if self.last.containsKey((kind,)) else None
-            if known is None or (us, number) > tuple(known):
-                self.last.updateValue((kind,), (int(us), int(number)))
-                self.handle.registerTimer((int(us) + self.idle) // 1000 + 1)
-                out.append((key[0], kind, us, number))
-        yield pd.DataFrame(out, columns=["key", "kind", "us", "id"]).astype({"us": "int64", "id": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for kind in [k for k, v in self.last.iterator() if v[0] + self.idle <= until]:
-            self.last.removeKey(kind)
-        yield pd.DataFrame({"key": [], "kind": [], "us": [], "id": []}).astype({"key": "int64", "kind": "object", "us": "int64", "id": "int64"})
+        self.last = handle.getListState("last", "kind string, us long, id long")
+
+    def _end(self, us: int) -> int:
+        return (us + self.idle) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        since, got = timerValues.getCurrentWatermarkInMs() * 1000, {}
+        for row in rows:
+            kind, us, number = row["kind"], row["us"], row["id"]
+            if us is not None and us >= since and (kind not in got or (us, number) > got[kind]):
+                got[kind] = (us, number)
+        known = {kind: (us, number) for kind, us, number in self.last.get()} if got else {}
+        new = {kind: at for kind, at in got.items() if kind not in known or at > known[kind]}
+        if new:
+            self.last.put([(kind, *at) for kind, at in {**known, **new}.items()])
+            first = min(us for us, _ in new.values())
+            if not known or first < min(us for us, _ in known.values()):
+                self.handle.registerTimer(self._end(first))
+        return iter([Row(key=key[0], kind=kind, us=us, id=number) for kind, (us, number) in new.items()])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        left = [tuple(x) for x in self.last.get() if self._end(x[1]) > until]
+        if left:
+            self.last.put(left)
+            self.handle.registerTimer(min(self._end(us) for _, us, _ in left))
+        else:
+            self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -129,7 +139,7 @@ def keep_last(events: DataFrame, late: str = "1 hour", idle_days: int = 30) -> D
     """(key, kind, us, id) whenever the last row of a kind changes, from a stream (key long, kind string, ts timestamp, id long); ties in time by id. For output mode update."""
     day = 86_400_000
     rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("key").transformWithStateInPandas(LastOfKind(idle_days * day * 1000), "key long, kind string, us long, id long", "Update", "EventTime")
+    return rows.groupBy("key").transformWithState(LastOfKind(idle_days * day * 1000), "key long, kind string, us long, id long", "Update", "EventTime")
 
 
 def daily_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:

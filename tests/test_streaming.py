@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quantframe.operators import bars as B
@@ -92,6 +94,29 @@ def test_idle_kinds_are_forgotten(spark, tmp_path):
         assert {(r.key.key, r.user_map_key.kind if "user_map_key" in r else None) for r in kept.collect()} <= {(2, "a"), (2, None)}
 
 
+def test_a_key_is_read_and_written_in_one_call_each():
+    calls = []
+
+    class State:
+        held = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.held)
+
+        def put(self, rows):
+            calls.append("put")
+            self.held = rows
+
+    state = State()
+    last = S.LastOfKind(1000)
+    last.init(SimpleNamespace(getListState=lambda *_: state, registerTimer=lambda at: calls.append("timer")))
+    rows = [Row(key=1, kind=f"k{n % 50}", us=5000 + n, id=n) for n in range(500)]
+    out = [r for part in (rows[:250], rows[250:]) for r in last.handleInputRows((1,), iter(part), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))]
+    assert calls == ["get", "put", "timer", "get", "put"] and len(out) == 100
+    assert sorted(state.held) == sorted((f"k{n % 50}", 5000 + n, n) for n in range(450, 500))
+
+
 def test_daily_bars_are_written_again_when_they_change(spark, tmp_path):
     rows = [("A", datetime(2023, 1, 1 + k // 24, k % 24), k, 100.0 + k % 5) for k in range(72)]
     ticks = spark.createDataFrame(rows, "ticker string, ts timestamp, tick_id long, price double")
