@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import small_batches as small_batches
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -86,13 +88,6 @@ def join_split(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> Dat
     return dealt.join(copied, (F.col(key) == F.col(side_key)) & (F.col("__qf_copy") == F.col("__qf_at"))).drop("__qf_copy", "__qf_at")
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Hand whole texts to Python in Arrow batches of at most `size` bytes, unless the user has set another size than Spark's own."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key).rstrip("b") == str(64 << 20):
-        spark.conf.set(key, str(size))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64) over a uint64 array."""
     with np.errstate(over="ignore"):

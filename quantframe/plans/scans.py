@@ -164,6 +164,7 @@ def src24(spark, d):
 @query("src25")
 def src25(spark, d):
     """Filings with headers that list their documents: the first EX-99 exhibit of each is chosen by its header, and its page's visible text taken."""
+    files.small_batches(spark)
     p = table(spark, d, "pages")
     part = lambda kind, name: F.concat(F.lit("&lt;DOCUMENT&gt;\n&lt;TYPE&gt;"), F.lit(kind), F.lit("\n&lt;SEQUENCE&gt;1\n&lt;FILENAME&gt;"), name, F.lit("\n&lt;DESCRIPTION&gt;x\n"))
     page = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".htm"))

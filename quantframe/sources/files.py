@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -63,7 +63,9 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def _html_text(pages: pd.Series) -> pd.Series:
+def _html_text(pages: pa.Array) -> pa.Array:
+    """Texts of a batch of pages, of which a few at a time are Python strings."""
+
     def one(page: str | None) -> str | None:
         if page is None:
             return None
@@ -72,12 +74,13 @@ def _html_text(pages: pd.Series) -> pd.Series:
         p.close()
         return re.sub(r"[\s\u200b]+", " ", " ".join(p.parts)).strip()
 
-    return pages.map(one)
+    few = [pa.array([one(x.as_py()) for x in pages[k : k + 64]], pa.string()) for k in range(0, len(pages), 64)]
+    return pa.concat_arrays(few) if few else pa.array([], pa.string())
 
 
 def html_text(html: str | Column, most: int | None = None) -> Column:
     """Visible text of a page, white space and zero-width spaces collapsed; whole, unless a feature gives its limit of characters."""
-    text = F.pandas_udf(_html_text, StringType())(col(html))
+    text = F.arrow_udf(_html_text, StringType())(col(html))
     return F.substring(text, 1, most) if most else text
 
 
@@ -124,6 +127,13 @@ def parse_scores(lines: DataFrame) -> DataFrame:
     return lines.select(part[0].alias("ticker"), F.to_date(part[1]).alias("date"), F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(-5.0)), F.lit(5.0))).alias("score"), F.when(g.isin("raised", "lowered", "maintained"), g).otherwise("none").alias("guidance"))
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand whole texts to Python in Arrow batches of at most `size` bytes, unless the user has set another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(size))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that all executors share (spark.checkpoint.dir); of this machine only where that is unset."""
     import tempfile

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
+
 import __spark_entry__ as entry
 from quantframe.operators import execution as X
 from quantframe.operators import joins as J
@@ -66,6 +69,21 @@ def test_pages_give_their_whole_text(spark, tmp_path):
     assert got == {1: " ".join(words), 2: None} and len(got[1]) > 12_000
 
 
+def test_pages_are_taken_a_few_at_a_time(spark, tmp_path):
+    pages = pa.array([f"<p>{k}</p>" + "<b>word</b> " * 100 for k in range(1000)] + [None])
+    tracemalloc.start()
+    texts = files._html_text(pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts) == 1001 and texts[7].as_py().split() == ["7"] + ["word"] * 100 and texts[1000].as_py() is None
+    assert most < pages.nbytes / 4
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert entry.queries()["src25"](spark, str(tmp_path)).first().text == "a"
+    assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+
+
 def test_first_exhibit_of_a_filing(spark):
     heads = [
         "&lt;TYPE&gt;8-K\n&lt;FILENAME&gt;a.htm\n&lt;TYPE&gt;ex-99.1 \n&lt;SEQUENCE&gt;2\n&lt;FILENAME&gt;b.htm\n&lt;TYPE&gt;EX-99.2\n&lt;FILENAME&gt;c.htm",
